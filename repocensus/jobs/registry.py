@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import census, relations
+
+QUERIES: dict = {**census.Q, **relations.Q}
+ORACLES: dict = {**census.SQL, **relations.SQL}
