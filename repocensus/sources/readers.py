@@ -7,12 +7,13 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FIXTURES = r"(?i)(^|/)(__fixtures__|fixtures?|__mocks__|mocks?|node_modules|dist|build)(/|$)"
 
 
 def read_corpus(spark: SparkSession, root: str, extensions: list[str], repo_depth: int = 1) -> DataFrame:
-    """Every text file below ``root`` with one of the extensions: repo (the first folders below root), path, ext, content, modified."""
+    """Every text file below ``root`` with one of the extensions: repo (the first folders below root), path, ext, content, modified. Spark leaves out files and folders whose names begin with _ or a dot."""
     glob = "*.{" + ",".join(extensions) + "}" if len(extensions) > 1 else f"*.{extensions[0]}"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
     rest = F.regexp_extract("path", f"{root.rstrip('/').removeprefix('file:')}/(.*)$", 1)
@@ -68,7 +69,10 @@ def registry_rows(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return components.drop("props"), props
 
 
-@F.pandas_udf("array<struct<path:string,name:string,value:string,type:string>>")
+TOKEN_LEAVES = T.ArrayType(T.StructType([T.StructField(c, T.StringType()) for c in ("path", "name", "value", "type")]))
+
+
+@F.pandas_udf(TOKEN_LEAVES)
 def token_leaves(texts: pd.Series) -> pd.Series:
     """Leaves of a token tree: nodes with $value (or plain scalars), the type inherited from the group."""
 
@@ -98,7 +102,7 @@ def flatten_tokens(texts: DataFrame) -> DataFrame:
     return texts.select("profile", F.explode(token_leaves("json")).alias("t")).select("profile", "t.*")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def key_paths(texts: pd.Series) -> pd.Series:
     """Dotted paths of the leaves of a JSON object."""
 
