@@ -85,4 +85,20 @@ QUERIES = {
     "op10_licences": op10_licences,
 }
 
-ORACLES: dict[str, str] = {}
+_TEMPLATES = ", ".join(f"('{k}', '{t}')" for k, t in licences.TEMPLATES)
+_LICENCES = f"""WITH files AS (SELECT doc_id, concat_ws('/', source, lang, CAST(doc_id // 1000 AS VARCHAR)) AS leaf, coalesce(text, '') AS text FROM documents),
+said AS (SELECT doc_id, leaf, len(string_split_regex(text, '\\s+')) <= 40 AS notice, unnest(list_distinct(list_filter(string_split_regex(text, '{licences.SPLIT}'), lambda s: regexp_matches(lower(s), '{licences.KEYWORDS}')))) AS statement FROM files),
+templates AS (SELECT * FROM (VALUES {_TEMPLATES}) v(licence, statement)), own AS (SELECT statement, count(*) AS n FROM said GROUP BY statement),
+every AS (SELECT statement, n FROM own UNION ALL SELECT statement, 1 FROM templates), token AS (SELECT statement, n, regexp_extract_all(lower(statement), '{licences.TOKEN}') AS t FROM every),
+df AS (SELECT t, sum(n) AS df FROM (SELECT n, unnest(list_distinct(t)) AS t FROM token) GROUP BY t), idf AS (SELECT t, ln((1 + (SELECT sum(n) FROM every)) / (1 + df)) + 1 AS idf FROM df),
+w AS (SELECT statement, t, count(*) * any_value(idf) AS w FROM (SELECT statement, unnest(regexp_extract_all(lower(statement), '{licences.TOKEN}')) AS t FROM (SELECT DISTINCT statement FROM every)) JOIN idf USING (t) GROUP BY ALL),
+norm AS (SELECT statement, sqrt(sum(w * w)) AS norm FROM w GROUP BY statement),
+near AS (SELECT a.statement, m.licence, round(sum(a.w * b.w) / (any_value(na.norm) * any_value(nb.norm)), 4) AS score FROM w a JOIN w b ON a.t = b.t JOIN templates m ON m.statement = b.statement JOIN norm na ON na.statement = a.statement JOIN norm nb ON nb.statement = b.statement WHERE a.statement IN (SELECT statement FROM own) GROUP BY a.statement, m.licence, m.statement),
+best AS (SELECT statement, licence, score FROM (SELECT *, row_number() OVER (PARTITION BY statement ORDER BY score DESC, licence) AS r FROM near WHERE score >= {licences.LEAST}) WHERE r = 1),
+mine AS (SELECT doc_id, leaf, notice, licence, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence) AS r FROM said JOIN best USING (statement)) WHERE r = 1),
+given AS (SELECT leaf, licence FROM (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY score DESC, licence) AS r FROM mine WHERE notice) WHERE r = 1)
+SELECT f.leaf || '/' || f.doc_id || '.txt' AS path, mine.licence AS own_licence, score AS own_score, given.licence AS inherited_licence, CASE WHEN given.leaf IS NOT NULL THEN f.leaf END AS inherited_from, coalesce(mine.licence, given.licence) AS licence,
+ CASE WHEN mine.licence IS NOT NULL THEN 'own' WHEN given.licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS basis, f.doc_id FROM files f LEFT JOIN mine ON mine.doc_id = f.doc_id LEFT JOIN given ON given.leaf = f.leaf"""
+
+#: The other operators (byte-level encoding, suffix sorting, signatures, models, archives) are tested against brute force.
+ORACLES: dict[str, str] = {"op10_licences": _LICENCES}
