@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 from .common import documents, partitions
 
 K = 20
-LOW = np.uint64(2**48 - 1)
+BITS = 20  # of a code, for its bucket; the rest for the name
+LOW = np.uint64(2 ** (64 - BITS) - 1)
 NO_ID = -(2**63)
 CHUNK = 4 << 20
 
@@ -138,8 +139,30 @@ def _names(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _codes(names: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket in the upper 16 bits, 48 bits of the name below. Names that agree by chance only cost work."""
-    return (((names >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)) << np.uint64(48)) | (names & LOW)
+    """The bucket in the upper BITS bits, the low bits of the name below. Names that agree by chance only cost work."""
+    return (((names >> np.uint64(64 - BITS)) * np.uint64(buckets) >> np.uint64(BITS)) << np.uint64(64 - BITS)) | (names & LOW)
+
+
+def _bucket_edges(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted codes: their buckets, and where each bucket begins and the last one ends."""
+    bucket = (codes >> np.uint64(64 - BITS)).astype(np.int64)
+    return bucket, np.append(np.append(0, np.flatnonzero(np.diff(bucket)) + 1), len(bucket)) if len(bucket) else np.zeros(1, int)
+
+
+def _pack(*columns) -> bytes:
+    """Arrays or bytes as one compressed value; what is sent between stages is text that is stored nowhere else."""
+    import zstandard
+
+    raw = [x if isinstance(x, bytes) else x.tobytes() for x in columns]
+    return zstandard.compress(np.array([len(x) for x in raw], "<i8").tobytes() + b"".join(raw), 1)
+
+
+def _unpack(blob: bytes, n: int) -> list[bytes]:
+    import zstandard
+
+    raw = zstandard.decompress(blob)
+    ends = (np.cumsum(np.frombuffer(raw[: 8 * n], "<i8")) + 8 * n).tolist()
+    return [raw[a:b] for a, b in zip([8 * n, *ends[:-1]], ends, strict=True)]
 
 
 def _low_bytes(codes: np.ndarray) -> bytes:
@@ -149,7 +172,7 @@ def _low_bytes(codes: np.ndarray) -> bytes:
 def _from_low(raw: bytes, bucket: int) -> np.ndarray:
     out = np.zeros((len(raw) // 6, 8), np.uint8)
     out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").reshape(-1) | np.uint64(bucket << 48)
+    return out.view("<u8").reshape(-1) | np.uint64(bucket << (64 - BITS))
 
 
 def _ids(table: pa.Table) -> list[int]:
@@ -179,7 +202,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, keep_text: bool = True, ca
     if length < 2 * K:
         raise ValueError(f"length must be at least {2 * K}")
     spark = docs.sparkSession
-    n_blocks = min(65_536, 4 * partitions(spark))
+    n_blocks = 2 * partitions(spark)
+    n_buckets = min(2**BITS, n_blocks)
     blocks = docs.select("doc_id", "text", F.struct(*carry).alias("carry") if carry else F.lit(None).cast("int").alias("carry"))
     blocks = documents(blocks, "doc_id", "text", "carry").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int"))
 
@@ -187,7 +211,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, keep_text: bool = True, ca
         """The names of a block, by bucket: those of one document, those of several."""
         got, of = [], []
         for d, raw in zip(table.column("doc_id").to_pylist(), table.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            if (s := _stretches(raw, n_blocks, length)) is not None:
+            if (s := _stretches(raw, n_buckets, length)) is not None:
                 codes = np.unique(s[2])
                 got.append(codes)
                 of.append(np.full(len(codes), NO_ID if d is None else d, np.int64))
@@ -200,8 +224,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, keep_text: bool = True, ca
             at = np.flatnonzero(first)
             several = np.minimum.reduceat(of, at) != np.maximum.reduceat(of, at)
             codes = codes[at]
-            bucket = (codes >> np.uint64(48)).astype(np.int64)
-            edges = np.append(np.append(0, np.flatnonzero(np.diff(bucket)) + 1), len(bucket))
+            bucket, edges = _bucket_edges(codes)
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 here, many = codes[lo:hi], several[lo:hi]
                 rows.append((int(bucket[lo]), key[0].as_py(), _low_bytes(here[~many]), _low_bytes(here[many])))
@@ -235,7 +258,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, keep_text: bool = True, ca
         wanted = np.sort(np.concatenate(wanted)) if wanted else np.empty(0, np.uint64)
         seen: dict[bytes, list[int]] = {}
         for d, raw in zip(_ids(table), table.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            if not len(wanted) or (s := _stretches(raw, n_blocks, length)) is None:
+            if not len(wanted) or (s := _stretches(raw, n_buckets, length)) is None:
                 continue
             begins, ends, codes = s
             hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, codes), len(wanted) - 1)] == codes)
@@ -247,30 +270,42 @@ def repeated_spans(docs: DataFrame, length: int = 50, keep_text: bool = True, ca
                     x[1] = d
                 elif d > x[2]:
                     x[2] = d
-        rows = list(seen.values())
-        return pa.table([[x[0] % n_blocks for x in rows], [x[0] for x in rows], [key[0].as_py()] * len(rows), list(seen), [x[1] for x in rows], [x[2] for x in rows]], schema=pa.schema([("bucket", pa.int32()), ("code", pa.int64()), ("block", pa.int32()), ("piece", pa.binary()), ("low", pa.int64()), ("high", pa.int64())]))
+        pieces = list(seen)
+        code, low, high = (np.fromiter((x[i] for x in seen.values()), np.int64, len(pieces)) for i in range(3))
+        code = code.view(np.uint64)
+        by = np.argsort(code, kind="stable")
+        code, low, high = code[by], low[by], high[by]
+        pieces = [pieces[i] for i in by.tolist()]
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        bucket, edges = _bucket_edges(code)
+        rows = [(int(bucket[lo]), key[0].as_py(), _pack(code[lo:hi], size[lo:hi], low[lo:hi], high[lo:hi], b"".join(pieces[lo:hi]))) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.table(list(map(list, zip(*rows, strict=True))) or [[]] * 3, schema=pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("pieces", pa.binary())]))
 
     def sort_suffixes(table):
         """Where a window of a stretch also stands in a smaller document: the smallest one, for each window."""
-        table = table.sort_by("code")
-        code = table.column("code").to_numpy()
-        pieces, block, low, high = (table.column(c).to_pylist() for c in ("piece", "block", "low", "high"))
-        size = np.cumsum([len(x) for x in pieces])
-        out: tuple[list, ...] = ([], [], [], [])
+        codes, lows, highs, blocks_of, pieces = [], [], [], [], []
+        for block, blob in zip(table.column("block").to_pylist(), table.column("pieces"), strict=True):
+            c, n, a, b, text = _unpack(blob.as_py(), 5)
+            ends = np.cumsum(np.frombuffer(n, "<i8")).tolist()
+            pieces += [text[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+            for to, x in ((codes, np.frombuffer(c, "<u8")), (lows, np.frombuffer(a, "<i8")), (highs, np.frombuffer(b, "<i8")), (blocks_of, np.full(len(ends), block))):
+                to.append(x)
+        code, low, high, block = map(np.concatenate, (codes, lows, highs, blocks_of))
+        by = np.argsort(code, kind="stable")
+        code, low, high, block = code[by], low[by], high[by], block[by]
+        pieces = [pieces[i] for i in by.tolist()]
+        size = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        got: list[tuple[int, int, bytes]] = []  # place in ``pieces``, window count if they differ (else 0), smallest documents
         lo = 0
         while lo < len(pieces):  # bounded texts; a name is never cut apart
             hi = int(np.searchsorted(size, (size[lo - 1] if lo else 0) + CHUNK, side="right"))
             hi = int(np.searchsorted(code, code[max(hi, lo + 1) - 1], side="right"))
             own: dict[bytes, int] = {}
-            least: list[int] = []
-            for piece, d in zip(pieces[lo:hi], low[lo:hi], strict=True):
-                k = own.setdefault(piece, len(own))
-                if k == len(least):
-                    least.append(d)
-                elif d < least[k]:
-                    least[k] = d
+            number = np.fromiter((own.setdefault(x, len(own)) for x in pieces[lo:hi]), np.int64, hi - lo)
+            least = np.full(len(own), 2**63 - 1, np.int64)
+            np.minimum.at(least, number, low[lo:hi])
             text = np.frombuffer(b"".join(own), np.uint8)
-            lengths = np.array([len(x) for x in own])
+            lengths = np.fromiter(map(len, own), np.int64, len(own))
             at = np.cumsum(lengths) - lengths
             n_windows = lengths - length + 1
             of = np.repeat(np.arange(len(own)), n_windows)
@@ -281,40 +316,51 @@ def repeated_spans(docs: DataFrame, length: int = 50, keep_text: bool = True, ca
             window[starts] = np.arange(len(starts))
             ranked = window[order]
             begins = np.flatnonzero(~reaches)
-            smallest = np.minimum.reduceat(np.array(least)[of[ranked]], begins)
+            smallest = np.minimum.reduceat(least[of[ranked]], begins)
             best = np.empty(len(starts), np.int64)
             best[ranked] = np.repeat(smallest, np.diff(np.append(begins, len(order))))
-            for i in range(lo, hi):
-                k = own[pieces[i]]
-                mine = best[first[k] : first[k] + n_windows[k]]
-                if mine.min() < high[i]:
-                    out[0].append(block[i])
-                    out[1].append(int(code[i]))
-                    out[2].append(xxhash.xxh3_128_digest(pieces[i]))
-                    out[3].append((mine[:1] if (mine == mine[0]).all() else mine).astype("<i8").tobytes())
+            lowest, highest = np.minimum.reduceat(best, first), np.maximum.reduceat(best, first)
+            for i in (np.flatnonzero(lowest[number] < high[lo:hi])).tolist():
+                k = number[i]
+                alike = lowest[k] == highest[k]
+                got.append((lo + i, 0 if alike else int(n_windows[k]), best[first[k] : first[k] + (1 if alike else n_windows[k])].tobytes()))
             lo = hi
-        return pa.table(list(out), schema=pa.schema([("block", pa.int32()), ("code", pa.int64()), ("digest", pa.binary()), ("best", pa.binary())]))
+        where = np.array([x[0] for x in got], np.int64)
+        by = np.argsort(block[where], kind="stable")
+        here = block[where][by]
+        edges = np.append(np.append(0, np.flatnonzero(np.diff(here)) + 1), len(here)) if len(here) else [0]
+        rows = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            some = [got[i] for i in by[a:b].tolist()]
+            at = [x[0] for x in some]
+            rows.append((int(here[a]), _pack(code[at], b"".join(xxhash.xxh3_64_digest(pieces[i]) for i in at), np.array([x[1] for x in some], "<i8"), b"".join(x[2] for x in some))))
+        return pa.table(list(map(list, zip(*rows, strict=True))) or [[]] * 2, schema=pa.schema([("block", pa.int32()), ("best", pa.binary())]))
 
     def cut(table, found):
-        best = {k: np.frombuffer(v, "<i8") for k, v in zip(found.column("digest").to_pylist(), found.column("best").to_pylist(), strict=True)}
-        wanted = np.unique(found.column("code").to_numpy()).view(np.uint64)
-        wanted.sort()
+        best: dict[tuple[int, bytes], int | np.ndarray] = {}
+        wanted = []
+        for blob in found.column("best"):
+            c, digests, n, values = _unpack(blob.as_py(), 4)
+            code, n, values = np.frombuffer(c, "<u8"), np.frombuffer(n, "<i8"), np.frombuffer(values, "<i8")
+            wanted.append(code)
+            ends = np.cumsum(np.maximum(n, 1)).tolist()
+            for i, (k, many, end) in enumerate(zip(code.tolist(), n.tolist(), ends, strict=True)):
+                best[k, digests[8 * i : 8 * i + 8]] = values[end - many : end] if many else int(values[end - 1])
+        wanted = np.unique(np.concatenate(wanted)) if wanted else np.empty(0, np.uint64)
         rows = []
         for d, raw in zip(table.column("doc_id").to_pylist(), table.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            me, hits = NO_ID if d is None else d, []
-            if len(wanted) and (s := _stretches(raw, n_blocks, length)) is not None:
+            me, mask = NO_ID if d is None else d, np.zeros(len(raw), bool)
+            if len(wanted) and (s := _stretches(raw, n_buckets, length)) is not None:
                 begins, ends, codes = s
                 hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, codes), len(wanted) - 1)] == codes)
-                for lo, hi in zip(begins[hit].tolist(), ends[hit].tolist(), strict=True):
-                    x = best.get(xxhash.xxh3_128_digest(raw[lo : hi + length - 1]))
-                    if x is not None:
-                        hits.append(np.arange(lo, hi)[np.broadcast_to(x < me, hi - lo)])
-            gone = np.zeros(len(raw) + 1, np.int32)
-            if hits:
-                at = np.concatenate(hits)
-                np.add.at(gone, at, 1)
-                np.add.at(gone, at + length, -1)
-            mask = np.cumsum(gone[:-1]) > 0
+                for lo, hi, code in zip(begins[hit].tolist(), ends[hit].tolist(), codes[hit].tolist(), strict=True):
+                    x = best.get((code, xxhash.xxh3_64_digest(raw[lo : hi + length - 1])))
+                    if isinstance(x, int):
+                        if x < me:
+                            mask[lo : hi + length - 1] = True
+                    elif x is not None:
+                        for i in np.flatnonzero(x < me).tolist():
+                            mask[lo + i : lo + i + length] = True
             edge = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]])))
             spans = list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
             rest = np.frombuffer(raw, np.uint8)[~mask].tobytes() if spans else raw
@@ -325,8 +371,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, keep_text: bool = True, ca
 
     lists = blocks.groupBy("block").applyInArrow(name_lists, "bucket int, block int, once binary, many binary")
     names = lists.groupBy("bucket").applyInArrow(found_twice, "block int, bucket int, names binary")
-    pieces = blocks.groupBy("block").cogroup(names.groupBy("block")).applyInArrow(stretches_of, "bucket int, code long, block int, piece binary, low long, high long")
-    found = pieces.groupBy("bucket").applyInArrow(sort_suffixes, "block int, code long, digest binary, best binary")
+    pieces = blocks.groupBy("block").cogroup(names.groupBy("block")).applyInArrow(stretches_of, "bucket int, block int, pieces binary")
+    found = pieces.groupBy("bucket").applyInArrow(sort_suffixes, "block int, best binary")
     return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(cut, T.StructType.fromDDL("doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept_sha256 string, kept_text string").add("carry", blocks.schema["carry"].dataType))
 
 
