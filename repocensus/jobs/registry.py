@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import census, relations
+from . import census, relations, screens
 
-QUERIES: dict = {**census.Q, **relations.Q}
-ORACLES: dict = {**census.SQL, **relations.SQL}
+QUERIES: dict = {**census.Q, **relations.Q, **screens.Q}
+ORACLES: dict = {**census.SQL, **relations.SQL, **screens.SQL}
