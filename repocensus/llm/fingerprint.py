@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import documents, materialize, partitions
+from .common import documents, partitions
 
 BUCKETS = 256
 #: Distances from a triplet's first byte to its second and third.
@@ -76,8 +78,13 @@ def with_next(docs: DataFrame, each, schema: str, columns: list[str]) -> DataFra
     n = partitions(spark)
     ids = docs.select("doc_id")
     bounds = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n)}) if n > 1 else []
-    number = F.coalesce(F.expr(f"size(filter(array({','.join(f'{b}L' for b in bounds)}), b -> b <= doc_id))"), F.lit(0)) if bounds else F.lit(0)
-    placed = docs.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(number).cast("int"))
+    edges = np.array(bounds, np.int64)
+
+    @F.pandas_udf(T.IntegerType())
+    def number(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, ids.to_numpy(np.int64), side="right").astype(np.int32))
+
+    placed = docs.withColumn("range", number(F.coalesce("doc_id", F.lit(-(2**63)))))
     order = F.struct(F.col("doc_id").isNotNull().alias("k"), "doc_id", F.xxhash64("text").alias("h"))
     heads = {r["range"]: r["head"] for r in placed.groupBy("range").agg(F.min(order).alias("head")).collect()}
     if not heads:
@@ -104,9 +111,8 @@ def with_next(docs: DataFrame, each, schema: str, columns: list[str]) -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=columns)
 
     from pyspark.sql.pandas.types import to_arrow_type
-    from pyspark.sql.types import StructType
 
-    types = [to_arrow_type(f.dataType) for f in StructType.fromDDL(schema)]
+    types = [to_arrow_type(f.dataType) for f in T.StructType.fromDDL(schema)]
     return rows.select("doc_id", "text", "range", "tail").mapInArrow(run, schema)
 
 

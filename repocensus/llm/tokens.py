@@ -19,6 +19,9 @@ from .common import documents, materialize, new_folder, partitions, text_slices
 
 WINDOW, MEAN, LEAST, MOST = 16, 512, 64, 4096
 DIGEST = 16
+NO_ID = -(2**63)
+#: The digests of a recipe, one by one.
+PARTS = f"transform(sequence(0, size(lens) - 1), i -> substring(digests, i * {DIGEST} + 1, {DIGEST}))"
 _GEAR = np.random.default_rng(7).integers(0, 2**63, 2**16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -31,7 +34,7 @@ class Encoder:
     special token) is encoded as a whole.
     """
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remember = Tokenizer.from_file(path), remember
@@ -140,9 +143,10 @@ _PACK = "kind string, pack int, doc_id long, local_start long, n_tokens long, le
 def write_store(docs: DataFrame, path: str, end_id: int, folder: str) -> None:
     """Encode every row of ``docs`` and write the store into ``folder``.
 
-    packs/: Parquet files in ascending doc_id order; a row per document with its recipe (lens and digests of all its chunks,
-    their Merkle root) and the payload of those chunks (own) that no smaller doc_id has; a last row per file (kind "pack")
-    with the file's token count and the Merkle root over its documents' roots. Ids take 16 bits each where all fit, else 32.
+    packs/: Parquet files in ascending doc_id order. A row of kind "document" has a recipe (lens and digests of all chunks,
+    their Merkle root) and the payload of its private chunks (own). A chunk that several documents have is a row of kind
+    "chunk", once, beside the smallest doc_id that has it. The last row of a file (kind "pack") has its token count and the
+    Merkle root over its documents' roots. Ids take 16 bits each where all of a document's fit, else 32.
 
     Null text: the end id alone. A null doc_id sorts first. Repeated rows: a recipe for each, their chunks once. Empty
     table: an empty store. Texts are encoded once; the ids pass one shuffle.
@@ -166,36 +170,38 @@ def write_store(docs: DataFrame, path: str, end_id: int, folder: str) -> None:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows[0], pa.list_(pa.int32())), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.binary())], names=["doc_id", "lens", "digests", "width", "payload"])
 
     staged = materialize(token_ids(docs, path, end_id).mapInArrow(cut, "doc_id long, lens array<int>, digests binary, width int, payload binary"), "staged")
-    each = F.expr(f"transform(sequence(0, size(lens) - 1), i -> substring(digests, i * {DIGEST} + 1, {DIGEST}))")
-    uses = staged.select("doc_id", F.explode(each).alias("digest"))
-    owner = F.coalesce("doc_id", F.lit(-(2**63)))
-    shared = uses.groupBy("digest").agg(F.min(owner).alias("owner"), F.max(owner).alias("last")).filter("owner < last").select("digest", "owner")
-    shared = materialize(shared, "shared")
-    foreign = uses.join(shared, "digest").filter(owner > F.col("owner")).select("doc_id", "digest").distinct()
+    uses = staged.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.explode(F.array_distinct(F.expr(PARTS))).alias("digest"))
+    shared = uses.groupBy("digest").agg(F.min("doc").alias("owner"), F.count("*").alias("n")).filter("n > 1").select("digest", "owner")
+    marks = uses.join(materialize(shared, "shared"), "digest").select("doc", "digest", (F.col("doc") == F.col("owner")).alias("mine")).distinct()
 
     none = {c: F.lit(None).cast(t) for c, t in staged.dtypes}
     rows = staged.select("doc_id", F.lit(1).alias("kind"), "lens", "digests", "width", "payload")
-    rows = rows.unionByName(foreign.select("doc_id", F.lit(0).alias("kind"), none["lens"].alias("lens"), F.col("digest").alias("digests"), none["width"].alias("width"), none["payload"].alias("payload")))
+    rows = rows.unionByName(marks.select(F.nullif("doc", F.lit(NO_ID)).alias("doc_id"), F.lit(0).alias("kind"), none["lens"].alias("lens"), F.col("digest").alias("digests"), F.col("mine").cast("int").alias("width"), none["payload"].alias("payload")))
     rows = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "kind", "digests", "payload")
 
     def pack(batches):
         from pyspark import TaskContext
 
-        me, start, roots, doc, elsewhere = TaskContext.get().partitionId(), 0, [], 0, set()
+        me, start, roots = TaskContext.get().partitionId(), 0, []
+        doc, apart = object(), {}  # the document's chunks that others have too: whether they are still to be written here
         for b in batches:
             out = []
             for d, kind, lens, digests, size, payload in zip(*[b.column(c).to_pylist() for c in ("doc_id", "kind", "lens", "digests", "width", "payload")], strict=True):
-                if d != doc or (not roots and not elsewhere):
-                    doc, elsewhere = d, set()
+                if d != doc:
+                    doc, apart = d, {}
                 if kind == 0:
-                    elsewhere.add(digests)
+                    apart[digests] = bool(size)
                     continue
-                own, kept, at = [], [], 0
+                own, kept, at, seen = [], [], 0, set()
                 for i, (n, x) in enumerate(zip(lens, parts := _split(digests), strict=True)):
-                    if x not in elsewhere:
-                        elsewhere.add(x)
+                    chunk = payload[at * size : (at + n) * size]
+                    if x not in apart and x not in seen:
                         own.append(i)
-                        kept.append(payload[at * size : (at + n) * size])
+                        kept.append(chunk)
+                    elif apart.get(x):
+                        apart[x] = False
+                        out.append(("chunk", me, None, None, None, None, x, None, size, chunk, None))
+                    seen.add(x)
                     at += n
                 roots.append(merkle_root(parts))
                 out.append(("document", me, d, start, at, lens, digests, own, size, b"".join(kept), roots[-1]))
@@ -221,25 +227,13 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start (tokens of all documents before), n_tokens, ids (little-endian unsigned 32-bit), n_chunks, root.
 
     Every chunk read is checked against its digest, every recipe against its root; a mismatch raises CorruptStore. Only
-    documents with chunks of others are shuffled.
+    documents with shared chunks are shuffled.
     """
     packs = spark.read.schema(_PACK).parquet(f"{folder}/packs")
     totals = packs.filter("kind = 'pack'").select("pack", "n_tokens")
     base = totals.select("pack", F.coalesce(F.sum("n_tokens").over(Window.orderBy("pack").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     docs = packs.filter("kind = 'document'")
 
-    def provide(batches):
-        """The own chunks of documents, one a row."""
-        for b in batches:
-            rows: tuple[list, ...] = ([], [])
-            for lens, digests, own, size, payload in zip(*[b.column(c).to_pylist() for c in ("lens", "digests", "own", "width", "payload")], strict=True):
-                parts, at = _split(digests), 0
-                for i in own:
-                    rows[0].append(parts[i])
-                    rows[1].append(payload[at : at + lens[i] * size])
-                    at += lens[i] * size
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.binary())], names=["digest", "chunk"])
-
     def rebuild(batches):
         for b in batches:
             ids = []
@@ -254,15 +248,13 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
                 ids.append(out if size == 4 else np.frombuffer(out, "<u2").astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(c) for c in ("doc_id", "pack", "local_start", "n_tokens")] + [pa.array(ids, pa.binary()), pa.array([len(x) for x in b.column("lens").to_pylist()], pa.int32()), b.column("root")], names=["doc_id", "pack", "local_start", "n_tokens", "ids", "n_chunks", "root"])
 
-    complete = F.size(F.array_distinct(F.expr(f"transform(sequence(0, size(lens) - 1), i -> substring(digests, i * {DIGEST} + 1, {DIGEST}))"))) == F.size("own")
-    whole = docs.filter(complete).withColumn("more", F.lit(None).cast("array<struct<digest:binary,chunk:binary>>"))
-    partial = docs.filter(~complete)
-    parts = F.expr(f"transform(sequence(0, size(lens) - 1), i -> substring(digests, i * {DIGEST} + 1, {DIGEST}))")
     mine = F.expr(f"transform(own, i -> substring(digests, i * {DIGEST} + 1, {DIGEST}))")
-    wants = partial.select("doc_id", F.col("root").alias("of"), F.explode(F.array_distinct(F.array_except(parts, mine))).alias("digest")).distinct()
-    stored = docs.filter(F.size("own") > 0).mapInArrow(provide, "digest binary, chunk binary")
-    needed = materialize(stored.join(wants.select("digest").distinct(), "digest", "left_semi"), "needed")
-    more = materialize(wants, "wants").join(needed, "digest").groupBy("doc_id", "of").agg(F.collect_list(F.struct("digest", "chunk")).alias("more"))
+    lacks = F.array_except(F.expr(PARTS), mine)
+    whole = docs.filter(F.size(lacks) == 0).withColumn("more", F.lit(None).cast("array<struct<digest:binary,chunk:binary>>"))
+    partial = docs.filter(F.size(lacks) > 0)
+    wants = materialize(partial.select("doc_id", F.col("root").alias("of"), F.explode(lacks).alias("digest")).distinct(), "wants")
+    chunks = packs.filter("kind = 'chunk'").select(F.col("digests").alias("digest"), F.col("payload").alias("chunk"))
+    more = wants.join(chunks, "digest").groupBy("doc_id", "of").agg(F.collect_list(F.struct("digest", "chunk")).alias("more"))
     partial = partial.join(more.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("root") == F.col("of"))).drop("_id", "of")
     cols = "doc_id long, pack int, local_start long, n_tokens long, ids binary, n_chunks int, root binary"
     keep = ["doc_id", "pack", "local_start", "n_tokens", "lens", "digests", "own", "width", "payload", "root", "more"]

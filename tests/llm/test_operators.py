@@ -82,9 +82,10 @@ def test_store_keeps_chunks_once_and_finds_damage(spark, tmp_path):
     docs = spark.createDataFrame([(1, text), (2, text), (3, "x " + text)], "doc_id long, text string")
     tokens.write_store(docs, queries.vocabulary("word_bpe_49k.json"), 1, str(tmp_path / "s"))
     packs = spark.read.parquet(str(tmp_path / "s/packs")).filter("kind = 'document'").orderBy("doc_id").collect()
-    assert len(packs[0]["own"]) == len(packs[0]["lens"]) > 5
-    assert packs[1]["own"] == [] and len(packs[2]["own"]) < 4
-    bad = spark.read.parquet(str(tmp_path / "s/packs")).withColumn("payload", F.when(F.col("doc_id") == 1, F.expr("overlay(payload placing X'ffff' from 9)")).otherwise(F.col("payload")))
+    stored = spark.read.parquet(str(tmp_path / "s/packs")).filter("kind = 'chunk'")
+    assert packs[0]["own"] == packs[1]["own"] == [] and len(packs[2]["own"]) < 4
+    assert stored.count() == stored.select("digests").distinct().count() == len(packs[0]["lens"]) > 5
+    bad = spark.read.parquet(str(tmp_path / "s/packs")).withColumn("payload", F.when(F.col("kind") == "chunk", F.expr("overlay(payload placing X'ffff' from 9)")).otherwise(F.col("payload")))
     bad.write.parquet(str(tmp_path / "t/packs"))
     with pytest.raises(Exception, match="CorruptStore"):
         tokens.read_store(spark, str(tmp_path / "t")).collect()
