@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 SPECIFIER = r"""(?:import|export)\s+(?:[^'";]*?\s+from\s+)?['"]([^'"]+)['"]|import\(\s*['"]([^'"]+)['"]\s*\)|require\(\s*['"]([^'"]+)['"]\s*\)"""
 SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".vue", ".svelte", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
 
@@ -62,7 +64,7 @@ def _trimmed(edges: DataFrame, rounds: int) -> DataFrame:
     for _ in range(rounds):
         before = edges.count()
         edges = edges.join(edges.select("repo", F.col("dst").alias("src")).distinct(), ["repo", "src"], "left_semi")
-        edges = edges.join(edges.select("repo", F.col("src").alias("dst")).distinct(), ["repo", "dst"], "left_semi").checkpoint()
+        edges = cut(edges.join(edges.select("repo", F.col("src").alias("dst")).distinct(), ["repo", "dst"], "left_semi"))
         if edges.count() == before:
             break
     return edges
@@ -73,7 +75,7 @@ def _spread(edges: DataFrame, labels: DataFrame, back: bool) -> DataFrame:
     a, b = ("dst", "src") if back else ("src", "dst")
     while True:
         sent = edges.join(labels.select("repo", F.col("node").alias(a), "label"), ["repo", a]).select("repo", F.col(b).alias("node"), "label")
-        now = labels.unionByName(sent).groupBy("repo", "node").agg(F.min("label").alias("label")).checkpoint()
+        now = cut(labels.unionByName(sent).groupBy("repo", "node").agg(F.min("label").alias("label")))
         if now.exceptAll(labels).isEmpty():
             return labels
         labels = now
@@ -85,7 +87,7 @@ def cycles(edges: DataFrame, rounds: int = 50) -> DataFrame:
     Modules on no cycle are trimmed first. Then labels spread: a module whose smallest reaching label comes back to it
     against the edges too is in that label's component; found components are taken out until nothing is left.
     """
-    left = _trimmed(edges.filter("src <> dst").select("repo", "src", "dst").distinct().checkpoint(), rounds)
+    left = _trimmed(cut(edges.filter("src <> dst").select("repo", "src", "dst").distinct()), rounds)
     found = None
     while not left.isEmpty():
         nodes = left.select("repo", F.col("src").alias("node")).unionByName(left.select("repo", F.col("dst").alias("node"))).distinct()
@@ -96,7 +98,7 @@ def cycles(edges: DataFrame, rounds: int = 50) -> DataFrame:
         part = back.join(fore.select("repo", "node", F.col("label").alias("fl")), ["repo", "node"]).filter("label = fl").select("repo", "node", F.col("label").alias("component"))
         found = part if found is None else found.unionByName(part)
         gone = part.select("repo", "node")
-        left = left.join(gone.select("repo", F.col("node").alias("src")), ["repo", "src"], "left_anti").join(gone.select("repo", F.col("node").alias("dst")), ["repo", "dst"], "left_anti").checkpoint()
+        left = cut(left.join(gone.select("repo", F.col("node").alias("src")), ["repo", "src"], "left_anti").join(gone.select("repo", F.col("node").alias("dst")), ["repo", "dst"], "left_anti"))
         left = _trimmed(left, rounds)
     if found is None:
         return edges.select("repo", F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
@@ -109,28 +111,29 @@ def requires_closure(selected: DataFrame, requires: DataFrame, satisfied: DataFr
     needs = requires.select("item", "needs")
     if satisfied is not None:
         needs = needs.join(satisfied.select(F.col("item").alias("needs")), "needs", "left_anti")
-    have = selected.select("item", F.lit(None).cast("string").alias("pulled_in_by")).distinct().checkpoint()
+    have = cut(selected.select("item", F.lit(None).cast("string").alias("pulled_in_by")).distinct())
     front = have
     while True:
         new = front.join(needs, "item").select(F.col("needs").alias("n"), F.col("item").alias("by")).groupBy("n").agg(F.min("by").alias("pulled_in_by")).withColumnRenamed("n", "item")
-        front = new.join(have, "item", "left_anti").checkpoint()
+        front = cut(new.join(have, "item", "left_anti"))
         if front.isEmpty():
             return have
-        have = have.unionByName(front).checkpoint()
+        have = cut(have.unionByName(front))
 
 
 def install_order(items: DataFrame, requires: DataFrame, rank: str) -> DataFrame:
     """Items with their level (longest chain of requirements below) and position: dependencies first, then ``rank``, then name. Items on a cycle have no level."""
-    need = requires.join(items.select("item"), "item", "left_semi").join(items.select(F.col("item").alias("needs")), "needs", "left_semi").select("item", "needs").distinct().checkpoint()
+    need = requires.join(items.select("item"), "item", "left_semi").join(items.select(F.col("item").alias("needs")), "needs", "left_semi").select("item", "needs").distinct()
+    need = cut(need)
     level, n = None, 0
     left = items.select("item").distinct()
     while True:
-        ready = left.join(need.select("item").distinct(), "item", "left_anti").withColumn("level", F.lit(n)).checkpoint()
+        ready = cut(left.join(need.select("item").distinct(), "item", "left_anti").withColumn("level", F.lit(n)))
         if ready.isEmpty():
             break
         level = ready if level is None else level.unionByName(ready)
-        left = left.join(ready, "item", "left_anti").checkpoint()
-        need = need.join(ready.select(F.col("item").alias("needs")), "needs", "left_anti").checkpoint()
+        left = cut(left.join(ready, "item", "left_anti"))
+        need = cut(need.join(ready.select(F.col("item").alias("needs")), "needs", "left_anti"))
         n += 1
     if level is None:
         level = items.select("item").limit(0).withColumn("level", F.lit(0))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import colours as C
+from ..functions.lineage import cut
 from ..functions.shares import share
 
 #: Kind to (pattern, least uses, most values).
@@ -80,7 +81,7 @@ def resolve_aliases(tokens: DataFrame, rounds: int = 12) -> DataFrame:
             "repo", "token", F.when(F.col("known"), F.col("n2")).alias("next"), F.when(follows, F.col("v2")).otherwise(F.col("value")).alias("value"),
             F.when(follows & F.col("known").isNull(), True).when(follows, F.col("d2")).otherwise(F.col("dangling")).alias("dangling"),
         )
-        state = state.checkpoint()
+        state = cut(state)
     why = F.when(F.col("dangling"), "dangling").when(F.col("next").isNotNull(), "loop")
     return state.select("repo", "token", F.when(why.isNull(), F.col("value")).alias("value"), why.alias("unresolved"))
 
