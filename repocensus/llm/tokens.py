@@ -7,6 +7,7 @@ writes for each document a recipe of chunk digests with a Merkle root. Files hol
 from __future__ import annotations
 
 import hashlib
+import re
 import unicodedata
 from functools import cache
 
@@ -31,15 +32,20 @@ class Encoder:
     A space that stands between two other characters always begins a new word for the tokenizers used here, so a text's
     ids are the ids of its pieces between such spaces, one after the other. Pieces are encoded by the library once and
     remembered. A text with a piece for which that isn't certain (other white space at its edges, a combining mark, a
-    special token) is encoded as a whole.
+    special token) is encoded as a whole. Within a piece, a run of letters, the signs behind it and a line's end are words
+    of their own; so of most unknown pieces only the unknown words are encoded.
     """
 
+    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?$%&*#|()\"/-]*)")
+
     def __init__(self, path: str, remember: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remember = Tokenizer.from_file(path), remember
         self.ids: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
+        self.words: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
         plain = ((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized))
         self.parting = next(plain, None)
 
@@ -50,19 +56,45 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces, each after a space. They are encoded together, parted by a special token, which cuts a text before all else."""
+    def _batch(self, words: list[str]) -> list[bytes]:
+        """Ids of words, encoded together and parted by a special token, which cuts a text before all else."""
         if self.parting is None:
-            return [self.whole(" " + x) for x in pieces]
+            return [self.whole(x) for x in words]
         mark, out = self.parting, []
-        for at in range(0, len(pieces), 4096):
-            some = pieces[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast([f"{mark[1]} ".join(["", *some])], add_special_tokens=False)[0].ids, "<u4")
+        for at in range(0, len(words), 4096):
+            ids = np.array(self.tokenizer.encode_batch_fast([mark[1].join(["", *words[at : at + 4096]])], add_special_tokens=False)[0].ids, "<u4")
             ends = np.append(np.flatnonzero(ids == mark[0]), len(ids)).tolist()
             raw = ids.tobytes()
             out += [raw[4 * lo + 4 : 4 * hi] for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
         return out
 
+    def _words_of(self, piece: str) -> list[str]:
+        """The words of " " + piece; the whole of it where that isn't plain."""
+        out, lead = [], " "
+        for part in piece.split("\n"):
+            m = self.PLAIN.fullmatch(part)
+            if m is None:
+                return [" " + piece]
+            if not lead:
+                out.append("\n")
+            out.append(lead + m[1])
+            if m[2]:
+                out.append(m[2])
+            lead = ""
+        return out
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, each after a space."""
+        if len(self.words) > self.remember:
+            self.words, self.older_words = {}, self.words
+        known, older = self.words, self.older_words
+        cut = [self._words_of(x) for x in pieces]
+        new = set().union(*cut).difference(known)
+        known.update({x: older[x] for x in new if x in older})
+        new = list(new.difference(known))
+        known.update(zip(new, self._batch(new), strict=True))
+        return [b"".join([known[w] for w in x]) for x in cut]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.ids) > self.remember:  # pieces not seen for a while go
@@ -105,9 +137,11 @@ def token_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 def chunk_lengths(ids: np.ndarray) -> list[int]:
     """Lengths of content-defined chunks: a chunk ends where the rolling hash of the last WINDOW ids is 0 modulo MEAN."""
     g = _GEAR[ids & 0xFFFF] ^ (ids.astype(np.uint64) >> np.uint64(16))
-    h = np.zeros(len(g), np.uint64)
-    for i in range(min(WINDOW, len(g))):
-        h[i:] += g[: len(g) - i] << np.uint64(i)
+    h, have = g, 1
+    while have < WINDOW:  # of twice as many ids each time
+        longer = h.copy()
+        longer[have:] += h[: max(0, len(h) - have)] << np.uint64(have)
+        h, have = longer, 2 * have
     marks = (np.flatnonzero(((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % MEAN == 0) + 1).tolist()
     out, at = [], 0
     for m in [*marks, len(ids)]:
