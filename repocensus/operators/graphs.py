@@ -101,7 +101,7 @@ def cycles(edges: DataFrame, rounds: int = 50) -> DataFrame:
         left = cut(left.join(gone.select("repo", F.col("node").alias("src")), ["repo", "src"], "left_anti").join(gone.select("repo", F.col("node").alias("dst")), ["repo", "dst"], "left_anti"))
         left = _trimmed(left, rounds)
     if found is None:
-        return edges.select("repo", F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+        return edges.select("repo", F.col("src").alias("node"), F.col("src").alias("component"), F.lit(0).cast("long").alias("size")).limit(0)
     size = found.groupBy("repo", "component").agg(F.count("*").alias("size"))
     return found.join(size.filter("size > 1"), ["repo", "component"]).select("repo", "node", "component", "size")
 

@@ -4,6 +4,7 @@ import math
 
 import __spark_entry__ as entry_module
 import duckdb
+import pandas as pd
 import pytest
 from repocensus.jobs import registry
 
@@ -21,7 +22,7 @@ def duck():
 
 def plain(df):
     def one(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return "None"
         return str(round(float(v), 5)) if isinstance(v, (bool, int, float)) or type(v).__module__ in ("numpy", "decimal") else str(v)
 
