@@ -149,9 +149,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
     reps = usable.join(first.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "sig", "bands").dropDuplicates(["rep", "sig"])
     reps = materialize(reps, "representatives")
 
-    bands = reps.select("rep", F.explode("bands").alias("band"))
+    bands = reps.select("rep", F.posexplode("bands").alias("at", "band"))
     shared = materialize(bands.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).filter("lead < last").select("band", "lead"), "bands")
-    members = materialize(bands.join(shared, "band").select("band", "rep", "lead"), "members")
+    members = materialize(bands.join(shared, "band").select("band", "at", "rep", "lead"), "members")
 
     cut = cut_below(threshold)
     a = reps.select(F.col("rep").alias("a"), F.struct("sig", "n_shingles").alias("x"))
@@ -161,13 +161,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
     links = materialize(confirmed(to_lead.join(a, "a").join(b, "b").filter(likely).select("a", "b"), docs, width, threshold), "confirmed")
 
     comps = connected_components(links)
-    named = materialize(reps.join(comps, reps.rep == comps.node, "left").select("rep", "sig", "n_shingles", F.coalesce("component", "rep").alias("component")), "named")
-    rows = materialize(members.select("band", "rep").join(named.select("rep", "component"), "rep"), "rows")
+    named = materialize(reps.join(comps, reps.rep == comps.node, "left").select("rep", "sig", "n_shingles", F.transform("bands", lambda b: F.shiftright(b, 32).cast("int")).alias("short"), F.coalesce("component", "rep").alias("component")), "named")
+    rows = materialize(members.select("band", "at", "rep").join(named.select("rep", "component"), "rep"), "rows")
     mixed = materialize(rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band"), "mixed")
-    open_rows = rows.join(mixed, "band", "left_semi").join(named.select("rep", F.struct("sig", "n_shingles").alias("x")), "rep")
-    open_rows = materialize(open_rows.select("band", "rep", "component", "x"), "open")
+    open_rows = rows.join(mixed, "band", "left_semi").join(named.select("rep", F.struct("sig", "n_shingles", "short").alias("x")), "rep")
+    open_rows = materialize(open_rows.select("band", "at", "rep", "component", "x"), "open")
     other = open_rows.select("band", F.col("rep").alias("other"), F.col("component").alias("other_component"), F.col("x").alias("y"))
-    across = open_rows.join(other, "band").filter((F.col("rep") < F.col("other")) & (F.col("component") != F.col("other_component")) & likely)
+    # a pair is made in the first band that both are in, not in each
+    first_band = F.expr("array_position(zip_with(x.short, y.short, (p, q) -> p = q), true) = at + 1")
+    across = open_rows.join(other, "band").filter((F.col("rep") < F.col("other")) & (F.col("component") != F.col("other_component")) & likely & first_band)
     more = materialize(confirmed(across.select(F.col("rep").alias("a"), F.col("other").alias("b")).distinct(), docs, width, threshold), "confirmed")
     comps = connected_components(links.unionByName(more))
 
