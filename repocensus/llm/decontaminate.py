@@ -1,14 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds join passages to test items, Smith-Waterman alignment scores them."""
+"""Benchmark decontamination: n-gram seeds join passages to test items, Smith-Waterman alignment scores them."""
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, materialize, text_slices
@@ -87,9 +87,10 @@ def align(item: list[str], passage: list[str]) -> tuple[float, int, int]:
     return score / (MATCH * len(a)), j - back, j
 
 
-def _passages(docs: DataFrame, seeds: Seeds) -> DataFrame:
-    """A row for each document, item and neighbourhood with n-grams in common: their places in the item, and the passage."""
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("places", pa.list_(pa.int32())), ("first", pa.int32()), ("passage", pa.list_(pa.string()))])
+def _passages(docs: DataFrame, seeds: Seeds, least: float) -> DataFrame:
+    """A row for each document, item and neighbourhood with n-grams in common: the passage, wide enough for every alignment
+    through one of them that scores ``least``."""
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("first", pa.int32()), ("passage", pa.list_(pa.string()))])
 
     def run(batches):
         for b in text_slices(batches):
@@ -97,38 +98,41 @@ def _passages(docs: DataFrame, seeds: Seeds) -> DataFrame:
             for d, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 words = words_of(text)
                 last: dict[int, list] = {}
-                for item, start, k in sorted(seeds.find(words)):
+                for item, start, _ in sorted(seeds.find(words)):
                     size = len(seeds.items[item])
                     x = last.get(item)
-                    if x is None or start > x[2] + size // 2:
-                        last[item] = x = [set(), start, start]
+                    if x is None or start > x[1] + size // 2:
+                        last[item] = x = [start, start]
                         rows.append((d, item, x, size, words))
-                    x[0].add(k)
-                    x[2] = start
+                    x[1] = start
             out = []
-            for d, item, (places, lo, hi), size, words in rows:
-                lo, hi = max(0, lo - size // 2 - 4), hi + size + size // 2 + 4
-                out.append((d, item, sorted(places), lo, words[lo:hi]))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 5, schema, strict=True)], schema=schema)
+            for d, item, (lo, hi), size, words in rows:
+                slack = _slack(size, least)
+                lo, hi = max(0, lo - slack), hi + size + slack
+                out.append((d, item, lo, words[lo:hi]))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 4, schema, strict=True)], schema=schema)
 
-    return documents(docs).mapInArrow(run, "doc_id long, item_id long, places array<int>, first int, passage array<string>")
+    return documents(docs).mapInArrow(run, "doc_id long, item_id long, first int, passage array<string>")
 
 
-def _rare(found: DataFrame) -> DataFrame:
-    """(item_id, place): of each stretch of STRETCH n-grams of an item that were found at all, the one in the fewest passages."""
-    seen = found.select("item_id", F.explode("places").alias("place")).groupBy("item_id", "place").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("item_id", F.floor(F.col("place") / STRETCH)).orderBy("n", "place")
-    return seen.withColumn("r", F.row_number().over(order)).filter("r = 1").select("item_id", "place")
+def _slack(size: int, least: float) -> int:
+    """Words by which an alignment that scores ``least`` can be longer than the item, or be shifted against it: each costs a gap."""
+    return math.ceil(MATCH * size * (1 - least) / -GAP)
+
+
+def _bound(item: Counter, passage: list[str]) -> int:
+    """The most words that an alignment can match: those in common, as often as both have them."""
+    return (item & Counter(w for w in passage if w in item)).total()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """doc_id, item_id, score, first_word, end_word (of the document) for each document with a passage that aligns to a test
     item with at least ``least`` of the item's own score; the best passage of each pair.
 
-    Seeds are n-grams of five words (fewer if the item is shorter). Every n-gram of an item is looked up, its passages are
-    counted over all documents, and of each stretch of three neighbouring n-grams the rarest decides which passages are
-    aligned: an unbroken run of nine words is always enough. The items come to the tasks in blocks of bounded size, as many
-    passes as that takes, and no more than that of the documents is shuffled than the passages found.
+    Seeds are n-grams of five words (fewer if the item is shorter). Every n-gram of an item is looked up, and every passage
+    with one of them is aligned, unless it has too few of the item's words to reach ``least``: an unbroken run of five words
+    is always enough. The items come to the tasks in blocks of bounded size, as many passes as that takes, and no more of
+    the documents is written than the passages found.
 
     Null or empty texts, and items without words: no rows. Null ids: rows with null ids are left out. Repeated rows: as one.
     Items with equal texts are each reported. Empty tables: empty result.
@@ -143,18 +147,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
         seeds = Seeds([(r["item_id"], r["text"]) for r in rows])
         if not seeds.at:
             continue
-        found = materialize(_passages(docs.filter("doc_id is not null"), seeds), "passages")
-        rare = _rare(found).groupBy("item_id").agg(F.collect_list("place").alias("rare"))
-        near = found.join(F.broadcast(rare), "item_id").filter(F.arrays_overlap("places", "rare")).select("doc_id", "item_id", "first", "passage")
+        found = materialize(_passages(docs.filter("doc_id is not null"), seeds, least), "passages")
         items_words = seeds.items
 
         def score(batches, items_words=items_words):
-            for b in batches:
-                got = [align(items_words[i], p) for i, p in zip(b.column("item_id").to_pylist(), b.column("passage").to_pylist(), strict=True)]
+            bags: dict[int, Counter] = {}
+            for b in text_slices(batches):
+                got = []
+                for i, p in zip(b.column("item_id").to_pylist(), b.column("passage").to_pylist(), strict=True):
+                    if i not in bags:
+                        bags[i] = Counter(items_words[i])
+                    got.append(align(items_words[i], p) if _bound(bags[i], p) / len(items_words[i]) >= least else (0.0, 0, 0))
                 first = b.column("first").to_pylist()
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("item_id"), pa.array([x[0] for x in got], pa.float64()), pa.array([f + x[1] for f, x in zip(first, got, strict=True)], pa.int32()), pa.array([f + x[2] for f, x in zip(first, got, strict=True)], pa.int32())], names=["doc_id", "item_id", "score", "first_word", "end_word"])
 
-        hits = near.mapInArrow(score, "doc_id long, item_id long, score double, first_word int, end_word int").filter(F.col("score") >= least)
+        hits = found.mapInArrow(score, "doc_id long, item_id long, score double, first_word int, end_word int").filter(F.col("score") >= least)
         out = hits if out is None else out.unionByName(hits)
     if out is None:
         return spark.createDataFrame([], "doc_id long, item_id long, score double, first_word int, end_word int")

@@ -288,6 +288,23 @@ def test_decontamination_finds_edits(spark, odd, empty):
     assert decontaminate.without_leaks(odd, bench).columns == odd.columns
 
 
+def test_decontamination_finds_edits_beside_exact_copies(spark):
+    """A copy edited every seven words while an exact copy has all its n-grams too, and copies with long insertions."""
+    item = [f"term{i}" for i in range(40)]
+    seventh = [f"other{i}" if i % 7 == 6 else w for i, w in enumerate(item)]
+    inserted = [*item[:20], *(f"x{i}" for i in range(30)), *item[20:]]
+    short = [*item[:6], *(f"y{i}" for i in range(300))]
+    rng = random.Random(6)
+    rows = [(1, " ".join(item)), (2, " ".join(seventh)), (3, " ".join(inserted)), (4, " ".join(short))]
+    for d in range(5, 60):
+        rows.append((d, " ".join(w for x in item for w in ([f"z{d}"] * rng.randrange(3) if rng.random() < 0.15 else [x]))))
+    bench = [(7, " ".join(item))]
+    for some, sure in ((rows[:2], {(1, 7), (2, 7)}), (rows[2:4], {(3, 7)}), (rows, {(1, 7), (2, 7), (3, 7)})):
+        got = decontaminate.contaminated(spark.createDataFrame(some, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+        got = {(r["doc_id"], r["item_id"]): round(r["score"], 6) for r in got.collect()}
+        assert got == brute_leaks(some, bench) and sure <= set(got) and (4, 7) not in got
+
+
 def test_alignment_by_hand():
     assert decontaminate.align("a b c d".split(), "x a b c d y".split()) == (1.0, 1, 5)
     assert decontaminate.align("a b c d".split(), "x y z".split()) == (0.0, 0, 0)
