@@ -34,8 +34,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 1024 ids."""
-    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=0, size=1024, digest=True)
+    """The ids of token sequences of at most 1024, piece by piece."""
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"), end_id=0, size=1024)
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("suffix_dedup", cut_repeats), ("decontamination", drop_leaks), ("packing", pack)]

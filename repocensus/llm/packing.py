@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from itertools import groupby
 
 import numpy as np
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, text_slices
 from .tokens import token_ids
 
 SALTS = 256
@@ -91,25 +90,30 @@ def best_fit_plan(histogram: dict[int, int], size: int) -> tuple[list[tuple[int,
     return plan, windows
 
 
-def cut_windows(ids: DataFrame, size: int, digest: bool = False) -> DataFrame:
-    """(doc_id, ids) to pieces: full windows of ``size`` first, then what is left. The ids of each piece, or with ``digest`` only their crc32."""
+def cut_windows(ids: DataFrame, size: int) -> DataFrame:
+    """(doc_id, ids) to pieces: full windows of ``size`` first, then what is left. A piece's ids take 16 bits each where all of them fit, else 32."""
 
     def run(batches):
         for b in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
             for d, raw in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
-                total = len(raw) // 4
-                for at in range(0, total, size):
-                    part = raw[4 * at : 4 * (at + size)]
-                    for c, v in zip(rows, (d, at, len(part) // 4, total, zlib.crc32(part) if digest else part), strict=True):
+                every = np.frombuffer(raw, "<u4")
+                for at in range(0, len(every), size):
+                    part = every[at : at + size]
+                    for c, v in zip(rows, (d, at, len(part), len(every), part.astype("<u2" if part.max() < 2**16 else "<u4").tobytes()), strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64() if digest else pa.binary()), strict=True)], names=["doc_id", "start", "length", "doc_tokens", "ids_crc32" if digest else "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
-    return ids.mapInArrow(run, f"doc_id long, start long, length long, doc_tokens long, {'ids_crc32 long' if digest else 'ids binary'}")
+    return ids.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary")
+
+
+def widened(ids: pa.Array, length: np.ndarray) -> pa.Array:
+    """Each piece's ids 32 bits wide, whichever width they were kept in."""
+    return pa.array([raw if len(raw) == 4 * n else np.frombuffer(raw, "<u2").astype("<u4").tobytes() for raw, n in zip(ids.to_pylist(), length.tolist(), strict=True)], pa.binary())
 
 
 def pack_pieces(pieces: DataFrame, size: int) -> DataFrame:
-    """``pieces`` (doc_id, start, length, ...) with sequence_id and offset: no window holds more than ``size``, offsets have no gaps.
+    """``pieces`` (doc_id, start, length, ids, ...) with sequence_id and offset, ids 32 bits wide: no window holds more than ``size``, offsets have no gaps.
 
     Only the histogram (at most ``size`` rows) comes to the driver. A piece's rank among those of its length is counted
     within salted groups, with the groups' counts summed before, so a length that a third of all pieces have is spread.
@@ -125,7 +129,7 @@ def pack_pieces(pieces: DataFrame, size: int) -> DataFrame:
     by = {k: np.array([x[1:] for x in v], np.int64) for k, v in groupby(plan, key=lambda x: x[0])}
 
     def place(batches):
-        for b in batches:
+        for b in text_slices(batches, 1024):
             length, r = (b.column(c).to_numpy() for c in ("length", "_rank"))
             where, offset = np.zeros(len(r), np.int64), np.zeros(len(r), np.int64)
             for n in np.unique(length):
@@ -133,7 +137,7 @@ def pack_pieces(pieces: DataFrame, size: int) -> DataFrame:
                 rank, _, window, per, begin = by[int(n)][np.searchsorted(by[int(n)][:, 0], r[at], side="right") - 1].T
                 where[at], offset[at] = window + (r[at] - rank) // per, begin + (r[at] - rank) % per * n
             names = [x for x in b.schema.names if x != "_rank"]
-            yield pa.RecordBatch.from_arrays([*[b.column(x) for x in names], pa.array(where), pa.array(offset)], names=[*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*[widened(b.column(x), length) if x == "ids" else b.column(x) for x in names], pa.array(where), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in ranked.dtypes if c != "_rank") + ", sequence_id long, offset long"
     return ranked.mapInArrow(place, schema) if histogram else spark.createDataFrame([], schema)
@@ -142,9 +146,9 @@ def pack_pieces(pieces: DataFrame, size: int) -> DataFrame:
 def pack_documents(docs: DataFrame, path: str, end_id: int = 0, size: int = 1024, digest: bool = False) -> DataFrame:
     """Pack every row of ``docs`` (doc_id, text; other columns are ignored) into sequences of at most ``size`` ids.
 
-    doc_id, start, length, doc_tokens, ids (or with ``digest`` ids_crc32), sequence_id, offset of each piece. Null or empty
-    text: the end id alone. A null doc_id is packed like any other. Repeated rows: packed as often as they come. Empty
+    doc_id, start, length, doc_tokens, ids (little-endian unsigned 32-bit; with ``digest`` their crc32 is taken once they are
+    packed, as ids_crc32 in their stead), sequence_id, offset of each piece. Null or empty text: the end id alone. A null doc_id is packed like any other. Repeated rows: packed as often as they come. Empty
     table: empty result. Pieces are written once before they are placed, so texts are encoded once.
     """
-    pieces = cut_windows(token_ids(docs, path, end_id), size, digest)
-    return pack_pieces(materialize(pieces, "pieces"), size)
+    out = pack_pieces(materialize(cut_windows(token_ids(docs, path, end_id), size), "pieces"), size)
+    return out.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32") if digest else out

@@ -226,6 +226,29 @@ def test_packing_odd_rows(spark, odd, empty):
     assert rows_of(packing.pack_documents(empty, path)) == []
 
 
+def test_packed_sequences_hold_the_ids(spark):
+    """The pipeline's last stage gives ids that make up whole sequences and every text again; wide ids stay whole."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    rows = [(d, " ".join(f"w{rng.randrange(500)}" for _ in range(rng.choice([0, 3, 200, 900])))) for d in range(40)]
+    got = corpus_pipeline.pack(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    enc, texts, windows = encode(queries.vocabulary("byte_bpe_50k.json")), defaultdict(list), defaultdict(list)
+    for r in sorted(got, key=lambda r: (r["doc_id"], r["start"])):
+        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        assert len(ids) == r["length"]
+        texts[r["doc_id"]] += ids
+        windows[r["sequence_id"]].append((r["offset"], ids))
+    assert dict(texts) == {d: enc(t, 0) for d, t in rows}
+    for parts in windows.values():
+        assert [o for o, _ in sorted(parts)] == [sum(len(i) for _, i in sorted(parts)[:k]) for k in range(len(parts))]
+        assert sum(len(i) for _, i in parts) <= 1024
+    wide = [(1, [5, 2**16, 7]), (2, [2**16 - 1] * 5)]
+    ids = spark.createDataFrame([(d, bytearray(np.array(i, "<u4").tobytes())) for d, i in wide], "doc_id long, ids binary")
+    out = packing.pack_pieces(packing.cut_windows(ids, 4), 4).orderBy("doc_id", "start").collect()
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in out] == [[5, 2**16, 7], [2**16 - 1] * 4, [2**16 - 1]]
+
+
 def test_plan_is_best_fit_decreasing():
     rng = random.Random(1)
     for _ in range(60):
