@@ -467,6 +467,26 @@ def test_near_duplicates_odd_rows(spark, odd, empty):
     assert rows_of(minhash.near_duplicates(empty)) == []
 
 
+def test_near_duplicates_short_pairs(spark):
+    """Many pairs of 4 and 5 shingles, at exactly 0.8."""
+    rows = []
+    for i in range(1500):
+        words = [f"v{i}x{k}" for k in range(8)]
+        rows += [(2 * i, " ".join(words[:7])), (2 * i + 1, " ".join(words))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4)
+    assert sorted(rows_of(got)) == brute_components(rows, 4)
+
+
+def test_low_bits_agree_independently():
+    """Of two different minima the kept bits agree in a quarter of the hashes, for each pair of values."""
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        x, y = (minhash.packed(minhash.minima(rng.integers(0, 2**63, 1, dtype=np.uint64))).view(np.uint64) for _ in range(2))
+        z = x ^ y
+        differ = sum(int(v).bit_count() for v in ((z | (z >> np.uint64(1))) & np.uint64(0x5555555555555555)).tolist())
+        assert 0.15 < 1 - differ / minhash.N_HASH < 0.35
+
+
 def test_connected_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(60)] + [(100, 200 + i) for i in range(90)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(70)] + [(None, 3), (5, 5)]
