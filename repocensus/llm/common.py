@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -39,6 +42,21 @@ def documents(docs: DataFrame, *cols: str) -> DataFrame:
     return docs.select(*[pick.get(c, F.col(c)).alias(c) for c in cols or ("doc_id", "text")])
 
 
+def tidy(run, forget=lambda: None):
+    """A task's function after which its worker, which outlives it, holds neither what ``forget`` drops nor free Arrow memory."""
+
+    def wrapped(batches):
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            forget()
+            pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def text_slices(batches, rows: int = 256, col: str = "text"):
     """Slices of Arrow batches, small enough that the Python objects made from them stay few."""
     for batch in batches:
