@@ -9,12 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_slices
+from .common import materialize, partitions, text_slices, tidy
 from .tokens import token_ids
 
-SALTS = 256
-
-
 class OpenWindows:
     """Open windows by remaining capacity: a segment tree over 0..size finds the tightest that holds a length.
 
@@ -90,8 +87,11 @@ def best_fit_plan(histogram: dict[int, int], size: int) -> tuple[list[tuple[int,
     return plan, windows
 
 
-def cut_windows(ids: DataFrame, size: int) -> DataFrame:
-    """(doc_id, ids) to pieces: full windows of ``size`` first, then what is left. A piece's ids take 16 bits each where all of them fit, else 32."""
+PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
+
+
+def cut_windows(size: int):
+    """Batches of (doc_id, ids) to pieces: full windows of ``size`` first, then what is left. A piece's ids take 16 bits each where all of them fit, else 32."""
 
     def run(batches):
         for b in batches:
@@ -104,7 +104,7 @@ def cut_windows(ids: DataFrame, size: int) -> DataFrame:
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
-    return ids.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary")
+    return run
 
 
 def widened(ids: pa.Array, length: np.ndarray) -> pa.Array:
@@ -119,12 +119,12 @@ def pack_pieces(pieces: DataFrame, size: int) -> DataFrame:
     within salted groups, with the groups' counts summed before, so a length that a third of all pieces have is spread.
     """
     spark = pieces.sparkSession
-    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "doc_tokens"), F.lit(SALTS)).cast("int"))
+    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "doc_tokens"), F.lit(16 * partitions(spark))).cast("int"))
     counts = materialize(pieces.groupBy("length", "_salt").agg(F.count("*").alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan, _ = best_fit_plan(histogram, size)
     before = counts.withColumn("_base", F.sum("n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("n")).drop("n")
-    rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "start")) - 1
+    rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "start", F.xxhash64("ids"))) - 1
     ranked = pieces.withColumn("_rank", rank.cast("long")).join(before, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_base")).drop("_base", "_salt")
     by = {k: np.array([x[1:] for x in v], np.int64) for k, v in groupby(plan, key=lambda x: x[0])}
 
@@ -140,7 +140,7 @@ def pack_pieces(pieces: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[widened(b.column(x), length) if x == "ids" else b.column(x) for x in names], pa.array(where), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in ranked.dtypes if c != "_rank") + ", sequence_id long, offset long"
-    return ranked.mapInArrow(place, schema) if histogram else spark.createDataFrame([], schema)
+    return ranked.mapInArrow(tidy(place), schema) if histogram else spark.createDataFrame([], schema)
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 0, size: int = 1024, digest: bool = False) -> DataFrame:
@@ -150,5 +150,5 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 0, size: int = 1024
     packed, as ids_crc32 in their stead), sequence_id, offset of each piece. Null or empty text: the end id alone. A null doc_id is packed like any other. Repeated rows: packed as often as they come. Empty
     table: empty result. Pieces are written once before they are placed, so texts are encoded once.
     """
-    out = pack_pieces(materialize(cut_windows(token_ids(docs, path, end_id), size), "pieces"), size)
+    out = pack_pieces(materialize(token_ids(docs, path, end_id, cut_windows(size), PIECES), "pieces"), size)
     return out.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32") if digest else out

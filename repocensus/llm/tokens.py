@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from array import array
 from functools import cache
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, new_folder, partitions, text_slices
+from .common import documents, materialize, new_folder, partitions, text_slices, tidy
 
 WINDOW, MEAN, LEAST, MOST = 16, 512, 64, 4096
 DIGEST = 16
@@ -30,24 +31,49 @@ class Encoder:
     """Ids of whole texts by the tokenizers library.
 
     A space that stands between two other characters always begins a new word for the tokenizers used here, so a text's
-    ids are the ids of its pieces between such spaces, one after the other. Pieces are encoded by the library once and
-    remembered. A text with a piece for which that isn't certain (other white space at its edges, a combining mark, a
-    special token) is encoded as a whole. Within a piece, a run of letters, the signs behind it and a line's end are words
-    of their own; so of most unknown pieces only the unknown words are encoded.
+    ids are the ids of its pieces between such spaces, one after the other. A text with a piece for which that isn't certain
+    (other white space at its edges, a combining mark, a special token) is encoded as a whole. Within a piece, a run of
+    letters, the signs behind it and a line's end are words of their own; such words go to the library's model directly,
+    without its search for words and its offsets. Pieces and words are remembered, in about ``room`` bytes.
     """
 
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?$%&*#|()\"/-]*)")
+    LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+    SIGNS = ".,;:!?$%&*#|()\"/-"
+    PLAIN = re.compile(rf"([{LETTERS}]+)([{re.escape(SIGNS)}]*)")
+    #: Longer pieces and words aren't remembered. Bytes that an entry takes besides its characters, about.
+    LONGEST, ENTRY = 48, 200
 
-    def __init__(self, path: str, remember: int = 150_000):
+    def __init__(self, path: str, room: int = 72 << 20):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.remember = Tokenizer.from_file(path), remember
-        self.ids: dict[str, bytes | None] = {}
-        self.older: dict[str, bytes | None] = {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.entries = room // 4 // self.ENTRY
+        self.forms = self._forms()
+        self.forget()
+
+    def forget(self) -> None:
+        self.ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.older_words: dict[str, bytes] = {}
-        plain = ((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized))
-        self.parting = next(plain, None)
+        self.bare: dict[str, bytes] = {}
+
+    def _forms(self) -> dict[int, str] | None:
+        """What the tokenizer's normalizer and pre-tokenizer make of each character of plain words; None if words can't go to the model alone."""
+        t, forms = self.tokenizer, {}
+        chars = [chr(c) for c in range(32, 256) if re.fullmatch(f"[{self.LETTERS}]", chr(c))] + list(self.SIGNS)
+        for c in [*chars, "\n", " "]:
+            x = t.normalizer.normalize_str(c) if t.normalizer else c
+            parts = t.pre_tokenizer.pre_tokenize_str(x) if t.pre_tokenizer else [(x, (0, 1))]
+            if len(parts) > 1:
+                return None
+            forms[ord(c)] = parts[0][0] if parts else ""
+        probes = [*chars, "\n", " a", " Zé", " Überall", "word", " \u00c5ngström", "&&&", '."', " naïveté"]
+        return forms if all(self._modelled(x, forms) == self.whole(x) for x in probes) else None
+
+    def _modelled(self, word: str, forms: dict[int, str]) -> bytes:
+        form = word.translate(forms)
+        return array("I", [x.id for x in self.tokenizer.model.tokenize(form)]).tobytes() if form else b""
 
     @staticmethod
     def certain(piece: str) -> bool:
@@ -56,74 +82,96 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _batch(self, words: list[str]) -> list[bytes]:
-        """Ids of words, encoded together and parted by a special token, which cuts a text before all else."""
-        if self.parting is None:
-            return [self.whole(x) for x in words]
-        mark, out = self.parting, []
-        for at in range(0, len(words), 4096):
-            ids = np.array(self.tokenizer.encode_batch_fast([mark[1].join(["", *words[at : at + 4096]])], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == mark[0]), len(ids)).tolist()
-            raw = ids.tobytes()
-            out += [raw[4 * lo + 4 : 4 * hi] for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+    def _word(self, word: str) -> bytes:
+        """Ids of a word that no space stands before, or of signs."""
+        out = self.bare.get(word)
+        if out is None:
+            out = self._modelled(word, self.forms)
+            if len(word) <= self.LONGEST:
+                self.bare[word] = out
         return out
 
-    def _words_of(self, piece: str) -> list[str]:
-        """The words of " " + piece; the whole of it where that isn't plain."""
+    def _parts(self, piece: str) -> bytes:
+        """Ids of " " + piece, where that isn't one word and the signs behind it."""
         out, lead = [], " "
-        for part in piece.split("\n"):
-            m = self.PLAIN.fullmatch(part)
+        for part in piece.split("\n") if self.forms else [piece]:
+            m = self.PLAIN.fullmatch(part) if self.forms else None
             if m is None:
-                return [" " + piece]
+                return self.whole(" " + piece)
             if not lead:
-                out.append("\n")
-            out.append(lead + m[1])
+                out.append(self._word("\n"))
+            out.append(self._modelled(lead + m[1], self.forms) if lead else self._word(m[1]))
             if m[2]:
-                out.append(m[2])
+                out.append(self._word(m[2]))
             lead = ""
-        return out
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces, each after a space."""
-        if len(self.words) > self.remember:
-            self.words, self.older_words = {}, self.words
-        known, older = self.words, self.older_words
-        cut = [self._words_of(x) for x in pieces]
-        new = set().union(*cut).difference(known)
-        known.update({x: older[x] for x in new if x in older})
-        new = list(new.difference(known))
-        known.update(zip(new, self._batch(new), strict=True))
-        return [b"".join([known[w] for w in x]) for x in cut]
+        return b"".join(out)
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Remember the ids of pieces; UNSURE for those that can't be encoded alone."""
+        known, older, words, older_words, other = self.ids, self.older.get, self.words, self.older_words.get, self._word
+        forms, tokenize = self.forms or {}, self.tokenizer.model.tokenize
+        plain, lead = self.PLAIN.fullmatch if self.forms else lambda x: None, forms.get(32)
+        for piece in pieces:
+            got = older(piece)
+            if got is None:
+                m = plain(piece)
+                if m is None:
+                    got = self._parts(piece) if self.certain(piece) else UNSURE
+                else:
+                    word, signs = m.groups()
+                    got = words.get(word)
+                    if got is None:
+                        got = older_words(word)
+                        if got is None:
+                            got = array("I", [x.id for x in tokenize(lead + word.translate(forms))]).tobytes()
+                        words[word] = got
+                    if signs:
+                        got += other(signs)
+            known[piece] = got
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.ids) > self.remember:  # pieces not seen for a while go
+        if len(self.ids) > self.entries:  # what wasn't seen for a while goes
             self.ids, self.older = {}, self.ids
-        known, older = self.ids, self.older
+        if len(self.words) > self.entries:
+            self.words, self.older_words = {}, self.words
+        if len(self.bare) > self.entries // 4:
+            self.bare = {}
         cut = [x.split(" ") for x in texts]
-        new = set().union(*[x[1:] for x in cut]).difference(known)
-        known.update({x: older[x] for x in new if x in older})
-        new = new.difference(known)
-        sure = [x for x in new if self.certain(x)]
-        known.update(zip(sure, self._pieces(sure), strict=True))
-        known.update(dict.fromkeys(new.difference(sure)))
-        out = []
-        for text, pieces in zip(texts, cut, strict=True):
-            rest = list(map(known.__getitem__, pieces[1:]))
-            if not self.certain(pieces[0]) or None in rest:
+        heads = [x[0] for x in cut]
+        for x in cut:
+            x[0] = "a"
+        new = set().union(*cut).difference(self.ids)
+        long = [x for x in new if len(x) > self.LONGEST]
+        self._learn(new)
+        out, ids = [], self.ids.__getitem__
+        for text, head, pieces in zip(texts, heads, cut, strict=True):
+            got = list(map(ids, pieces))
+            if UNSURE in got or not self.certain(head):
                 out.append(self.whole(text))
             else:
-                out.append(self.whole(pieces[0]) + b"".join(rest))
+                got[0] = self.whole(head)
+                out.append(b"".join(got))
+        for x in long:
+            del self.ids[x]
+            self.words.pop(x.rstrip(self.SIGNS), None)
         return out
 
 
+#: Stands for the ids of a piece that can't be encoded alone; no piece has these.
+UNSURE = b"?"
+
+
 @cache
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def token_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit, ``end_id`` last) of every row; null text: only the end id."""
+def token_ids(docs: DataFrame, path: str, end_id: int, then=None, schema: str = "doc_id long, ids binary") -> DataFrame:
+    """doc_id, ids (little-endian unsigned 32-bit, ``end_id`` last) of every row; null text: only the end id.
+
+    ``then`` goes on with the batches in the same task, and gives rows of ``schema``.
+    """
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
@@ -131,7 +179,8 @@ def token_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             ids = [x + end for x in encoder(path).encode(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return documents(docs).mapInArrow(run, "doc_id long, ids binary")
+    whole = (lambda batches: then(run(batches))) if then else run
+    return documents(docs).mapInArrow(tidy(whole, lambda: encoder(path).forget()), schema)
 
 
 def chunk_lengths(ids: np.ndarray) -> list[int]:
@@ -203,7 +252,7 @@ def write_store(docs: DataFrame, path: str, end_id: int, folder: str) -> None:
                     c.append(v)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows[0], pa.list_(pa.int32())), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.binary())], names=["doc_id", "lens", "digests", "width", "payload"])
 
-    staged = materialize(token_ids(docs, path, end_id).mapInArrow(cut, "doc_id long, lens array<int>, digests binary, width int, payload binary"), "staged")
+    staged = materialize(token_ids(docs, path, end_id, cut, "doc_id long, lens array<int>, digests binary, width int, payload binary"), "staged")
     uses = staged.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.explode(F.array_distinct(F.expr(PARTS))).alias("digest"))
     shared = uses.groupBy("digest").agg(F.min("doc").alias("owner"), F.count("*").alias("n")).filter("n > 1").select("digest", "owner")
     marks = uses.join(materialize(shared, "shared"), "digest").select("doc", "digest", (F.col("doc") == F.col("owner")).alias("mine")).distinct()
