@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, text_slices
+from .common import documents, materialize, text_slices, tidy
 
 WORDS, STRETCH, LEAST_SCORE = 5, 3, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -112,7 +112,7 @@ def _passages(docs: DataFrame, seeds: Seeds, least: float) -> DataFrame:
                 out.append((d, item, lo, words[lo:hi]))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * 4, schema, strict=True)], schema=schema)
 
-    return documents(docs).mapInArrow(run, "doc_id long, item_id long, first int, passage array<string>")
+    return documents(docs).mapInArrow(tidy(run), "doc_id long, item_id long, first int, passage array<string>")
 
 
 def _slack(size: int, least: float) -> int:

@@ -80,8 +80,8 @@ def matched(statements: DataFrame, least: float = LEAST) -> DataFrame:
     return best.withColumn("r", F.row_number().over(Window.partitionBy("statement").orderBy(F.desc("score"), "licence"))).filter("r = 1").drop("r")
 
 
-def scan_licences(files: DataFrame, licence_file: Column | None = None, least: float = LEAST) -> DataFrame:
-    """path, own_licence, own_score, inherited_licence, inherited_from, licence, basis for every row of ``files`` (path, text; other columns are ignored).
+def scan_licences(files: DataFrame, licence_file: Column | None = None, least: float = LEAST, carry: tuple[str, ...] = ()) -> DataFrame:
+    """path, own_licence, own_score, inherited_licence, inherited_from, licence, basis for every row of ``files`` (path, text), then the columns named in ``carry``; other columns are ignored.
 
     own_licence: the template nearest to any statement of the file's whole text. inherited: that of the nearest directory
     above (its own directory first) with a licence file; among several there the highest score, then the licence's name.
@@ -108,9 +108,9 @@ def scan_licences(files: DataFrame, licence_file: Column | None = None, least: f
     nearest = dirs.join(materialize(given, "given"), "dir").groupBy("leaf").agg(F.max(F.struct("depth", "dir", "licence")).alias("x"))
     nearest = materialize(nearest.select("leaf", F.col("x.licence").alias("inherited_licence"), F.col("x.dir").alias("inherited_from")), "nearest")
 
-    rows = own_paths.select("path", F.xxhash64("text").alias("key"), directory.alias("leaf"))
+    rows = files.select("path", F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"), directory.alias("leaf"), F.struct(*carry).alias("carry") if carry else F.lit(None).alias("carry"))
     out = rows.join(nearest, "leaf", "left")
     mine = best.select(F.col("path").alias("p"), F.col("key").alias("k"), "own_licence", "own_score")
     out = out.join(mine, F.col("path").eqNullSafe(F.col("p")) & (F.col("key") == F.col("k")), "left")
     basis = F.when(F.col("own_licence").isNotNull(), "own").when(F.col("inherited_licence").isNotNull(), "inherited").otherwise("none")
-    return out.select("path", "own_licence", "own_score", "inherited_licence", "inherited_from", F.coalesce("own_licence", "inherited_licence").alias("licence"), basis.alias("basis"))
+    return out.select("path", "own_licence", "own_score", "inherited_licence", "inherited_from", F.coalesce("own_licence", "inherited_licence").alias("licence"), basis.alias("basis"), *[F.col("carry").getField(c).alias(c) for c in carry])

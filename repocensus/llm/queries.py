@@ -64,12 +64,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files source/lang/<thousands of the id>/<id>.txt; one of at most 40 words is a notice for its directory."""
-    docs = read(spark, sf_dir, "documents")
-    path = F.concat_ws("/", "source", "lang", F.expr("cast(doc_id div 1000 as string)"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    notice = F.size(F.split("text", "\\s+")) <= 40
-    out = licences.scan_licences(docs.select(path.alias("path"), "text"), notice)
-    return out.withColumn("doc_id", F.regexp_extract("path", "([0-9]+)[.]txt$", 1).cast("long"))
+    return licences.scan_licences(files_of(read(spark, sf_dir, "documents")), F.size(F.split("text", "\\s+")) <= 40, carry=("doc_id",))
+
+
+def files_of(docs: DataFrame) -> DataFrame:
+    """Documents as files source/lang/<thousands of the id>/<id>.txt, "none" where a part is null; one of at most 40 words is a notice for its directory."""
+    parts = [F.coalesce(F.expr(x), F.lit("none")) for x in ("source", "lang", "cast(doc_id div 1000 as string)", "cast(doc_id as string)")]
+    return docs.select(F.concat(F.concat_ws("/", *parts), F.lit(".txt")).alias("path"), "text", F.col("doc_id").cast("long").alias("doc_id"))
 
 
 QUERIES = {
@@ -86,7 +87,7 @@ QUERIES = {
 }
 
 _TEMPLATES = ", ".join(f"('{k}', '{t}')" for k, t in licences.TEMPLATES)
-_LICENCES = f"""WITH files AS (SELECT doc_id, concat_ws('/', source, lang, CAST(doc_id // 1000 AS VARCHAR)) AS leaf, coalesce(text, '') AS text FROM documents),
+_LICENCES = f"""WITH files AS (SELECT doc_id, concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'none'), coalesce(CAST(doc_id // 1000 AS VARCHAR), 'none')) AS leaf, coalesce(text, '') AS text FROM documents),
 said AS (SELECT doc_id, leaf, len(string_split_regex(text, '\\s+')) <= 40 AS notice, unnest(list_distinct(list_filter(string_split_regex(text, '{licences.SPLIT}'), lambda s: regexp_matches(lower(s), '{licences.KEYWORDS}')))) AS statement FROM files),
 templates AS (SELECT * FROM (VALUES {_TEMPLATES}) v(licence, statement)), own AS (SELECT statement, count(*) AS n FROM said GROUP BY statement),
 every AS (SELECT statement, n FROM own UNION ALL SELECT statement, 1 FROM templates), token AS (SELECT statement, n, regexp_extract_all(lower(statement), '{licences.TOKEN}') AS t FROM every),
@@ -97,7 +98,7 @@ near AS (SELECT a.statement, m.licence, round(sum(a.w * b.w) / (any_value(na.nor
 best AS (SELECT statement, licence, score FROM (SELECT *, row_number() OVER (PARTITION BY statement ORDER BY score DESC, licence) AS r FROM near WHERE score >= {licences.LEAST}) WHERE r = 1),
 mine AS (SELECT doc_id, leaf, notice, licence, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence) AS r FROM said JOIN best USING (statement)) WHERE r = 1),
 given AS (SELECT leaf, licence FROM (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY score DESC, licence) AS r FROM mine WHERE notice) WHERE r = 1)
-SELECT f.leaf || '/' || f.doc_id || '.txt' AS path, mine.licence AS own_licence, score AS own_score, given.licence AS inherited_licence, CASE WHEN given.leaf IS NOT NULL THEN f.leaf END AS inherited_from, coalesce(mine.licence, given.licence) AS licence,
+SELECT f.leaf || '/' || coalesce(CAST(f.doc_id AS VARCHAR), 'none') || '.txt' AS path, mine.licence AS own_licence, score AS own_score, given.licence AS inherited_licence, CASE WHEN given.leaf IS NOT NULL THEN f.leaf END AS inherited_from, coalesce(mine.licence, given.licence) AS licence,
  CASE WHEN mine.licence IS NOT NULL THEN 'own' WHEN given.licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS basis, f.doc_id FROM files f LEFT JOIN mine ON mine.doc_id = f.doc_id LEFT JOIN given ON given.leaf = f.leaf"""
 
 #: The other operators (byte-level encoding, suffix sorting, signatures, models, archives) are tested against brute force.

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, text_slices
+from .common import documents, materialize, text_slices, tidy
 
 #: Terms that are weighted even if the labelled rows don't show them, and phrases in which a term is harmless.
 SEED_TERMS = ("idiot", "idiots", "moron", "morons", "stupid", "pathetic", "worthless", "disgusting", "scum", "loser", "losers", "trash", "clown", "imbecile", "bastard", "bitch", "asshole", "retard", "dumbass", "scumbag")
@@ -76,15 +76,16 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """text, toxic of at most ``rows`` labelled documents whose crc32(doc_id as text) isn't divisible by 5, in the order of a
-    hash of their id. ``rows`` bounds what is fitted on; it bounds nothing else. Equal texts count once."""
+    hash of their id. ``rows`` bounds what is fitted on; it bounds nothing else. Equal texts with equal labels are one row, however
+    the rows are dealt out; so what is learned doesn't depend on the layout of files."""
     own = labels.filter("doc_id is not null and toxic is not null").filter("crc32(cast(doc_id as string)) % 5 <> 0")
     own = own.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return documents(docs).join(F.broadcast(own), "doc_id").select("text", "toxic")
+    return documents(docs).join(F.broadcast(own), "doc_id").select("text", "toxic").distinct()
 
 
-def learn_lexicon(train: DataFrame, terms: int = 500) -> dict[str, float]:
-    """Weights (log odds) of at most ``terms`` words that mark toxic documents, seed terms included.
+def learn_lexicon(train: DataFrame) -> dict[str, float]:
+    """Weights (log odds) of all words that mark toxic documents, seed terms included; the distinct rows of ``train`` bound their number.
 
     A word is learned if most documents with it are toxic, and if it follows many different words there: words of one
     often-copied toxic document follow the same word each time and say nothing.
@@ -94,7 +95,7 @@ def learn_lexicon(train: DataFrame, terms: int = 500) -> dict[str, float]:
         for b in text_slices(batches, 1024):
             neg: Counter = Counter()
             pos: Counter = Counter()
-            for text, y in set(zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True)):
+            for text, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
                 words = _WORD.findall(fold(text))
                 if y:
                     before = defaultdict(str)
@@ -110,9 +111,9 @@ def learn_lexicon(train: DataFrame, terms: int = 500) -> dict[str, float]:
     words = counted.groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count("before").alias("contexts"))
     seeds = list(SEED_TERMS)
     learned = (F.col("pos") >= 5) & (F.col("contexts") >= 5) & (2 * F.col("contexts") >= F.col("pos")) & (F.col("pos") >= 4 * F.col("neg")) & (F.length("word") >= 3)
-    found = words.filter(learned | F.col("word").isin(seeds)).orderBy(F.col("word").isin(seeds).desc(), F.col("pos").desc(), "word").limit(terms).collect()
+    found = words.filter(learned | F.col("word").isin(seeds)).collect()  # each in 5 training rows at least
     out = dict.fromkeys(seeds, SEED_WEIGHT)
-    for r in found:
+    for r in sorted(found):
         if r["pos"] + r["neg"] >= 5:
             out[r["word"]] = math.log((r["pos"] + 0.5) / (r["neg"] + 0.5))
     return {k: w for k, w in out.items() if w > 0}
@@ -131,7 +132,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """Learn the lexicon and the curve from the labelled training rows. Without labelled rows the seed terms and a fixed curve remain."""
-    train = training_rows(docs, labels, rows)
+    train = materialize(training_rows(docs, labels, rows), "training")
     weights = learn_lexicon(train)
 
     def measure(batches):
@@ -161,7 +162,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
             s = [score(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64()), pa.array([int(v >= 0.5) for v in s], pa.int32())], names=["doc_id", "score", "predicted"])
 
-    return documents(docs).mapInArrow(run, "doc_id long, score double, predicted int")
+    return documents(docs).mapInArrow(tidy(run), "doc_id long, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
@@ -172,4 +173,4 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
         for b in text_slices(batches):
             yield b.filter(pa.array([score(t or "") < 0.5 for t in b.column("text").to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

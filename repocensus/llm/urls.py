@@ -15,20 +15,19 @@ from pyspark.sql import functions as F
 from .toxicity import fit_logistic
 
 SIZES, SPACE = (3, 4, 5), 2**14
-#: Parts of which the labelled table below is made, one url a row. Words of hosts and paths, 1: to be blocked.
-UNWANTED = ("spam-farm", "free-bets", "casino", "cheap-pills", "viagra", "porn", "xxx-cams", "win-prize", "click-bait", "warez", "payday-loan", "adult-x", "casino-win", "ads-track", "banner-ads")
-WANTED = ("library", "university", "news", "museum", "docs", "weather", "recipes", "science", "history", "blog", "forum", "travel", "thther", "therin", "ththat", "tionble", "tiontion", "anreth", "school", "city-council", "garden", "music", "health", "sports", "wiki", "shop", "maps", "photos", "theatre", "bank", "open-data", "ingen", "ouest", "kultur", "ciudad", "tisch")
-ENDINGS = ("example.com/en/12", "example.org/fr/2075.html", "example.net/de/331?page=2")
+#: General words of hosts and paths of which the labelled table below is made, the first to be blocked.
+UNWANTED = ("spam", "bets", "betting", "casino", "poker", "pills", "pharmacy", "porn", "xxx", "adult", "escort", "cams", "prize", "jackpot", "slots", "lottery", "clickbait", "warez", "keygen", "payday", "adserver", "ads", "tracking", "popunder", "banner")
+WANTED = ("library", "university", "news", "museum", "docs", "weather", "recipes", "science", "history", "forum", "travel", "school", "council", "garden", "music", "health", "sports", "wiki", "shop", "maps", "photos", "theatre", "bank", "data", "kultur", "ciudad", "musique", "zeitung", "jardin", "biblioteca", "wetter", "research", "archive", "hospital", "kitchen")
+HOSTS, BEHIND = ("www.{}", "m.{}", "{}", "blog.{}", "my-{}", "{}-online", "{}-24", "the-{}-site"), ("com/index.html", "org/2019/05/articles/7", "net/read?id=41")
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table: each word as a host, before each ending, and within paths of plain hosts."""
+    """The small labelled table: each word as a host in every shape, and within a path; shapes are the same for both labels, and say nothing."""
     out = []
     for words, y in ((UNWANTED, 1), (WANTED, 0)):
-        for i, w in enumerate(words):
-            for k, end in enumerate(ENDINGS):
-                out.append((f"http{'s' if (i + k) % 2 else ''}://{('www.', 'm.', '', 'blog.')[(i + k) % 4]}{w}.{end}", y))
-            out.append((f"https://{WANTED[i % len(WANTED)]}.{ENDINGS[i % 3].split('/')[0]}/{w}/{i}", y))
+        for w in words:
+            out += [(f"https://{a.format(w)}.{z}", y) for a in HOSTS for z in BEHIND]
+            out.append((f"https://www.portal.com/{w}/17", y))
     return out
 
 
@@ -80,7 +79,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], labelled: list[tu
     """
     labelled = labelled or labelled_urls()
     model, bad = train(tuple(labelled)), sum(y for _, y in labelled)
-    prior = math.log(bad / (len(labelled) - bad))
+    prior = math.log((bad + 0.5) / (len(labelled) - bad + 0.5))
     by_host: dict[str, list[tuple[str, str, str]]] = defaultdict(list)
     for verdict, rule in rules:
         host, _, path = rule.partition("/")
