@@ -234,7 +234,7 @@ def construct_counts(spark, sf_dir):
 
 
 @query("""WITH a AS (SELECT CAST(l_suppkey % 10 AS VARCHAR) AS repo, 'm' || l_linenumber AS package, CASE l_returnflag WHEN 'A' THEN 'high' WHEN 'R' THEN 'critical' ELSE 'low' END AS severity, l_linestatus AS cause FROM lineitem),
-o AS (SELECT repo, package, cause, max(severity) AS severity, count(*) AS paths FROM a GROUP BY ALL), b AS (SELECT repo, sum(paths) AS paths, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'moderate') AS moderate, count(*) FILTER (severity = 'low') AS low FROM o GROUP BY repo),
+o AS (SELECT repo, package, cause, CASE WHEN bool_or(severity = 'critical') THEN 'critical' WHEN bool_or(severity = 'high') THEN 'high' WHEN bool_or(severity = 'moderate') THEN 'moderate' ELSE 'low' END AS severity, count(*) AS paths FROM a GROUP BY ALL), b AS (SELECT repo, sum(paths) AS paths, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'moderate') AS moderate, count(*) FILTER (severity = 'low') AS low FROM o GROUP BY repo),
 u AS (SELECT CAST(s_suppkey % 12 AS VARCHAR) AS repo, count(*) * max(CASE WHEN s_suppkey % 12 = 3 THEN 0 ELSE 1 END) AS audited FROM supplier GROUP BY ALL)
 SELECT repo, CAST(audited AS BIGINT) AS audited, CASE WHEN audited > 0 THEN CAST(coalesce(paths, 0) AS BIGINT) END AS paths, CASE WHEN audited > 0 THEN coalesce(critical, 0) END AS critical, CASE WHEN audited > 0 THEN coalesce(high, 0) END AS high, CASE WHEN audited > 0 THEN coalesce(moderate, 0) END AS moderate, CASE WHEN audited > 0 THEN coalesce(low, 0) END AS low, CASE WHEN audited = 0 THEN 'no dependencies were audited' END AS why FROM u LEFT JOIN b USING (repo)""")
 def advisory_counts(spark, sf_dir):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 #: Fixed values.
 WIDTH, LEAST, THRESHOLD = 5, 40, 0.5
 TOKEN = r"[A-Za-z_$][\w$]*|[0-9]+|[^\s\w]"
@@ -18,16 +20,17 @@ def normalised(text):
 
 
 def shingles(files: DataFrame, token: str = TOKEN, clean: bool = True) -> DataFrame:
-    """(repo, path) with the sorted array of its distinct shingle hashes, for files of at least LEAST shingles.
+    """(repo, path) with the sorted array ``s`` of its distinct shingle hashes, their number ``n`` and a hash of all, ``key``, for files of at least LEAST shingles.
 
-    Tokens never leave their row: shingles are made by zipping an array with itself, shifted.
+    Tokens never leave their row. They are an array's only element inside a transform, so that they are found once, not
+    for every use; the sets are written once for the steps that follow.
     """
     text = normalised(F.col("content")) if clean else F.col("content")
-    tokens = files.select("repo", "path", F.regexp_extract_all(text, F.lit(token), F.lit(0)).alias("t")).filter(F.size("t") >= WIDTH)
-    shifted = [F.slice("t", i + 1, F.greatest(F.lit(0), F.size("t") - WIDTH + 1)) for i in range(WIDTH)]
-    hashed = F.transform(F.arrays_zip(*[s.alias(f"x{i}") for i, s in enumerate(shifted)]), lambda z: F.xxhash64(z))
-    out = tokens.select("repo", "path", F.array_sort(F.array_distinct(hashed)).alias("s"))
-    return out.filter(F.size("s") >= LEAST)
+    found = F.array(F.regexp_extract_all(text, F.lit(token), F.lit(0)))
+    starts = lambda t: F.when(F.size(t) >= WIDTH, F.sequence(F.lit(1), F.size(t) - WIDTH + 1)).otherwise(F.array().cast("array<int>"))
+    sets = F.transform(found, lambda t: F.array_sort(F.array_distinct(F.transform(starts(t), lambda i: F.xxhash64(F.slice(t, i, WIDTH))))))
+    out = cut(files.filter("content is not null").select("repo", "path", F.explode(sets).alias("s")))
+    return out.withColumn("n", F.size("s")).filter(F.col("n") >= LEAST).withColumn("key", F.xxhash64("s"))
 
 
 def near_duplicates(files: DataFrame, threshold: float = THRESHOLD, token: str = TOKEN, clean: bool = True) -> DataFrame:
@@ -37,9 +40,9 @@ def near_duplicates(files: DataFrame, threshold: float = THRESHOLD, token: str =
     many files each stands for. Shingles are ordered by how many classes have them, the rarest first; two sets can only
     reach the threshold if their prefixes meet, so only prefixes are joined, and only shingles that two classes have.
     """
-    sets = shingles(files, token, clean).withColumn("n", F.size("s")).withColumn("key", F.xxhash64("s"))
-    classes = sets.groupBy("repo", "key", "n").agg(F.min("path").alias("path"), F.count("*").alias("copies"))
-    reps = sets.join(classes.select("repo", "key", "path", "copies"), ["repo", "key", "path"]).select("repo", "path", "s", "n", "copies")
+    sets = shingles(files, token, clean)
+    classes = cut(sets.groupBy("repo", "key", "n").agg(F.min("path").alias("path"), F.count("*").alias("copies")))
+    reps = cut(sets.join(classes.select("repo", "key", "path", "copies"), ["repo", "key", "path"]).select("repo", "path", "s", "n", "copies"))
     each = reps.select("repo", "path", "n", F.explode("s").alias("h"))
     df = each.groupBy("repo", "h").agg(F.count("*").alias("df")).filter("df > 1")
     common = each.join(df, ["repo", "h"]).groupBy("repo", "path", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o"))
@@ -48,9 +51,10 @@ def near_duplicates(files: DataFrame, threshold: float = THRESHOLD, token: str =
     alone = F.col("n") - F.size("o")
     prefix = common.withColumn("k", F.least(keep - alone, F.size("o"))).filter("k > 0").select("repo", "path", "n", F.explode(F.slice("o", 1, F.col("k"))).alias("p"))
     prefix = prefix.select("repo", "path", "n", F.col("p.h").alias("h"))
-    other = prefix.select("repo", "h", F.col("path").alias("b"), F.col("n").alias("m"))
     fits = (F.col("path") < F.col("b")) & (F.col("n") >= threshold * F.col("m")) & (F.col("m") >= threshold * F.col("n"))
-    pairs = prefix.join(other, ["repo", "h"]).filter(fits).select("repo", F.col("path").alias("a"), "b").distinct()
+    prefix = cut(prefix)
+    other = prefix.select("repo", "h", F.col("path").alias("b"), F.col("n").alias("m"))
+    pairs = cut(prefix.join(other, ["repo", "h"]).filter(fits).select("repo", F.col("path").alias("a"), "b").distinct())
     x = reps.select("repo", F.col("path").alias("a"), F.col("s").alias("sa"), F.col("copies").alias("copies_a"))
     y = reps.select("repo", F.col("path").alias("b"), F.col("s").alias("sb"), F.col("copies").alias("copies_b"))
     both = pairs.join(x, ["repo", "a"]).join(y, ["repo", "b"]).withColumn("shared", F.size(F.array_intersect("sa", "sb")))

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut
 
 SPECIFIER = r"""(?:import|export)\s+(?:[^'";]*?\s+from\s+)?['"]([^'"]+)['"]|import\(\s*['"]([^'"]+)['"]\s*\)|require\(\s*['"]([^'"]+)['"]\s*\)"""
-SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".vue", ".svelte", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
+#: What may be left out behind a specifier; the first that is a file counts.
+SUFFIXES = ("", ".tsx", ".ts", ".jsx", ".js", ".vue", ".svelte", "/index.tsx", "/index.ts", "/index.jsx", "/index.js")
+#: Beginnings of specifiers that stand for the source folder.
+ALIASES = {"@/": "src/", "~/": "src/", "#/": "src/"}
 
 
 def import_edges(files: DataFrame) -> DataFrame:
@@ -18,27 +21,28 @@ def import_edges(files: DataFrame) -> DataFrame:
 
 
 def resolve_imports(edges: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
-    """(repo, src, specifier, dst): relative and aliased specifiers by the first candidate suffix that is a file, the rest by a unique path tail.
+    """(repo, src, specifier, dst): relative and aliased specifiers by the first candidate suffix that is a file, else by a path tail that only one file has.
 
-    Tails are looked up by equality on every tail of every path, not by comparing all paths.
+    A bare package name isn't looked for among the tails; other specifiers need a slash. Tails are looked up by equality on
+    every tail of every path, not by comparing all paths.
     """
     spec = F.col("specifier")
-    for k, v in (aliases or {"@/": "src/"}).items():
+    for k, v in (ALIASES if aliases is None else aliases).items():
         spec = F.when(spec.startswith(k), F.concat(F.lit(v), F.expr(f"substring(specifier, {len(k) + 1})"))).otherwise(spec)
     folder = F.regexp_replace("src", "[^/]*$", "")
     base = F.when(F.col("specifier").startswith("."), F.concat(folder, F.col("specifier"))).otherwise(spec)
-    plain = F.regexp_replace(base, r"(^|/)(\./)+", "$1")
-    for _ in range(6):
-        plain = F.regexp_replace(plain, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
+    # one step of the path after the other; ".." takes the folder before it away, and stays where there is none
+    step = lambda done, x: F.when(x.isin("", "."), done).when((x == "..") & (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1)) != ".."), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
+    plain = F.array_join(F.aggregate(F.split(base, "/"), F.array().cast("array<string>"), step), "/")
     rows = edges.withColumn("base", plain)
     tries = rows.select("repo", "src", "specifier", F.posexplode(F.array(*[F.concat("base", F.lit(s)) for s in SUFFIXES])).alias("order", "dst"))
     hit = tries.join(files.select("repo", F.col("path").alias("dst")), ["repo", "dst"])
     first = hit.groupBy("repo", "src", "specifier").agg(F.min(F.struct("order", "dst")).alias("x")).select("repo", "src", "specifier", "x.dst")
-    open_ = rows.join(first, ["repo", "src", "specifier"], "left_anti").select("repo", "src", "specifier", F.explode(F.array(*[F.concat("base", F.lit(s)) for s in SUFFIXES])).alias("tail"))
+    open_ = rows.filter(F.col("specifier").contains("/") & ~F.col("base").startswith("..")).join(first, ["repo", "src", "specifier"], "left_anti").select("repo", "src", "specifier", F.explode(F.array(*[F.concat("base", F.lit(s)) for s in SUFFIXES])).alias("tail"))
     parts = F.split("path", "/")
     tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
     by_tail = files.select("repo", "path", F.explode(tails).alias("tail"))
-    late = open_.join(by_tail, ["repo", "tail"]).groupBy("repo", "src", "specifier").agg(F.min("path").alias("dst"))
+    late = open_.join(by_tail, ["repo", "tail"]).groupBy("repo", "src", "specifier").agg(F.min("path").alias("dst"), F.max("path").alias("other")).filter("dst = other").drop("other")
     return first.unionByName(late)
 
 
@@ -137,5 +141,15 @@ def install_order(items: DataFrame, requires: DataFrame, rank: str) -> DataFrame
         n += 1
     if level is None:
         level = items.select("item").limit(0).withColumn("level", F.lit(0))
-    out = items.join(level, "item", "left")
-    return out.withColumn("position", F.row_number().over(Window.orderBy(F.col("level").asc_nulls_last(), rank, "item")))
+    out = cut(items.join(level, "item", "left"))
+    return numbered(out, [F.col("level").asc_nulls_last(), F.col(rank), F.col("item")], "position")
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` with the place (from 1) of each row in a global order: rows are dealt into ranges, placed within theirs, and moved by the sizes of the ranges before."""
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.repartitionByRange(width, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row for each range
+    placed = dealt.withColumn("_place", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
+    return placed.join(F.broadcast(before), "_range").withColumn(name, (F.col("_place") + F.col("_before")).cast("int")).drop("_range", "_place", "_before")

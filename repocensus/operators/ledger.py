@@ -2,18 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Kinds of loss and the words that tell them.
-PERILS = {
-    "water damage": "water|leak|ceiling|flood|damp",
-    "collision": "collision|hit|crash|bump|rear-end|car park",
-    "theft": "theft|stolen|burglar|break-in",
-    "fire": "fire|smoke|burn",
-    "windscreen": "windscreen|windshield|glass|window",
-    "storm": "storm|wind|hail|gale",
-}
 AGENTS = r"(?i)\b(claude|copilot|codex|cursor|devin|gemini|gpt|aider)\b|\[bot\]"
 PRIVACY = r"(?i)users\.noreply\."
 
@@ -25,8 +16,8 @@ def provenance(commits: DataFrame) -> DataFrame:
     """
     agent = F.exists("co_authors", lambda c: c["name"].rlike(AGENTS) & ~F.coalesce(c["email"], F.lit("")).rlike(PRIVACY))
     rows = commits.withColumn("agent", F.coalesce(agent, F.lit(False)))
-    first = F.min(F.when(F.col("agent"), F.col("date"))).over(Window.partitionBy("repo"))
-    rows = rows.withColumn("since", F.coalesce(F.col("date") >= first, F.lit(False)))
+    first = rows.filter("agent").groupBy("repo").agg(F.min("date").alias("_first"))
+    rows = rows.join(first, "repo", "left").withColumn("since", F.coalesce(F.col("date") >= F.col("_first"), F.lit(False)))
     out = rows.groupBy("repo").agg(F.count("*").alias("commits"), F.count(F.when(F.col("agent"), 1)).alias("agent_named"), F.count(F.when(F.col("signature").isin("G", "U"), 1)).alias("signed"), F.count_distinct("author").alias("authors"), F.count(F.when(F.col("since"), 1)).alias("since_adoption"))
     return out.withColumn("share_since", F.round(F.col("agent_named") / F.when(F.col("since_adoption") > 0, F.col("since_adoption")), 3))
 
@@ -50,9 +41,8 @@ def outcome(runs: DataFrame) -> DataFrame:
     return out.withColumn("saved_per_unit", F.round(F.col("baseline") - blended, 2)).withColumn("saved_per_year", F.round((F.col("baseline") - blended) * F.col("volume"), 0)).drop("spent")
 
 
-def keyword_triage(records: DataFrame, categories: dict[str, str] | None = None) -> DataFrame:
-    """records (id, text, reference, label) with decision and wrong: handled if exactly one category matches and there is a reference, else escalated."""
-    categories = categories or PERILS
+def keyword_triage(records: DataFrame, categories: dict[str, str]) -> DataFrame:
+    """records (id, text, reference, label) with decision and wrong: handled if exactly one category (name: pattern) matches and there is a reference, else escalated."""
     hits = F.array_compact(F.array(*[F.when(F.lower("text").rlike(p), F.lit(k)) for k, p in sorted(categories.items())]))
     rows = records.withColumn("matched", F.coalesce(hits, F.array().cast("array<string>")))
     handled = F.col("reference").isNotNull() & (F.size("matched") == 1)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.shares import floor_percent, share
+from ..sources.markup import tag_usages  # noqa: F401
 
 FLOOR, MOST_DISTINCT, LONGEST, DENSITY = 5, 12, 32, 0.8
 LENGTH = r"^-?[0-9.]+(px|rem|em|%|vh|vw|ch|pt)$"
@@ -46,20 +47,6 @@ def to_avoid(files: DataFrame, k: int = 8) -> DataFrame:
     return bad.withColumn("rank", F.row_number().over(Window.partitionBy("repo").orderBy("percent", F.desc("total"), "path"))).filter(F.col("rank") <= k)
 
 
-TAG = r"<([A-Za-z][\w.-]*)((?:\s+[\w:@.-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|\{[^}]*\}|[^\s\"'>{]+))?)*)\s*/?>"
-ATTRIBUTE = r"([\w:@.-]+)(\s*=\s*(\"[^\"]*\"|'[^']*'|\{[^}]*\}|[^\s\"'>{]+))?"
-
-
-def tag_usages(files: DataFrame) -> DataFrame:
-    """(repo, path, component, site_id, prop, value, kind) of every attribute of every opening tag; kind string, expression or boolean."""
-    tags = files.select("repo", "path", F.posexplode(F.regexp_extract_all("content", F.lit(TAG), F.lit(0))).alias("site_id", "tag"))
-    head = tags.select("repo", "path", "site_id", F.regexp_extract("tag", TAG, 1).alias("component"), F.regexp_extract("tag", TAG, 2).alias("attrs"))
-    each = head.select("repo", "path", "component", F.col("site_id").cast("long").alias("site_id"), F.explode(F.regexp_extract_all("attrs", F.lit(ATTRIBUTE), F.lit(0))).alias("a"))
-    raw = F.regexp_extract("a", r"=\s*(.*)$", 1)
-    kind = F.when(~F.col("a").contains("="), "boolean").when(raw.startswith("{"), "expression").otherwise("string")
-    return each.select("repo", "path", "component", "site_id", F.regexp_extract("a", r"^([\w:@.-]+)", 1).alias("prop"), F.regexp_replace(raw, r"^[\"'{]|[\"'}]$", "").alias("value"), kind.alias("kind"))
-
-
 def prop_usage(usages: DataFrame) -> DataFrame:
     """repo, component, prop, value, n of literals, and expressions and passes of each prop."""
     return usages.groupBy("repo", "component", "prop", F.when(F.col("kind") == "string", F.col("value")).alias("value")).agg(F.count("*").alias("n"), F.count(F.when(F.col("kind") == "expression", 1)).alias("expressions"))
@@ -74,15 +61,15 @@ def axes(usage: DataFrame, floor: int = FLOOR) -> DataFrame:
         F.count(v).alias("distinct"),
         F.sum("expressions").alias("expressions"),
         F.count(F.when(number, 1)).alias("numbers"),
-        F.max(F.when(number, v.cast("long"))).alias("hi"),
-        F.min(F.when(number, v.cast("long"))).alias("lo"),
+        F.max(F.when(number, v.try_cast("decimal(38,0)"))).alias("hi"),
+        F.min(F.when(number, v.try_cast("decimal(38,0)"))).alias("lo"),
         F.count(F.when(v.rlike(LENGTH), 1)).alias("lengths"),
         F.count(F.when((F.length(v) > LONGEST) | v.rlike(r"[\s/@]|://"), 1)).alias("unfit"),
     )
     d, n = F.col("distinct"), F.col("literals")
     refused = (
         F.when(n < floor, "too few literals").when(F.col("expressions") > n, "mostly expressions").when(d < 2, "constant").when(2 * d > n, "free text")
-        .when(d > MOST_DISTINCT, "too many values").when((d >= 3) & (F.col("numbers") == d) & (d / (F.col("hi") - F.col("lo") + 1) >= DENSITY), "range")
+        .when(d > MOST_DISTINCT, "too many values").when((d >= 3) & (F.col("numbers") == d) & F.coalesce(d / (F.col("hi") - F.col("lo") + 1).cast("double") >= DENSITY, F.lit(False)), "range")
         .when((F.col("lengths") > 0) & (2 * F.col("lengths") >= d), "lengths").when(F.col("unfit") > 0, "content")
     )
     return by.select("repo", "component", "prop", "literals", "distinct", "expressions", refused.alias("refused"), refused.isNull().alias("axis"))

@@ -16,10 +16,10 @@ def validate_predicates(rules: DataFrame) -> DataFrame:
 
 def _holds() -> Column:
     v, x = F.col("value"), F.col("operand")
-    number = v.cast("double")
+    number = v.try_cast("double")
     held = (
         F.when(F.col("op") == "equals", v == x).when(F.col("op") == "contains", v.contains(x)).when(F.col("op") == "startsWith", v.startswith(x))
-        .when(F.col("op") == "gte", number >= x.cast("double")).when(F.col("op") == "lt", number < x.cast("double"))
+        .when(F.col("op") == "gte", number >= x.try_cast("double")).when(F.col("op") == "lt", number < x.try_cast("double"))
     )
     return F.coalesce(held, F.lit(False)) != F.coalesce(F.col("negate"), F.lit(False))
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.markup import code_of
+
 #: Shapes of secrets.
 SECRET_SHAPES = {
     "aws-access-key": r"\b(AKIA|ASIA)[0-9A-Z]{16}\b",
@@ -61,16 +61,19 @@ def live(findings: DataFrame) -> DataFrame:
     return findings.filter("not mitigated and not in_test")
 
 
-def code_only(line: Column) -> Column:
-    """A line with its string literals and line comment blanked."""
-    return F.regexp_replace(F.regexp_replace(line, "\"[^\"]*\"|'[^']*'", "\"\""), r"(^|\s)//.*$", "")
-
-
 def dangerous_patterns(files: DataFrame, rules: dict | None = None, blank: bool = True) -> DataFrame:
-    """repo, path, line, kind, mitigated, in_test. Comment lines are skipped; with ``blank`` what is only named in a string isn't found."""
+    """repo, path, line, kind, mitigated, in_test. Comment lines are skipped; with ``blank`` what is only named in a string, a template, a
+    regular expression or a comment over several lines isn't found either, while what mitigates may stand anywhere on the line."""
     rules = rules or DANGEROUS
-    found = lines(files, "|".join(f"({p})" for p, _ in rules.values())).filter(~F.col("text").rlike(r"^\s*(//|\*|/\*)"))
-    text = code_only(F.col("text")) if blank else F.col("text")
+    any_of = "|".join(f"({p})" for p, _ in rules.values())
+    if blank:
+        some = code_of(files.filter(F.col("content").rlike(any_of)).select("repo", "path", "content"))
+        each = F.transform(F.arrays_zip(F.split("code", "\n").alias("code"), F.split("content", "\n").alias("text")), lambda s, i: F.struct((i + 1).alias("line"), s["code"].alias("code"), s["text"].alias("text")))
+        found = some.select("repo", "path", F.explode(F.filter(each, lambda x: x["code"].rlike(any_of))).alias("l")).select("repo", "path", "l.*")
+        text = F.col("code")
+    else:
+        found = lines(files, any_of).filter(~F.col("text").rlike(r"^\s*(//|\*|/\*)"))
+        text = F.col("text")
     kinds = F.array_compact(F.array(*[F.when(text.rlike(p), F.struct(F.lit(k).alias("kind"), (F.col("text").rlike(m) if m else F.lit(False)).alias("mitigated"))) for k, (p, m) in sorted(rules.items())]))
     return found.select("repo", "path", "line", F.explode(kinds).alias("k")).select("repo", "path", "line", "k.*", F.coalesce(F.col("path").rlike(TEST_PATH), F.lit(False)).alias("in_test"))
 
@@ -81,11 +84,29 @@ def pattern_counts(files: DataFrame, patterns: dict[str, str]) -> DataFrame:
     return files.groupBy("repo").agg(F.count("*").alias("considered"), *sums)
 
 
+#: Severities, the worst first.
+LEVELS = ("critical", "high", "moderate", "low")
+
+
+def severity_rank(severity: Column) -> Column:
+    """0 for the worst; unknown ones come last."""
+    return F.coalesce(*[F.when(severity == s, i) for i, s in enumerate(LEVELS)], F.lit(len(LEVELS)))
+
+
+def committed_env(files: DataFrame) -> DataFrame:
+    """(repo, path, keys): environment files that are kept with the code and give values, those that are templates left out."""
+    name = F.element_at(F.split("path", "/"), -1)
+    own = name.rlike(r"^\.env(\.[\w-]+)*$") & ~name.rlike(r"\.(example|sample|template|dist|defaults?|schema)$")
+    given = F.regexp_extract_all("content", F.lit(r"(?m)^[ \t]*(?:export[ \t]+)?([A-Za-z_]\w*)[ \t]*=[ \t]*[^\s#]"), F.lit(1))
+    return files.filter(own).select("repo", "path", F.array_sort(F.array_distinct(given)).alias("keys")).filter(F.size("keys") > 0)
+
+
 def advisory_counts(advisories: DataFrame, audited: DataFrame) -> DataFrame:
-    """Distinct advisories (package and first cause) by severity beside the number of paths; null with a reason where nothing was audited."""
+    """Distinct advisories (package and first cause) by their worst severity beside the number of paths; null with a reason where nothing was audited."""
     each = advisories.withColumn("cause", F.col("via")[0])
-    levels = ["critical", "high", "moderate", "low"]
-    one = each.groupBy("repo", "package", "cause").agg(F.max("severity").alias("severity"), F.count("*").alias("paths"))
+    levels = list(LEVELS)
+    worst = F.min(F.struct(severity_rank(F.col("severity")).alias("rank"), "severity")).getField("severity")
+    one = each.groupBy("repo", "package", "cause").agg(worst.alias("severity"), F.count("*").alias("paths"))
     by = one.groupBy("repo").agg(F.sum("paths").alias("paths"), *[F.count(F.when(F.col("severity") == s, 1)).alias(s) for s in levels])
     ran = F.coalesce(F.col("audited"), F.lit(0)) > 0
     out = audited.select("repo", "audited").join(by, "repo", "left")
@@ -94,8 +115,7 @@ def advisory_counts(advisories: DataFrame, audited: DataFrame) -> DataFrame:
 
 def worst_advisories(advisories: DataFrame, k: int = 10) -> DataFrame:
     """Direct ones first, then by severity."""
-    rank = reduce(lambda c, x: c.when(F.col("severity") == x[1], x[0]), enumerate(["critical", "high", "moderate", "low"]), F.when(F.lit(False), -1)).otherwise(9)
-    return advisories.orderBy(F.desc("direct"), rank, "package").limit(k)
+    return advisories.orderBy(F.desc("direct"), severity_rank(F.col("severity")), "package").limit(k)
 
 
 def apply_mutations(files: DataFrame, operators: dict[str, tuple[str, str, str]]) -> DataFrame:

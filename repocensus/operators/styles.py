@@ -65,14 +65,16 @@ def dead_tokens(declared: DataFrame, referenced: DataFrame) -> DataFrame:
     return declared.join(referenced, ["repo", "token"], "left_anti")
 
 
-def resolve_aliases(tokens: DataFrame, rounds: int = 12) -> DataFrame:
+def resolve_aliases(tokens: DataFrame) -> DataFrame:
     """(repo, token, value) to resolved values: aliases var(--x) or {x} are followed to a literal; else why not (dangling, loop).
 
-    Chains are followed by doubling, so ``rounds`` rounds reach 2**rounds steps; what is still open then is a loop.
+    Chains are followed by doubling until nothing is open, or each step is longer than there are tokens: what is still
+    open then is a loop.
     """
     target = F.coalesce(F.nullif(F.regexp_extract("value", r"^var\(\s*(--[\w-]+)\s*\)$", 1), F.lit("")), F.nullif(F.regexp_extract("value", r"^\{([^}]+)\}$", 1), F.lit("")))
     state = tokens.select("repo", "token", target.alias("next"), "value").withColumn("value", F.when(F.col("next").isNull(), F.col("value"))).withColumn("dangling", F.lit(False))
-    for _ in range(rounds):
+    state = cut(state)
+    for _ in range(state.count().bit_length() + 1):
         if state.filter("next is not null").isEmpty():
             break
         to = state.select("repo", F.col("token").alias("next"), F.col("next").alias("n2"), F.col("value").alias("v2"), F.col("dangling").alias("d2"), F.lit(True).alias("known"))
@@ -152,7 +154,8 @@ def name_tokens(colours: DataFrame) -> DataFrame:
 
 def media_caps(decls: DataFrame, least: float = 480) -> DataFrame:
     """Reading columns: max-width caps in px (rem by 16) of at least ``least``, the dominant one and the widest of each repo."""
-    px = F.when(F.col("value").rlike(r"^[0-9.]+px$"), F.regexp_extract("value", r"^([0-9.]+)", 1).cast("double")).when(F.col("value").rlike(r"^[0-9.]+rem$"), 16 * F.regexp_extract("value", r"^([0-9.]+)", 1).cast("double"))
+    number = F.regexp_extract("value", r"^([0-9.]+)", 1).try_cast("double")
+    px = F.when(F.col("value").rlike(r"^[0-9.]+px$"), number).when(F.col("value").rlike(r"^[0-9.]+rem$"), 16 * number)
     caps = decls.filter("prop = 'max-width'").withColumn("px", px).filter(F.col("px") >= least)
     c = caps.groupBy("repo", "px").agg(F.count("*").alias("n"))
     out = c.groupBy("repo").agg(F.min(F.struct((-F.col("n")).alias("m"), "px")).alias("x"), F.sum("n").alias("total"), F.max("px").alias("widest"), F.count("*").alias("distinct_caps"))

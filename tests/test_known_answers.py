@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from repocensus.functions import colours, shares
 from repocensus.operators import distributions as D
 from repocensus.operators import duplicates, graphs, ledger, quality, ratchet, registry, retrieval, rules, security, styles
-from repocensus.sources import readers
+from repocensus.sources import markup, readers
 
 
 def rows(df, *cols):
@@ -195,7 +195,7 @@ def test_privacy_addresses_are_people(spark):
 
 def test_triage(spark):
     df = spark.createDataFrame([(1, "a leak in the ceiling", "P1", "water damage"), (2, "smoke and a leak", "P1", "fire"), (3, "stolen bike", None, "theft"), (4, "my car was hit", "P2", "theft")], "id int, text string, reference string, label string")
-    assert rows(ledger.keyword_triage(df), "id", "handled", "decision", "wrong") == [(1, True, "water damage", False), (2, False, None, False), (3, False, None, False), (4, True, "collision", True)]
+    assert rows(ledger.keyword_triage(df, {"water damage": "water|leak", "theft": "stolen|theft", "collision": "crash|hit", "fire": "fire|smoke"}), "id", "handled", "decision", "wrong") == [(1, True, "water damage", False), (2, False, None, False), (3, False, None, False), (4, True, "collision", True)]
 
 
 def test_retrieval(spark):
@@ -280,3 +280,78 @@ def test_ratchet_stream(spark, tmp_path):
     step(spark.createDataFrame([("a", "x", "1"), ("a", "x", "2"), ("b", "x", "9")], schema), 0)
     step(spark.createDataFrame([("a", "x", "2"), ("a", "x", "3")], schema), 1)
     assert rows(spark.read.parquet(str(tmp_path / "base/batch=1")), "repo", "path") == [("a", "2"), ("b", "9")]
+
+
+def test_the_worst_severity_counts(spark):
+    a = spark.createDataFrame([("r", "p", "low", ["x"]), ("r", "p", "critical", ["x"]), ("r", "q", "high", ["y"]), ("r", "q", "low", ["y"]), ("r", "q", "odd", ["z"])], "repo string, package string, severity string, via array<string>")
+    got = security.advisory_counts(a, spark.createDataFrame([("r", 3), ("s", 0)], "repo string, audited long"))
+    assert rows(got, "repo", "paths", "critical", "high", "low") == [("r", 5, 1, 1, 0), ("s", None, None, None, None)]
+
+
+def test_facts_that_are_no_numbers_hold_nothing(spark):
+    facts = spark.createDataFrame([("a", "v", "18.2.0"), ("b", "v", "19"), ("c", "v", None)], "repo string, path string, value string")
+    r = spark.createDataFrame([("t", 1, "v", "gte", "18", False), ("u", 1, "v", "lt", "x", False)], "technique string, group int, path string, op string, operand string, negate boolean")
+    assert rows(rules.evaluate_predicates(facts, r).filter("applies"), "repo", "technique") == [("b", "t")]
+
+
+def test_long_numbers_are_values_like_others(spark):
+    usage = spark.createDataFrame([("r", "C", "p", str(10**25 + i), 4, 0) for i in range(3)] + [("r", "C", "q", str(i), 4, 0) for i in range(3)], "repo string, component string, prop string, value string, n long, expressions long")
+    assert rows(registry.axes(usage), "prop", "refused") == [("p", "range"), ("q", "range")]
+
+
+def test_alias_chains_of_any_length(spark):
+    n = 5000
+    t = [("r", f"--t{i}", f"var(--t{i + 1})") for i in range(n)] + [("r", f"--t{n}", "#fff"), ("r", "--a", "{--b}"), ("r", "--b", "var(--a)"), ("r", "--c", "var(--nowhere)")]
+    got = {r["token"]: (r["value"], r["unresolved"]) for r in styles.resolve_aliases(spark.createDataFrame(t, "repo string, token string, value string")).collect()}
+    assert got["--t0"] == ("#fff", None) and got["--a"] == (None, "loop") and got["--c"] == (None, "dangling") and sum(v == ("#fff", None) for v in got.values()) == n + 1
+
+
+def test_imports_take_the_first_suffix_and_any_depth(spark):
+    deep = "a/" * 9
+    paths = [f"{deep}x.ts", "a/y.ts", "lib/a.ts", "lib/a.tsx", "lib/main.ts", "src/ui/Box.vue", "node/react.ts", "packs/core/tool.ts", "one/same/z.ts", "two/same/z.ts"]
+    files = spark.createDataFrame([("r", p, "") for p in paths], "repo string, path string, content string")
+    wanted = [(f"{deep}x.ts", "../" * 8 + "y"), ("lib/main.ts", "./a"), ("lib/main.ts", "~/ui/Box"), ("lib/main.ts", "#/ui/Box"), ("lib/main.ts", "react"), ("lib/main.ts", "core/tool"), ("lib/main.ts", "same/z"), ("lib/main.ts", "../../../out")]
+    edges = spark.createDataFrame([("r", a, b) for a, b in wanted], "repo string, src string, specifier string")
+    got = {(r["src"], r["specifier"]): r["dst"] for r in graphs.resolve_imports(edges, files).collect()}
+    assert got == dict(zip([wanted[i] for i in (0, 1, 2, 3, 5)], ["a/y.ts", "lib/a.tsx", "src/ui/Box.vue", "src/ui/Box.vue", "packs/core/tool.ts"], strict=True))
+
+
+def test_tags_with_tags_inside(spark):
+    text = """<Scene icon={<A b={1} c='}' />} title="x > y" {...rest} on /> a < b <p class=big>don't</p> <q r="""
+    got = rows(markup.tag_usages(spark.createDataFrame([("r", "p", text), ("r", "q", None)], "repo string, path string, content string")), "component", "prop", "value", "kind")
+    assert got == sorted([("Scene", "icon", "<A b={1} c='}' />", "expression"), ("Scene", "title", "x > y", "string"), ("Scene", "on", "", "boolean"), ("A", "b", "1", "expression"), ("A", "c", "}", "string"), ("p", "class", "big", "string")], key=str)
+
+
+def test_very_long_tags_and_braces(spark):
+    """A tag of millions of signs, and one that is never closed, don't stop the pass."""
+    long = "<T " + " ".join(f'a{i}="{i}"' for i in range(200_000)) + " />"
+    df = spark.createDataFrame([("r", "p", long), ("r", "q", "<T a={" * 20_000), ("r", "s", "{" * 300_000)], "repo string, path string, content string")
+    assert len(long) > 2_500_000 and markup.tag_usages(df).count() == 200_000
+
+
+def test_style_rules(spark):
+    css = "/* a{b:c} */ :root { --Main: #fff; } @media (min-width: 10px) { .x { COLOR: red; background: url(a;b) ; content: ';' } } .y { margin: 0"
+    df = spark.createDataFrame([("r", "a.css", css), ("r", "b.html", "<p>x</p><style>p{margin:0}</style><style media=print>q{ gap : 4px }</style>"), ("r", "c.css", None)], "repo string, path string, content string")
+    got = rows(markup.css_declarations(df), "file", "rule_id", "ord", "selector", "at", "prop", "value")
+    assert got == sorted([
+        ("a.css", 0, 0, ":root", "", "--Main", "#fff"), ("a.css", 2, 0, ".x", "@media (min-width: 10px)", "color", "red"), ("a.css", 2, 1, ".x", "@media (min-width: 10px)", "background", "url(a;b)"), ("a.css", 2, 2, ".x", "@media (min-width: 10px)", "content", "';'"),
+        ("b.html", 0, 0, "p", "", "margin", "0"), ("b.html", 1, 0, "q", "", "gap", "4px"),
+    ], key=str)
+
+
+def test_what_is_only_named_is_no_danger(spark):
+    text = "const a = `eval(x) ${eval(y)} b`;\n/* eval(1)\n eval(2) */ const r = /eval\\(/;\n// eval(3)\nx = 'eval(4)'; eval(5)\n"
+    got = security.dangerous_patterns(spark.createDataFrame([("r", "src/a.js", text)], "repo string, path string, content string"))
+    assert rows(got, "line", "kind") == [(1, "dynamic-code"), (5, "dynamic-code")]
+    assert len(markup.blanked(text)) == len(text)
+
+
+def test_environment_files(spark):
+    df = spark.createDataFrame([("r", ".env", "A=1\n# B=2\nexport C = x\nD=\n"), ("r", "x/.env.local", "Q=1"), ("r", ".env.example", "A=1"), ("r", "env.ts", "A=1"), ("r", "y/.env", "# none")], "repo string, path string, content string")
+    assert rows(security.committed_env(df), "path", "keys") == [(".env", ["A", "C"]), ("x/.env.local", ["Q"])]
+
+
+def test_places_in_a_global_order(spark):
+    df = spark.range(1000).withColumn("k", F.col("id") * 7919 % 1000)
+    got = graphs.numbered(df, [F.col("k")], "place").collect()
+    assert all(r["place"] == r["k"] + 1 for r in got) and len(got) == 1000
