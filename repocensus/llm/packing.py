@@ -119,7 +119,7 @@ def pack_pieces(pieces: DataFrame, size: int) -> DataFrame:
     within salted groups, with the groups' counts summed before, so a length that a third of all pieces have is spread.
     """
     spark = pieces.sparkSession
-    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "doc_tokens"), F.lit(16 * partitions(spark))).cast("int"))
+    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "doc_tokens"), F.lit(partitions(spark))).cast("int"))
     counts = materialize(pieces.groupBy("length", "_salt").agg(F.count("*").alias("n")), "lengths")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan, _ = best_fit_plan(histogram, size)

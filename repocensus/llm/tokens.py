@@ -43,7 +43,7 @@ class Encoder:
     #: Longer pieces and words aren't remembered. Bytes that an entry takes besides its characters, about.
     LONGEST, ENTRY = 48, 200
 
-    def __init__(self, path: str, room: int = 72 << 20):
+    def __init__(self, path: str, room: int = 208 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
