@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..functions.lineage import shared_folder
 from ..operators import distributions, graphs, ledger, registry, retrieval, rules, styles
 from ..streaming import streams
 from .census import OBS, doc_observations, summary_sql, table
@@ -424,9 +423,14 @@ def near_misses(spark, sf_dir):
 # streams, each run to its end over the tables
 
 def _run(stream, name: str, mode: str = "append"):
-    sink = f"s{uuid.uuid4().hex}"
-    stream.writeStream.format("memory").queryName(sink).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(sink)
+    """Run a stream to its end into files of the shared folder, with its checkpoint beside them, and read them. Complete mode: the last batch's rows."""
+    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    if mode == "append":
+        writer.format("parquet").option("path", f"{folder}/rows").start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+    writer.foreachBatch(lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/rows")).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
 def _stream(spark, sf_dir, name: str):

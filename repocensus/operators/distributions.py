@@ -50,8 +50,12 @@ def summarise(tallied: DataFrame) -> DataFrame:
     return out.withColumn("verdict", verdict(F.col("share"), F.col("total")))
 
 
-def mode(summary: DataFrame, n_dimensions: int) -> DataFrame:
-    """The situation of each repo from how many of its dimensions are settled, split and readable."""
+def mode(summary: DataFrame, n_dimensions: int, repos: DataFrame | None = None) -> DataFrame:
+    """The situation of each repo from how many of its dimensions are settled, split and readable.
+
+    With ``repos`` (repo, files, in_scope) also those of which nothing was summarised: out of scope where all files were left
+    out, empty where there are none.
+    """
     n = float(n_dimensions)
     by = summary.groupBy("repo").agg(
         F.count(F.when(F.col("verdict") == "convention", 1)).alias("strong"),
@@ -66,7 +70,13 @@ def mode(summary: DataFrame, n_dimensions: int) -> DataFrame:
         .when(F.col("strong") > 0, "mixed")
         .otherwise("greenfield")
     )
-    return by.withColumn("mode", name)
+    out = by.withColumn("mode", name)
+    if repos is None:
+        return out
+    every = repos.groupBy("repo").agg(F.sum("files").alias("files"), F.sum("in_scope").alias("in_scope")).join(out, "repo", "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("strong", "split", "readable")]
+    state = F.when((F.col("files") > 0) & (F.col("in_scope") == 0), "out of scope").when(F.col("in_scope") == 0, "empty").otherwise(F.coalesce("mode", F.lit("empty")))
+    return every.select("repo", *counts, state.alias("mode"))
 
 
 def drift(observations: DataFrame, recent: DataFrame) -> DataFrame:

@@ -27,6 +27,14 @@ def suspicious(results: DataFrame) -> DataFrame:
     return results.select("repo", "metric", F.explode(what).alias("finding"))
 
 
+def premature(registries: DataFrame, rules: DataFrame, modes: DataFrame) -> DataFrame:
+    """(repo, finding): registries (repo, components, sites) with components that nothing calls, and rules (repo, standing)
+    enforced in repos whose mode is "too early"."""
+    idle = registries.filter("components > 0 and coalesce(sites, 0) = 0").select("repo", F.lit("a registry that nothing calls").alias("finding"))
+    early = rules.filter("standing = 'enforce'").select("repo").distinct().join(modes.filter("mode = 'too early'").select("repo"), "repo", "left_semi")
+    return idle.distinct().unionByName(early.select("repo", F.lit("rules enforced too early").alias("finding")))
+
+
 def cross_pass(conventions: DataFrame, findings: DataFrame, dimension: str, bucket: str) -> DataFrame:
     """Repos where one pass calls ``bucket`` the convention while another flags the same thing as defects (repo, n)."""
     own = conventions.filter((F.col("dimension") == dimension) & (F.col("dominant") == bucket) & (F.col("verdict") == "convention")).select("repo", "share")
