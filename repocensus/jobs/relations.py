@@ -96,11 +96,11 @@ def tag_usages(spark, sf_dir):
     return registry.tag_usages(pages).groupBy("component", "prop", "kind").agg(F.count("*").alias("n"))
 
 
-@query("""WITH c AS (SELECT DISTINCT p_brand AS component FROM part), u AS (SELECT p_brand AS component, count(*) AS sites FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 50 AND l_discount >= 0.1 GROUP BY ALL)
+@query("""WITH c AS (SELECT DISTINCT p_brand AS component FROM part), u AS (SELECT p_brand AS component, count(*) AS sites FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)
 SELECT component, coalesce(sites, 0) AS sites, sites IS NOT NULL AS called FROM c LEFT JOIN u USING (component)""")
 def vocabulary(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    called = table(spark, sf_dir, "lineitem").filter("l_quantity >= 50 and l_discount >= 0.1").join(part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("component")), "l_partkey")
+    called = table(spark, sf_dir, "lineitem").join(part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("component")), "l_partkey")
     return registry.vocabulary(part.select(F.col("p_brand").alias("component")), called)
 
 
@@ -161,10 +161,10 @@ def prop_vocabulary(spark, sf_dir):
     return registry.prop_vocabulary(p)
 
 
-@query("""WITH c AS (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders WHERE o_custkey % 3 = 0 OR o_orderstatus = 'F' GROUP BY ALL), t AS (SELECT *, CAST(sum(n) OVER (PARTITION BY o_orderpriority) AS BIGINT) AS total FROM c)
+@query("""WITH c AS (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL), t AS (SELECT *, CAST(sum(n) OVER (PARTITION BY o_orderpriority) AS BIGINT) AS total FROM c)
 SELECT *, round(n / total, 3) AS share, round(n / total, 3) >= 0.5 AND total >= 5 AS proposed FROM t""")
 def surface_given_level(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").filter("o_custkey % 3 = 0 or o_orderstatus = 'F'").select("o_orderpriority", "o_orderstatus")
+    rows = table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderstatus")
     return registry.given(rows, "o_orderpriority", "o_orderstatus", least_share=0.5)
 
 
@@ -176,12 +176,12 @@ def house_prefix(spark, sf_dir):
 
 # graphs
 
-EDGES = "eg AS (SELECT DISTINCT CAST(l_suppkey % 4 AS VARCHAR) AS repo, l_partkey % 60 AS src, l_orderkey % 60 AS dst FROM lineitem WHERE l_quantity = 50 AND l_linenumber <= 2 AND l_partkey % 60 <> l_orderkey % 60)"
+EDGES = "eg AS (SELECT DISTINCT l_returnflag AS repo, l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_partkey <> l_suppkey)"
 
 
 def edges(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_quantity = 50 and l_linenumber <= 2")
-    return li.select((F.col("l_suppkey") % 4).cast("string").alias("repo"), (F.col("l_partkey") % 60).alias("src"), (F.col("l_orderkey") % 60).alias("dst")).filter("src <> dst").distinct()
+    """Every line imports: part k is a module, and so is the supplier with that number."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("repo"), F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).filter("src <> dst").distinct()
 
 
 @query(f"WITH {EDGES} SELECT repo, dst AS module, count(DISTINCT src) AS fan_in FROM eg GROUP BY ALL")
@@ -195,7 +195,7 @@ def orphan_modules(spark, sf_dir):
     return graphs.orphans(e.select("repo", F.col("src").alias("module")).distinct(), e)
 
 
-@query(f"""WITH RECURSIVE {EDGES}, reach AS (SELECT repo, src, dst FROM eg UNION SELECT r.repo, r.src, e.dst FROM reach r JOIN eg e ON r.repo = e.repo AND r.dst = e.src),
+@query(f"""WITH RECURSIVE {EDGES}, reach AS (SELECT repo, src, dst FROM eg WHERE src IN (SELECT dst FROM eg) UNION SELECT r.repo, r.src, e.dst FROM reach r JOIN eg e ON r.repo = e.repo AND r.dst = e.src),
 mutual AS (SELECT a.repo, a.src AS node, a.dst AS other FROM reach a JOIN reach b ON a.repo = b.repo AND a.src = b.dst AND a.dst = b.src), c AS (SELECT repo, node, min(other) AS component FROM mutual GROUP BY ALL)
 SELECT repo, node, component, count(*) OVER (PARTITION BY repo, component) AS size FROM c""")
 def import_cycles(spark, sf_dir):
@@ -209,18 +209,18 @@ def page_links(spark, sf_dir):
     return each.groupBy("repo", "target").agg(F.count("*").alias("links"))
 
 
-NEEDS = "nd AS (SELECT DISTINCT 'i' || p_partkey % 300 AS item, 'i' || (p_partkey % 300 + 1 + p_size) AS needs FROM part WHERE p_partkey % 300 + 1 + p_size < 300)"
+NEEDS = "nd AS (SELECT DISTINCT 'i' || p_partkey AS item, 'i' || (p_partkey // (2 + p_size % 3)) AS needs FROM part WHERE p_partkey >= 2 + p_size % 3)"
 
 
 def needs(spark, sf_dir):
-    k = F.col("p_partkey") % 300
-    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("i"), k.cast("string")).alias("item"), (k + 1 + F.col("p_size")).alias("n"))
-    return rows.filter("n < 300").select("item", F.concat(F.lit("i"), F.col("n").cast("string")).alias("needs")).distinct()
+    """Every part needs the one whose number is a half, a third or a quarter of its own."""
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("i"), F.col("p_partkey").cast("string")).alias("item"), F.expr("p_partkey div (2 + p_size % 3)").alias("n"))
+    return rows.filter("n > 0").select("item", F.concat(F.lit("i"), F.col("n").cast("string")).alias("needs")).distinct()
 
 
-@query(f"WITH RECURSIVE {NEEDS}, c AS (SELECT 'i' || p_size AS item FROM part WHERE p_retailprice < 903 UNION SELECT needs FROM c JOIN nd USING (item)) SELECT DISTINCT item FROM c")
+@query(f"WITH RECURSIVE {NEEDS}, c AS (SELECT 'i' || p_partkey AS item FROM part WHERE p_size >= 40 UNION SELECT needs FROM c JOIN nd USING (item)) SELECT DISTINCT item FROM c")
 def requirement_closure(spark, sf_dir):
-    start = table(spark, sf_dir, "part").filter("p_retailprice < 903").select(F.concat(F.lit("i"), F.col("p_size").cast("string")).alias("item")).distinct()
+    start = table(spark, sf_dir, "part").filter("p_size >= 40").select(F.concat(F.lit("i"), F.col("p_partkey").cast("string")).alias("item")).distinct()
     return graphs.requires_closure(start, needs(spark, sf_dir)).select("item")
 
 
@@ -405,17 +405,18 @@ def rank_documents(spark, sf_dir):
 SELECT count(DISTINCT query) AS queries, CASE WHEN count(DISTINCT query) >= 5 THEN count(*) FILTER (rank = 1) END AS top1, CASE WHEN count(DISTINCT query) >= 5 THEN count(rank) END AS found, CASE WHEN count(DISTINCT query) >= 5 THEN round(avg(coalesce(1.0 / rank, 0)), 4) END AS mrr, CASE WHEN count(DISTINCT query) < 5 THEN 'too few distinct queries' END AS why FROM j""")
 def retrieval_eval(spark, sf_dir):
     b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
-    wanted = d.join(F.broadcast(b.select("item_id", F.col("text").alias("item"))), F.expr("contains(text, item)")).groupBy(F.col("item_id").alias("query")).agg(F.min("doc_id").alias("doc"))
+    within = retrieval.containing(d.select(F.col("doc_id").alias("doc"), "text"), b.select(F.col("item_id").alias("query"), F.col("text").alias("passage")))
+    wanted = within.groupBy("query").agg(F.min("doc").alias("doc"))
     return retrieval.retrieval_eval(ranked(spark, sf_dir), wanted)
 
 
-@query("""WITH n AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS need FROM part), g AS (SELECT DISTINCT p_type AS component, p_type || ' ' || p_name AS text FROM part WHERE p_partkey < 40), w AS (SELECT DISTINCT need, unnest(regexp_extract_all(lower(need), '[a-z]{4,}')) AS w FROM n),
+@query("""WITH n AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS need FROM part), g AS (SELECT DISTINCT p_type AS component, p_type || ' ' || p_name AS text FROM part), w AS (SELECT DISTINCT need, unnest(regexp_extract_all(lower(need), '[a-z]{4,}')) AS w FROM n),
 h AS (SELECT need, component, sum(CASE WHEN contains(lower(component), w) THEN 3 ELSE 0 END + 1) AS score FROM w JOIN (SELECT component, string_agg(text, ' ' ORDER BY text) AS text FROM g GROUP BY component) ON contains(lower(component), w) OR contains(lower(text), w) GROUP BY ALL)
 SELECT need, component, CAST(score AS BIGINT) AS score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY need ORDER BY score DESC, component) AS INTEGER) AS rank FROM h) WHERE rank <= 5""")
 def near_misses(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     needs_ = p.select(F.concat("p_name", F.lit(" "), F.lower("p_type")).alias("need")).distinct()
-    g = p.filter("p_partkey < 40").select(F.col("p_type").alias("component"), F.concat_ws(" ", "p_type", "p_name").alias("text")).distinct()
+    g = p.select(F.col("p_type").alias("component"), F.concat_ws(" ", "p_type", "p_name").alias("text")).distinct()
     g = g.groupBy("component").agg(F.array_join(F.array_sort(F.collect_list("text")), " ").alias("text"))
     return retrieval.near_misses(needs_, g)
 
@@ -451,13 +452,13 @@ def cases_once_stream(spark, sf_dir):
     return _run(streams.cases_once(_stream(spark, sf_dir, "events").select("user_id", "event_type", "ts"), ["user_id", "event_type"], "60 days"), "cases").select("user_id", "event_type")
 
 
-@query(f"""WITH {OBS}, {summary_sql('obs', 's')}, o AS (SELECT obs.* FROM obs WHERE dimension IN ('licence', 'layout')) SELECT o.repo, CAST(o.path AS VARCHAR) AS path, dimension, bucket, dominant AS expect FROM o JOIN s USING (repo, dimension) WHERE verdict = 'convention' AND bucket <> dominant""")
+@query(f"""WITH {OBS}, {summary_sql('obs', 's')}, o AS (SELECT obs.* FROM obs) SELECT o.repo, CAST(o.path AS VARCHAR) AS path, dimension, bucket, dominant AS expect FROM o JOIN s USING (repo, dimension) WHERE verdict = 'convention' AND bucket <> dominant""")
 def gate_stream(spark, sf_dir):
     rule = distributions.summarise(distributions.counts(doc_observations(spark, sf_dir))).filter("verdict = 'convention'").select("repo", "dimension", F.col("dominant").alias("expect"))
     from .census import doc_dimensions
 
     arriving = _stream(spark, sf_dir, "documents").select(F.col("source").alias("repo"), F.col("doc_id").cast("string").alias("path"), "text", "lang")
-    return _run(streams.gate_stream(arriving, {k: v for k, v in doc_dimensions().items() if k in ("licence", "layout")}, rule), "gate")
+    return _run(streams.gate_stream(arriving, doc_dimensions(), rule), "gate")
 
 
 @query("""WITH w AS (SELECT unnest(generate_series(0, 9)) AS k), e AS (SELECT CAST(user_id % 7 AS VARCHAR) AS repo, 'event' AS dimension, event_type AS bucket, date_trunc('day', ts) + INTERVAL 1 DAY + to_days(CAST(k AS INTEGER)) AS window_end FROM events, w) SELECT strftime(window_end, '%Y-%m-%d') AS window_end, repo, dimension, bucket, count(*) AS n FROM e GROUP BY ALL""")

@@ -38,9 +38,10 @@ def retrieval_eval(ranked: DataFrame, wanted: DataFrame, least: int = 5) -> Data
 def near_misses(needs: DataFrame, registry: DataFrame, k: int = 5) -> DataFrame:
     """(need, component, score, rank): words of four letters or more of a need that stand in a component's text, three more if in its name."""
     each = needs.select("need", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("need"), F.lit("[a-z]{4,}"), F.lit(0)))).alias("w"))
-    rows = each.join(F.broadcast(registry.select("component", F.lower("component").alias("name"), F.lower("text").alias("body"))), F.expr("contains(name, w) or contains(body, w)"))
-    points = F.when(F.expr("contains(name, w)"), 3).otherwise(0) + F.when(F.expr("contains(body, w) or contains(name, w)"), 1).otherwise(0)
-    by = rows.groupBy("need", "component").agg(F.sum(points).alias("score"))
+    names = registry.select("component", F.lower("component").alias("name"), F.lower("text").alias("body"))
+    points = F.when(F.expr("contains(name, w)"), 4).otherwise(1).alias("points")
+    held = each.select("w").distinct().join(names, F.expr("contains(name, w) or contains(body, w)")).select("w", "component", points)  # a word once, however many needs have it
+    by = each.join(held, "w").groupBy("need", "component").agg(F.sum("points").alias("score"))
     return by.withColumn("rank", F.row_number().over(Window.partitionBy("need").orderBy(F.desc("score"), "component"))).filter(F.col("rank") <= k)
 
 
@@ -63,3 +64,27 @@ def propose_bindings(roles: DataFrame, registry: DataFrame, synonyms: DataFrame)
     out = roles.select("role").join(best, "role", "left").join(ties, ["role", "score"], "left")
     state = F.when(F.col("score").isNull(), "uncovered").when(F.col("ties") > 1, "questionable").otherwise("proposed")
     return out.select("role", F.col("x.component").alias("component"), "score", state.alias("state"))
+
+
+def containing(docs: DataFrame, passages: DataFrame, anchor: int = 3) -> DataFrame:
+    """(query, doc): documents (doc, text) in which a passage (query, passage) stands as it is.
+
+    Words that stand between two spaces in a passage stand so in every text that has it, so texts and passages meet by
+    equality on ``anchor`` such words, the passage's first; only those that meet are searched. Shorter passages are looked
+    up by fewer words, and those without a word between two spaces are compared with every text.
+    """
+    words = F.split("passage", " ")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    p = passages.withColumn("n", F.least(F.size(inner), F.lit(anchor))).withColumn("key", F.xxhash64(F.slice(inner, 1, anchor)))
+    out = None
+    for r in p.select("n").distinct().collect():  # 0 to ``anchor``
+        n, own = r["n"], p.filter(F.col("n") == r["n"]).select("query", "passage", "key")
+        if n == 0:
+            hit = docs.join(own, F.expr("contains(text, passage)"))
+        else:
+            keys = F.transform(F.array(F.split("text", " ")), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, n)))))  # noqa: B023
+            at = docs.select("doc", F.explode(F.flatten(keys)).alias("key")).join(own.select("query", "key"), "key").select("doc", "query").distinct()
+            hit = at.join(own.select("query", "passage"), "query").join(docs, "doc").filter(F.expr("contains(text, passage)"))
+        hit = hit.select("query", "doc")
+        out = hit if out is None else out.unionByName(hit)
+    return out.distinct() if out is not None else passages.select("query").crossJoin(docs.select("doc")).limit(0)
