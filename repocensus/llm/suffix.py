@@ -24,6 +24,8 @@ BITS = 20  # of a code, for its bucket; the rest for the name
 LOW = np.uint64(2 ** (64 - BITS) - 1)
 NO_ID = -(2**63)
 CHUNK = 4 << 20
+#: Bytes of text in a block, about; a block is one task's.
+BLOCK = 48 << 20
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -197,12 +199,13 @@ def repeated_spans(docs: DataFrame, length: int = 50, keep_text: bool = True, ca
     nothing from each other; repeated rows get equal results. Texts below ``length`` bytes have no spans. Empty table:
     empty result. ``length`` must be at least 2 * K.
 
-    Documents are dealt into blocks by a hash of their id; a hot string is one row for each block, not for each document.
+    Documents are dealt into blocks by a hash of their id, as many as their bytes ask for; a hot string is one row for each block, not for each document.
     """
     if length < 2 * K:
         raise ValueError(f"length must be at least {2 * K}")
     spark = docs.sparkSession
-    n_blocks = 2 * partitions(spark)
+    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks = max(2 * partitions(spark), -(-size // BLOCK))
     n_buckets = min(2**BITS, n_blocks)
     blocks = docs.select("doc_id", "text", F.struct(*carry).alias("carry") if carry else F.lit(None).cast("int").alias("carry"))
     blocks = documents(blocks, "doc_id", "text", "carry").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int"))

@@ -6,6 +6,7 @@ import hashlib
 import zlib
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,19 +169,20 @@ def merged_index(records: DataFrame) -> DataFrame:
     def merge(batches):
         from pyspark import TaskContext
 
-        me, runs = TaskContext.get().partitionId(), {}
-        names = None
-        for b in batches:
-            names = b.schema
-            for row in b.to_pylist():
-                runs.setdefault(row["file"], []).append(row)
-        if names is None:
+        got = list(batches)
+        if not got:
             return
-        order = LoserTree([runs[f] for f in sorted(runs)], lambda r: (r["url_key"], r["date"], -1 if r["page_id"] is None else r["page_id"]))
-        fields = [*names, pa.field("range", pa.int32()), pa.field("place", pa.int64())]
-        out = [{**row, "range": me, "place": i} for i, row in enumerate(order)]
-        for at in range(0, len(out), 5000):
-            yield pa.RecordBatch.from_pylist(out[at : at + 5000], schema=pa.schema(fields))
+        table = pa.Table.from_batches(got)
+        file = table.column("file").to_pylist()
+        keys = list(zip(table.column("url_key").to_pylist(), table.column("date").to_pylist(), [-1 if x is None else x for x in table.column("page_id").to_pylist()], strict=True))
+        begins = [i for i in range(len(file)) if i == 0 or file[i] != file[i - 1]]
+        tree = LoserTree([range(a, b) for a, b in zip(begins, [*begins[1:], len(file)], strict=True)], keys.__getitem__)
+        order = np.fromiter(tree, np.int64, len(file))
+        me = TaskContext.get().partitionId()
+        for at in range(0, len(order), 5000):  # rows stay in Arrow; only their keys are objects
+            part = table.take(pa.array(order[at : at + 5000])).combine_chunks()
+            part = part.append_column("range", pa.array(np.full(len(part), me, np.int32))).append_column("place", pa.array(np.arange(at, at + len(part))))
+            yield from part.to_batches()
 
     return dealt.mapInArrow(merge, schema)
 
