@@ -13,6 +13,9 @@ LENGTH = r"^-?[0-9.]+(px|rem|em|%|vh|vw|ch|pt)$"
 #: Attributes that any component that inherits takes.
 DOM_ATTRIBUTES = ("class", "className", "id", "style", "title", "role", "tabIndex", "key", "ref", "children", "href", "target", "onClick")
 
+#: Props that say nothing about what a component is.
+UNIVERSAL = ("className", "class", "style", "id", "children", "ref", "key", "as", "asChild", "data-testid", "aria-label", "role", "tabIndex", "onClick", "disabled")
+
 
 def check_registry(usages: DataFrame, components: DataFrame, props: DataFrame) -> DataFrame:
     """usages (repo, path, component, site_id, prop, value, kind) with check, ok: the component exists, the prop is declared (or
@@ -86,34 +89,58 @@ def contested(aliases: DataFrame) -> DataFrame:
     return aliases.groupBy("alias").agg(F.count_distinct("component").alias("claims"), F.array_sort(F.collect_set("component")).alias("components")).filter("claims > 1")
 
 
-def shared_sets(items: DataFrame, key: str, element: str) -> DataFrame:
-    """(a, b, shared, na, nb): pairs of keys with elements in common, how many, and the sizes. items: distinct (key, element).
+def shared_sets(items: DataFrame, key: str, element: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, a, b, shared, na, nb): pairs of keys with elements in common, how many, and the sizes, within each group of ``by`` (a library). items: distinct (*by, key, element).
 
     Only elements that two keys have are joined. For elements that very many keys have, take them out before as universals.
     """
-    rows = items.select(F.col(key).alias("k"), F.col(element).alias("e")).distinct()
-    size = rows.groupBy("k").agg(F.count("*").alias("n"))
-    pairs = rows.select(F.col("k").alias("a"), "e").join(rows.select(F.col("k").alias("b"), "e"), "e").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    return pairs.join(size.select(F.col("k").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("k").alias("b"), F.col("n").alias("nb")), "b")
+    rows = items.select(*by, F.col(key).alias("k"), F.col(element).alias("e")).distinct()
+    size = rows.groupBy(*by, "k").agg(F.count("*").alias("n"))
+    a, b = (rows.select(*by, F.col("k").alias(x), "e") for x in ("a", "b"))
+    pairs = a.join(b, [*by, "e"]).filter("a < b").groupBy(*by, "a", "b").agg(F.count("*").alias("shared"))
+    return pairs.join(size.select(*by, F.col("k").alias("a"), F.col("n").alias("na")), [*by, "a"]).join(size.select(*by, F.col("k").alias("b"), F.col("n").alias("nb")), [*by, "b"])
+
+
+def _both_ways(renders: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(*by, a, b): one of the two renders the other."""
+    one = renders.select(*by, F.col("component").alias("a"), F.col("element").alias("b"))
+    return one.unionByName(one.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def twins(props: DataFrame, renders: DataFrame, prop_share: float = 0.6, render_share: float = 0.5) -> DataFrame:
-    """Components (a, b) that take the same props and render the same elements; at least three props and two renders each."""
+def twins(props: DataFrame, renders: DataFrame, prop_share: float = 0.6, render_share: float = 0.5, by: tuple[str, ...] = (), universal: tuple[str, ...] = UNIVERSAL) -> DataFrame:
+    """Components (a, b) of a library (``by``) that take the same props, universal ones left out, and render the same elements; at least three props and two renders each."""
     jac = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    p = shared_sets(props, "component", "prop").filter((F.least("na", "nb") >= 3) & (jac >= prop_share)).select("a", "b", F.round(jac, 3).alias("props"))
-    r = shared_sets(renders, "component", "element").filter((F.least("na", "nb") >= 2) & (jac >= render_share)).select("a", "b", F.round(jac, 3).alias("renders"))
-    composed = renders.select(F.col("component").alias("a"), F.col("element").alias("b"))
-    out = p.join(r, ["a", "b"]).join(composed, ["a", "b"], "left_anti")
-    return out.join(composed.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    own = props.filter(~F.col("prop").cast("string").isin(*universal))
+    p = shared_sets(own, "component", "prop", by).filter((F.least("na", "nb") >= 3) & (jac >= prop_share)).select(*by, "a", "b", F.round(jac, 3).alias("props"))
+    r = shared_sets(renders, "component", "element", by).filter((F.least("na", "nb") >= 2) & (jac >= render_share)).select(*by, "a", "b", F.round(jac, 3).alias("renders"))
+    return p.join(r, [*by, "a", "b"]).join(_both_ways(renders, by), [*by, "a", "b"], "left_anti")
 
 
-def nearest_component(props: DataFrame, least: float = 0.3) -> DataFrame:
-    """Each component's nearest other by shared props: two at least on both sides and in common, above ``least``."""
+def twin_states(found: DataFrame, declared: DataFrame, props: DataFrame, renders: DataFrame, by: tuple[str, ...] = (), universal: tuple[str, ...] = UNIVERSAL) -> DataFrame:
+    """(*by, a, b, state) of twins found and pairs that were declared to be apart (*by, a, b).
+
+    answered: found and declared; unanswered: found only. Of pairs declared only: uncheckable, if one of them has too few
+    props or renders to be compared; composed, if one renders the other; else stale.
+    """
+    keys = [*by, "a", "b"]
+    own = props.filter(~F.col("prop").cast("string").isin(*universal)).select(*by, "component", "prop").distinct().groupBy(*by, "component").count().filter("count >= 3")
+    comparable = own.join(renders.select(*by, "component", "element").distinct().groupBy(*by, "component").count().filter("count >= 2"), [*by, "component"], "left_semi").select(*by, "component")
+    d = declared.select(*by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows = d.withColumn("declared", F.lit(True)).join(found.select(*keys).withColumn("found", F.lit(True)), keys, "full")
+    for x in ("a", "b"):
+        rows = rows.join(comparable.withColumnRenamed("component", x).withColumn(f"known_{x}", F.lit(True)), [*by, x], "left")
+    rows = rows.join(_both_ways(renders, by).withColumn("composed", F.lit(True)), keys, "left")
+    state = F.when(F.col("found") & F.col("declared"), "answered").when(F.col("found"), "unanswered").when(F.col("known_a").isNull() | F.col("known_b").isNull(), "uncheckable").when(F.col("composed"), "composed").otherwise("stale")
+    return rows.select(*keys, state.alias("state"))
+
+
+def nearest_component(props: DataFrame, least: float = 0.3, by: tuple[str, ...] = ()) -> DataFrame:
+    """Each component's nearest other of its library (``by``) by shared props: two at least on both sides and in common, above ``least``."""
     jac = F.round(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 3)
-    pairs = shared_sets(props, "component", "prop").filter("shared >= 2 and na >= 2 and nb >= 2").withColumn("jaccard", jac).filter(F.col("jaccard") > least)
-    both = pairs.select("a", "b", "jaccard", "shared").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard", "shared"))
-    best = both.groupBy("a").agg(F.min(F.struct((-F.col("jaccard")).alias("m"), "b", "shared")).alias("x"))
-    return best.select(F.col("a").alias("component"), F.col("x.b").alias("nearest"), (-F.col("x.m")).alias("jaccard"), F.col("x.shared").alias("shared"))
+    pairs = shared_sets(props, "component", "prop", by).filter("shared >= 2 and na >= 2 and nb >= 2").withColumn("jaccard", jac).filter(F.col("jaccard") > least)
+    both = pairs.select(*by, "a", "b", "jaccard", "shared").unionByName(pairs.select(*by, F.col("b").alias("a"), F.col("a").alias("b"), "jaccard", "shared"))
+    best = both.groupBy(*by, "a").agg(F.min(F.struct((-F.col("jaccard")).alias("m"), "b", "shared")).alias("x"))
+    return best.select(*by, F.col("a").alias("component"), F.col("x.b").alias("nearest"), (-F.col("x.m")).alias("jaccard"), F.col("x.shared").alias("shared"))
 
 
 def parallel_implementations(defs: DataFrame, imports: DataFrame) -> DataFrame:

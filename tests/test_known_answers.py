@@ -355,3 +355,17 @@ def test_places_in_a_global_order(spark):
     df = spark.range(1000).withColumn("k", F.col("id") * 7919 % 1000)
     got = graphs.numbered(df, [F.col("k")], "place").collect()
     assert all(r["place"] == r["k"] + 1 for r in got) and len(got) == 1000
+
+
+def test_twins_of_a_library_and_what_was_said_of_them(spark):
+    def table(name, rows):
+        return spark.createDataFrame([(lib, c, x) for lib, c, xs in rows for x in xs.split()], f"library string, component string, {name} string")
+
+    props = table("prop", [("l", "A", "p q r class id"), ("l", "B", "p q r style"), ("l", "C", "p q r"), ("l", "D", "p class"), ("m", "A", "p q r"), ("l", "E", "x y z"), ("l", "F", "p q r")])
+    renders = table("element", [("l", "A", "div span"), ("l", "B", "div span"), ("l", "C", "div span A"), ("l", "D", "div span"), ("m", "A", "div span"), ("l", "E", "div span"), ("l", "F", "div span")])
+    found = registry.twins(props, renders, by=("library",))
+    assert rows(found, "library", "a", "b") == [("l", "A", "B"), ("l", "A", "F"), ("l", "B", "C"), ("l", "B", "F"), ("l", "C", "F")]
+    declared = spark.createDataFrame([("l", "B", "A"), ("l", "A", "C"), ("l", "A", "D"), ("l", "A", "E")], "library string, a string, b string")
+    got = registry.twin_states(found, declared, props, renders, by=("library",))
+    assert rows(got, "a", "b", "state") == [("A", "B", "answered"), ("A", "C", "composed"), ("A", "D", "uncheckable"), ("A", "E", "stale"), ("A", "F", "unanswered"), ("B", "C", "unanswered"), ("B", "F", "unanswered"), ("C", "F", "unanswered")]
+    assert rows(registry.nearest_component(props, by=("library",)).filter("library = 'm'")) == []
