@@ -3,7 +3,9 @@
 Equal strings of ``length`` bytes must meet before they can be sorted. Each window of that length is named after the
 smallest hash among its ``K``-byte substrings, so equal windows bear equal names wherever they stand, and neighbouring
 windows mostly share one. Only names that stand in two documents or more are followed up: their stretches of text are
-sent to the bucket of the name, where suffixes are sorted and adjacent common prefixes computed.
+sent to the bucket of the name, where suffixes are sorted and adjacent common prefixes computed. A name that very many
+different stretches bear (of a phrase too short to be cut, in ever other surroundings) is taken apart: each of its windows
+is sent by itself to a bucket of its own content.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ NO_ID = -(2**63)
 CHUNK = 4 << 20
 #: Bytes of text in a block, about; a block is one task's.
 BLOCK = 48 << 20
+#: A name with more different stretches than these, added up over the blocks, is taken apart into windows.
+HOT = 4096
+_BYTE = np.random.default_rng(11).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP = 0x9E3779B97F4A7C15
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -177,6 +183,22 @@ def _from_low(raw: bytes, bucket: int) -> np.ndarray:
     return out.view("<u8").reshape(-1) | np.uint64(bucket << (64 - BITS))
 
 
+def _contents(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """A hash of the bytes from each ``lo`` to ``hi``, wherever they stand: differences of one running sum."""
+    n = len(data)
+    power = np.cumprod(np.full(n, _STEP, np.uint64))
+    total = np.append(np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power))
+    back = np.append(np.ones(1, np.uint64), np.cumprod(np.full(n, pow(_STEP, -1, 2**64), np.uint64)))
+    return (total[hi] - total[lo]) * back[lo]
+
+
+def _places(wanted: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which ``codes`` stand in the sorted ``wanted``, and where."""
+    at = np.minimum(np.searchsorted(wanted, codes), len(wanted) - 1)
+    hit = np.flatnonzero(wanted[at] == codes)
+    return hit, at[hit]
+
+
 def _ids(table: pa.Table) -> list[int]:
     return [NO_ID if x is None else x for x in table.column("doc_id").to_pylist()]
 
@@ -189,7 +211,7 @@ def _stretches(raw: bytes, buckets: int, length: int):
     return begins, np.append(begins[1:], len(raw) - length + 1), _codes(names, buckets)
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, keep_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 50, keep_text: bool = True, carry: tuple[str, ...] = (), hot: int = HOT) -> DataFrame:
     """For every row of ``docs`` (doc_id, text): doc_id, n_bytes, spans array<struct<start,end>> to be removed (bytes of the
     UTF-8 text, sorted, apart), kept_sha256 of what remains, with ``keep_text`` the remaining text (a character that is cut
     apart is left out of it), and the columns named in ``carry``, in a struct of that name.
@@ -199,7 +221,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, keep_text: bool = True, ca
     nothing from each other; repeated rows get equal results. Texts below ``length`` bytes have no spans. Empty table:
     empty result. ``length`` must be at least 2 * K.
 
-    Documents are dealt into blocks by a hash of their id, as many as their bytes ask for; a hot string is one row for each block, not for each document.
+    Documents are dealt into blocks by a hash of their id, as many as their bytes ask for; a hot string is one row for each block, not for each document. Names with more than
+    ``hot`` different stretches are taken apart; results don't depend on it.
     """
     if length < 2 * K:
         raise ValueError(f"length must be at least {2 * K}")
@@ -211,91 +234,109 @@ def repeated_spans(docs: DataFrame, length: int = 50, keep_text: bool = True, ca
     blocks = documents(blocks, "doc_id", "text", "carry").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int"))
 
     def name_lists(key, table):
-        """The names of a block, by bucket: those of one document, those of several."""
-        got, of = [], []
+        """The names of a block, by bucket: those of one document, those of several; and how many different stretches bear each."""
+        got, of, contents = [], [], []
         for d, raw in zip(table.column("doc_id").to_pylist(), table.column("text").cast(pa.binary()).to_pylist(), strict=True):
             if (s := _stretches(raw, n_buckets, length)) is not None:
-                codes = np.unique(s[2])
-                got.append(codes)
-                of.append(np.full(len(codes), NO_ID if d is None else d, np.int64))
+                got.append(s[2])
+                of.append(np.full(len(s[2]), NO_ID if d is None else d, np.int64))
+                contents.append(_contents(np.frombuffer(raw, np.uint8), s[0], s[1] + length - 1))
         rows: list[tuple] = []
         if got:
-            codes, of = np.concatenate(got), np.concatenate(of)
-            by = np.lexsort((of, codes))
-            codes, of = codes[by], of[by]
+            codes, of, contents = map(np.concatenate, (got, of, contents))
+            by = np.lexsort((contents, codes))
+            codes, of, contents = codes[by], of[by], contents[by]
             first = np.append(True, codes[1:] != codes[:-1])
             at = np.flatnonzero(first)
+            new = first | np.append(True, contents[1:] != contents[:-1])
+            counts = np.minimum(np.add.reduceat(new, at, dtype=np.int64), 2**16 - 1).astype("<u2")
             several = np.minimum.reduceat(of, at) != np.maximum.reduceat(of, at)
             codes = codes[at]
             bucket, edges = _bucket_edges(codes)
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                here, many = codes[lo:hi], several[lo:hi]
-                rows.append((int(bucket[lo]), key[0].as_py(), _low_bytes(here[~many]), _low_bytes(here[many])))
-        return pa.table(list(map(list, zip(*rows, strict=True))) or [[]] * 4, schema=pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("once", pa.binary()), ("many", pa.binary())]))
+                here, many, n = codes[lo:hi], several[lo:hi], counts[lo:hi]
+                rows.append((int(bucket[lo]), key[0].as_py(), _low_bytes(here[~many]), _low_bytes(here[many]), n[~many].tobytes() + n[many].tobytes()))
+        return pa.table(list(map(list, zip(*rows, strict=True))) or [[]] * 5, schema=pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("once", pa.binary()), ("many", pa.binary()), ("counts", pa.binary())]))
 
     def found_twice(key, table):
         bucket = key[0].as_py()
-        codes, block, many = [], [], []
-        for b, once, several in zip(*[table.column(c).to_pylist() for c in ("block", "once", "many")], strict=True):
+        codes, block, many, counts = [], [], [], []
+        for b, once, several, n in zip(*[table.column(c).to_pylist() for c in ("block", "once", "many", "counts")], strict=True):
+            counts.append(np.frombuffer(n, "<u2"))
             for raw, flag in ((once, False), (several, True)):
                 codes.append(_from_low(raw, bucket))
                 block.append(np.full(len(codes[-1]), b, np.int32))
                 many.append(np.full(len(codes[-1]), flag))
-        codes, block, many = map(np.concatenate, (codes, block, many))
+        codes, block, many, counts = map(np.concatenate, (codes, block, many, counts))
         by = np.argsort(codes, kind="stable")
-        codes, block, many = codes[by], block[by], many[by]
+        codes, block, many, counts = codes[by], block[by], many[by], counts[by]
         begins = np.append(True, codes[1:] != codes[:-1])
         at = np.flatnonzero(begins)
         shared = (np.add.reduceat(many, at) > 0) | (np.diff(np.append(at, len(codes))) > 1)
-        keep = shared[np.cumsum(begins) - 1]
-        codes, block = codes[keep], block[keep]
+        varied = np.add.reduceat(counts, at, dtype=np.int64) > hot
+        of = np.cumsum(begins) - 1
+        keep = shared[of]
+        codes, block, varied = codes[keep], block[keep], varied[of[keep]]
         by = np.argsort(block, kind="stable")
-        codes, block = codes[by], block[by]
+        codes, block, varied = codes[by], block[by], varied[by]
         edges = np.append(np.append(0, np.flatnonzero(np.diff(block)) + 1), len(block)) if len(block) else [0]
-        rows = [(int(block[lo]), bucket, _low_bytes(codes[lo:hi])) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
-        return pa.table(list(map(list, zip(*rows, strict=True))) or [[]] * 3, schema=pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("names", pa.binary())]))
+        rows = [(int(block[lo]), bucket, _low_bytes(codes[lo:hi]), np.packbits(varied[lo:hi]).tobytes()) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.table(list(map(list, zip(*rows, strict=True))) or [[]] * 4, schema=pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("names", pa.binary()), ("varied", pa.binary())]))
 
     def stretches_of(key, table, names):
-        """The distinct stretches of a block whose name is found twice, with the smallest and largest document they stand in."""
-        wanted = [_from_low(raw, b) for b, raw in zip(names.column("bucket").to_pylist(), names.column("names").to_pylist(), strict=True)]
-        wanted = np.sort(np.concatenate(wanted)) if wanted else np.empty(0, np.uint64)
+        """The distinct stretches of a block whose name is found twice, with the smallest and largest document they stand in;
+        of names that are taken apart, the distinct windows, each with a code of its own beside the name's."""
+        wanted, varied = [], []
+        for b, raw, bits in zip(*[names.column(c).to_pylist() for c in ("bucket", "names", "varied")], strict=True):
+            wanted.append(_from_low(raw, b))
+            varied.append(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(wanted[-1])))
+        wanted, varied = (np.concatenate(wanted), np.concatenate(varied)) if wanted else (np.empty(0, np.uint64), np.empty(0, np.uint8))
+        by = np.argsort(wanted, kind="stable")
+        wanted, varied = wanted[by], varied[by]
         seen: dict[bytes, list[int]] = {}
+        windows: dict[tuple[int, bytes], list[int]] = {}
         for d, raw in zip(_ids(table), table.column("text").cast(pa.binary()).to_pylist(), strict=True):
             if not len(wanted) or (s := _stretches(raw, n_buckets, length)) is None:
                 continue
             begins, ends, codes = s
-            hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, codes), len(wanted) - 1)] == codes)
-            for lo, hi, code in zip(begins[hit].tolist(), (ends[hit] + length - 1).tolist(), codes[hit].view(np.int64).tolist(), strict=True):
-                x = seen.get(piece := raw[lo:hi])
-                if x is None:
-                    seen[piece] = [code, d, d]
-                elif d < x[1]:
-                    x[1] = d
-                elif d > x[2]:
-                    x[2] = d
-        pieces = list(seen)
-        code, low, high = (np.fromiter((x[i] for x in seen.values()), np.int64, len(pieces)) for i in range(3))
-        code = code.view(np.uint64)
+            hit, at = _places(wanted, codes)
+            for lo, hi, code, apart in zip(begins[hit].tolist(), (ends[hit] + length - 1).tolist(), codes[hit].view(np.int64).tolist(), varied[at].tolist(), strict=True):
+                to, keys = (windows, [(code, raw[i : i + length]) for i in range(lo, hi - length + 1)]) if apart else (seen, (raw[lo:hi],))
+                for k in keys:
+                    x = to.get(k)
+                    if x is None:
+                        to[k] = [code, d, d]
+                    elif d < x[1]:
+                        x[1] = d
+                    elif d > x[2]:
+                        x[2] = d
+        pieces = [*seen, *(x for _, x in windows)]
+        found = [*seen.values(), *windows.values()]
+        name, low, high = (np.fromiter((x[i] for x in found), np.int64, len(found)) for i in range(3))
+        name = name.view(np.uint64)
+        own = np.fromiter((xxhash.xxh3_64_intdigest(x) for _, x in windows), np.uint64, len(windows))
+        code = np.append(name[: len(seen)], _codes(own, n_buckets))
+        apart = np.arange(len(code)) >= len(seen)
         by = np.argsort(code, kind="stable")
-        code, low, high = code[by], low[by], high[by]
+        code, name, low, high, apart = code[by], name[by], low[by], high[by], apart[by]
         pieces = [pieces[i] for i in by.tolist()]
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         bucket, edges = _bucket_edges(code)
-        rows = [(int(bucket[lo]), key[0].as_py(), _pack(code[lo:hi], size[lo:hi], low[lo:hi], high[lo:hi], b"".join(pieces[lo:hi]))) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+        rows = [(int(bucket[lo]), key[0].as_py(), _pack(code[lo:hi], name[lo:hi], apart[lo:hi], size[lo:hi], low[lo:hi], high[lo:hi], b"".join(pieces[lo:hi]))) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
         return pa.table(list(map(list, zip(*rows, strict=True))) or [[]] * 3, schema=pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("pieces", pa.binary())]))
 
     def sort_suffixes(table):
         """Where a window of a stretch also stands in a smaller document: the smallest one, for each window."""
-        codes, lows, highs, blocks_of, pieces = [], [], [], [], []
+        codes, names_of, aparts, lows, highs, blocks_of, pieces = [], [], [], [], [], [], []
         for block, blob in zip(table.column("block").to_pylist(), table.column("pieces"), strict=True):
-            c, n, a, b, text = _unpack(blob.as_py(), 5)
+            c, k, w, n, a, b, text = _unpack(blob.as_py(), 7)
             ends = np.cumsum(np.frombuffer(n, "<i8")).tolist()
             pieces += [text[x:y] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
-            for to, x in ((codes, np.frombuffer(c, "<u8")), (lows, np.frombuffer(a, "<i8")), (highs, np.frombuffer(b, "<i8")), (blocks_of, np.full(len(ends), block))):
+            for to, x in ((codes, np.frombuffer(c, "<u8")), (names_of, np.frombuffer(k, "<u8")), (aparts, np.frombuffer(w, bool)), (lows, np.frombuffer(a, "<i8")), (highs, np.frombuffer(b, "<i8")), (blocks_of, np.full(len(ends), block))):
                 to.append(x)
-        code, low, high, block = map(np.concatenate, (codes, lows, highs, blocks_of))
+        code, name, apart, low, high, block = map(np.concatenate, (codes, names_of, aparts, lows, highs, blocks_of))
         by = np.argsort(code, kind="stable")
-        code, low, high, block = code[by], low[by], high[by], block[by]
+        code, name, apart, low, high, block = code[by], name[by], apart[by], low[by], high[by], block[by]
         pieces = [pieces[i] for i in by.tolist()]
         size = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
         got: list[tuple[int, int, bytes]] = []  # place in ``pieces``, window count if they differ (else 0), smallest documents
@@ -336,16 +377,17 @@ def repeated_spans(docs: DataFrame, length: int = 50, keep_text: bool = True, ca
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             some = [got[i] for i in by[a:b].tolist()]
             at = [x[0] for x in some]
-            rows.append((int(here[a]), _pack(code[at], b"".join(xxhash.xxh3_64_digest(pieces[i]) for i in at), np.array([x[1] for x in some], "<i8"), b"".join(x[2] for x in some))))
+            rows.append((int(here[a]), _pack(name[at], apart[at], b"".join(xxhash.xxh3_64_digest(pieces[i]) for i in at), np.array([x[1] for x in some], "<i8"), b"".join(x[2] for x in some))))
         return pa.table(list(map(list, zip(*rows, strict=True))) or [[]] * 2, schema=pa.schema([("block", pa.int32()), ("best", pa.binary())]))
 
     def cut(table, found):
         best: dict[tuple[int, bytes], int | np.ndarray] = {}
-        wanted = []
+        wanted, taken_apart = [], set()
         for blob in found.column("best"):
-            c, digests, n, values = _unpack(blob.as_py(), 4)
+            c, w, digests, n, values = _unpack(blob.as_py(), 5)
             code, n, values = np.frombuffer(c, "<u8"), np.frombuffer(n, "<i8"), np.frombuffer(values, "<i8")
             wanted.append(code)
+            taken_apart.update(code[np.frombuffer(w, bool)].tolist())
             ends = np.cumsum(np.maximum(n, 1)).tolist()
             for i, (k, many, end) in enumerate(zip(code.tolist(), n.tolist(), ends, strict=True)):
                 best[k, digests[8 * i : 8 * i + 8]] = values[end - many : end] if many else int(values[end - 1])
@@ -355,8 +397,14 @@ def repeated_spans(docs: DataFrame, length: int = 50, keep_text: bool = True, ca
             me, mask = NO_ID if d is None else d, np.zeros(len(raw), bool)
             if len(wanted) and (s := _stretches(raw, n_buckets, length)) is not None:
                 begins, ends, codes = s
-                hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, codes), len(wanted) - 1)] == codes)
+                hit, _ = _places(wanted, codes)
                 for lo, hi, code in zip(begins[hit].tolist(), ends[hit].tolist(), codes[hit].tolist(), strict=True):
+                    if code in taken_apart:
+                        for i in range(lo, hi):
+                            x = best.get((code, xxhash.xxh3_64_digest(raw[i : i + length])))
+                            if x is not None and x < me:
+                                mask[i : i + length] = True
+                        continue
                     x = best.get((code, xxhash.xxh3_64_digest(raw[lo : hi + length - 1])))
                     if isinstance(x, int):
                         if x < me:
@@ -372,8 +420,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, keep_text: bool = True, ca
         out = pa.table(list(map(list, zip(*rows, strict=True))) or [[]] * 5, schema=pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(span)), ("kept_sha256", pa.string()), ("kept_text", pa.string())]))
         return out.append_column("carry", table.column("carry"))
 
-    lists = blocks.groupBy("block").applyInArrow(name_lists, "bucket int, block int, once binary, many binary")
-    names = lists.groupBy("bucket").applyInArrow(found_twice, "block int, bucket int, names binary")
+    lists = blocks.groupBy("block").applyInArrow(name_lists, "bucket int, block int, once binary, many binary, counts binary")
+    names = lists.groupBy("bucket").applyInArrow(found_twice, "block int, bucket int, names binary, varied binary")
     pieces = blocks.groupBy("block").cogroup(names.groupBy("block")).applyInArrow(stretches_of, "bucket int, block int, pieces binary")
     found = pieces.groupBy("bucket").applyInArrow(sort_suffixes, "block int, best binary")
     return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(cut, T.StructType.fromDDL("doc_id long, n_bytes long, spans array<struct<start:int,end:int>>, kept_sha256 string, kept_text string").add("carry", blocks.schema["carry"].dataType))
