@@ -16,6 +16,8 @@ from .common import documents, partitions
 BUCKETS = 256
 #: Distances from a triplet's first byte to its second and third.
 TRIPLETS = ((3, 7), (5, 11), (8, 13))
+#: Texts of fewer bytes are read in a circle, so that each of their bytes begins triplets.
+CIRCLE = 32
 _MUL = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _LENGTH_STEP = 1.2
 _SPARE = np.zeros((256, 256), np.uint8)
@@ -29,6 +31,8 @@ WORST = 6 * BUCKETS
 def bucket_counts(raw: bytes) -> np.ndarray:
     """How often each bucket is hit by the hashed byte triplets of ``raw``."""
     a = np.frombuffer(raw, np.uint8).astype(np.uint32)
+    if 0 < len(a) < CIRCLE:
+        a = np.resize(a, len(a) + TRIPLETS[-1][1])
     counts = np.zeros(BUCKETS, np.int64)
     for k, (i, j) in enumerate(TRIPLETS):
         n = len(a) - j
