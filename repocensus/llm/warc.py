@@ -8,12 +8,14 @@ from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, new_folder, partitions
 
 LEAST_REVISIT = 1000
+#: The date of captures that have none.
+START = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 
 
@@ -90,19 +92,20 @@ def parse_records(raw: bytes):
         at = stop + 4
 
 
-def with_revisits(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest (SHA-1), n_bytes, refers_to: null, or the largest page_id with the same payload where that
+def with_revisits(pages: DataFrame, date: Column | None = None) -> DataFrame:
+    """page_id, url, html, date (a column over ``pages``; null: START), digest (SHA-1), n_bytes, refers_to: null, or the largest page_id with the same payload where that
     is another's and the payload has LEAST_REVISIT bytes at least."""
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), F.coalesce(F.lit(None) if date is None else date, F.lit(START)).alias("date"))
     own = own.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("n_bytes", F.octet_length("html").cast("long"))
     long_ones = own.filter((F.col("n_bytes") >= LEAST_REVISIT) & F.col("page_id").isNotNull()).select("page_id", "digest")
     last = long_ones.groupBy("digest").agg(F.max("page_id").alias("last"), F.min("page_id").alias("first")).filter("first < last").select("digest", "last")
     again = materialize(long_ones.join(materialize(last, "payloads"), "digest").filter("page_id <> last").select("page_id", F.col("digest").alias("of"), F.col("last").alias("refers_to")).distinct(), "revisits")
-    return own.join(again, (own.page_id == again.page_id) & (own.digest == again.of), "left").select(own.page_id, "url", "html", "digest", "n_bytes", "refers_to")
+    return own.join(again, (own.page_id == again.page_id) & (own.digest == again.of), "left").select(own.page_id, "url", "html", "date", "digest", "n_bytes", "refers_to")
 
 
-def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = 4_000) -> None:
-    """Write one record per row of ``pages`` (page_id, url, html) as gzip-compressed WARC files into ``folder``, by Spark's own writer.
+def write_archives(pages: DataFrame, folder: str, date: Column | None = None, records_per_file: int = 4_000) -> None:
+    """Write one record per row of ``pages`` (page_id, url, html) as gzip-compressed WARC files into ``folder``, by Spark's own writer. ``date`` is a
+    column over ``pages`` with the capture's time in ISO 8601, in UTC and whole seconds; without it or where it is null, START.
 
     A page whose payload of at least LEAST_REVISIT bytes is that of a larger page_id is a revisit of it, all others are
     responses. Null html: an empty payload; null url: an empty target; null page_id: an empty record id, always a response;
@@ -113,10 +116,10 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 s = b.slice(at, 256)
-                cols = [s.column(c).to_pylist() for c in ("page_id", "url", "digest", "n_bytes", "refers_to", "html")]
-                yield pa.RecordBatch.from_arrays([pa.array([record(p, u, date, "response" if r is None else "revisit", d, n, r, h) for p, u, d, n, r, h in zip(*cols, strict=True)], pa.string())], names=["value"])
+                cols = [s.column(c).to_pylist() for c in ("page_id", "url", "date", "digest", "n_bytes", "refers_to", "html")]
+                yield pa.RecordBatch.from_arrays([pa.array([record(p, u, t, "response" if r is None else "revisit", d, n, r, h) for p, u, t, d, n, r, h in zip(*cols, strict=True)], pa.string())], names=["value"])
 
-    out = with_revisits(pages).mapInArrow(lines, "value string")
+    out = with_revisits(pages, date).mapInArrow(lines, "value string")
     out.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(f"{folder}/warc")
 
 
@@ -187,8 +190,8 @@ def merged_index(records: DataFrame) -> DataFrame:
     return dealt.mapInArrow(merge, schema)
 
 
-def archive_and_index(pages: DataFrame) -> DataFrame:
+def archive_and_index(pages: DataFrame, date: Column | None = None) -> DataFrame:
     """Write the pages into new archives in the shared folder, read them back, and merge the index of their captures."""
     folder = new_folder(pages.sparkSession, "archives")
-    write_archives(pages, folder)
+    write_archives(pages, folder, date)
     return merged_index(read_archives(pages.sparkSession, folder))

@@ -140,6 +140,22 @@ def test_repeated_spans(spark, docs):
     assert Counter(rows_of(queries.op2_suffix_dedup(spark, SF))) == brute_spans(docs)
 
 
+@pytest.mark.parametrize("hot", [0, 3, 10**6])
+def test_repeated_spans_of_hot_phrases(spark, hot):
+    rng = random.Random(8)
+
+    def noise(n):
+        return "".join(rng.choices("abcdefghij é", k=n))
+
+    phrase, longer = "a phrase of forty bytes or nearly as many", noise(48)
+    rows = [(i, noise(60) + phrase + noise(rng.choice([3, 9, 60])) + longer + noise(30)) for i in range(120)]
+    rows += [(200 + i, rows[i][1][20:110] + noise(40) + rows[i + 1][1][50:105]) for i in range(0, 100, 3)]
+    rows += [(400, "x" * 900), (401, "x" * 130 + noise(20)), (7, rows[3][1]), (None, rows[5][1])]
+    got = suffix.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 50, hot=hot)
+    flat = got.select("doc_id", "n_bytes", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]), F.size("spans"), "kept_sha256")
+    assert Counter(rows_of(flat)) == brute_spans(rows)
+
+
 def test_repeated_spans_odd_rows(spark, odd, empty):
     small = odd.filter("doc_id is null or doc_id not in (6, 7)")
     got = suffix.repeated_spans(small, 50)
@@ -388,6 +404,7 @@ def test_fingerprints_odd_rows(spark, odd, empty):
     assert rows_of(fingerprint.edited_pairs(one))[0][6] == 1.0
     assert rows_of(fingerprint.edited_pairs(empty)) == []
     assert fingerprint.likeness(fingerprint.fingerprint(b""), fingerprint.fingerprint(b"")) == 1
+    assert fingerprint.likeness(fingerprint.fingerprint(b"cat"), fingerprint.fingerprint(b"dog")) < 1
 
 
 # archives
@@ -411,8 +428,9 @@ def test_archives(spark):
     rows = rows_of(spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html"))
     got = queries.op7_warc(spark, SF)
     assert Counter(rows_of(got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))) == brute_warc(rows)
-    order = [(r["url_key"], r["page_id"]) for r in got.orderBy("range", "place").collect()]
+    order = [(r["url_key"], r["date"], r["page_id"]) for r in got.orderBy("range", "place").collect()]
     assert order == sorted(order)
+    assert len({d for _, d, _ in order}) > len(rows) // 2 and all(re.fullmatch(r"2024-\d\d-\d\dT\d\d:\d\d:\d\dZ", d) for _, d, _ in order)
 
 
 def test_archives_odd_rows(spark, tmp_path):
