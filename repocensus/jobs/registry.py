@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import census, code, relations, screens
+from . import census, code, inputs, relations, screens
 
-QUERIES: dict = {**census.Q, **relations.Q, **screens.Q, **code.Q}
-ORACLES: dict = {**census.SQL, **relations.SQL, **screens.SQL, **code.SQL}
+QUERIES: dict = {**census.Q, **relations.Q, **screens.Q, **code.Q, **inputs.Q}
+ORACLES: dict = {**census.SQL, **relations.SQL, **screens.SQL, **code.SQL, **inputs.SQL}

@@ -116,4 +116,5 @@ def selection_rules(zones: DataFrame, rules: DataFrame) -> DataFrame:
 def decide(rules: DataFrame, task: str, fields: int) -> DataFrame:
     """Allowed and forbidden representations of a task over so many fields."""
     hit = rules.filter((F.col("task").isNull() | (F.col("task") == task)) & (F.coalesce("min_fields", F.lit(0)) <= fields) & (F.coalesce("max_fields", F.lit(2**31 - 1)) >= fields))
-    return hit.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("choose")))).alias("choose"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("forbid")))).alias("forbid"))
+    each = hit.select(F.explode(F.array(F.struct(F.lit("choose").alias("kind"), F.col("choose").alias("of")), F.struct(F.lit("forbid").alias("kind"), F.col("forbid").alias("of")))).alias("x")).select("x.kind", F.explode("x.of").alias("name")).distinct()
+    return each.agg(*[F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("name")))).alias(k) for k in ("choose", "forbid")])
