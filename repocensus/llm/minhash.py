@@ -182,10 +182,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
     per_cent = round(100 * threshold)
     sigs = materialize(signatures(docs, width), "signatures")
     usable = sigs.filter("doc_id is not null and n_shingles > 0")
-    first = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    first = materialize(first.select("digest", "rep"), "classes")
-    reps = usable.join(first.withColumnRenamed("rep", "doc_id"), ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "sig", "bands").dropDuplicates(["rep", "sig"])
-    reps = materialize(reps, "representatives")
+    classes = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "sig", "bands"), "doc_id").alias("x"))
+    classes = materialize(classes.select("digest", "rep", "x.*"), "classes")
+    first, reps = classes.select("digest", "rep"), classes.drop("digest")
 
     bands = reps.select("rep", F.posexplode("bands").alias("at", "band"))
     shared = materialize(bands.groupBy("band").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).filter("lead < last").select("band", "lead"), "bands")
