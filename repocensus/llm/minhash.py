@@ -118,14 +118,17 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
 
 def lone_shingles(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(rep, lone): how many shingles of each document in ``ids`` (rep) no other one of them has; documents without such are left out."""
+    """(rep, lone): how many shingles of each document in ``ids`` (rep) no other one of them has; documents without such are left out.
+
+    The ids grow with the documents: texts are shuffled to them at every size, none is broadcast.
+    """
 
     def run(batches):
         for b in text_slices(batches):
             sets = [shingle_set(x, width).view(np.int64) for x in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "h"])
 
-    sets = documents(docs).join(ids.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInArrow(tidy(run, _words.clear), "rep long, h array<long>")
+    sets = documents(docs).join(ids.withColumnRenamed("rep", "doc_id").hint("merge"), "doc_id", "left_semi").mapInArrow(tidy(run, _words.clear), "rep long, h array<long>")
     one = sets.select("rep", F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).filter("n = 1")
     return one.groupBy("rep").agg(F.count("*").alias("lone"))
 
@@ -203,7 +206,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) ->
     rows = materialize(_mixed_bands(rows), "open")
     lone = lone_shingles(rows.select("rep").distinct(), docs, width)
     lone = lone.join(reps.groupBy("rep").agg(F.count("*").alias("n")).filter("n > 1"), "rep", "left_anti")  # two texts of one id: not judged
-    facts = reps.join(rows.select("rep").distinct(), "rep", "left_semi").join(lone, "rep", "left").withColumn("common", F.col("n_shingles") - F.coalesce("lone", F.lit(0)))
+    facts = reps.join(rows.select("rep").distinct().hint("merge"), "rep", "left_semi").join(lone, "rep", "left").withColumn("common", F.col("n_shingles") - F.coalesce("lone", F.lit(0)))
     facts = materialize(facts.filter(f"100 * common >= {per_cent} * n_shingles").select("rep", F.struct("sig", "n_shingles", "common", "bands").alias("x")), "facts")
     rows = materialize(_mixed_bands(materialize(rows.join(facts.select("rep").distinct(), "rep", "left_semi"), "rows")), "open")
     open_rows = materialize(rows.join(facts, "rep"), "open")
