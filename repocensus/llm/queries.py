@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, licences, minhash, packing, suffix, tokens, toxicity, urls, warc
+from . import decontaminate, fingerprint, language, licences, minhash, packing, suffix, tokens, toxicity, urls, warc, whitening
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -69,6 +69,20 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(files_of(read(spark, sf_dir, "documents")), F.size(F.split("text", "\\s+")) <= 40, carry=("doc_id",))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    model = whitening.fit(rows, components=32)
+    each = whitening.whitened(rows, model).select("vec_id", F.expr("try_cast(deviation as long)").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    explained = F.get(F.array(*[F.lit(float(x)) for x in model.explained]).cast("array<double>"), F.col("at"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", explained.alias("explained"), F.lit(model.error).alias("identity_error"))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = language.languages(docs, language.fit(docs))
+    return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def files_of(docs: DataFrame) -> DataFrame:
     """Documents as files source/lang/<thousands of the id>/<id>.txt, "none" where a part is null; one of at most 40 words is a notice for its directory."""
     parts = [F.coalesce(F.expr(x), F.lit("none")) for x in ("source", "lang", "cast(doc_id div 1000 as string)", "cast(doc_id as string)")]
@@ -86,6 +100,8 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_toxicity": op9_toxicity,
     "op10_licences": op10_licences,
+    "op11_whitening": op11_whitening,
+    "op12_language": op12_language,
 }
 
 _TEMPLATES = ", ".join(f"('{k}', '{t}')" for k, t in licences.TEMPLATES)
