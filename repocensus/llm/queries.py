@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprint, language, licences, minhash, packing, suffix, tokens, toxicity, urls, warc, whitening
+from . import decontaminate, fingerprint, language, licences, minhash, packing, phrases, suffix, tokens, toxicity, urls, warc, whitening
 
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -83,6 +83,10 @@ def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"), least=100, top=2000)
+
+
 def files_of(docs: DataFrame) -> DataFrame:
     """Documents as files source/lang/<thousands of the id>/<id>.txt, "none" where a part is null; one of at most 40 words is a notice for its directory."""
     parts = [F.coalesce(F.expr(x), F.lit("none")) for x in ("source", "lang", "cast(doc_id div 1000 as string)", "cast(doc_id as string)")]
@@ -102,6 +106,7 @@ QUERIES = {
     "op10_licences": op10_licences,
     "op11_whitening": op11_whitening,
     "op12_language": op12_language,
+    "op13_collocations": op13_collocations,
 }
 
 _TEMPLATES = ", ".join(f"('{k}', '{t}')" for k, t in licences.TEMPLATES)
@@ -119,5 +124,15 @@ given AS (SELECT leaf, licence FROM (SELECT *, row_number() OVER (PARTITION BY l
 SELECT f.leaf || '/' || coalesce(CAST(f.doc_id AS VARCHAR), 'none') || '.txt' AS path, mine.licence AS own_licence, score AS own_score, given.licence AS inherited_licence, CASE WHEN given.leaf IS NOT NULL THEN f.leaf END AS inherited_from, coalesce(mine.licence, given.licence) AS licence,
  CASE WHEN mine.licence IS NOT NULL THEN 'own' WHEN given.licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS basis, f.doc_id FROM files f LEFT JOIN mine ON mine.doc_id = f.doc_id LEFT JOIN given ON given.leaf = f.leaf"""
 
+_COLLOCATIONS = """WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+counted AS (SELECT lang, m, phrase, count(*) AS f FROM (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i : i + m - 1], ' '))) AS phrase FROM words, (SELECT unnest(range(1, 6)) AS m)) GROUP BY ALL),
+total AS (SELECT lang, sum(f)::HUGEINT AS n FROM counted WHERE m = 1 GROUP BY lang), f AS (SELECT * FROM counted WHERE f >= 100), several AS (SELECT * FROM f WHERE m > 1),
+longer AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, f, unnest([array_to_string(string_split(phrase, ' ')[1 : m - 1], ' '), array_to_string(string_split(phrase, ' ')[2 : m], ' ')]) AS phrase FROM several) GROUP BY ALL),
+cuts AS (SELECT s.lang, s.phrase, s.f AS a, k, array_to_string(string_split(s.phrase, ' ')[1 : k], ' ') AS head, array_to_string(string_split(s.phrase, ' ')[k + 1 : m], ' ') AS tail FROM several s LEFT JOIN longer g ON g.lang = s.lang AND g.phrase = s.phrase, (SELECT unnest(range(1, 5)) AS k) WHERE k < m AND (g.f IS NULL OR 100 * g.f < 100 * s.f)),
+scored AS (SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, n, (1000 * c.a::HUGEINT * n) // (x.f::HUGEINT * y.f) AS score FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.head JOIN f y ON y.lang = c.lang AND y.phrase = c.tail JOIN total t ON t.lang = c.lang),
+weakest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS q FROM scored) WHERE q = 1)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest) WHERE rank <= 2000"""
+
 #: The other operators (byte-level encoding, suffix sorting, signatures, models, archives) are tested against brute force.
-ORACLES: dict[str, str] = {"op10_licences": _LICENCES}
+ORACLES: dict[str, str] = {"op10_licences": _LICENCES, "op13_collocations": _COLLOCATIONS}
