@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import distributions as D
 from ..operators import duplicates, quality, ratchet, security, styles
+from ..sources import markup
 
 Q: dict = {}
 SQL: dict = {}
@@ -297,8 +298,31 @@ def hardcoded_values(spark, sf_dir):
 SELECT repo, fg, bg, round((greatest(a, b) + 0.05) / (least(a, b) + 0.05), 2) AS ratio, round((greatest(a, b) + 0.05) / (least(a, b) + 0.05), 2) < 4.5 AS fails FROM l""")
 def contrast_pairs(spark, sf_dir):
     c = part_colours(spark, sf_dir)
-    decls = c.select(F.lit("all").alias("repo"), F.lit("f").alias("file"), F.col("p_partkey").alias("rule_id"), F.explode(F.array(F.struct(F.lit("color").alias("prop"), F.col("fg").alias("value"), F.lit(1).alias("ord")), F.struct(F.lit("background").alias("prop"), F.lit("#fff").alias("value"), F.lit(2).alias("ord")), F.struct(F.lit("background").alias("prop"), F.col("bg").alias("value"), F.lit(3).alias("ord")))).alias("d")).select("repo", "file", "rule_id", "d.*")
-    return styles.contrast_pairs(decls)
+    decls = c.select(F.lit("all").alias("repo"), F.lit("f").alias("file"), F.col("p_partkey").alias("rule_id"), F.lit("a").alias("selector"), F.explode(F.array(F.struct(F.lit("color").alias("prop"), F.col("fg").alias("value"), F.lit(1).alias("ord")), F.struct(F.lit("background").alias("prop"), F.lit("#fff").alias("value"), F.lit(2).alias("ord")), F.struct(F.lit("background").alias("prop"), F.col("bg").alias("value"), F.lit(3).alias("ord")))).alias("d")).select("repo", "file", "rule_id", "selector", "d.*")
+    return styles.contrast_pairs(decls).select("repo", "fg", "bg", "ratio", "fails")
+
+
+@query(f"""WITH RECURSIVE {COLOURS}, k AS (SELECT CAST(p_size % 7 AS VARCHAR) AS repo, p_partkey AS k, fg, bg, lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS file FROM col),
+token AS (SELECT repo, '--ink-' || k AS token, fg AS value FROM k UNION ALL SELECT repo, '--paper-' || k, CASE k % 4 WHEN 0 THEN bg WHEN 1 THEN '--ink-' || (k - k % 50) WHEN 2 THEN '--paper-' || (k + 7) ELSE '--paper-' || k END FROM k),
+chase AS (SELECT repo, token, value, 0 AS depth FROM token UNION ALL SELECT c.repo, c.token, t.value, depth + 1 FROM chase c JOIN token t ON t.repo = c.repo AND t.token = c.value WHERE depth < 6),
+known AS (SELECT repo, token, any_value(value) AS rgb FROM chase WHERE value LIKE '#%' GROUP BY ALL),
+rule AS (SELECT repo, file, '--ink-' || k AS fg, '--paper-' || k AS bg, '.card-' || k AS selector, k % 3 = 0 AS state, k FROM k UNION ALL
+SELECT repo, file, 'rgb(' || k % 256 || ', ' || k * 7 % 256 || ' 9)' AS fg, '#FFF' AS bg, '.plain-' || k || ' > b, i' AS selector, false, k FROM k UNION ALL SELECT repo, file, fg, '--nowhere', '.lost', false, k FROM k),
+one AS (SELECT repo, fg, bg, max(file) AS file, arg_max(selector, file) AS selector, arg_max(state, file) AS state FROM rule GROUP BY ALL),
+seen AS (SELECT o.*, CASE WHEN o.fg LIKE '--%' THEN a.rgb WHEN o.fg LIKE 'rgb%' THEN '#' || array_to_string(list_transform(regexp_extract_all(o.fg, '[0-9]+'), lambda x: lpad(lower(to_hex(CAST(x AS BIGINT))), 2, '0')), '') ELSE o.fg END AS f, CASE WHEN o.bg LIKE '--%' THEN b.rgb ELSE '#ffffff' END AS g
+FROM one o LEFT JOIN known a ON a.repo = o.repo AND a.token = o.fg LEFT JOIN known b ON b.repo = o.repo AND b.token = o.bg),
+r AS (SELECT *, CASE WHEN state THEN 'state overridden' WHEN f IS NULL OR g IS NULL THEN 'unresolved' ELSE 'checked' END AS outcome, {lum('f')} AS a, {lum('g')} AS b FROM seen)
+SELECT repo, fg, bg, file || '.css' AS file, selector, outcome, CASE outcome WHEN 'state overridden' THEN selector || ' is repainted by a state rule' WHEN 'unresolved' THEN concat_ws(', ', CASE WHEN f IS NULL THEN fg END, CASE WHEN g IS NULL THEN bg END) || ' leads to no colour' END AS reason,
+CASE WHEN outcome = 'checked' THEN round((greatest(a, b) + 0.05) / (least(a, b) + 0.05), 2) END AS ratio, CASE WHEN outcome = 'checked' THEN round((greatest(a, b) + 0.05) / (least(a, b) + 0.05), 2) < 4.5 END AS fails FROM r""")
+def contrast_report(spark, sf_dir):
+    k = part_colours(spark, sf_dir)
+    css = F.expr("""concat('/* a: b */ @media (min-width: 1px) { :root { --ink-', p_partkey, ': ', fg, '; --paper-', p_partkey, ': ',
+    case p_partkey % 4 when 0 then bg when 1 then concat('var(--ink-', p_partkey - p_partkey % 50, ')') when 2 then concat('VAR( --paper-', p_partkey + 7, ', #fff)') else concat('var(--paper-', p_partkey, ')') end, '; } }\n',
+    '.card-', p_partkey, ' { color: red; background: var(--never); color: var(--ink-', p_partkey, ', blue); background-color: var(--paper-', p_partkey, '); color: inherit }\n',
+    if(p_partkey % 3 = 0, concat('a:checked + .card-', p_partkey, ':hover::before, .other { background: url(x;y) }\n'), ''),
+    '.plain-', p_partkey, ' > b, i { color: rgb(', p_partkey % 256, ', ', p_partkey * 7 % 256, ' 9); background: #FFF }\n.lost { color: ', fg, '; background: var(--nowhere) }')""")
+    files = k.select((F.col("p_size") % 7).cast("string").alias("repo"), F.format_string("%09d.css", "p_partkey").alias("path"), css.alias("content"))
+    return styles.contrast_pairs(markup.css_declarations(files))
 
 
 @query(f"""WITH {COLOURS}, t AS (SELECT DISTINCT 't' || p_size AS token, bg AS colour FROM col WHERE p_partkey <= 12), r AS (SELECT p_partkey, fg AS colour, token, CAST({dist('fg', 't.colour')} AS INTEGER) AS distance FROM col, t)
@@ -317,14 +341,55 @@ def pixels(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 5).cast("string").alias("image"), F.concat(F.lit("#"), F.repeat(step, 3)).alias("rgb"), F.col("l_quantity").cast("long").alias("n"))
 
 
-@query(f"""WITH {PIXELS}, c AS (SELECT image, rgb, sum(n) AS n FROM px GROUP BY ALL), w AS (SELECT *, sum(n) OVER (PARTITION BY image) AS total FROM c), kept AS (SELECT * FROM w WHERE n >= 0.1 * total),
-near AS (SELECT w.image, w.rgb, w.n, k.rgb AS home, row_number() OVER (PARTITION BY w.image, w.rgb ORDER BY {dist('w.rgb', 'k.rgb')}, k.rgb) AS r FROM w JOIN kept k ON w.image = k.image WHERE w.n < 0.1 * w.total AND {dist('w.rgb', 'k.rgb')} <= 200),
-f AS (SELECT image, rgb, n, total FROM kept UNION ALL SELECT image, home, n, 0 FROM near WHERE r = 1), g AS (SELECT image, rgb, sum(n) AS n, max(total) AS total FROM f GROUP BY ALL)
-SELECT image, rgb, CAST(n AS BIGINT) AS n, round(n / total, 4) AS share, CAST(row_number() OVER (PARTITION BY image ORDER BY n DESC, rgb) AS INTEGER) AS rank FROM g""")
+def palette_sql(px: str, keep: float, merge: int) -> str:
+    """Colour by colour in order of count, with the list of those that stand so far."""
+    far = dist("h.rgb", "c.rgb")
+    return f"""WITH RECURSIVE {px}, n AS (SELECT image, rgb, CAST(sum(n) AS BIGINT) AS n FROM px GROUP BY ALL), c AS (SELECT *, sum(n) OVER (PARTITION BY image) AS total, row_number() OVER (PARTITION BY image ORDER BY n DESC, rgb) AS k FROM n),
+fold AS (SELECT DISTINCT image, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(rgb VARCHAR, n BIGINT)[]) AS heads FROM c UNION ALL
+SELECT image, k, CASE WHEN n >= {keep} * total OR near IS NULL OR near > {merge} THEN list_append(heads, {{'rgb': rgb, 'n': n}}) ELSE list_transform(heads, lambda h, i: CASE WHEN i = list_position(away, near) THEN {{'rgb': h.rgb, 'n': h.n + n}} ELSE h END) END
+FROM (SELECT *, list_min(away) AS near FROM (SELECT f.image, c.k, c.rgb, c.n, c.total, f.heads, list_transform(f.heads, lambda h: {far}) AS away FROM fold f JOIN c ON c.image = f.image AND c.k = f.k + 1))),
+ends AS (SELECT image, unnest(heads) AS h FROM fold WHERE k = (SELECT max(k) FROM c WHERE c.image = fold.image)), t AS (SELECT image, CAST(sum(n) AS BIGINT) AS total FROM n GROUP BY image)
+SELECT * FROM (SELECT image, h.rgb AS rgb, h.n AS n, round(h.n / total, 4) AS share, CAST(row_number() OVER (PARTITION BY image ORDER BY h.n DESC, h.rgb) AS INTEGER) AS rank FROM ends JOIN t USING (image)) WHERE rank <= 12"""
+
+
+@query(palette_sql(PIXELS, 0.1, 200))
 def palette(spark, sf_dir):
     return styles.palette(pixels(spark, sf_dir), keep=0.1, merge=200)
 
 
+MANY = "px AS (SELECT CAST(l_suppkey % 5 AS VARCHAR) AS image, '#' || lpad(lower(to_hex(CAST(l_quantity % 10 * 25 AS BIGINT))), 2, '0') || lpad(lower(to_hex(CAST(l_linenumber * 30 AS BIGINT))), 2, '0') || lpad(lower(to_hex(CAST(l_orderkey % 4 * 10 AS BIGINT))), 2, '0') AS rgb, CAST(CASE WHEN l_quantity >= 40 THEN 1 + l_linenumber ELSE 1 END AS BIGINT) AS n FROM lineitem)"
+
+
+def many_pixels(spark, sf_dir):
+    rgb = [F.lower(F.lpad(F.hex(F.expr(f"cast({x} as long)")), 2, "0")) for x in ("l_quantity % 10 * 25", "l_linenumber * 30", "l_orderkey % 4 * 10")]
+    return table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 5).cast("string").alias("image"), F.concat(F.lit("#"), *rgb).alias("rgb"), F.expr("cast(if(l_quantity >= 40, 1 + l_linenumber, 1) as long)").alias("n"))
+
+
+@query(palette_sql(MANY, 0.01, 36))
+def palette_folded(spark, sf_dir):
+    return styles.palette(many_pixels(spark, sf_dir), keep=0.01)
+
+
+def hsl_sql(c: str) -> str:
+    r, g, b = [f"CAST('0x' || substr({c}, {i}, 2) AS INTEGER)" for i in (2, 4, 6)]
+    top, low = f"greatest({r}, {g}, {b})", f"least({r}, {g}, {b})"
+    half = f"(({top} + {low}) / 510.0)"
+    return f"CASE WHEN {top} = {low} THEN 0 WHEN {half} > 0.5 THEN ({top} - {low}) / (510.0 - {top} - {low}) ELSE ({top} - {low}) / CAST({top} + {low} AS DOUBLE) END"
+
+
+@query(f"""WITH {MANY}, c AS (SELECT image, rgb, sum(n) AS n FROM px GROUP BY ALL), s AS (SELECT image, rgb, n / sum(n) OVER (PARTITION BY image) AS share FROM c), g AS (SELECT *, CASE WHEN image <> '4' THEN '#0a3c0a' END AS ground FROM s),
+v AS (SELECT *, {lum('rgb')} AS a, {lum('ground')} AS b, {hsl_sql('rgb')} AS sat, greatest({', '.join(f"abs(CAST('0x' || substr(rgb, {i}, 2) AS INTEGER) - CAST('0x' || substr(ground, {i}, 2) AS INTEGER))" for i in (2, 4, 6))}) AS away FROM g WHERE ground IS NOT NULL AND rgb <> ground),
+text AS (SELECT image, rgb, round((greatest(a, b) + 0.05) / (least(a, b) + 0.05), 4) AS value FROM v QUALIFY row_number() OVER (PARTITION BY image ORDER BY value DESC, rgb) = 1),
+accent AS (SELECT image, rgb, round(sat, 4) AS value FROM v ANTI JOIN text USING (image, rgb) WHERE round(sat, 4) > 0.15 QUALIFY row_number() OVER (PARTITION BY image ORDER BY value DESC, rgb) = 1),
+surface AS (SELECT image, rgb, share AS value FROM v ANTI JOIN text USING (image, rgb) ANTI JOIN accent USING (image, rgb) WHERE away <= 24 AND share >= 0.001 QUALIFY row_number() OVER (PARTITION BY image ORDER BY value DESC, rgb) = 1)
+SELECT image, 'refused' AS role, NULL AS rgb, NULL AS value FROM g WHERE ground IS NULL GROUP BY image UNION ALL SELECT DISTINCT image, 'background', ground, 1.0 FROM g WHERE ground IS NOT NULL UNION ALL SELECT image, 'text', rgb, value FROM text UNION ALL SELECT image, 'accent', rgb, value FROM accent UNION ALL SELECT image, 'surface', rgb, value FROM surface""")
+def named_colours(spark, sf_dir):
+    c = many_pixels(spark, sf_dir).groupBy("image", "rgb").agg(F.sum("n").alias("n"))
+    total = c.groupBy("image").agg(F.sum("n").alias("all"))
+    shares = c.join(total, "image").select("image", "rgb", (F.col("n") / F.col("all")).alias("share"), F.when(F.col("image") != "4", "#0a3c0a").alias("ground"))
+    return styles.name_tokens(shares, surface_share=0.001)
+
+
 @query(f"WITH {PIXELS}, c AS (SELECT image, rgb, sum(n) AS n FROM px GROUP BY ALL) SELECT image, rgb AS ground FROM (SELECT *, row_number() OVER (PARTITION BY image ORDER BY n DESC, rgb) AS r FROM c) WHERE r = 1")
 def page_ground(spark, sf_dir):
     return styles.page_ground(pixels(spark, sf_dir))

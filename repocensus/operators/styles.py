@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import colours as C
@@ -88,13 +90,68 @@ def resolve_aliases(tokens: DataFrame) -> DataFrame:
     return state.select("repo", "token", F.when(why.isNull(), F.col("value")).alias("value"), why.alias("unresolved"))
 
 
+def repainted_subjects(decls: DataFrame) -> DataFrame:
+    """(repo, subject): elements whose background a state rule sets, as ``.a:checked + .b:hover`` does for .b; each once."""
+    painted = decls.filter(F.col("prop").isin("background", "background-color")).select("repo", "file", "rule_id", "selector").distinct()
+    last = painted.select("repo", F.explode(F.split("selector", ",")).alias("part")).select("repo", _subject(F.col("part")).alias("whole"))
+    base = F.regexp_replace("whole", r"(:{1,2}[\w-]+(\([^)]*\))?)+$", "")
+    return last.select("repo", "whole", base.alias("subject")).filter("subject <> '' and subject <> whole").select("repo", "subject").distinct()
+
+
+def _subject(selector: Column) -> Column:
+    """The last compound of a selector: what it is about, whatever leads to it."""
+    return F.element_at(F.split(F.trim(selector), r"\s*[+>~ ]\s*"), -1)
+
+
+VAR = r"(?i)var\(\s*(--[a-z0-9-]+)"
+
+
+def token_colours(decls: DataFrame) -> DataFrame:
+    """(repo, token, rgb) of the custom properties whose first declaration is a colour or leads to one by var(); rgb null for the others.
+
+    Chains are followed by doubling; one that loops or ends nowhere stays null. As many rounds as the longest chain has binary digits.
+    """
+    first = first_declared(decls).withColumn("rgb", C.parse_colour(F.col("value")))
+    state = cut(first.select("repo", "token", "rgb", F.when(F.col("rgb").isNull(), F.nullif(F.regexp_extract("value", VAR, 1), F.lit(""))).alias("next")))
+    for _ in range(state.count().bit_length() + 1):
+        open_ = state.filter("next is not null")
+        if open_.isEmpty():
+            break
+        to = state.select("repo", F.col("token").alias("next"), F.col("rgb").alias("to_rgb"), F.col("next").alias("to_next"))
+        moved = open_.join(to, ["repo", "next"], "left").select("repo", "token", F.col("to_rgb").alias("rgb"), F.col("to_next").alias("next"))
+        state = cut(state.filter("next is null").unionByName(moved))
+    return state.select("repo", "token", "rgb")
+
+
 def contrast_pairs(decls: DataFrame, least: float = 4.5) -> DataFrame:
-    """Distinct (repo, fg, bg) that some rule sets together, the last declaration of each winning, with the ratio and whether it fails."""
+    """(repo, fg, bg) that some rule sets together, each once, and what became of it: repo, fg, bg, file, selector, outcome, reason, ratio, fails.
+
+    fg and bg are as written: a colour, or the name of the token that var() reads; the last declaration in a rule wins, values that are
+    neither (inherit, transparent, a gradient) don't count. Of several rules with a pair the last by file and place speaks for it. outcome
+    is ``checked`` (with the ratio of the two colours and whether it is below ``least``), ``state overridden`` where a state rule repaints the rule's subject, so
+    the two may never meet, or ``unresolved`` where a token leads to no colour. Only checked pairs have a ratio: the others were not measured.
+    """
+    value = F.coalesce(F.nullif(F.regexp_extract("value", VAR, 1), F.lit("")), F.when(C.parse_colour(F.col("value")).isNotNull(), F.trim("value")))
     kind = F.when(F.col("prop") == "color", "fg").when(F.col("prop").isin("background", "background-color"), "bg")
-    last = decls.withColumn("kind", kind).filter("kind is not null").groupBy("repo", "file", "rule_id", "kind").agg(F.max(F.struct("ord", "value")).alias("x"))
-    pair = last.groupBy("repo", "file", "rule_id").agg(F.max(F.when(F.col("kind") == "fg", F.col("x.value"))).alias("fg"), F.max(F.when(F.col("kind") == "bg", F.col("x.value"))).alias("bg"))
-    hex_ = pair.select("repo", C.expand_hex(F.col("fg")).alias("fg"), C.expand_hex(F.col("bg")).alias("bg")).filter("fg is not null and bg is not null and fg <> bg").distinct()
-    return with_contrast(hex_, least)
+    own = decls.withColumn("kind", kind).withColumn("paint", value).filter("kind is not null and paint is not null")
+
+    def last(k: str) -> Column:
+        return F.max(F.when(F.col("kind") == k, F.struct("ord", "paint")))["paint"]
+
+    pair = own.groupBy("repo", "file", "rule_id").agg(last("fg").alias("fg"), last("bg").alias("bg"), F.max("selector").alias("selector")).filter("fg <> bg")
+    pair = pair.withColumn("subject", _subject(F.element_at(F.split("selector", ","), 1)))
+    pair = pair.join(repainted_subjects(decls).withColumn("state", F.lit(True)), ["repo", "subject"], "left")
+    pair = pair.groupBy("repo", "fg", "bg").agg(F.max(F.struct("file", "rule_id", "selector", "subject", "state")).alias("x")).select("repo", "fg", "bg", "x.file", "x.selector", "x.subject", "x.state")
+    known = token_colours(decls)
+    for side in ("fg", "bg"):
+        pair = pair.join(known.select("repo", F.col("token").alias(side), F.col("rgb").alias(f"{side}_token")), ["repo", side], "left")
+        pair = pair.withColumn(f"{side}_rgb", F.when(F.col(side).startswith("--"), F.col(f"{side}_token")).otherwise(C.parse_colour(F.col(side))))
+    lost = F.concat_ws(", ", *[F.when(F.col(f"{side}_rgb").isNull(), F.col(side)) for side in ("fg", "bg")])
+    outcome = F.when(F.col("state"), "state overridden").when(lost != "", "unresolved").otherwise("checked")
+    reason = F.when(F.col("state"), F.concat("subject", F.lit(" is repainted by a state rule"))).when(lost != "", F.concat(lost, F.lit(" leads to no colour")))
+    pair = pair.withColumn("outcome", outcome).withColumn("reason", reason)
+    pair = pair.withColumn("ratio", F.when(F.col("outcome") == "checked", F.round(C.contrast_of(F.col("fg_rgb"), F.col("bg_rgb")), 2))).withColumn("fails", F.col("ratio") < least)
+    return pair.select("repo", "fg", "bg", "file", "selector", "outcome", "reason", "ratio", "fails")
 
 
 def with_contrast(pairs: DataFrame, least: float = 4.5) -> DataFrame:
@@ -114,18 +171,32 @@ def nearest_token(used: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def palette(pixels: DataFrame, keep: float = 0.002, merge: int = 36, top: int = 12) -> DataFrame:
-    """(image, rgb, n) to each image's leading colours: those of a share of at least ``keep``, rarer ones folded into the nearest kept.
+    """(image, rgb, n) to each image's leading colours: (image, rgb, n, share, rank).
 
-    A rarer colour further than ``merge`` from all kept stays out.
+    Colours are taken in order of their count, ties by value. One of a share of at least ``keep`` stands for itself; a rarer one
+    joins the nearest colour so far (of equally near ones the first) if its channels are at most ``merge`` away in sum, else it stands for itself too; so an
+    image of rare colours alone has a palette. Shares are of all pixels. Groups are images; a colour is a row, whatever the number of pixels.
     """
-    every = pixels.groupBy("image").agg(F.sum("n").alias("all"))
-    c = pixels.groupBy("image", "rgb").agg(F.sum("n").alias("n")).join(every, "image")
-    kept, rare = c.filter(F.col("n") >= keep * F.col("all")), c.filter(F.col("n") < keep * F.col("all"))
-    near = rare.join(kept.select("image", F.col("rgb").alias("to")), "image").withColumn("d", C.distance(F.col("rgb"), F.col("to"))).filter(F.col("d") <= merge)
-    folded = near.groupBy("image", "rgb", "n").agg(F.min(F.struct("d", "to")).alias("x")).select("image", F.col("x.to").alias("rgb"), "n", F.lit(0).cast("long").alias("all"))
-    total = kept.unionByName(folded).groupBy("image", "rgb").agg(F.sum("n").alias("n"), F.max("all").alias("all"))
-    rank = F.row_number().over(Window.partitionBy("image").orderBy(F.desc("n"), "rgb"))
-    return total.withColumn("rank", rank).filter(F.col("rank") <= top).select("image", "rgb", "n", share("n", "all", 4).alias("share"), "rank")
+
+    def fold(key: tuple, table: pa.Table) -> pa.Table:
+        rows = sorted(zip((-n for n in table.column("n").to_pylist()), table.column("rgb").to_pylist(), strict=True))
+        total, names = -sum(n for n, _ in rows), [c for _, c in rows]
+        rgb = np.array([[int(c[i : i + 2], 16) for i in (1, 3, 5)] for c in names], np.int32).reshape(-1, 3)
+        heads, sums = np.zeros(len(rows), np.int64), []
+        for k, (minus, _) in enumerate(rows):
+            if -minus < keep * total and sums:
+                away = np.abs(rgb[heads[: len(sums)]] - rgb[k]).sum(axis=1)
+                if away.min() <= merge:
+                    sums[int(away.argmin())] -= minus
+                    continue
+            heads[len(sums)] = k
+            sums.append(-minus)
+        order = sorted(range(len(sums)), key=lambda i: (-sums[i], names[heads[i]]))[:top]
+        return pa.table({"image": pa.array([key[0].as_py()] * len(order), table.schema.field("image").type), "rgb": [names[heads[i]] for i in order], "n": pa.array([sums[i] for i in order], pa.int64()), "all": pa.array([total] * len(order), pa.int64()), "rank": pa.array(range(1, len(order) + 1), pa.int32())})
+
+    counts = pixels.groupBy("image", "rgb").agg(F.sum("n").cast("long").alias("n"))
+    out = counts.groupBy("image").applyInArrow(fold, f"image {dict(pixels.dtypes)['image']}, rgb string, n long, all long, rank int")
+    return out.select("image", "rgb", "n", share("n", "all", 4).alias("share"), "rank")
 
 
 def page_ground(edges: DataFrame) -> DataFrame:
@@ -143,13 +214,24 @@ def rhythm_gaps(rows: DataFrame, top: int = 6) -> DataFrame:
     return c.withColumn("rank", F.row_number().over(Window.partitionBy("image").orderBy(F.desc("n"), F.desc("length")))).filter(F.col("rank") <= top)
 
 
-def name_tokens(colours: DataFrame) -> DataFrame:
-    """(image, rgb, share, ground) to one colour for each role: text by the largest contrast, accent by the largest saturation above .15."""
-    other = colours.filter("rgb <> ground")
-    text = other.groupBy("image").agg(F.max(F.struct(F.round(C.contrast(F.col("rgb"), F.col("ground")), 4).alias("v"), "rgb")).alias("x")).select("image", F.lit("text").alias("role"), "x.rgb")
-    s = F.round(C.saturation(F.col("rgb")), 4)
-    accent = other.filter(s > 0.15).join(text.select("image", "rgb"), ["image", "rgb"], "left_anti").groupBy("image").agg(F.max(F.struct(s.alias("v"), "rgb")).alias("x")).select("image", F.lit("accent").alias("role"), "x.rgb")
-    return text.unionByName(accent)
+def name_tokens(colours: DataFrame, surface_share: float = 0.1) -> DataFrame:
+    """(image, rgb, share, ground) to (image, role, rgb, value): one colour for each role, each from what the roles before it left.
+
+    background: the ground; text: the largest contrast with it; accent: the largest saturation (of hue, saturation and lightness)
+    above .15; surface: of the colours whose every channel is within 24 of the ground and whose share is ``surface_share`` or more, that of the largest share. value is what
+    decided. Ties: the smaller colour. An image without a ground gets the role ``refused`` alone; a role without a colour no row.
+    """
+    refused = colours.groupBy("image").agg(F.max("ground").alias("ground")).filter("ground is null").select("image", F.lit("refused").alias("role"), F.lit(None).cast("string").alias("rgb"), F.lit(None).cast("double").alias("value"))
+    left = colours.filter("ground is not null").groupBy("image", "rgb").agg(F.max("share").alias("share"), F.max("ground").alias("ground"))
+    ground = left.select("image", F.lit("background").alias("role"), F.col("ground").alias("rgb"), F.lit(1.0).alias("value")).distinct()
+    left = left.filter("rgb <> ground")
+    text, accent = F.round(C.contrast(F.col("rgb"), F.col("ground")), 4), F.round(C.saturation(F.col("rgb")), 4)
+    left = left.withColumns({"text": text, "accent": accent, "near": C.widest_channel(F.col("rgb"), F.col("ground"))})
+    out = refused.unionByName(ground)
+    for role, value, fits in (("text", "text", "true"), ("accent", "accent", "accent > 0.15"), ("surface", "share", f"near <= 24 and share >= {surface_share}")):
+        best = left.filter(fits).groupBy("image").agg(F.min(F.struct((-F.col(value)).alias("m"), "rgb")).alias("x")).select("image", F.lit(role).alias("role"), F.col("x.rgb").alias("rgb"), (-F.col("x.m")).cast("double").alias("value"))
+        out, left = out.unionByName(best), left.join(best.select("image", "rgb"), ["image", "rgb"], "left_anti")
+    return out
 
 
 def media_caps(decls: DataFrame, least: float = 480) -> DataFrame:
