@@ -50,7 +50,7 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words, owner, np.concatenate([[True], marks[1:] != marks[:-1]])[: len(starts)]
 
 
-def slices(batches, size: int = 8 << 20):
+def slices(batches, size: int = 4 << 20):
     """Slices of Arrow batches with text, of about ``size`` bytes (one row at least)."""
     for b in batches:
         n = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -98,41 +98,45 @@ def numbered(rows: DataFrame, *order) -> tuple[DataFrame, int]:
 
 
 def encoded(docs: DataFrame, vocabulary: DataFrame, size: int, width: int) -> DataFrame:
-    """(ids) of each document: numbers of its frequent words, 0 for the others, cuts where a piece begins. ``vocabulary`` (number, lang, phrase, in
-    numbers from 1 to ``size``) is given out ``width`` words at a time, each in a pass of its own; passes but the first fill in what those before left at 0."""
-    out = docs.select("lang", "text", F.lit(None).cast("array<int>").alias("ids"))
+    """(ids): streams of the numbers of frequent words, 0 for the others, a cut before each piece; 32 bits a word, end to end in bytes, a
+    row for each slice of the texts. ``vocabulary`` (number, lang, phrase, in numbers from 1 to ``size``) is given out ``width`` words at a time,
+    each in a pass of its own; passes but the first fill in what those before left at 0, slice by slice."""
+    out = docs.select("lang", "text")
     for low in range(1, max(size, 1) + 1, width):
         rows = vocabulary.filter(F.col("number").between(low, low + width - 1)).select("lang", "phrase", "number").toArrow()
         by_lang = {}
         for name in rows.column("lang").unique().to_pylist():
             own = rows.filter(pc.equal(rows.column("lang"), name))
             by_lang[name] = (own.column("phrase").combine_chunks().cast(pa.large_string()), own.column("number").to_numpy())
-
-        def run(batches, by_lang=by_lang, more=low + width <= size):
-            for b in slices(batches):
-                words, owner, begins = words_of(b.column("text"))
-                langs, ids = b.column("lang").to_pylist(), np.zeros(len(words), np.int32)
-                names = sorted(set(langs))
-                which = np.array([names.index(x) for x in langs])[owner]
-                for k, name in enumerate(names):
-                    if name in by_lang and (own := np.flatnonzero(which == k)).size:
-                        at = pc.fill_null(pc.index_in(words.take(pa.array(own)), value_set=by_lang[name][0]), -1).to_numpy(zero_copy_only=False)
-                        ids[own[at >= 0]] = by_lang[name][1][at[at >= 0]]
-                places = np.arange(len(ids)) + np.cumsum(begins)
-                stream = np.full(len(ids) + int(begins.sum()), _CUT, np.int32)
-                stream[places] = ids
-                n = np.bincount(owner, minlength=len(langs)) + np.bincount(owner[begins], minlength=len(langs))
-                before = b.column("ids")
-                if before.null_count < len(before):
-                    stream = np.maximum(stream, before.flatten().to_numpy())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(stream))
-                yield pa.RecordBatch.from_arrays([*([b.column("lang"), b.column("text")] if more else []), lists], names=[*(["lang", "text"] if more else []), "ids"])
-
-        last = low + width > size
-        out = materialize(out.mapInArrow(tidy(run), "ids array<int>" if last else "lang string, text string, ids array<int>"), "ids")
+        first, last = low == 1, low + width > size
+
+        def run(batches, by_lang=by_lang, first=first, last=last):
+            for b in slices(batches) if first else batches:
+                for lang, text, before in [(b.column("lang"), b.column("text"), None)] if first else zip(b.column("lang"), b.column("text"), b.column("ids"), strict=True):
+                    lang, text = (lang, text) if first else (pa.array(lang.as_py()), pa.array(text.as_py(), pa.large_string()))
+                    stream = _stream(lang.to_pylist(), text, by_lang)
+                    if not first:
+                        stream = np.maximum(stream, np.frombuffer(before.as_py(), "<i4"))
+                    ids = pa.array([stream.astype("<i4").tobytes()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([ids] if last else [pa.array([lang.to_pylist()]), pa.array([text.to_pylist()]), ids], names=["ids"] if last else ["lang", "text", "ids"])
+
+        out = materialize(out.mapInArrow(tidy(run), "ids binary" if last else "lang array<string>, text array<string>, ids binary"), "ids")
     return out
 
 
+def _stream(langs: list[str], texts: pa.Array, by_lang: dict) -> np.ndarray:
+    words, owner, begins = words_of(texts)
+    ids, names = np.zeros(len(words), np.int32), sorted(set(langs))
+    which = np.array([names.index(x) for x in langs])[owner]
+    for k, name in enumerate(names):
+        if name in by_lang and (own := np.flatnonzero(which == k)).size:
+            at = pc.fill_null(pc.index_in(words.take(pa.array(own)), value_set=by_lang[name][0]), -1).to_numpy(zero_copy_only=False)
+            ids[own[at >= 0]] = by_lang[name][1][at[at >= 0]]
+    stream = np.full(len(ids) + int(begins.sum()), _CUT, np.int32)
+    stream[np.arange(len(ids)) + np.cumsum(begins)] = ids
+    return stream
+
+
 class Trie:
     """A double-array trie over sequences of word numbers: from state s letter c leads to base[s] + c if check there says s.
     Letters are the places of the trie's own words among themselves, so the arrays are bounded by the sequences."""
@@ -218,31 +222,31 @@ class Trie:
         return out
 
 
-def _ints(batch: pa.RecordBatch, col: str) -> np.ndarray:
-    """A list column end to end; pieces begin with cuts, so nothing reaches over the rows' ends but a last cut is missing."""
-    return np.append(batch.column(col).flatten().to_numpy(zero_copy_only=False).astype(np.int64), _CUT)
+def _ints(batch: pa.RecordBatch, col: str, kind: str = "<i4") -> Iterator[np.ndarray]:
+    """The streams of a batch, a cut behind each: a piece begins with a cut, but nothing ends the last."""
+    for x in batch.column(col):
+        yield np.append(np.frombuffer(x.as_buffer(), kind), np.array([_CUT], kind))
 
 
 def with_numbers(ids: DataFrame, frequent: DataFrame, size: int, width: int) -> DataFrame:
-    """(ids, numbers): at each place the number of the frequent sequence (number, words) that begins there, else 0; a pass for ``width`` sequences."""
-    out = ids.select("ids", F.lit(None).cast("array<long>").alias("numbers"))
-    for low in range(1, size + 1, width):
+    """(numbers): for each stream the number of the frequent sequence (number, words) that begins at each place, else 0, 64 bits
+    each; a pass for ``width`` sequences."""
+    out, lows = ids, [low for low in range(1, size + 1, width) if not frequent.filter(F.col("number").between(low, low + width - 1)).isEmpty()]
+    for low in lows:
         numbers, words = sequences(frequent, low, width)
-        if not len(numbers):
-            continue
         trie, numbers = Trie(words), np.append(numbers, 0)
 
-        def run(batches, trie=trie, numbers=numbers):
+        def run(batches, trie=trie, numbers=numbers, first=low == lows[0], last=low == lows[-1]):
             for b in batches:
-                got = numbers[trie.walk(_ints(b, "ids"))[:-1]]
-                lists = b.column("ids")
-                if b.column("numbers").null_count < b.num_rows:
-                    got = np.maximum(got, _ints(b, "numbers")[:-1])
-                ends = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))
-                yield pa.RecordBatch.from_arrays([lists, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(got, pa.int64()))], names=["ids", "numbers"])
+                for i, s in enumerate(_ints(b, "ids")):
+                    got = numbers[trie.walk(s)[:-1]]
+                    if not first:
+                        got = np.maximum(got, np.frombuffer(b.column("numbers")[i].as_buffer(), "<i8"))
+                    found = pa.array([got.astype("<i8").tobytes()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([found] if last else [b.column("ids").slice(i, 1), found], names=["numbers"] if last else ["ids", "numbers"])
 
-        out = materialize(out.mapInArrow(tidy(run), "ids array<int>, numbers array<long>"), "numbers")
-    return out.filter("numbers is not null")
+        out = materialize(out.mapInArrow(tidy(run), "numbers binary" if low == lows[-1] else "ids binary, numbers binary"), "numbers")
+    return out if lows else ids.select(F.col("ids").alias("numbers")).limit(0)
 
 
 def sequences(rows: DataFrame, low: int, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -259,15 +263,23 @@ def _bucket(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.int64)
 
 
-def _pairs(batches):
+def _pairs(batches, kind: str):
     """Numbers of the frequent sequences at places where one stands a word behind another."""
     for b in batches:
-        n = _ints(b, "numbers")
-        at = np.flatnonzero((n[:-1] > 0) & (n[1:] > 0))
-        yield n[at], n[at + 1]
+        for n in _ints(b, "numbers", kind):
+            at = np.flatnonzero((n[:-1] > 0) & (n[1:] > 0))
+            yield n[at].astype(np.int64), n[at + 1].astype(np.int64)
+
 
+def _distinct(a: np.ndarray, b: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair of numbers of up to ``top`` once."""
+    if top < 3_000_000_000:
+        key = np.unique(a * (top + 1) + b)
+        return key // (top + 1), key % (top + 1)
+    return tuple(np.unique(np.stack([a, b]), axis=1))
 
-def candidates(rows: DataFrame, least: int) -> DataFrame:
+
+def candidates(rows: DataFrame, least: int, top: int, kind: str = "<i8") -> DataFrame:
     """(a, b), each once: numbers of frequent sequences of k words that stand a word apart somewhere, so that both parts of the
     sequence of k + 1 words are frequent, and whose hash of 32 bits is met ``least`` times or more. Both hold for every frequent
     sequence; others may pass, for a hash says nothing about one pair: the trie counts. Tasks leave out what a bitmap of the full
@@ -286,7 +298,7 @@ def candidates(rows: DataFrame, least: int) -> DataFrame:
 
     def tally(batches):
         held, many = [], 0
-        for a, b in _pairs(batches):
+        for a, b in _pairs(batches, kind):
             held.append(np.unique(_bucket(a, b), return_counts=True))
             many += len(held[-1][0])
             if many > 4_000_000:
@@ -318,21 +330,22 @@ def candidates(rows: DataFrame, least: int) -> DataFrame:
     known = np.zeros(BITS >> 3, np.uint8)
     known[got.column("place").to_numpy()] = got.column("bits").to_numpy()
 
+    def found(held):
+        a, b = _distinct(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), top)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(_bucket(a, b))], names=["a", "b", "bucket"])
+
     def find(batches):
         held, many = [], 0
-        for a, b in _pairs(batches):
-            h = _bucket(a, b)
-            ok = (known[(h % BITS) >> 3] >> (h % BITS & 7)) & 1 > 0
-            held.append(np.unique(np.stack([a[ok], b[ok], h[ok]]), axis=1))
-            many += held[-1].shape[1]
-            if many > 500_000:
-                held = [np.unique(np.concatenate(held, axis=1), axis=1)]
-                many = held[0].shape[1]
-                if many > 250_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["a", "b", "bucket"])
-                    held, many = [], 0
+        for a, b in _pairs(batches, kind):
+            h = _bucket(a, b) % BITS
+            ok = (known[h >> 3] >> (h & 7)) & 1 > 0
+            held.append(_distinct(a[ok], b[ok], top))
+            many += len(held[-1][0])
+            if many > 2_000_000:
+                yield found(held)
+                held, many = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(held, axis=1), axis=1)], names=["a", "b", "bucket"])
+            yield found(held)
 
     return rows.mapInArrow(tidy(find), "a long, b long, bucket long").distinct().join(full, "bucket", "left_semi").select("a", "b")
 
@@ -346,8 +359,9 @@ def counted(ids: DataFrame, rows: DataFrame, size: int, width: int) -> DataFrame
         def run(batches, trie=trie, low=low, n=min(width, size + 1 - low)):
             own = np.zeros(n, np.int64)
             for b in batches:
-                hit = trie.walk(_ints(b, "ids"))
-                own += np.bincount(hit[hit >= 0], minlength=n)
+                for s in _ints(b, "ids"):
+                    hit = trie.walk(s)
+                    own += np.bincount(hit[hit >= 0], minlength=n)
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array(at + low, pa.int64()), pa.array(own[at])], names=["number", "n"])
 
@@ -368,11 +382,11 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = LONGEST, width: in
     level, size = numbered(words.filter(F.col("n") >= least).select("lang", F.col("word").alias("phrase"), "n"), F.desc("n"), "lang", "phrase")
     level = materialize(level.withColumn("words", F.array(F.col("number").cast("int"))).withColumn("last", F.col("phrase")), "level")
     ids = encoded(docs, level, size, min(WORDS_A_PASS, width))
-    out, rows = level.withColumn("length", F.lit(1)), ids.withColumn("numbers", F.col("ids"))
+    out, rows, kind = level.withColumn("length", F.lit(1)), ids.select(F.col("ids").alias("numbers")), "<i4"
     for k in range(2, longest + 1):
         if not size:
             break
-        pairs = candidates(rows, least)
+        pairs = candidates(rows, least, size, kind)
         first, second = level.select(F.col("number").alias("a"), "lang", "words", "phrase"), level.select(F.col("number").alias("b"), F.element_at("words", -1).alias("w"), F.col("last").alias("last"))
         found = pairs.join(first, "a").join(second, "b").select("lang", F.array_append("words", F.col("w")).alias("words"), F.concat_ws(" ", "phrase", "last").alias("phrase"), "last")
         found, size = numbered(found, "words")
@@ -381,7 +395,7 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = LONGEST, width: in
         level = materialize(found.join(counted(ids, found, size, width).filter(F.col("n") >= least), "number"), "level")
         out = out.unionByName(level.withColumn("length", F.lit(k)))
         if k < longest:
-            rows = with_numbers(ids, level, size, width)
+            rows, kind = with_numbers(ids, level, size, width), "<i8"
     return out.select("lang", "phrase", "length", "n"), words.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
