@@ -97,9 +97,20 @@ def numbered(rows: DataFrame, *order) -> tuple[DataFrame, int]:
     return own.withColumn("number", inner + moved + 1).drop("part"), before
 
 
+def packed(data) -> pa.Array:
+    """Bytes as one compressed value, so what Spark moves, and puts into one batch, is as large as what it reads from disk."""
+    raw = data.tobytes() if isinstance(data, np.ndarray) else bytes(data)
+    return pa.array([len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)], pa.binary())
+
+
+def unpacked(value: pa.BinaryScalar) -> pa.Buffer:
+    whole = value.as_buffer()
+    return pa.decompress(whole.slice(8), int.from_bytes(whole.slice(0, 8).to_pybytes(), "little"), "zstd")
+
+
 def encoded(docs: DataFrame, vocabulary: DataFrame, size: int, width: int) -> DataFrame:
-    """(ids): streams of the numbers of frequent words, 0 for the others, a cut before each piece; 32 bits a word, end to end in bytes, a
-    row for each slice of the texts. ``vocabulary`` (number, lang, phrase, in numbers from 1 to ``size``) is given out ``width`` words at a time,
+    """(ids): streams of the numbers of frequent words, 0 for the others, a cut before each piece; 32 bits a word, packed, a row for each
+    slice of the texts. ``vocabulary`` (number, lang, phrase, in numbers from 1 to ``size``) is given out ``width`` words at a time,
     each in a pass of its own; passes but the first fill in what those before left at 0, slice by slice."""
     out = docs.select("lang", "text")
     for low in range(1, max(size, 1) + 1, width):
@@ -111,19 +122,28 @@ def encoded(docs: DataFrame, vocabulary: DataFrame, size: int, width: int) -> Da
         first, last = low == 1, low + width > size
 
         def run(batches, by_lang=by_lang, first=first, last=last):
-            for b in slices(batches) if first else batches:
-                for lang, text, before in [(b.column("lang"), b.column("text"), None)] if first else zip(b.column("lang"), b.column("text"), b.column("ids"), strict=True):
-                    lang, text = (lang, text) if first else (pa.array(lang.as_py()), pa.array(text.as_py(), pa.large_string()))
-                    stream = _stream(lang.to_pylist(), text, by_lang)
-                    if not first:
-                        stream = np.maximum(stream, np.frombuffer(before.as_py(), "<i4"))
-                    ids = pa.array([stream.astype("<i4").tobytes()], pa.binary())
-                    yield pa.RecordBatch.from_arrays([ids] if last else [pa.array([lang.to_pylist()]), pa.array([text.to_pylist()]), ids], names=["ids"] if last else ["lang", "text", "ids"])
+            for texts, before in ((b, None) for b in slices(batches)) if first else _slices_again(batches):
+                stream = _stream(texts.column("lang").to_pylist(), texts.column("text"), by_lang)
+                ids = packed(stream if first else np.maximum(stream, before))
+                yield pa.RecordBatch.from_arrays([ids] if last else [packed(_ipc(texts)), ids], names=["ids"] if last else ["texts", "ids"])
 
-        out = materialize(out.mapInArrow(tidy(run), "ids binary" if last else "lang array<string>, text array<string>, ids binary"), "ids")
+        out = materialize(out.mapInArrow(tidy(run), "ids binary" if last else "texts binary, ids binary"), "ids")
     return out
 
 
+def _ipc(batch: pa.RecordBatch) -> pa.Buffer:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue()
+
+
+def _slices_again(batches):
+    for b in batches:
+        for texts, ids in zip(b.column("texts"), b.column("ids"), strict=True):
+            yield pa.ipc.open_stream(unpacked(texts)).read_next_batch(), np.frombuffer(unpacked(ids), "<i4")
+
+
 def _stream(langs: list[str], texts: pa.Array, by_lang: dict) -> np.ndarray:
     words, owner, begins = words_of(texts)
     ids, names = np.zeros(len(words), np.int32), sorted(set(langs))
@@ -225,7 +245,7 @@ class Trie:
 def _ints(batch: pa.RecordBatch, col: str, kind: str = "<i4") -> Iterator[np.ndarray]:
     """The streams of a batch, a cut behind each: a piece begins with a cut, but nothing ends the last."""
     for x in batch.column(col):
-        yield np.append(np.frombuffer(x.as_buffer(), kind), np.array([_CUT], kind))
+        yield np.append(np.frombuffer(unpacked(x), kind), np.array([_CUT], kind))
 
 
 def with_numbers(ids: DataFrame, frequent: DataFrame, size: int, width: int) -> DataFrame:
@@ -241,8 +261,8 @@ def with_numbers(ids: DataFrame, frequent: DataFrame, size: int, width: int) ->
                 for i, s in enumerate(_ints(b, "ids")):
                     got = numbers[trie.walk(s)[:-1]]
                     if not first:
-                        got = np.maximum(got, np.frombuffer(b.column("numbers")[i].as_buffer(), "<i8"))
-                    found = pa.array([got.astype("<i8").tobytes()], pa.binary())
+                        got = np.maximum(got, np.frombuffer(unpacked(b.column("numbers")[i]), "<i8"))
+                    found = packed(got.astype("<i8"))
                     yield pa.RecordBatch.from_arrays([found] if last else [b.column("ids").slice(i, 1), found], names=["numbers"] if last else ["ids", "numbers"])
 
         out = materialize(out.mapInArrow(tidy(run), "numbers binary" if low == lows[-1] else "ids binary, numbers binary"), "numbers")
@@ -287,7 +307,7 @@ def candidates(rows: DataFrame, least: int, top: int, kind: str = "<i8") -> Data
 
     shift = 32 - max(8, min(20, (2 * partitions(rows.sparkSession)).bit_length()))  # parts grow with the partitions
 
-    def packed(held):
+    def sums(held):
         bucket, n = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
         found, back = np.unique(bucket, return_inverse=True)
         n = np.bincount(back, weights=n, minlength=len(found)).astype(np.int64)
@@ -301,11 +321,11 @@ def candidates(rows: DataFrame, least: int, top: int, kind: str = "<i8") -> Data
         for a, b in _pairs(batches, kind):
             held.append(np.unique(_bucket(a, b), return_counts=True))
             many += len(held[-1][0])
-            if many > 4_000_000:
-                yield from packed(held)
+            if many > 2_000_000:
+                yield from sums(held)
                 held, many = [], 0
         if held:
-            yield from packed(held)
+            yield from sums(held)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
