@@ -307,7 +307,7 @@ token AS (SELECT repo, '--ink-' || k AS token, fg AS value FROM k UNION ALL SELE
 chase AS (SELECT repo, token, value, 0 AS depth FROM token UNION ALL SELECT c.repo, c.token, t.value, depth + 1 FROM chase c JOIN token t ON t.repo = c.repo AND t.token = c.value WHERE depth < 6),
 known AS (SELECT repo, token, any_value(value) AS rgb FROM chase WHERE value LIKE '#%' GROUP BY ALL),
 rule AS (SELECT repo, file, '--ink-' || k AS fg, '--paper-' || k AS bg, '.card-' || k AS selector, k % 3 = 0 AS state, k FROM k UNION ALL
-SELECT repo, file, 'rgb(' || k % 256 || ', ' || k * 7 % 256 || ' 9)' AS fg, '#FFF' AS bg, '.plain-' || k || ' > b, i' AS selector, false, k FROM k UNION ALL SELECT repo, file, fg, '--nowhere', '.lost', false, k FROM k),
+SELECT repo, file, 'rgb(' || k % 256 || ', ' || k * 7 % 256 || ' 9)' AS fg, '#ffffff' AS bg, '.plain-' || k || ' > b, i' AS selector, false, k FROM k UNION ALL SELECT repo, file, fg, '--nowhere', '.lost', false, k FROM k),
 one AS (SELECT repo, fg, bg, max(file) AS file, arg_max(selector, file) AS selector, arg_max(state, file) AS state FROM rule GROUP BY ALL),
 seen AS (SELECT o.*, CASE WHEN o.fg LIKE '--%' THEN a.rgb WHEN o.fg LIKE 'rgb%' THEN '#' || array_to_string(list_transform(regexp_extract_all(o.fg, '[0-9]+'), lambda x: lpad(lower(to_hex(CAST(x AS BIGINT))), 2, '0')), '') ELSE o.fg END AS f, CASE WHEN o.bg LIKE '--%' THEN b.rgb ELSE '#ffffff' END AS g
 FROM one o LEFT JOIN known a ON a.repo = o.repo AND a.token = o.fg LEFT JOIN known b ON b.repo = o.repo AND b.token = o.bg),

@@ -1,0 +1,119 @@
+"""Queries on source text that is written from the stand-in tables: routers, screens and their frames."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import graphs, screens
+from ..sources import readers, shells
+from .census import table
+
+Q: dict = {}
+SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        Q[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def written(spark, sf_dir, name: str, key: str, repo: str, files: list[tuple[str, str, str]]):
+    """Files (repo, path, content) of each row of a table where a condition on the key k holds; ``{k}`` in a path or text is the key."""
+    rows = table(spark, sf_dir, name).select(F.expr(repo).cast("string").alias("repo"), F.col(key).cast("long").alias("k"))
+
+    def fill(text: str):
+        return F.replace(F.lit(text), F.lit("{k}"), F.col("k").cast("string"))
+
+    each = rows.select("repo", "k", F.explode(F.array(*[F.struct(F.lit(when).alias("when"), fill(path).alias("path"), fill(text).alias("content")) for when, path, text in files])).alias("f"))
+    fits = F.lit(False)
+    for when in sorted({w for w, _, _ in files}):
+        fits = fits | ((F.col("f.when") == when) & F.expr(when))
+    return each.filter(fits).select("repo", "f.path", "f.content")
+
+
+ROUTERS = [
+    ("k % 7 = 0", "apps/a{k}/src/router.tsx", "import S{k} from './scenes/S{k}'\nimport { Other } from './scenes/Other{k}'\nconst r = <Route path='/' element={<S{k} a={1} />} />"),
+    ("k % 7 = 1", "apps/a{k}/src/router.tsx", "import type { S{k} as T{k}, U } from './scenes/S{k}'\nexport default () => <Route component={T{k}} />"),
+    ("k % 7 = 2", "apps/a{k}/src/router.jsx", "import Kit, { S{k} } from \"@/scenes/S{k}\"\ncreateBrowserRouter([{ path: '/', Component: S{k} }])"),
+    ("k % 7 = 3", "apps/a{k}/src/router.tsx", "const routes: RouteObject[] = [{ lazy: lazy(() => import('~/scenes/S{k}')) }]\nconst z = import('./scenes/Modal{k}')"),
+    ("k % 7 = 4", "apps/a{k}/src/router.ts", "const routes: RouteRecordRaw[] = [{ component: () => import('#/scenes/S{k}.vue') }]"),
+    ("k % 7 = 5", "apps/a{k}/src/app.routes.ts", "import { S{k} } from './scenes/S{k}'\nexport const routes: Routes = [{ path: '', component: S{k} }]"),
+    ("k % 7 = 6", "apps/a{k}/src/split.tsx", "import S{k} from './scenes/S{k}'\nconst Lazy = lazy(() => import('./scenes/S{k}'))\nconst x = { component: S{k} }"),
+]
+SCENES = [("k % 7 not in (4, 5)", "apps/a{k}/src/scenes/S{k}.tsx", "export default () => <div/>"), ("k % 7 = 4", "apps/a{k}/src/scenes/S{k}.vue", "<template/>"), ("k % 7 = 5", "apps/a{k}/src/scenes/S{k}.ts", "export class S{k} {}"), ("true", "apps/a{k}/src/scenes/Modal{k}.tsx", ""), ("k % 5 = 0", "apps/a{k}/src/app/shop/page.tsx", ""), ("k % 5 = 0", "apps/a{k}/src/app/shop/layout.tsx", ""), ("k % 5 = 1", "apps/a{k}/src/pages/p{k}.tsx", ""), ("k % 5 = 2", "apps/a{k}/src/HomePage.tsx", ""), ("k % 5 = 3", "apps/a{k}/src/components/CardView.tsx", "")]
+
+
+@query("""WITH k AS (SELECT CAST(p_size % 9 AS VARCHAR) AS repo, p_partkey AS k, 'apps/a' || p_partkey || '/src/' AS d FROM part)
+SELECT repo, d || 'scenes/S' || k || CASE k % 7 WHEN 4 THEN '.vue' WHEN 5 THEN '.ts' ELSE '.tsx' END AS path, 'route' AS found_by FROM k WHERE k % 7 <> 6
+UNION ALL SELECT repo, d || CASE k % 5 WHEN 0 THEN 'app/shop/page.tsx' WHEN 1 THEN 'pages/p' || k || '.tsx' ELSE 'HomePage.tsx' END, CASE k % 5 WHEN 2 THEN 'naming' ELSE 'router' END FROM k WHERE k % 5 < 3""")
+def routed_screens(spark, sf_dir):
+    files = written(spark, sf_dir, "part", "p_partkey", "p_size % 9", [*ROUTERS, *SCENES])
+    return readers.is_screen(files.select("repo", "path"), graphs.routed(files))
+
+
+SHELLS = [
+    ("k % 8 = 0", "src/pages/p{k}.tsx", "export default function P() {\n  return (\n    <Scene icon={<Icon on={() => { return '>' }} />} title={t(\"x > y\")} wide onClose={() => 1} size={3}>\n      <div className=\"flex flex-col\" />\n    </Scene>\n  )\n}"),
+    ("k % 8 = 1", "src/pages/p{k}.tsx", "const P = () => (<AuthProvider value={{ a: 1 }}><React.Fragment><AppShell title=\"a\" isOpen={true} userId={3} items={list} aria-label=\"b\" load={() => go()} plain={false}></AppShell></React.Fragment></AuthProvider>)"),
+    ("k % 8 = 2", "src/pages/p{k}.tsx", "import './p.css'\nexport default () => { return <div className=\"grid grid-cols-3 gap\"><Scene title=\"no root\" /></div> }"),
+    ("k % 8 = 3", "src/pages/p{k}.tsx", "export const loader = () => 1"),
+    ("k % 8 = 4", "src/pages/p{k}.tsx", "export default function L() { return <Outlet /> }"),
+    ("k % 8 = 5", "src/pages/p{k}.tsx", "const Box = styled.div`\n  display: grid;\n  grid-template-columns: 1fr 2fr;\n`\nexport default () => <Scene title=\"q\" icon=\"i\" key={1}><Box /></Scene>"),
+    ("k % 8 = 6", "src/pages/p{k}.tsx", "export default () => <Panel className=\"x flex\" />"),
+    ("k % 8 = 7", "src/pages/p{k}.tsx", "export default () => <Broken title={"),
+    ("k % 50 = 1", "src/frames/Scene.tsx", "import type { ReactNode } from 'react'\nexport interface Props { icon?: React.ReactNode; title: string; onClose?: () => void; ref: Ref<Element>; wide?: boolean }\nexport const Scene = ({ icon, title, size }: Props) =>\n  <section style={{ a: size }}><h1 class={size}>{icon}{title}</h1>{children}</section>"),
+]
+ROOTS_SQL = """k AS (SELECT CAST(c_nationkey AS VARCHAR) AS repo, c_custkey AS k FROM customer), f AS (SELECT DISTINCT repo FROM k WHERE k % 50 = 1),
+s AS (SELECT k.repo, 'src/pages/p' || k || '.tsx' AS path, k % 8 AS m, CASE k % 8 WHEN 2 THEN 'unframed' WHEN 3 THEN 'norender' WHEN 4 THEN 'plumbing' WHEN 7 THEN 'unclassified' ELSE 'framed' END AS class,
+CASE k % 8 WHEN 0 THEN CASE WHEN f.repo IS NULL THEN 'Scene(size+title)' ELSE 'Scene(icon+title)' END WHEN 1 THEN 'AppShell(items+title)' WHEN 5 THEN 'Scene(icon+title)' WHEN 6 THEN 'Panel' END AS signature,
+CASE WHEN k % 8 IN (0, 5) THEN f.repo IS NOT NULL WHEN k % 8 IN (1, 6) THEN false END AS from_declaration, k % 8 IN (0, 2, 5, 6) AS own_layout,
+CASE k % 8 WHEN 0 THEN 'flex column' WHEN 2 THEN 'grid 3' WHEN 5 THEN 'grid 2 col' WHEN 6 THEN 'flex row' END AS arrangement FROM k LEFT JOIN f ON f.repo = k.repo)"""
+
+
+def signed(spark, sf_dir):
+    files = written(spark, sf_dir, "customer", "c_custkey", "c_nationkey", SHELLS).distinct()
+    roots = shells.read_roots(files.filter("path like 'src/pages/%'"))
+    return screens.signatures(roots, shells.read_frames(files.filter("path like 'src/frames/%'")))
+
+
+@query(f"WITH {ROOTS_SQL} SELECT repo, path, class, signature, from_declaration, own_layout, coalesce(arrangement, '') AS arrangement FROM s")
+def screen_shells(spark, sf_dir):
+    return signed(spark, sf_dir).withColumn("arrangement", F.array_join("arrangement", ",")).drop("shell")
+
+
+@query(f"""WITH {ROOTS_SQL}, b AS (SELECT repo, count(*) AS considered, count(*) FILTER (class = 'framed') AS framed, count(*) FILTER (class = 'unframed') AS unframed, count(*) FILTER (class = 'norender') AS norender, count(*) FILTER (class = 'plumbing') AS plumbing, count(*) FILTER (class = 'unclassified') AS unclassified, round(count(*) FILTER (own_layout) / count(*), 3) AS own_layout_share FROM s GROUP BY repo),
+t AS (SELECT repo, signature, count(*) AS n, bool_or(from_declaration) AS d FROM s WHERE signature IS NOT NULL GROUP BY ALL), d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY d DESC, n DESC, signature) AS r FROM t) WHERE r = 1),
+a AS (SELECT repo, arrangement AS a, count(*) AS c FROM s WHERE arrangement IS NOT NULL GROUP BY ALL), w AS (SELECT *, sum(c) OVER (PARTITION BY repo) AS total FROM a), l AS (SELECT *, round(c / total, 3) AS p FROM w QUALIFY row_number() OVER (PARTITION BY repo ORDER BY c DESC, a) = 1)
+SELECT b.*, d.signature AS dominant, round(d.n / framed, 3) AS dominant_share, CASE WHEN total >= 5 THEN a END AS arrangement, p AS arrangement_share, CASE WHEN total IS NULL THEN 'none' WHEN total < 5 THEN 'too few to say' WHEN p >= 0.85 THEN 'convention' WHEN p >= 0.6 THEN 'weak' ELSE 'split' END AS arrangement_verdict FROM b LEFT JOIN d ON d.repo = b.repo LEFT JOIN l ON l.repo = b.repo""")
+def archetype_summary(spark, sf_dir):
+    return screens.archetype_report(signed(spark, sf_dir))
+
+
+FRAMES = [
+    ("k % 6 = 0", "src/Frame{k}.tsx", "type P = { head?: ReactNode, e: ReactNode, onDone: ReactElement; foot{k}: JSX.Element }\nexport const F = () =>\n  <div title={left ?? 1}>{head}{children}</div>"),
+    ("k % 6 = 1", "src/Frame{k}.vue", "<template><slot name=\"head\"></slot><slot/><slot name='tools' :x=\"1\" /></template>"),
+    ("k % 6 = 2", "src/frame{k}/index.svelte", "{#each rows as r, i}<li>{r}{i}</li>{/each}{@const z = 1}{z}{@render aside()}<input {placeholder} />"),
+    ("k % 6 = 3", "src/frame{k}.component.ts", "template: `<ng-content select=\"[actions]\"></ng-content><ng-content></ng-content>`"),
+    ("k % 6 = 4", "src/Plain{k}.tsx", "export const x = ${ value }; const s = <slot />"),
+    ("k % 6 = 5", "src/Nothing{k}.tsx", "export const y = <b a={c} />"),
+]
+
+
+@query("""WITH k AS (SELECT s_suppkey AS k, CAST(s_suppkey % 40 AS VARCHAR) AS repo FROM supplier),
+r AS (SELECT repo, k, unnest(CASE k % 6 WHEN 0 THEN ['head', 'foot' || k, 'children'] WHEN 1 THEN ['head', 'children', 'tools'] WHEN 2 THEN ['aside'] WHEN 3 THEN ['actions', 'children'] WHEN 4 THEN ['children'] ELSE [] END) AS region FROM k),
+n AS (SELECT region, count(DISTINCT repo) AS products, count(DISTINCT repo || '/' || k) AS frames FROM r WHERE region <> 'children' GROUP BY region)
+SELECT region, products, frames, CASE WHEN (SELECT count(DISTINCT repo) FROM r WHERE region <> 'children') >= 2 THEN CASE WHEN products > 1 THEN 'portable' ELSE 'local' END END AS reach FROM n""")
+def regions_from_text(spark, sf_dir):
+    frames = shells.read_frames(written(spark, sf_dir, "supplier", "s_suppkey", "s_suppkey % 40", FRAMES)).filter("region <> 'children'")
+    return screens.regions_reach(frames.select(F.col("repo").alias("product"), F.concat_ws("/", "repo", "path").alias("frame"), "region"))
+
+
+@query("""WITH k AS (SELECT s_suppkey AS k, CAST(s_suppkey % 40 AS VARCHAR) AS repo FROM supplier), r AS (SELECT repo, k, unnest(CASE k % 6 WHEN 0 THEN ['head', 'foot' || k] WHEN 1 THEN ['head', 'tools'] WHEN 2 THEN ['aside'] WHEN 3 THEN ['actions'] ELSE [] END) AS region FROM k)
+SELECT repo, count(DISTINCT r.k) AS frames, count(DISTINCT region) AS regions, count(r.k) > 0 AS contributes FROM k LEFT JOIN r USING (repo) GROUP BY repo""")
+def products_of_regions(spark, sf_dir):
+    files = written(spark, sf_dir, "supplier", "s_suppkey", "s_suppkey % 40", FRAMES)
+    return screens.products_of_regions(shells.read_frames(files), files)

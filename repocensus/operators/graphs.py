@@ -9,9 +9,14 @@ from ..functions.lineage import cut
 
 SPECIFIER = r"""(?:import|export)\s+(?:[^'";]*?\s+from\s+)?['"]([^'"]+)['"]|import\(\s*['"]([^'"]+)['"]\s*\)|require\(\s*['"]([^'"]+)['"]\s*\)"""
 #: What may be left out behind a specifier; the first that is a file counts.
-SUFFIXES = ("", ".tsx", ".ts", ".jsx", ".js", ".vue", ".svelte", "/index.tsx", "/index.ts", "/index.jsx", "/index.js")
-#: Beginnings of specifiers that stand for the source folder.
-ALIASES = {"@/": "src/", "~/": "src/", "#/": "src/"}
+SUFFIXES = ("", ".tsx", ".jsx", ".ts", ".vue", ".svelte", "/index.tsx", "/index.jsx", "/index.ts", "/index.vue", "/index.svelte", ".js", "/index.js")
+#: Beginnings of specifiers that stand for some folder of the repo, and what is put for them.
+ALIASES = {"@/": "", "~/": "", "#/": ""}
+#: What only a file that declares routes says; how a route names a component, and how it names a module.
+DECLARES_ROUTES = r"<Route\b|createBrowserRouter|createRoutesFromElements|RouteObject|RouteRecordRaw|createRouter\s*\(|\brouter\s*=\s*create|\bRoutes\s*=|provideRouter\s*\(|\broutes\s*(?::|=)[^=\n]{0,40}\["
+ROUTED_NAMES = (r"(?:element=\{\s*<|component=\{|Component:\s*)([A-Z]\w*)", r"\bcomponent\s*:\s*([A-Z]\w*)")
+ROUTED_MODULES = (r"\blazy\s*\(\s*\(\)\s*=>\s*import\s*\(\s*['\"]([^'\"]+)['\"]", r"\b(?:component|loadComponent|loadChildren)\s*:\s*\(\s*\)\s*=>\s*import\s*\(\s*['\"]([^'\"]+)['\"]")
+IMPORTED = r"import\s+([^;'\"]+?)\s+from\s*['\"]([^'\"]+)['\"]"
 
 
 def import_edges(files: DataFrame) -> DataFrame:
@@ -20,30 +25,51 @@ def import_edges(files: DataFrame) -> DataFrame:
     return files.select("repo", F.col("path").alias("src"), F.explode(F.array_distinct(F.flatten(F.array(*groups)))).alias("specifier")).filter("specifier <> ''")
 
 
+def route_references(files: DataFrame) -> DataFrame:
+    """(repo, src, specifier) of the modules that files which declare routes point at: those named directly (lazy, component: () => import), and
+    those from which a component is imported that a route names (element, component, Component). Any other import is no route. Null content: none."""
+    own = files.filter(F.col("content").rlike(DECLARES_ROUTES)).select("repo", F.col("path").alias("src"), "content")
+
+    def every(patterns):
+        return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all("content", F.lit(p), F.lit(1)) for p in patterns])))
+
+    clauses = F.arrays_zip(F.regexp_extract_all("content", F.lit(IMPORTED), F.lit(1)).alias("clause"), F.regexp_extract_all("content", F.lit(IMPORTED), F.lit(2)).alias("spec"))
+    own = own.select("repo", "src", every(ROUTED_NAMES).alias("named"), every(ROUTED_MODULES).alias("direct"), clauses.alias("imports"))
+    direct = own.select("repo", "src", F.explode("direct").alias("specifier"))
+    each = own.filter(F.size("named") > 0).select("repo", "src", "named", F.explode("imports").alias("i")).select("repo", "src", "named", F.regexp_replace("i.clause", r"\btype\s+", "").alias("clause"), F.col("i.spec").alias("specifier"))
+    listed = F.split(F.regexp_extract("clause", r"\{([^}]*)\}", 1), ",")
+    default = F.element_at(F.split(F.regexp_replace("clause", r"\{[^}]*\}", ""), ","), 1)
+    bindings = F.transform(F.array_append(listed, default), lambda b: F.trim(F.element_at(F.split(F.trim(b), r"\s+as\s+"), -1)))
+    by_name = each.filter(F.arrays_overlap(bindings, "named")).select("repo", "src", "specifier")
+    return direct.unionByName(by_name).distinct()
+
+
+def routed(files: DataFrame) -> DataFrame:
+    """(repo, path): files that a router of their repo points at, each once; found as imports are (``resolve_imports``)."""
+    return resolve_imports(route_references(files), files).select("repo", F.col("dst").alias("path")).distinct()
+
+
 def resolve_imports(edges: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
-    """(repo, src, specifier, dst): relative and aliased specifiers by the first candidate suffix that is a file, else by a path tail that only one file has.
+    """(repo, src, specifier, dst): relative and aliased specifiers to files. Suffix by suffix a file of just that path counts, else the first by
+    path that ends in it behind a slash; for an alias stands for a folder that isn't known here, and the scan may begin below it.
 
-    A bare package name isn't looked for among the tails; other specifiers need a slash. Tails are looked up by equality on
-    every tail of every path, not by comparing all paths.
+    Specifiers of packages are left out. Paths are looked up by equality, on one row for each path and each of its tails, not by comparing all paths.
     """
-    spec = F.col("specifier")
-    for k, v in (ALIASES if aliases is None else aliases).items():
-        spec = F.when(spec.startswith(k), F.concat(F.lit(v), F.expr(f"substring(specifier, {len(k) + 1})"))).otherwise(spec)
+    found = F.lit(None).cast("string")
+    for k, v in sorted((ALIASES if aliases is None else aliases).items()):  # of two that fit the longer wins
+        found = F.when(F.col("specifier").startswith(k), F.concat(F.lit(v), F.expr(f"substring(specifier, {len(k) + 1})"))).otherwise(found)
     folder = F.regexp_replace("src", "[^/]*$", "")
-    base = F.when(F.col("specifier").startswith("."), F.concat(folder, F.col("specifier"))).otherwise(spec)
+    base = F.when(F.col("specifier").startswith("."), F.concat(folder, F.col("specifier"))).otherwise(found)
     # one step of the path after the other; ".." takes the folder before it away, and stays where there is none
     step = lambda done, x: F.when(x.isin("", "."), done).when((x == "..") & (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1)) != ".."), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(x)))
     plain = F.array_join(F.aggregate(F.split(base, "/"), F.array().cast("array<string>"), step), "/")
-    rows = edges.withColumn("base", plain)
-    tries = rows.select("repo", "src", "specifier", F.posexplode(F.array(*[F.concat("base", F.lit(s)) for s in SUFFIXES])).alias("order", "dst"))
-    hit = tries.join(files.select("repo", F.col("path").alias("dst")), ["repo", "dst"])
-    first = hit.groupBy("repo", "src", "specifier").agg(F.min(F.struct("order", "dst")).alias("x")).select("repo", "src", "specifier", "x.dst")
-    open_ = rows.filter(F.col("specifier").contains("/") & ~F.col("base").startswith("..")).join(first, ["repo", "src", "specifier"], "left_anti").select("repo", "src", "specifier", F.explode(F.array(*[F.concat("base", F.lit(s)) for s in SUFFIXES])).alias("tail"))
+    rows = edges.withColumn("base", plain).filter("base is not null")
+    tries = rows.select("repo", "src", "specifier", F.posexplode(F.array(*[F.concat("base", F.lit(s)) for s in SUFFIXES])).alias("order", "tail"))
     parts = F.split("path", "/")
-    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
-    by_tail = files.select("repo", "path", F.explode(tails).alias("tail"))
-    late = open_.join(by_tail, ["repo", "tail"]).groupBy("repo", "src", "specifier").agg(F.min("path").alias("dst"), F.max("path").alias("other")).filter("dst = other").drop("other")
-    return first.unionByName(late)
+    tails = F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/")))
+    place = files.select("repo", "path", tails.alias("at", "tail")).groupBy("repo", "tail").agg(F.min(F.struct(F.col("at") > 0, "path")).alias("x"))  # a file of just that path before others
+    hit = tries.join(place.select("repo", "tail", F.col("x.path").alias("dst")), ["repo", "tail"])
+    return hit.groupBy("repo", "src", "specifier").agg(F.min(F.struct("order", "dst")).alias("x")).select("repo", "src", "specifier", "x.dst")
 
 
 def in_degree(edges: DataFrame) -> DataFrame:

@@ -126,12 +126,12 @@ def token_colours(decls: DataFrame) -> DataFrame:
 def contrast_pairs(decls: DataFrame, least: float = 4.5) -> DataFrame:
     """(repo, fg, bg) that some rule sets together, each once, and what became of it: repo, fg, bg, file, selector, outcome, reason, ratio, fails.
 
-    fg and bg are as written: a colour, or the name of the token that var() reads; the last declaration in a rule wins, values that are
+    fg and bg are colours as written (hex in full, in small letters), or names of the tokens that var() reads; the last declaration in a rule wins, values that are
     neither (inherit, transparent, a gradient) don't count. Of several rules with a pair the last by file and place speaks for it. outcome
     is ``checked`` (with the ratio of the two colours and whether it is below ``least``), ``state overridden`` where a state rule repaints the rule's subject, so
     the two may never meet, or ``unresolved`` where a token leads to no colour. Only checked pairs have a ratio: the others were not measured.
     """
-    value = F.coalesce(F.nullif(F.regexp_extract("value", VAR, 1), F.lit("")), F.when(C.parse_colour(F.col("value")).isNotNull(), F.trim("value")))
+    value = F.coalesce(F.nullif(F.regexp_extract("value", VAR, 1), F.lit("")), F.when(C.parse_colour(F.col("value")).isNotNull(), F.coalesce(C.expand_hex(F.trim("value")), F.trim("value"))))
     kind = F.when(F.col("prop") == "color", "fg").when(F.col("prop").isin("background", "background-color"), "bg")
     own = decls.withColumn("kind", kind).withColumn("paint", value).filter("kind is not null and paint is not null")
 

@@ -44,10 +44,19 @@ def classify_file(path: Column) -> Column:
 
 
 def is_screen(files: DataFrame, routed: DataFrame) -> DataFrame:
-    """(repo, path, found_by): screens because they are routed, else by the routing folder, else by name outside component folders."""
-    kind = classify_file(F.col("path"))
-    rows = files.join(routed.select("repo", "path").distinct().withColumn("r", F.lit(True)), ["repo", "path"], "left")
-    by = F.when(F.col("r"), "route").when(kind == "route", "router").when((kind != "component") & (kind != "test") & F.col("path").rlike(r"(Page|Screen|View)[.](tsx|jsx|vue|svelte)$"), "naming")
+    """(repo, path, found_by) of screens, by the first that holds: a route points at the file; a router reads its folder (every file below pages or
+    routes; below app only page and route files); it is called ...Page, ...Screen or ...View.
+
+    Tests are none, whatever points at them. Folders of components, helpers and hooks, and files that a router keeps for itself (_app, _document, _error,
+    api) are screens only by a route.
+    """
+    path = F.col("path")
+    rows = files.join(routed.select("repo", "path").distinct().withColumn("r", F.lit(True)), ["repo", "path"], "left").filter(classify_file(path) != "test")
+    markup, flat = path.rlike(r"[.](tsx|jsx|vue|svelte)$"), path.rlike(r"(^|/)(pages|routes)/")
+    app = path.rlike(r"(^|/)app/") & ~flat
+    router = F.when(app, path.rlike(r"(^|/)(page|route)[.][jt]sx$")).otherwise(flat)
+    other = path.rlike(r"(^|/)(components?|lib|utils?|hooks?)/") | path.rlike(r"(^|/)(_app|_document|_error|api)[./]")
+    by = F.when(F.col("r"), "route").when(markup & ~other & router, "router").when(markup & ~other & path.rlike(r"(Page|Screen|View)[.](tsx|jsx|vue|svelte)$"), "naming")
     return rows.withColumn("found_by", by).filter("found_by is not null").select("repo", "path", "found_by")
 
 

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 from repocensus.functions import colours, shares
 from repocensus.operators import distributions as D
-from repocensus.operators import duplicates, graphs, ledger, quality, ratchet, registry, retrieval, rules, security, styles
-from repocensus.sources import markup, readers
+from repocensus.operators import duplicates, graphs, ledger, quality, ratchet, registry, retrieval, rules, screens, security, styles
+from repocensus.sources import markup, readers, shells
 
 
 def rows(df, *cols):
@@ -110,7 +110,7 @@ def test_colours(spark):
 def test_image_measures(spark):
     px = spark.createDataFrame([("i", "#f7f8fa", 150_000), ("i", "#ffffff", 80_000), ("i", "#fffffe", 3), ("i", "#ff0000", 5)], "image string, rgb string, n long")
     got = styles.palette(px).orderBy("rank").collect()
-    assert [(r["rgb"], r["n"]) for r in got] == [("#f7f8fa", 150_000), ("#ffffff", 80_003)] and got[1]["share"] > 0.3
+    assert [(r["rgb"], r["n"]) for r in got] == [("#f7f8fa", 150_000), ("#ffffff", 80_003), ("#ff0000", 5)] and got[1]["share"] > 0.3
     assert styles.page_ground(px).first()["ground"] == "#f7f8fa"
     flags = [True] * 10 + [False] * 60 + [True] * 24 + [False] * 80 + [True] * 24 + [False] * 60
     y = spark.createDataFrame([("i", i, e) for i, e in enumerate(flags)], "image string, y int, empty boolean")
@@ -259,8 +259,8 @@ def test_corpus_and_artifacts(spark, tmp_path):
     for n in (1, 2):
         readers.write_artifact(files.filter("repo = 'one'").select("repo", "path", F.lit(n).alias("n")), str(tmp_path / "out"), "scan")
     assert spark.read.parquet(str(tmp_path / "out/scan")).collect()[0]["n"] == 2
-    screens = readers.is_screen(spark.createDataFrame([("r", "src/pages/home.tsx"), ("r", "src/components/Card.tsx"), ("r", "src/UserPage.tsx"), ("r", "src/x.ts")], "repo string, path string"), spark.createDataFrame([("r", "src/x.ts")], "repo string, path string"))
-    assert rows(screens, "path", "found_by") == [("src/UserPage.tsx", "naming"), ("src/pages/home.tsx", "router"), ("src/x.ts", "route")]
+    found = readers.is_screen(spark.createDataFrame([("r", "src/pages/home.tsx"), ("r", "src/components/Card.tsx"), ("r", "src/UserPage.tsx"), ("r", "src/x.ts")], "repo string, path string"), spark.createDataFrame([("r", "src/x.ts")], "repo string, path string"))
+    assert rows(found, "path", "found_by") == [("src/UserPage.tsx", "naming"), ("src/pages/home.tsx", "router"), ("src/x.ts", "route")]
     (tmp_path / "t.tsv").write_text("# names\na\tapps/web\nb\n\n")
     assert rows(readers.read_targets(spark, str(tmp_path / "t.tsv"))) == [("a", "apps/web"), ("b", None)]
 
@@ -313,7 +313,7 @@ def test_imports_take_the_first_suffix_and_any_depth(spark):
     wanted = [(f"{deep}x.ts", "../" * 8 + "y"), ("lib/main.ts", "./a"), ("lib/main.ts", "~/ui/Box"), ("lib/main.ts", "#/ui/Box"), ("lib/main.ts", "react"), ("lib/main.ts", "core/tool"), ("lib/main.ts", "same/z"), ("lib/main.ts", "../../../out")]
     edges = spark.createDataFrame([("r", a, b) for a, b in wanted], "repo string, src string, specifier string")
     got = {(r["src"], r["specifier"]): r["dst"] for r in graphs.resolve_imports(edges, files).collect()}
-    assert got == dict(zip([wanted[i] for i in (0, 1, 2, 3, 5)], ["a/y.ts", "lib/a.tsx", "src/ui/Box.vue", "src/ui/Box.vue", "packs/core/tool.ts"], strict=True))
+    assert got == dict(zip([wanted[i] for i in (0, 1, 2, 3)], ["a/y.ts", "lib/a.tsx", "src/ui/Box.vue", "src/ui/Box.vue"], strict=True))
 
 
 def test_tags_with_tags_inside(spark):
@@ -369,3 +369,92 @@ def test_twins_of_a_library_and_what_was_said_of_them(spark):
     got = registry.twin_states(found, declared, props, renders, by=("library",))
     assert rows(got, "a", "b", "state") == [("A", "B", "answered"), ("A", "C", "composed"), ("A", "D", "uncheckable"), ("A", "E", "stale"), ("A", "F", "unanswered"), ("B", "C", "unanswered"), ("B", "F", "unanswered"), ("C", "F", "unanswered")]
     assert rows(registry.nearest_component(props, by=("library",)).filter("library = 'm'")) == []
+
+
+def test_contrast_report(spark):
+    css = """:root { --card: #fff; --ink: var(--deep); --deep: var(--card-ink, red); --card-ink: rgb(138, 138, 138); --loop: var(--loop2); --loop2: var(--loop) }
+.a { color: var(--ink); background: var(--card) } .b { color: #111; background: var(--loop) } .box { color: #000; background: #010101 }
+.input:checked + .box:focus-visible { background-color: blue } .c, .d { color: inherit; background: #fff } .e > .f { color: #fff; color: var(--gone); background: #fff }
+@media print { .same { color: var(--card); background: var(--card) } .g { color: RGB(0 0 0); background: #FFF } }"""
+    decls = markup.css_declarations(spark.createDataFrame([("r", "a.css", css), ("q", "a.css", None)], "repo string, path string, content string"))
+    got = rows(styles.contrast_pairs(decls), "fg", "bg", "outcome", "ratio", "fails", "reason")
+    assert got == sorted([("--ink", "--card", "checked", 3.45, True, None), ("#111111", "--loop", "unresolved", None, None, "--loop leads to no colour"), ("#000000", "#010101", "state overridden", None, None, ".box is repainted by a state rule"), ("--gone", "#ffffff", "unresolved", None, None, "--gone leads to no colour"), ("RGB(0 0 0)", "#ffffff", "checked", 21.0, False, None)], key=str)
+
+
+def test_palette_equals_a_loop(spark):
+    import random
+
+    rng, data = random.Random(7), []
+    for image in "abc":
+        for _ in range(400):
+            data.append((image, "#%02x%02x%02x" % tuple(rng.choice([0, 10, 20, 200, 210, 255]) for _ in range(3)), rng.choice([1, 1, 1, 2, 900])))
+    data += [("rare", "#%02x0000" % (40 * i), 1) for i in range(6)]
+
+    def brute(image):
+        counts = {}
+        for i, c, n in data:
+            if i == image:
+                counts[c] = counts.get(c, 0) + n
+        total, heads = sum(counts.values()), []
+        rgb = lambda c: [int(c[k : k + 2], 16) for k in (1, 3, 5)]
+        for c, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
+            near = sorted((sum(abs(a - b) for a, b in zip(rgb(h[0]), rgb(c), strict=True)), i) for i, h in enumerate(heads))
+            if n < 0.05 * total and near and near[0][0] <= 36:
+                heads[near[0][1]][1] += n
+            else:
+                heads.append([c, n])
+        return [(image, c, n) for c, n in sorted(heads, key=lambda h: (-h[1], h[0]))[:12]]
+
+    got = styles.palette(spark.createDataFrame(data, "image string, rgb string, n long"), keep=0.05)
+    assert [(r["image"], r["rgb"], r["n"]) for r in got.orderBy("image", "rank").collect()] == [x for i in ("a", "b", "c", "rare") for x in brute(i)]
+    assert got.filter("image = 'rare'").count() == 6  # no colour of 5 %, none near another
+    assert styles.palette(got.select("image", "rgb", "n").limit(0)).isEmpty()
+
+
+def test_roles_of_colours(spark):
+    c = [("p", "#f7f8fa", 0.6), ("p", "#ffffff", 0.3), ("p", "#ff8080", 0.02), ("p", "#222222", 0.05), ("p", "#f0f0f0", 0.03), ("dark", "#222222", 0.5), ("dark", "#2a2a2a", 0.2), ("none", "#111111", 1.0)]
+    ground = {"p": "#f7f8fa", "dark": "#222222"}
+    df = spark.createDataFrame([(i, h, s, ground.get(i)) for i, h, s in c], "image string, rgb string, share double, ground string")
+    got = {(r["image"], r["role"]): (r["rgb"], r["value"]) for r in styles.name_tokens(df).collect()}
+    assert {k: v[0] for k, v in got.items()} == {("p", "background"): "#f7f8fa", ("p", "text"): "#222222", ("p", "accent"): "#ff8080", ("p", "surface"): "#ffffff", ("dark", "background"): "#222222", ("dark", "text"): "#2a2a2a", ("none", "refused"): None}
+    assert got[("p", "accent")][1] == 1.0  # by lightness, not by value
+
+
+def test_routes_and_screens(spark):
+    files = [
+        ("src/router.tsx", "import Home, { type Inbox as Box } from '@/scenes/Home'\nimport * as All from './scenes/All'\nimport { Plain } from './scenes/Plain'\ncreateBrowserRouter([{ element: <Plain />, element={<All.x /> }, { component={Box} }, lazy(() => import('../src/scenes/Late'))])"),
+        ("src/scenes/Home/index.jsx", ""), ("src/scenes/All.tsx", ""), ("src/scenes/Plain.tsx", ""), ("src/scenes/Late.tsx", ""),
+        ("src/other.tsx", "const M = lazy(() => import('./scenes/Modal'))"), ("src/scenes/Modal.tsx", ""), ("app/api/route.ts", ""), ("app/shop/page.tsx", ""), ("app/shop/card.tsx", ""), ("tests/pages/x.tsx", None),
+    ]
+    df = spark.createDataFrame([("r", p, t) for p, t in files], "repo string, path string, content string")
+    assert rows(graphs.route_references(df), "specifier") == [("../src/scenes/Late",), ("./scenes/All",), ("@/scenes/Home",)]
+    assert rows(readers.is_screen(df.select("repo", "path"), graphs.routed(df)), "path", "found_by") == [("app/shop/page.tsx", "router"), ("src/scenes/All.tsx", "route"), ("src/scenes/Home/index.jsx", "route"), ("src/scenes/Late.tsx", "route")]
+    assert graphs.routed(df.limit(0)).isEmpty()
+
+
+def test_places_of_frames():
+    scene = "interface P {\n icon?: React.ReactNode\n left?: React.ReactNode\n title?: React.ReactNode\n actions?: ReactNode\n textTitle?: string\n wide?: boolean\n onClick: (e: ReactElement) => void }"
+    assert shells.regions_of(scene) == ["actions", "icon", "left", "title"]
+    assert shells.regions_of("const a = (x: RefObject<Element>) => 1") == []
+    assert shells.regions_of("import { ReactNode } from 'react'\nexport const S = 1\nconst f = ({title}: {title: string}) => (\n<h1 class={title}>{icon}{label}</h1>)") == ["icon", "label", "title"]
+    assert shells.regions_of("<slot name='a'/><slot /><ng-content select=\"[b].c\">{@render d()}{#each xs as {y, z}}{y}{z}{/each}<input {e2} />") == ["a", "bc", "children", "d"]
+
+
+def test_roots_of_screens():
+    assert shells.root_of("")[0] == "norender"
+    assert shells.root_of("return <div><Scene/></div>")[0] == "unframed"
+    assert shells.root_of("return <Outlet />")[0] == "plumbing"
+    assert shells.root_of("return (<Suspense fallback={<A/>}><B.C a={'}'} b c=\"d\" /></Suspense>)") == ("framed", "B.C", [("a", "'}'"), ("c", "d")])
+    assert shells.root_of("const a = () => <p/>; return <Frame x={1}>")[:2] == ("framed", "Frame")
+    assert shells.root_of("return <Frame x={1")[0] == "unclassified"
+    assert shells.root_of("=> <A" + " b={1}" * 20_000 + " />")[0] == "framed"
+
+
+def test_signatures_and_report(spark):
+    frames = spark.createDataFrame([("r", "f.tsx", "Scene", x) for x in ("title", "icon", "children")], "repo string, path string, frame string, region string")
+    text = {"a": "return <Scene title={x} wide={true} icon=\"i\" />", "b": "return <Other a={b} onX={c} isY={d} rowId={e} f={() => 1} g={true} />", "c": "return <p className='flex'/>", "d": None, "e": "return <Scene />"}
+    roots = shells.read_roots(spark.createDataFrame([("r", p, t) for p, t in text.items()], "repo string, path string, content string"))
+    signed = screens.signatures(roots, frames)
+    assert rows(signed, "path", "class", "signature", "from_declaration") == [("a", "framed", "Scene(icon+title)", True), ("b", "framed", "Other(a)", False), ("c", "unframed", None, None), ("d", "norender", None, None), ("e", "framed", "Scene", True)]
+    assert rows(screens.archetype_report(signed), "considered", "framed", "unframed", "norender", "dominant", "arrangement", "arrangement_verdict", "own_layout_share") == [(5, 3, 1, 1, "Scene", None, "too few to say", 0.2)]
+    assert screens.archetype_report(signed.limit(0)).isEmpty()
