@@ -210,4 +210,4 @@ def ratchet_batches(spark, sf_dir):
     step = streams.ratchet_batch(folder)
     step(found.filter("l_linestatus = 'O' or repo = 'A'"), 0)
     step(found.filter("l_linestatus = 'F' and repo <> 'A'"), 1)
-    return spark.read.schema("repo string, dimension string, path string").parquet(f"{folder}/batch=1")
+    return spark.read.schema("repo string, dimension string, path string").parquet(f"{folder}/batch=1").filter("path is not null")

@@ -9,10 +9,11 @@ from ..functions.shares import share, verdict
 
 
 def gate_stream(arriving: DataFrame, dimensions: dict[str, Column], rules: DataFrame) -> DataFrame:
-    """Arriving files that break a rule: stream-static join, append mode."""
+    """Arriving files that break a rule: stream-static join, append mode. Rules are a row for each repo and dimension, so they grow with the
+    repos: nothing is broadcast unless the planner finds it small."""
     cases = F.array(*[F.struct(F.lit(k).alias("dimension"), v.alias("bucket")) for k, v in sorted(dimensions.items())])
     seen = arriving.select("repo", "path", F.explode(cases).alias("o")).select("repo", "path", "o.*").filter("bucket is not null")
-    return seen.join(F.broadcast(rules.select("repo", "dimension", "expect")), ["repo", "dimension"]).filter(F.col("bucket") != F.col("expect"))
+    return seen.join(rules.select("repo", "dimension", "expect"), ["repo", "dimension"]).filter(F.col("bucket") != F.col("expect"))
 
 
 def ledger_windows(runs: DataFrame, window: str = "1 day", late: str = "2 days") -> DataFrame:
@@ -40,10 +41,62 @@ def sliding_verdicts(counted: DataFrame) -> DataFrame:
     return out.select("window_end", "repo", "dimension", F.col("x.bucket").alias("dominant"), s.alias("share"), "total", verdict(s, F.col("total")).alias("verdict"))
 
 
+def late_against(every: DataFrame, kept: DataFrame, keys: list[str], count: str = "n") -> DataFrame:
+    """Rows that came too late, by window: ``every`` has all rows' counts, ``kept`` what a stream in append mode has written. keys, counted, late, closed.
+
+    A window that the watermark hasn't passed isn't written yet: closed is false, and nothing of it is late so far.
+    """
+    both = every.select(*keys, F.col(count).alias("every")).join(kept.select(*keys, F.col(count).alias("counted"), F.lit(True).alias("there")), keys, "left")
+    closed = F.coalesce("there", F.lit(False))
+    return both.select(*keys, F.coalesce("counted", F.lit(0)).alias("counted"), F.when(closed, F.col("every") - F.col("counted")).otherwise(0).alias("late"), closed.alias("closed"))
+
+
+SHARDS = 16
+
+
+def ratchet_stream(scans: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """Accepted debt carried as keyed state. scans: a stream of (repo, scan, dimension, path), a row for each violation that a scan of a repo found, and
+    one with a null path for a scan that found none. Out: (repo, scan, dimension, path, status), once for each scan.
+
+    The first scan of a repo accepts what it finds (``accepted``). Later ones find it still there (``carried``) or gone (``paid``, for good), and whatever else they
+    find is a ``regression``, which never becomes accepted. A repo that pays everything stays known. A scan with a number that the repo has passed
+    changes nothing, so one delivered twice counts once. The rows of one scan of a repo have to come in one batch. State is kept by repo and
+    ``shards`` hashes of the path, so no repo is one group; every shard learns of each scan.
+    """
+    own = F.when(F.col("path").isNotNull(), F.pmod(F.xxhash64("dimension", "path"), F.lit(shards)).cast("int"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.struct(s.alias("shard"), (s == own).alias("mine")))
+    rows = scans.select("repo", "scan", "dimension", "path", F.explode(every).alias("e")).select("repo", "scan", F.when(F.col("e.mine"), F.col("dimension")).alias("dimension"), F.when(F.col("e.mine"), F.col("path")).alias("path"), F.col("e.shard").alias("shard")).distinct()
+
+    def step(key, frames, state):
+        import pandas as pd
+
+        got = pd.concat(list(frames))
+        last, held = state.get if state.exists else (None, [])
+        accepted, out = {tuple(x.split("\x1f", 1)) for x in held}, []
+        for scan, found in got.groupby("scan"):
+            if last is not None and scan <= last:
+                continue
+            here = set(found.dropna(subset=["path"])[["dimension", "path"]].itertuples(index=False, name=None))
+            if last is None:
+                named = {v: "accepted" for v in here}
+                accepted = here
+            else:
+                named = {v: "paid" for v in accepted - here} | {v: "carried" for v in accepted & here} | {v: "regression" for v in here - accepted}
+                accepted = accepted & here
+            last = int(scan)
+            out += [(key[0], last, *v, status) for v, status in sorted(named.items())]
+        state.update((last, sorted("\x1f".join(v) for v in accepted)))
+        yield pd.DataFrame(out, columns=["repo", "scan", "dimension", "path", "status"])
+
+    return rows.groupBy("repo", "shard").applyInPandasWithState(step, "repo string, scan long, dimension string, path string, status string", "last long, accepted array<string>", "append", "NoTimeout")
+
+
 def ratchet_batch(folder: str):
-    """A foreachBatch function that carries the accepted violations: those of repos in the batch shrink to what is still there.
+    """A foreachBatch function that carries the accepted violations: those of repos in the batch shrink to what is still there, and a
+    repo that none had before brings its own. A row without a path says that its repo was looked at and nothing found; its debt goes.
 
-    Every batch writes a new version under ``folder``, named by its id; a batch that is run again writes the same one.
+    Every batch writes a new version under ``folder``, named by its id; a batch that is run again writes the same one. Rows without a path
+    in a version are the repos that are known. ``ratchet_stream`` keeps the same by key, without rewriting what no batch touches.
     """
 
     def step(found: DataFrame, batch_id: int) -> None:
@@ -51,13 +104,16 @@ def ratchet_batch(folder: str):
         keys = ["repo", "dimension", "path"]
         found = found.select(*keys).distinct()
         target = f"{folder}/batch={batch_id}"
+        seen = found.select("repo").distinct()
+        known = seen.select("repo", *[F.lit(None).cast("string").alias(c) for c in keys[1:]])
+        found = found.filter("path is not null")
         if batch_id == 0:
-            found.write.mode("overwrite").parquet(target)
+            found.unionByName(known).write.mode("overwrite").parquet(target)
             return
         before = spark.read.schema(found.schema).parquet(f"{folder}/batch={batch_id - 1}")
-        repos = found.select("repo").distinct()
+        first = found.join(before.select("repo").distinct(), "repo", "left_anti")
         carried = before.join(found, keys, "left_semi")
-        other = before.join(repos, "repo", "left_anti")
-        carried.unionByName(other).write.mode("overwrite").parquet(target)
+        other = before.join(seen, "repo", "left_anti")
+        carried.unionByName(other).unionByName(first).unionByName(known).write.mode("overwrite").parquet(target)
 
     return step
