@@ -303,7 +303,7 @@ def candidates(rows: DataFrame, least: int, top: int, kind: str = "<i8") -> Data
     """(a, b), each once: numbers of frequent sequences of k words that stand a word apart somewhere, so that both parts of the
     sequence of k + 1 words are frequent, and whose hash of 32 bits is met ``least`` times or more. Both hold for every frequent
     sequence; others may pass, for a hash says nothing about one pair: the trie counts. Tasks leave out what a bitmap of the full
-    hashes, folded to BITS places, shows at once; the rest is matched by join."""
+    hashes, folded to BITS places, shows at once; what is left of all tasks is matched hash by hash, packed in parts that grow with the partitions."""
 
     shift = 32 - max(8, min(20, (2 * partitions(rows.sparkSession)).bit_length()))  # parts grow with the partitions
 
@@ -335,7 +335,8 @@ def candidates(rows: DataFrame, least: int, top: int, kind: str = "<i8") -> Data
                 counts = np.append(n, np.frombuffer(y.as_py(), "<i8"))
                 bucket, back = np.unique(both, return_inverse=True)
                 n = np.bincount(back, weights=counts, minlength=len(bucket)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[n >= least])], names=["bucket"])
+        full = bucket[n >= least]
+        yield pa.RecordBatch.from_arrays([pa.array(full >> shift, pa.int32()), pa.array(full)], names=["part", "bucket"])
 
     def bitmap(batches):
         bits = np.zeros(BITS >> 3, np.uint8)
@@ -345,14 +346,18 @@ def candidates(rows: DataFrame, least: int, top: int, kind: str = "<i8") -> Data
         at = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(bits[at], pa.int32())], names=["place", "bits"])
 
-    full = materialize(rows.mapInArrow(tidy(tally), "part int, buckets binary, counts binary").groupBy("part").applyInArrow(total, "bucket long"), "buckets")
+    full = materialize(rows.mapInArrow(tidy(tally), "part int, buckets binary, counts binary").groupBy("part").applyInArrow(total, "part int, bucket long"), "buckets")
     got = full.mapInArrow(tidy(bitmap), "place int, bits int").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
     known = np.zeros(BITS >> 3, np.uint8)
     known[got.column("place").to_numpy()] = got.column("bits").to_numpy()
 
     def found(held):
         a, b = _distinct(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), top)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(_bucket(a, b))], names=["a", "b", "bucket"])
+        part = _bucket(a, b) >> shift
+        order = np.argsort(part, kind="stable")
+        edges = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1])) if len(part) else np.zeros(0, np.int64)
+        for at in np.split(order, edges[1:]) if len(edges) else []:
+            yield pa.RecordBatch.from_arrays([pa.array(part[at[:1]], pa.int32()), packed(np.stack([a[at], b[at]], axis=1).astype("<i8"))], names=["part", "pairs"])
 
     def find(batches):
         held, many = [], 0
@@ -362,12 +367,19 @@ def candidates(rows: DataFrame, least: int, top: int, kind: str = "<i8") -> Data
             held.append(_distinct(a[ok], b[ok], top))
             many += len(held[-1][0])
             if many > 2_000_000:
-                yield found(held)
+                yield from found(held)
                 held, many = [], 0
         if held:
-            yield found(held)
+            yield from found(held)
 
-    return rows.mapInArrow(tidy(find), "a long, b long, bucket long").distinct().join(full, "bucket", "left_semi").select("a", "b")
+    def matched(buckets: pa.Table, pairs: pa.Table) -> pa.Table:
+        both = [np.frombuffer(unpacked(x), "<i8").reshape(-1, 2) for x in pairs.column("pairs")]
+        a, b = _distinct(*np.concatenate(both).T, top) if both else (np.zeros(0, np.int64),) * 2
+        ok = np.isin(_bucket(a, b), buckets.column("bucket").to_numpy())
+        return pa.table({"a": pa.array(a[ok]), "b": pa.array(b[ok])})
+
+    pairs = rows.mapInArrow(tidy(find), "part int, pairs binary")
+    return full.groupBy("part").cogroup(pairs.groupBy("part")).applyInArrow(matched, "a long, b long")
 
 
 def counted(ids: DataFrame, rows: DataFrame, size: int, width: int) -> DataFrame:
