@@ -45,8 +45,9 @@ def registry_tables(spark):
 
 
 CHECKS = f"""{USAGES}, k AS (SELECT *, CAST(substr(component, 2) AS INTEGER) AS i FROM usages),
-checks AS (SELECT repo, path, component, prop, CASE WHEN i >= 24 THEN 'component' WHEN prop IN ('price', 'on') OR (prop = 'width' AND i % 5 = 0) THEN 'prop' ELSE 'value' END AS "check",
- CASE WHEN i >= 24 THEN false WHEN prop IN ('price', 'on') OR (prop = 'width' AND i % 5 = 0) THEN false WHEN prop = 'flag' THEN value IN ('A', 'N') OR (i % 3 = 0 AND value = 'R') WHEN prop = 'status' THEN value IN ('F', 'O') ELSE true END AS ok FROM k)"""
+checks AS (SELECT DISTINCT repo, path, component, site_id, NULL AS prop, 'component' AS "check", i < 24 AS ok FROM k
+UNION ALL SELECT repo, path, component, site_id, prop, 'prop', prop IN ('flag', 'status', 'line') OR (prop = 'width' AND (i % 5 <> 0 OR i % 2 = 0)) FROM k WHERE i < 24
+UNION ALL SELECT repo, path, component, site_id, prop, 'value', CASE prop WHEN 'flag' THEN value IN ('A', 'N') OR (i % 3 = 0 AND value = 'R') ELSE value IN ('F', 'O') END FROM k WHERE i < 24 AND prop IN ('flag', 'status'))"""
 
 
 @query(f"""WITH {CHECKS} SELECT component, prop, "check", ok, count(*) AS n FROM checks GROUP BY ALL""")
@@ -60,7 +61,7 @@ def registry_score(spark, sf_dir):
     return registry.score(registry.check_registry(usages(spark, sf_dir), *registry_tables(spark)), ["repo", "component"])
 
 
-SCORED = f"""{CHECKS}, f AS (SELECT repo, path % 3 AS kind, path, sum(CAST(ok AS INTEGER)) FILTER (prop IN ('status', 'line', 'flag')) AS passed, count(*) FILTER (prop IN ('status', 'line', 'flag')) AS total FROM checks GROUP BY ALL),
+SCORED = f"""{CHECKS}, f AS (SELECT repo, path % 3 AS kind, path, sum(CAST(ok AS INTEGER)) FILTER (prop IN ('status', 'line', 'flag')) AS passed, count(*) FILTER (prop IN ('status', 'line', 'flag')) AS total FROM checks WHERE prop IN ('status', 'line', 'flag') GROUP BY ALL),
 files AS (SELECT repo, kind, path, CAST(floor(100 * passed / total) AS BIGINT) AS percent, total, path % 11 = 0 AS in_baseline FROM f)"""
 
 
@@ -93,14 +94,15 @@ a AS (SELECT component, unnest(regexp_extract_all(attrs, '([\w:@.-]+)(\s*=\s*("[
 SELECT component, regexp_extract(a, '^([\w:@.-]+)', 1) AS prop, CASE WHEN NOT contains(a, '=') THEN 'boolean' ELSE 'string' END AS kind, count(*) AS n FROM a GROUP BY ALL""")
 def tag_usages(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(F.lit("all").alias("repo"), F.col("page_id").alias("path"), F.col("html").alias("content"))
-    return registry.tag_usages(pages).groupBy("component", "prop", "kind").agg(F.count("*").alias("n"))
+    return registry.tag_usages(pages).filter("prop is not null").groupBy("component", "prop", "kind").agg(F.count("*").alias("n"))
 
 
-@query("""WITH c AS (SELECT DISTINCT p_brand AS component FROM part), u AS (SELECT p_brand AS component, count(*) AS sites FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)
+@query("""WITH c AS (SELECT DISTINCT p_brand AS component FROM part), u AS (SELECT p_brand AS component, count(DISTINCT (l_orderkey, l_linenumber)) AS sites FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)
 SELECT component, coalesce(sites, 0) AS sites, sites IS NOT NULL AS called FROM c LEFT JOIN u USING (component)""")
 def vocabulary(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     called = table(spark, sf_dir, "lineitem").join(part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("component")), "l_partkey")
+    called = called.select(F.lit("all").alias("repo"), F.col("l_orderkey").alias("path"), "component", F.col("l_linenumber").alias("site_id"))
     return registry.vocabulary(part.select(F.col("p_brand").alias("component")), called)
 
 

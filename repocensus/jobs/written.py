@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graphs, screens
-from ..sources import readers, shells
+from ..operators import graphs, registry, retrieval, screens
+from ..sources import markup, readers, shells
 from .census import table
 
 Q: dict = {}
@@ -117,3 +117,74 @@ SELECT repo, count(DISTINCT r.k) AS frames, count(DISTINCT region) AS regions, c
 def products_of_regions(spark, sf_dir):
     files = written(spark, sf_dir, "supplier", "s_suppkey", "s_suppkey % 40", FRAMES)
     return screens.products_of_regions(shells.read_frames(files), files)
+
+
+CALLS = [
+    ("true", "src/c{k}.tsx", "// <Gone/>\n<Bare/><Bare></Bare><Field type='text' placeholder={p} disabled value=\"v\" onChange={() => f('>')} colour='red' size='m{k}' /> <Panel className='x' aria-label='y' data-id={1} key={2} tone='loud' {...rest}><Bare\n/></Panel>"),
+    ("k % 2 = 0", "src/d{k}.tsx", "<Panel tone='quiet' width={3} wide/><Pane/><Field name='n' size='s' size2/><Panel.Head made='up' />"),
+]
+REGISTRY = "r AS (SELECT * FROM (VALUES ('Bare', false, false), ('Field', true, false), ('Panel', false, false), ('Panel.Head', false, true), ('Never', true, false)) v(component, inherits, is_part))"
+CALL_ROWS = """k AS (SELECT c_custkey AS k, CAST(c_nationkey AS VARCHAR) AS repo FROM customer),
+u AS (SELECT repo, k, 'c' AS f, component, site, prop, kind, value FROM k, (VALUES ('Gone', 0, NULL, NULL, NULL), ('Bare', 1, NULL, NULL, NULL), ('Bare', 2, NULL, NULL, NULL), ('Field', 3, 'type', 'string', 'text'), ('Field', 3, 'placeholder', 'expression', NULL), ('Field', 3, 'disabled', 'boolean', NULL), ('Field', 3, 'value', 'string', 'v'), ('Field', 3, 'onChange', 'expression', NULL), ('Field', 3, 'colour', 'string', 'red'), ('Field', 3, 'size', 'string', 'm'),
+('Panel', 4, 'className', 'string', 'x'), ('Panel', 4, 'aria-label', 'string', 'y'), ('Panel', 4, 'data-id', 'expression', NULL), ('Panel', 4, 'key', 'expression', NULL), ('Panel', 4, 'tone', 'string', 'loud'), ('Bare', 5, NULL, NULL, NULL)) v(component, site, prop, kind, value)
+UNION ALL SELECT repo, k, 'd', component, site, prop, kind, value FROM k, (VALUES ('Panel', 0, 'tone', 'string', 'quiet'), ('Panel', 0, 'width', 'expression', NULL), ('Panel', 0, 'wide', 'boolean', NULL), ('Pane', 1, NULL, NULL, NULL), ('Field', 2, 'name', 'string', 'n'), ('Field', 2, 'size', 'string', 's'), ('Field', 2, 'size2', 'boolean', NULL), ('Panel.Head', 3, 'made', 'string', 'up')) w(component, site, prop, kind, value) WHERE k % 2 = 0)"""
+
+
+def calls(spark, sf_dir):
+    return markup.tag_usages(written(spark, sf_dir, "customer", "c_custkey", "c_nationkey", CALLS))
+
+
+def components(spark):
+    return spark.createDataFrame([("Bare", False, False), ("Field", True, False), ("Panel", False, False), ("Panel.Head", False, True), ("Never", True, False)], "component string, inherits boolean, is_part boolean")
+
+
+@query(f"""WITH {CALL_ROWS}, {REGISTRY}, c AS (SELECT DISTINCT repo, k, f, u.component, site, NULL AS prop, 'component' AS "check", r.component IS NOT NULL AS ok FROM u LEFT JOIN r ON r.component = u.component
+UNION ALL SELECT repo, k, f, u.component, site, prop, 'prop', (u.component = 'Field' AND prop IN ('size', 'type', 'placeholder', 'disabled', 'value', 'name')) OR (u.component = 'Panel' AND prop = 'tone') FROM u WHERE u.component IN ('Field', 'Panel') AND prop NOT IN ('className', 'aria-label', 'data-id', 'key', 'onChange')
+UNION ALL SELECT repo, k, f, u.component, site, prop, 'value', value = 'loud' FROM u WHERE u.component = 'Panel' AND prop = 'tone')
+SELECT repo, component, prop, "check", ok, count(*) AS n FROM c GROUP BY ALL""")
+def registry_truth(spark, sf_dir):
+    """Checks of written markup: bare tags, attributes of elements, those that are never checked, parts."""
+    props = spark.createDataFrame([("Field", "size", None), ("Panel", "tone", ["loud", "soft"]), ("Panel.Head", "title", None)], "component string, prop string, values array<string>")
+    return registry.check_registry(calls(spark, sf_dir), components(spark), props).groupBy("repo", "component", "prop", "check", "ok").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {CALL_ROWS} SELECT repo, component, prop, CASE kind WHEN 'boolean' THEN 'true' WHEN 'string' THEN CASE WHEN value = 'm' THEN 'm' || k ELSE value END END AS value, count(*) AS n, count(*) FILTER (kind = 'expression') AS expressions FROM u WHERE prop IS NOT NULL AND prop NOT IN ('className', 'key', 'onChange') GROUP BY ALL""")
+def props_given(spark, sf_dir):
+    return registry.prop_usage(calls(spark, sf_dir))
+
+
+@query(f"""WITH {CALL_ROWS} SELECT repo, component, count(DISTINCT f || k || '/' || site) AS sites, count(DISTINCT f || k) AS files FROM u GROUP BY ALL""")
+def call_sites(spark, sf_dir):
+    return registry.call_sites(calls(spark, sf_dir))
+
+
+@query(f"""WITH {CALL_ROWS}, {REGISTRY}, s AS (SELECT CASE component WHEN 'Pane' THEN 'Panel' WHEN 'Gone' THEN 'Never' ELSE component END AS component, count(DISTINCT f || k || '/' || site || component) AS sites FROM u GROUP BY 1)
+SELECT r.component, coalesce(sites, 0) AS sites, sites IS NOT NULL AS called FROM r LEFT JOIN s ON s.component = r.component""")
+def vocabulary_by_alias(spark, sf_dir):
+    aliases = spark.createDataFrame([("Pane", "Bare"), ("Pane", "Panel"), ("Gone", "Never"), ("Field", "Never")], "alias string, component string")
+    return registry.vocabulary(components(spark), calls(spark, sf_dir), aliases)
+
+
+#: Components that answer a role, by the remainder of its key by 7.
+ANSWERS = [(0, "Exact{k}", None, None, "flat"), (0, "Exact{k}Wide", None, ".exact{k}-w", None), (1, "PrimaryLamp{k}Old", None, None, "Primary,ghost"), (1, "XPrimaryLamp{k}", None, None, None), (2, "Some{k}", None, ".blocky{k}__x", None), (3, "Fam{k}Long", None, "#family{k}__a", None), (3, "Fam{k}", None, ".family{k}_b", None), (4, "Sheet{k}", None, None, None), (4, "MyDialog{k}Content", None, None, None), (6, "Other{k}", "mood{k}", None, None), (6, "Twin{k}", "mood{k}", None, None)]
+ROLE = "case k % 7 when 0 then concat('exact', k) when 1 then concat('primaryLamp', k, '-action') when 2 then concat('blocky', k) when 3 then concat('Family', k) when 4 then concat('dialog', k) when 5 then concat('ghost', k) else concat('mood', k) end"
+BINDING_SQL = """WITH k AS (SELECT s_suppkey AS k FROM supplier), ro AS (SELECT k, CASE k % 7 WHEN 0 THEN 'exact' || k WHEN 1 THEN 'primaryLamp' || k || '-action' WHEN 2 THEN 'blocky' || k WHEN 3 THEN 'Family' || k WHEN 4 THEN 'dialog' || k WHEN 5 THEN 'ghost' || k ELSE 'mood' || k END AS role FROM k),
+r AS (SELECT role, lower(replace(role, '-', '')) AS r, regexp_replace(lower(replace(role, '-', '')), 'action$', '') AS bare, k FROM ro),
+c AS (SELECT replace(component, '{k}', CAST(k AS VARCHAR)) AS component, replace(ref, '{k}', CAST(k AS VARCHAR)) AS ref, replace(block, '{k}', CAST(k AS VARCHAR)) AS block, vals FROM k JOIN (VALUES (0, 'Exact{k}', NULL, NULL, 'flat'), (0, 'Exact{k}Wide', NULL, 'exact{k}', NULL), (1, 'PrimaryLamp{k}Old', NULL, NULL, 'primary'), (1, 'XPrimaryLamp{k}', NULL, NULL, NULL), (2, 'Some{k}', NULL, 'blocky{k}', NULL), (3, 'Fam{k}Long', NULL, 'family{k}', NULL), (3, 'Fam{k}', NULL, 'family{k}', NULL), (4, 'Sheet{k}', NULL, NULL, NULL), (4, 'MyDialog{k}Content', NULL, NULL, NULL), (6, 'Other{k}', 'mood{k}', NULL, NULL), (6, 'Twin{k}', 'mood{k}', NULL, NULL)) v(m, component, ref, block, vals) ON m = k % 7),
+p AS (SELECT role, r, component, vals, CASE WHEN r IN (lower(component), coalesce(ref, '')) THEN 'exact' WHEN block = r THEN CASE WHEN (SELECT count(*) FROM c d WHERE d.block = c.block) = 1 THEN 'sole in block' ELSE 'block family' END WHEN k % 7 = 4 AND 'sheet' || k = lower(component) THEN 'synonym' WHEN length(bare) > 3 AND (contains(lower(component), bare) OR contains(coalesce(ref, ''), bare)) THEN 'spelling' END AS evidence FROM r, c),
+e AS (SELECT *, CASE WHEN evidence IN ('exact', 'sole in block') THEN 3 WHEN evidence = 'synonym' THEN 2 ELSE 1 END AS score, r LIKE 'primary%' AND coalesce(vals, '') <> 'primary' AS weaker FROM p WHERE evidence IS NOT NULL),
+b AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY score DESC, weaker, length(component), component) AS o, count(*) OVER (PARTITION BY role) AS considered FROM e), one AS (SELECT * FROM b WHERE o = 1),
+t AS (SELECT one.role, coalesce(string_agg(b.component, ',' ORDER BY b.component) FILTER (b.o > 1 AND b.score = one.score AND NOT b.weaker), '') AS tied, count(*) FILTER (b.score = one.score AND NOT b.weaker) > 1 AS many, coalesce(string_agg(b.component, ',' ORDER BY b.component) FILTER (b.o > 1 AND one.score = 2 AND b.score = 1 AND contains(lower(b.component), one.r)), '') AS literal FROM one JOIN b ON b.role = one.role GROUP BY one.role)
+SELECT r.role, coalesce(one.component, f.component) AS component, CASE WHEN r.r LIKE 'primary%' AND NOT one.weaker THEN 'primary' END AS variant, one.evidence, CAST(one.score AS INTEGER) AS score, CASE WHEN one.role IS NULL THEN CASE WHEN f.component IS NOT NULL THEN 'fallback' ELSE 'uncovered' END WHEN one.weaker OR one.score = 1 OR many OR literal <> '' THEN 'questionable' ELSE 'proposed' END AS state,
+one.weaker, CASE WHEN many THEN tied ELSE '' END AS tied, coalesce(literal, '') AS literal, coalesce(one.considered, 0) AS considered FROM r LEFT JOIN one ON one.role = r.role LEFT JOIN t ON t.role = r.role LEFT JOIN one f ON r.k % 7 = 5 AND r.k % 2 = 0 AND f.role = 'exact' || (r.k - 5)"""
+
+
+@query(BINDING_SQL)
+def bindings_in_full(spark, sf_dir):
+    k = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k"))
+    answers = F.array(*[F.struct(F.lit(m).alias("m"), *[F.replace(F.lit(x).cast("string"), F.lit("{k}"), F.col("k").cast("string")).alias(n) for n, x in zip(("component", "ref", "selector", "vals"), rest, strict=True)]) for m, *rest in ANSWERS])
+    c = k.select("k", F.explode(answers).alias("a")).filter("a.m = k % 7").select("a.component", "a.ref", "a.selector", F.split("a.vals", ",").alias("values"))
+    synonyms = k.filter("k % 7 = 4").select(F.expr(ROLE).alias("role"), F.concat(F.lit("Sheet"), "k").alias("synonym"))
+    fallbacks = k.filter("k % 7 = 5 and k % 2 = 0").select(F.expr(ROLE).alias("role"), F.concat(F.lit("exact"), F.col("k") - 5).alias("via"))
+    out = retrieval.bindings(k.select(F.expr(ROLE).alias("role")), c, synonyms, fallbacks)
+    return out.withColumns({x: F.array_join(x, ",") for x in ("tied", "literal")})

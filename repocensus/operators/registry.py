@@ -10,25 +10,44 @@ from ..sources.markup import tag_usages  # noqa: F401
 
 FLOOR, MOST_DISTINCT, LONGEST, DENSITY = 5, 12, 32, 0.8
 LENGTH = r"^-?[0-9.]+(px|rem|em|%|vh|vw|ch|pt)$"
-#: Attributes that any component that inherits takes.
-DOM_ATTRIBUTES = ("class", "className", "id", "style", "title", "role", "tabIndex", "key", "ref", "children", "href", "target", "onClick")
+#: Attributes that an element takes because it is an element; a component that inherits takes them too.
+DOM_ATTRIBUTES = (
+    "id", "name", "type", "value", "defaultValue", "checked", "defaultChecked", "placeholder", "disabled", "required", "readOnly", "autoFocus", "autoComplete", "maxLength", "minLength",
+    "min", "max", "step", "pattern", "multiple", "accept", "rows", "cols", "htmlFor", "form", "src", "alt", "href", "target", "rel", "download", "title", "tabIndex", "role", "lang", "dir",
+    "width", "height", "loading", "colSpan", "rowSpan", "scope", "inputMode", "enterKeyHint",
+)
+#: Attributes that are never held against a registry; those that a framework reads, and bindings of events, which aren't part of what a component takes.
+UNCHECKED = r"^(key|ref|className|style|data-|aria-|on[A-Z])"
+FRAMEWORK = r"^(key|ref|className|class|style|id|slot|children|v-\w+|\*ng\w+|ng\w*|let-\w+|on[A-Z]\w*|@\w+|#\w+)$|^\("
 
 #: Props that say nothing about what a component is.
 UNIVERSAL = ("className", "class", "style", "id", "children", "ref", "key", "as", "asChild", "data-testid", "aria-label", "role", "tabIndex", "onClick", "disabled")
 
 
-def check_registry(usages: DataFrame, components: DataFrame, props: DataFrame) -> DataFrame:
-    """usages (repo, path, component, site_id, prop, value, kind) with check, ok: the component exists, the prop is declared (or
-    inherited), a literal lies in a closed set. components (component, inherits); props (component, prop, values, null: open).
+SITE = ("repo", "path", "component", "site_id")
+
+
+def check_registry(usages: DataFrame, components: DataFrame, props: DataFrame, inherited: tuple[str, ...] = DOM_ATTRIBUTES) -> DataFrame:
+    """usages (repo, path, component, site_id, prop, value, kind; prop null for a site without attributes) to checks: the same columns, check, ok.
+
+    ``component``, once a site (prop null): the registry has it. ``prop``, for each attribute of a known component: it is declared, or the component
+    inherits and elements take it (``inherited``). ``value``, for a literal of a declared prop with a closed set: the set has it. Keys, refs, classes, styles, data, aria and
+    handlers aren't checked, nor are the attributes of parts of a component (column is_part, where components have one).
+    components (component, inherits); props (component, prop, values, null: open). A null id of a site counts as one site.
     """
-    c = components.select("component", "inherits", F.lit(True).alias("known"))
+    part = F.coalesce("is_part", F.lit(False)) if "is_part" in components.columns else F.lit(False)
+    c = components.select("component", F.coalesce("inherits", F.lit(False)).alias("inherits"), part.alias("is_part"), F.lit(True).alias("known"))
     p = props.select("component", "prop", "values", F.lit(True).alias("declared"))
-    rows = usages.join(c, "component", "left").join(p, ["component", "prop"], "left")
-    inherited = F.coalesce(F.col("inherits"), F.lit(False)) & (F.col("prop").isin(*DOM_ATTRIBUTES) | F.col("prop").rlike("^(aria|data)-"))
-    closed = F.col("values").isNotNull() & (F.col("kind") == "string")
-    check = F.when(F.col("known").isNull(), "component").when(F.col("declared").isNull(), "prop").otherwise("value")
-    ok = F.when(F.col("known").isNull(), False).when(F.col("declared").isNull(), inherited).when(closed, F.array_contains("values", F.col("value"))).otherwise(True)
-    return rows.select("repo", "path", "component", "site_id", "prop", "value", "kind", check.alias("check"), ok.alias("ok"))
+    rows = usages.select(*SITE, "prop", "value", "kind").join(c, "component", "left")
+    site = rows.select(*SITE, "known").distinct().select(*SITE, *[F.lit(None).cast("string").alias(x) for x in ("prop", "value", "kind")], F.lit("component").alias("check"), F.coalesce("known", F.lit(False)).alias("ok"))
+    held = rows.filter(F.col("known") & ~F.col("is_part") & F.col("prop").isNotNull() & ~F.col("prop").rlike(UNCHECKED)).join(p, ["component", "prop"], "left")
+    declared = F.coalesce("declared", F.lit(False))
+    checks = F.array(
+        F.struct(F.lit("prop").alias("check"), (declared | (F.col("inherits") & F.col("prop").isin(*inherited))).alias("ok")),
+        F.when(declared & F.col("values").isNotNull() & (F.col("kind") == "string"), F.struct(F.lit("value").alias("check"), F.array_contains("values", F.col("value")).alias("ok"))),
+    )
+    each = held.select(*SITE, "prop", "value", "kind", F.explode(F.array_compact(checks)).alias("c"))
+    return site.unionByName(each.select(*SITE, "prop", "value", "kind", "c.check", "c.ok"))
 
 
 def score(checks: DataFrame, levels: list[str]) -> DataFrame:
@@ -51,8 +70,17 @@ def to_avoid(files: DataFrame, k: int = 8) -> DataFrame:
 
 
 def prop_usage(usages: DataFrame) -> DataFrame:
-    """repo, component, prop, value, n of literals, and expressions and passes of each prop."""
-    return usages.groupBy("repo", "component", "prop", F.when(F.col("kind") == "string", F.col("value")).alias("value")).agg(F.count("*").alias("n"), F.count(F.when(F.col("kind") == "expression", 1)).alias("expressions"))
+    """(repo, component, prop, value) to n and expressions: how often a prop is given each literal, or (value null) an expression. One without a value
+    is given true. What a framework reads and bindings of events are left out, and binding signs around a name ([x], :x, bind:x)."""
+    name = F.regexp_extract("prop", r"^(?:v-bind:|bind:|:|\[\(|\[)?([\w.-]+?)(?:\)\]|\])?$", 1)
+    rows = usages.filter(F.col("prop").isNotNull() & ~F.col("prop").rlike(FRAMEWORK)).withColumn("prop", name).filter((F.col("prop") != "") & ~F.col("prop").rlike(FRAMEWORK))
+    value = F.when(F.col("kind") == "boolean", "true").when(F.col("kind") == "string", F.col("value"))
+    return rows.groupBy("repo", "component", "prop", value.alias("value")).agg(F.count("*").alias("n"), F.count(F.when(F.col("kind") == "expression", 1)).alias("expressions"))
+
+
+def call_sites(usages: DataFrame) -> DataFrame:
+    """(repo, component, sites, files): call sites, those without attributes too, and files that have any."""
+    return usages.select(*SITE).distinct().groupBy("repo", "component").agg(F.count("*").alias("sites"), F.count_distinct("path").alias("files"))
 
 
 def axes(usage: DataFrame, floor: int = FLOOR) -> DataFrame:
@@ -78,10 +106,17 @@ def axes(usage: DataFrame, floor: int = FLOOR) -> DataFrame:
     return by.select("repo", "component", "prop", "literals", "distinct", "expressions", refused.alias("refused"), refused.isNull().alias("axis"))
 
 
-def vocabulary(components: DataFrame, called: DataFrame) -> DataFrame:
-    """component, sites, called: registry entries with how often they are used; 0 was looked for and not found."""
-    sites = called.groupBy("component").agg(F.count("*").alias("sites"))
-    return components.select("component").distinct().join(sites, "component", "left").select("component", F.coalesce("sites", F.lit(0)).alias("sites"), F.col("sites").isNotNull().alias("called"))
+def vocabulary(components: DataFrame, usages: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """component, sites, called: registry entries with their call sites, those without attributes too; 0 was looked for and not found.
+
+    aliases (alias, component) are other spellings of a component; its own name always stands for itself, and of several that claim an alias the last by name has it.
+    """
+    sites = usages.select(*SITE).distinct().groupBy("component").agg(F.count("*").alias("sites"))
+    own = components.select("component").distinct()
+    if aliases is not None:
+        other = aliases.join(own.withColumnRenamed("component", "alias"), "alias", "left_anti").groupBy("alias").agg(F.max("component").alias("name"))
+        sites = sites.join(other.withColumnRenamed("alias", "component"), "component", "left").groupBy(F.coalesce("name", "component").alias("component")).agg(F.sum("sites").alias("sites"))
+    return own.join(sites, "component", "left").select("component", F.coalesce("sites", F.lit(0)).alias("sites"), F.col("sites").isNotNull().alias("called"))
 
 
 def contested(aliases: DataFrame) -> DataFrame:

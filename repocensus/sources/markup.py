@@ -94,6 +94,7 @@ def tags(text: str) -> list[tuple[str, list[tuple[str, str, str]]]]:
 
 def tag_usages(files: DataFrame) -> DataFrame:
     """(repo, path, component, site_id, prop, value, kind) of every attribute of every opening tag in ``content``; kind string, expression or boolean.
+    A tag without attributes has one row, with prop, value and kind null.
 
     site_id counts the tags of a file from 0. An expression is whole, with the braces and tags within it. Null content: no rows.
     """
@@ -106,8 +107,8 @@ def tag_usages(files: DataFrame) -> DataFrame:
                 of, rows = [], []
                 for i, text in enumerate(b.column("content").to_pylist()):
                     for site, (component, props) in enumerate(tags(text or "")):
-                        of += [i] * len(props)
-                        rows += [(component, site, *p) for p in props]
+                        of += [i] * max(len(props), 1)
+                        rows += [(component, site, *p) for p in props or [(None, None, None)]]
                 cols = zip(*rows, strict=True) if rows else [[]] * 5
                 types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
                 take = pa.array(of, pa.int64())

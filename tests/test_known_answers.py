@@ -122,9 +122,9 @@ def test_registry_checks(spark):
     c = spark.createDataFrame([("Button", True)], "component string, inherits boolean")
     p = spark.createDataFrame([("Button", "variant", ["ghost", "primary"])], "component string, prop string, values array<string>")
     checks = registry.check_registry(u, c, p)
-    assert rows(checks, "site_id", "check", "ok") == [(1, "value", False), (1, "value", True), (2, "prop", True), (3, "component", False), (4, "prop", False)]
+    assert rows(checks, "site_id", "check", "ok") == [(1, "component", True), (1, "prop", True), (1, "prop", True), (1, "value", False), (1, "value", True), (2, "component", True), (3, "component", False), (4, "component", True), (4, "prop", False)]
     overall = registry.score(checks, ["repo", "path"]).filter("level = 0").first()
-    assert (overall["passed"], overall["total"], overall["percent"]) == (2, 5, 40)
+    assert (overall["passed"], overall["total"], overall["percent"]) == (6, 9, 66)
 
 
 def test_attributes(spark):
@@ -279,7 +279,7 @@ def test_ratchet_stream(spark, tmp_path):
     schema = "repo string, dimension string, path string"
     step(spark.createDataFrame([("a", "x", "1"), ("a", "x", "2"), ("b", "x", "9")], schema), 0)
     step(spark.createDataFrame([("a", "x", "2"), ("a", "x", "3")], schema), 1)
-    assert rows(spark.read.parquet(str(tmp_path / "base/batch=1")), "repo", "path") == [("a", "2"), ("b", "9")]
+    assert rows(spark.read.parquet(str(tmp_path / "base/batch=1")).filter("path is not null"), "repo", "path") == [("a", "2"), ("b", "9")]
 
 
 def test_the_worst_severity_counts(spark):
@@ -458,3 +458,64 @@ def test_signatures_and_report(spark):
     assert rows(signed, "path", "class", "signature", "from_declaration") == [("a", "framed", "Scene(icon+title)", True), ("b", "framed", "Other(a)", False), ("c", "unframed", None, None), ("d", "norender", None, None), ("e", "framed", "Scene", True)]
     assert rows(screens.archetype_report(signed), "considered", "framed", "unframed", "norender", "dominant", "arrangement", "arrangement_verdict", "own_layout_share") == [(5, 3, 1, 1, "Scene", None, "too few to say", 0.2)]
     assert screens.archetype_report(signed.limit(0)).isEmpty()
+
+
+def test_sites_without_attributes(spark):
+    text = "<Foo/><Foo></Foo><Foo a b/><Bar/>"
+    used = markup.tag_usages(spark.createDataFrame([("r", "p", text), ("r", "q", "<Foo/>"), ("r", "z", None)], "repo string, path string, content string"))
+    known = spark.createDataFrame([("Foo",), ("Bar",), ("Baz",)], "component string")
+    assert rows(registry.vocabulary(known, used)) == [("Bar", 1, True), ("Baz", 0, False), ("Foo", 4, True)]
+    assert rows(registry.call_sites(used)) == [("r", "Bar", 1, 1), ("r", "Foo", 4, 2)]
+    assert rows(registry.prop_usage(used), "component", "prop", "value", "n") == [("Foo", "a", "true", 1), ("Foo", "b", "true", 1)]
+    assert registry.vocabulary(known, used.limit(0)).filter("called").isEmpty()
+
+
+def test_attributes_of_elements_are_no_findings(spark):
+    given = ["type", "placeholder", "disabled", "value", "onChange", "className", "aria-label", "data-x", "onClick", "key", "style", "ref", "made-up"]
+    u = spark.createDataFrame([("r", "p", c, 1, g, "x", "string") for c in ("In", "Plain") for g in given], "repo string, path string, component string, site_id long, prop string, value string, kind string")
+    c = spark.createDataFrame([("In", True), ("Plain", None)], "component string, inherits boolean")
+    checks = registry.check_registry(u, c, spark.createDataFrame([], "component string, prop string, values array<string>"))
+    assert rows(checks.filter("not ok"), "component", "prop") == [("In", "made-up"), ("Plain", "disabled"), ("Plain", "made-up"), ("Plain", "placeholder"), ("Plain", "type"), ("Plain", "value")]
+
+
+def test_holding_equals_contains(spark):
+    import random
+
+    rng = random.Random(11)
+    texts = [(i, "".join(rng.choice("abc ") for _ in range(rng.randint(0, 30)))) for i in range(150)] + [(900, None), (901, "aaaa" * 500)]
+    needles = sorted({"".join(rng.choice("abc ") for _ in range(rng.randint(1, 7))) for _ in range(80)} | {"zzzz", "a"})
+    got = retrieval.holding(spark.createDataFrame([(n,) for n in [*needles, "", None]], "needle string"), spark.createDataFrame(texts, "id long, text string"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted((n, i) for n in needles for i, t in texts if n in (t or ""))
+    plan = got._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_bindings_weigh_their_evidence(spark):
+    roles = spark.createDataFrame([(r,) for r in ("dialog", "dangerAction", "pager", "list", "ghost", "lost", None)], "role string")
+    c = spark.createDataFrame([("Sheet", None, None, None), ("DialogContent", None, None, None), ("DangerButton", None, None, ["danger"]), ("DangerBox", None, None, None), ("PagerGap", None, ".pager__gap", None), ("PagerPage", None, ".pager__page", None), ("Listing", "List", ".l", None), (None, None, None, None)], "component string, ref string, selector string, values array<string>")
+    synonyms = spark.createDataFrame([("dialog", "Sheet"), ("nobody", "Listing")], "role string, synonym string")
+    fallbacks = spark.createDataFrame([("ghost", "list"), ("lost", "nobody")], "role string, via string")
+    got = rows(retrieval.bindings(roles, c, synonyms, fallbacks), "role", "component", "evidence", "state", "variant", "tied", "literal")
+    assert got == sorted([("dialog", "Sheet", "synonym", "questionable", None, [], ["DialogContent"]), ("dangerAction", "DangerButton", "spelling", "questionable", "danger", [], []), ("pager", "PagerGap", "block family", "questionable", None, ["PagerPage"], []), ("list", "Listing", "exact", "proposed", None, [], []), ("ghost", "Listing", None, "fallback", None, [], []), ("lost", None, None, "uncovered", None, [], [])], key=str)
+
+
+def test_debt_as_keyed_state(spark):
+    from repocensus.jobs import streamed
+    from repocensus.streaming import streams
+
+    scans = [(1, "a", 1, "x", "1"), (1, "a", 1, "x", "2"), (1, "a", 1, None, None), (2, "a", 2, None, None), (2, "b", 7, "x", "9"), (2, "b", 7, None, None), (3, "a", 2, "x", "1"), (4, "a", 3, "x", "1"), (4, "b", 8, "x", "9"), (4, "b", 8, "y", "9"), (4, "b", 8, None, None)]
+    df = spark.createDataFrame(scans, "batch int, repo string, scan long, dimension string, path string")
+    got = streamed.finished(streams.ratchet_stream(streamed.arrivals(spark, df, (1, 2, 3, 4)), shards=3))
+    assert rows(got, "repo", "scan", "dimension", "path", "status") == sorted([("a", 1, "x", "1", "accepted"), ("a", 1, "x", "2", "accepted"), ("a", 2, "x", "1", "paid"), ("a", 2, "x", "2", "paid"), ("a", 3, "x", "1", "regression"), ("b", 7, "x", "9", "accepted"), ("b", 8, "x", "9", "carried"), ("b", 8, "y", "9", "regression")], key=str)
+
+
+def test_debt_paid_in_full_goes(spark, tmp_path):
+    from repocensus.streaming import streams
+
+    step, schema = streams.ratchet_batch(str(tmp_path / "base")), "repo string, dimension string, path string"
+    batches = [[("a", "x", "1"), ("b", "x", "1")], [("a", None, None), ("c", "x", "5")], [("a", "x", "1")]]
+    for i, b in enumerate(batches):
+        for _ in range(2):  # run twice, it changes nothing
+            step(spark.createDataFrame(b, schema), i)
+    state = [rows(spark.read.parquet(str(tmp_path / f"base/batch={i}")).filter("path is not null"), "repo", "path") for i in range(3)]
+    assert state == [[("a", "1"), ("b", "1")], [("b", "1"), ("c", "5")], [("b", "1"), ("c", "5")]]
