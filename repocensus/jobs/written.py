@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graphs, registry, retrieval, screens
+from ..operators import graphs, quality, registry, retrieval, screens
 from ..sources import markup, readers, shells
 from .census import table
 
@@ -188,3 +188,25 @@ def bindings_in_full(spark, sf_dir):
     fallbacks = k.filter("k % 7 = 5 and k % 2 = 0").select(F.expr(ROLE).alias("role"), F.concat(F.lit("exact"), F.col("k") - 5).alias("via"))
     out = retrieval.bindings(k.select(F.expr(ROLE).alias("role")), c, synonyms, fallbacks)
     return out.withColumns({x: F.array_join(x, ",") for x in ("tied", "literal")})
+
+
+ARTIFACTS = [
+    ("k % 7 = 0", "scan.json", '{"mode": "too early to say, {k}", "enforce": {"a": {"share": 1.5}, "b": 1}, "deep": [[{"x": {"ran": false, "why": "undefined{k}"}}], {"share": "2"}]}'),
+    ("k % 7 = 1", "defects.json", '{"available": false, "why": " ", "list": [1, "a", {"available": false, "why": "no scanner"}, {"ran": false}], "share": -0.25}'),
+    ("k % 7 = 2", "vocabulary.json", '{"axes": {"Button{k}": {"size": {"observed": {"m": 3, "x => y": 1, "a/b": 2}}, "tone": {"observed": {"{open": 1, "a value that is far too long for one of a set": 1}}, "none": {}}}, "considered": {"registry": 5, "called": 0}}'),
+    ("k % 7 = 3", "broken.json", '{"mode": "x", '),
+    ("k % 7 = 4", "deep.json", '{"mode": "came apart since March", "considered": {"registry": 2}, "notMeasurableByTag": ["A", "B"], "available": "false"}'),
+    ("k % 7 = 5", "fine.json", '{"mode": "came apart: 3 of {k}", "ran": true, "share": 0.5, "considered": {"registry": 2, "called": 1}, "enforce": {}}'),
+    ("k % 7 = 6", "list.json", '[{"share": 2}, null, [], {"considered": {"registry": 1}}]'),
+]
+
+
+@query("""WITH k AS (SELECT o_orderkey AS k, CAST(o_custkey AS VARCHAR) AS slot FROM orders), f AS (SELECT * FROM (VALUES (0, 'scan.json', 'refusal with no reason', 'deep[0][0].x'), (0, 'scan.json', 'share outside 0..1', 'enforce.a = 1.5'), (0, 'scan.json', 'enforcing what the scan would not claim', '2 rule(s)'),
+(1, 'defects.json', 'refusal with no reason', '(root)'), (1, 'defects.json', 'refusal with no reason', 'list[3]'), (1, 'defects.json', 'share outside 0..1', ' = -0.25'),
+(2, 'vocabulary.json', 'parse debris in a measured value', 'Button{k}.size = x => y'), (2, 'vocabulary.json', 'content in a measured value', 'Button{k}.size = a/b'), (2, 'vocabulary.json', 'parse debris in a measured value', 'Button{k}.tone = {open'), (2, 'vocabulary.json', 'content in a measured value', 'Button{k}.tone = a value that is far too long for one of a set'), (2, 'vocabulary.json', 'a registry nothing calls', '5 component(s), 0 found'),
+(3, 'broken.json', 'unreadable artifact', 'this file is on disk and does not parse'), (4, 'deep.json', 'a collapse claimed without a count', 'came apart since March'), (6, 'list.json', 'share outside 0..1', '[0] = 2')) v(m, file, what, detail))
+SELECT slot, file, what, replace(detail, '{k}', CAST(k AS VARCHAR)) AS detail FROM k JOIN f ON m = k % 7""")
+def artifact_findings(spark, sf_dir):
+    """Nested artifacts, walked node by node."""
+    files = written(spark, sf_dir, "orders", "o_orderkey", "o_custkey", ARTIFACTS)
+    return quality.artifact_findings(files.select(F.col("repo").alias("slot"), F.col("path").alias("file"), F.col("content").alias("json")))
