@@ -78,9 +78,9 @@ def advisories_read(spark, sf_dir):
     return readers.read_audit(audits(spark, sf_dir)).withColumn("via", F.array_join("via", ","))
 
 
-@query(f"WITH {AUDITED} SELECT repo, package, severity, direct FROM a ORDER BY direct DESC, CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'moderate' THEN 2 ELSE 3 END, package LIMIT 10")
+@query(f"WITH {AUDITED} SELECT repo, package, severity, direct, CAST(row_number() OVER (PARTITION BY repo ORDER BY direct DESC, severity <> 'critical', package) AS INTEGER) AS rank FROM a WHERE severity IN ('critical', 'high') QUALIFY rank <= 10")
 def worst_advisories(spark, sf_dir):
-    return security.worst_advisories(readers.read_audit(audits(spark, sf_dir))).select("repo", "package", "severity", "direct")
+    return security.worst_advisories(readers.read_audit(audits(spark, sf_dir))).select("repo", "package", "severity", "direct", "rank")
 
 
 @query("""SELECT CAST(p_partkey AS VARCHAR) AS spec, zone, pos, role, size, kind FROM part, LATERAL (SELECT * FROM (VALUES

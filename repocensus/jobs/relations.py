@@ -330,8 +330,8 @@ def since_first_purchase(spark, sf_dir):
 @query("""WITH c AS (SELECT CAST(user_id % 9 AS VARCHAR) AS repo, ts, event_type = 'signup' AND value > 20 AS agent, event_type = 'view' AS signed, user_id FROM events), f AS (SELECT *, min(CASE WHEN agent THEN ts END) OVER (PARTITION BY repo) AS t FROM c)
 SELECT repo, count(*) AS commits, count(*) FILTER (agent) AS agent_named, count(*) FILTER (signed) AS signed, count(DISTINCT user_id) AS authors, count(*) FILTER (ts >= t) AS since_adoption, round(count(*) FILTER (agent) / nullif(count(*) FILTER (ts >= t), 0), 3) AS share_since FROM f GROUP BY repo""")
 def provenance(spark, sf_dir):
-    agent = F.when((F.col("event_type") == "signup") & (F.col("value") > 20), F.array(F.struct(F.lit("Some Bot[bot]").alias("name"), F.lit("x@example.com").alias("email")))).otherwise(F.array(F.struct(F.lit("A Person").alias("name"), F.lit("1+p@users.noreply.example.com").alias("email"))))
-    c = table(spark, sf_dir, "events").select((F.col("user_id") % 9).cast("string").alias("repo"), F.col("event_id").alias("hash"), F.col("user_id").alias("author"), F.col("ts").alias("date"), F.when(F.col("event_type") == "view", "G").otherwise("N").alias("signature"), agent.alias("co_authors"))
+    agent = F.when((F.col("event_type") == "signup") & (F.col("value") > 20), F.array(F.struct(F.lit("Release Bot").alias("name"), F.lit("x@example.com").alias("email")))).otherwise(F.array(F.struct(F.lit("A Person").alias("name"), F.lit("1+p@users.noreply.example.com").alias("email"))))
+    c = table(spark, sf_dir, "events").select((F.col("user_id") % 9).cast("string").alias("repo"), F.col("event_id").alias("hash"), F.col("user_id").alias("author"), F.col("ts").alias("date"), F.when(F.col("event_type") == "view", "X").otherwise("N").alias("signature"), agent.alias("co_authors"))
     return ledger.provenance(c)
 
 
@@ -343,10 +343,24 @@ def runs(spark, sf_dir):
     return table(spark, sf_dir, "events").select((F.col("user_id") % 6).cast("string").alias("ledger"), "ts", F.when(e != "error", 1).otherwise(0).alias("handled"), F.when(e == "error", 1).otherwise(0).alias("escalated"), F.when((e == "click") & (F.col("value") > 50), 1).otherwise(0).alias("wrong"))
 
 
-@query(f"""WITH {RUNS}, b AS (SELECT ledger, sum(handled) AS h, sum(escalated) AS e, sum(wrong) AS w FROM runs GROUP BY ledger)
-SELECT ledger, CAST(h AS BIGINT) AS handled, CAST(e AS BIGINT) AS escalated, CAST(w AS BIGINT) AS wrong, CAST(h + e AS BIGINT) AS seen, round(h / (h + e), 3) AS autonomy, round(w / h, 3) AS error_rate, round((h * 0.5 + e * 40.0) / (h + e), 2) AS blended, round(40.0 - (h * 0.5 + e * 40.0) / (h + e), 2) AS saved_per_unit, round((40.0 - (h * 0.5 + e * 40.0) / (h + e)) * 1000, 0) AS saved_per_year FROM b""")
+@query("""WITH c AS (SELECT CAST(user_id % 9 AS VARCHAR) AS repo, event_id, unnest(CASE event_id % 5 WHEN 0 THEN ['Claude', 'Claude', 'P'] WHEN 1 THEN ['Copilot'] WHEN 2 THEN ['V Gemini', 'gpt-' || user_id % 3] ELSE [] END) AS name FROM events)
+SELECT repo, name AS model, count(DISTINCT event_id) AS commits FROM c WHERE name NOT IN ('P', 'V Gemini') GROUP BY ALL""")
+def models_named(spark, sf_dir):
+    k = F.col("event_id") % 5
+
+    def person(name, email="p@x.org"):
+        return F.struct((name if not isinstance(name, str) else F.lit(name)).alias("name"), F.lit(email).alias("email"))
+
+    people = F.when(k == 0, F.array(person("Claude"), person("Claude", "q@x.org"), person("P", "1+claude@users.noreply.host.com"))).when(k == 1, F.array(person("Copilot", "2+Copilot@users.noreply.host.com"))).when(k == 2, F.array(person("V Gemini"), person(F.concat(F.lit("gpt-"), (F.col("user_id") % 3).cast("string")), None)))
+    return ledger.models_named(table(spark, sf_dir, "events").select((F.col("user_id") % 9).cast("string").alias("repo"), people.alias("co_authors")))
+
+
+@query("""WITH r AS (SELECT CAST(user_id % 60 AS VARCHAR) AS ledger, ts, event_id, event_id % 900 + 1 AS h, user_id AS e, event_id % 7 AS w, CASE WHEN event_id % 3 > 0 THEN value / 100 END AS c, 40.0 + user_id % 5 AS b, 1000.0 + event_id % 10 AS v FROM events),
+l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY ledger ORDER BY ts DESC, h DESC, e DESC) = 1), m AS (SELECT *, (h * c + e * b) / (h + e) AS blended FROM l)
+SELECT ledger, h AS handled, e AS escalated, w AS wrong, h + e AS seen, round(h / (h + e), 3) AS autonomy, round(w / h, 3) AS error_rate, c AS cost_per_unit, round(blended, 2) AS blended, round(b - blended, 2) AS saved_per_unit, round((b - blended) * v, 0) AS saved_per_year FROM m""")
 def outcomes(spark, sf_dir):
-    r = runs(spark, sf_dir).withColumn("cost_per_unit", F.lit(0.5)).withColumn("baseline", F.lit(40.0)).withColumn("volume", F.lit(1000.0))
+    k, u = F.col("event_id"), F.col("user_id")
+    r = table(spark, sf_dir, "events").select((u % 60).cast("string").alias("ledger"), "ts", (k % 900 + 1).alias("handled"), u.alias("escalated"), (k % 7).alias("wrong"), F.when(k % 3 > 0, F.col("value") / 100).alias("cost_per_unit"), (u % 5 + F.lit(40.0)).alias("baseline"), (k % 10 + F.lit(1000.0)).alias("volume"))
     return ledger.outcome(r).drop("baseline", "volume")
 
 

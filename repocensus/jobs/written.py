@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graphs, quality, registry, retrieval, screens
+from ..operators import graphs, quality, registry, retrieval, screens, security
 from ..sources import markup, readers, shells
 from .census import table
 
@@ -210,3 +210,17 @@ def artifact_findings(spark, sf_dir):
     """Nested artifacts, walked node by node."""
     files = written(spark, sf_dir, "orders", "o_orderkey", "o_custkey", ARTIFACTS)
     return quality.artifact_findings(files.select(F.col("repo").alias("slot"), F.col("path").alias("file"), F.col("content").alias("json")))
+
+
+RISKS = [
+    ("k % 3 = 0", "src/r{k}.tsx", "const id = Math.random()\nconst token{k} = Math.random()\n<a target=\"_blank\" href={x}>y</a>\n// eval(z)\nsay('never eval(x)')\nconst safe = DOMPurify.sanitize(v)\nel.innerHTML = safe\nel.outerHTML = raw\nbox.insertAdjacentHTML('beforeend', v)\nw.postMessage(m, '*')"),
+    ("k % 3 = 1", "src/r{k}.ts", "const tag = document.createElement('script')\ntag.innerHTML = DOMPurify.sanitize(v)\nconst u = 'http://a{k}.test/x'\nconst w = 'http://localhost:1/'\nrun(`http://no.decl/`)\nconst o = { rejectUnauthorized: false }\nexecSync(`rm ${path}`)\nexecSync('rm x')\nnew Function('a')(eval (b))\nlet h = \"<a target='_blank'>\""),
+    ("k % 3 = 2", "tests/r{k}.html", "x = <a target=\"_blank\" rel=\"noopener\">\ny = <a target='_blank'>\nconst c = { securityLevel: 'strict' }\nz.innerHTML = svg\nd = <p dangerouslySetInnerHTML={{ __html: svg }} />"),
+]
+
+
+@query("""WITH k AS (SELECT p_partkey AS k, CAST(p_size AS VARCHAR) AS repo FROM part) SELECT repo, CASE k % 3 WHEN 0 THEN 'src/r' || k || '.tsx' WHEN 1 THEN 'src/r' || k || '.ts' ELSE 'tests/r' || k || '.html' END AS path, line, kind, mitigated, k % 3 = 2 AS in_test FROM k JOIN (VALUES
+(0, 2, 'weak-random', false), (0, 3, 'tabnabbing', true), (0, 7, 'raw-html', true), (0, 8, 'raw-html', false), (0, 9, 'raw-html', false), (0, 10, 'postmessage-wildcard', false),
+(1, 2, 'script-injection', false), (1, 3, 'cleartext', false), (1, 6, 'tls-off', false), (1, 7, 'shell-injection', false), (1, 9, 'dynamic-code', false), (2, 2, 'tabnabbing', false), (2, 4, 'raw-html', true), (2, 5, 'raw-html', true)) v(m, line, kind, mitigated) ON m = k % 3""")
+def dangerous_constructs(spark, sf_dir):
+    return security.dangerous_patterns(written(spark, sf_dir, "part", "p_partkey", "p_size", RISKS))

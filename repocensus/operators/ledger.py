@@ -5,23 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-AGENTS = r"(?i)\b(claude|copilot|codex|cursor|devin|gemini|gpt|aider)\b|\[bot\]"
-PRIVACY = r"(?i)users\.noreply\."
+#: Names that agents sign with, and domains that are their vendors'; kinds of signatures that were made, whether they can be trusted or not.
+AGENT_NAME = r"(?i)^(claude|chatgpt|gpt-|codex|copilot|gemini|cursor|aider|devin|windsurf|amp|jules)\b|\bbot\b$"
+AGENT_DOMAIN = r"(?i)@(anthropic|openai|users\.noreply\.cursor|githubcopilot)\."
+SIGNED = ("G", "U", "X", "Y", "R")
+
+
+def is_agent(person: Column) -> Column:
+    """A co-author (name, email) who is an agent: by name, or by a vendor's domain. A privacy address alone says nothing: it is a person's."""
+    return F.coalesce(person["name"].rlike(AGENT_NAME), F.lit(False)) | F.coalesce(person["email"].rlike(AGENT_DOMAIN), F.lit(False))
 
 
 def provenance(commits: DataFrame) -> DataFrame:
     """Per repo: commits, those that name an agent as co-author, signed ones, authors, and the share since the first agent-named one.
 
-    commits: repo, hash, author, date, signature, co_authors array<struct<name,email>>. A privacy address is a person's.
+    commits: repo, hash, author, date, signature, co_authors array<struct<name,email>>; a repo without agents has no share.
     """
-    agent = F.exists("co_authors", lambda c: c["name"].rlike(AGENTS) & ~F.coalesce(c["email"], F.lit("")).rlike(PRIVACY))
-    rows = commits.withColumn("agent", F.coalesce(agent, F.lit(False)))
+    rows = commits.withColumn("agent", F.coalesce(F.exists("co_authors", is_agent), F.lit(False)))
     first = rows.filter("agent").groupBy("repo").agg(F.min("date").alias("_first"))
     rows = rows.join(first, "repo", "left").withColumn("since", F.coalesce(F.col("date") >= F.col("_first"), F.lit(False)))
-    out = rows.groupBy("repo").agg(F.count("*").alias("commits"), F.count(F.when(F.col("agent"), 1)).alias("agent_named"), F.count(F.when(F.col("signature").isin("G", "U"), 1)).alias("signed"), F.count_distinct("author").alias("authors"), F.count(F.when(F.col("since"), 1)).alias("since_adoption"))
+    out = rows.groupBy("repo").agg(F.count("*").alias("commits"), F.count(F.when(F.col("agent"), 1)).alias("agent_named"), F.count(F.when(F.col("signature").isin(*SIGNED), 1)).alias("signed"), F.count_distinct("author").alias("authors"), F.count(F.when(F.col("since"), 1)).alias("since_adoption"))
     return out.withColumn("share_since", F.round(F.col("agent_named") / F.when(F.col("since_adoption") > 0, F.col("since_adoption")), 3))
 
 
+def models_named(commits: DataFrame) -> DataFrame:
+    """(repo, model, commits): agents by the name they sign with; one that a commit names twice is named once."""
+    named = F.array_distinct(F.transform(F.filter("co_authors", is_agent), lambda c: c["name"]))
+    return commits.select("repo", F.explode(named).alias("model")).groupBy("repo", "model").agg(F.count("*").alias("commits"))
+
+
 def since_first(rows: DataFrame, keys: list[str], ts: str, marks: Column) -> DataFrame:
     """Rows at or after the first row of their group that ``marks``; groups without one have none. The firsts are joined back, no group is held whole."""
     first = rows.filter(marks).groupBy(*keys).agg(F.min(ts).alias("_first"))
@@ -29,16 +41,19 @@ def since_first(rows: DataFrame, keys: list[str], ts: str, marks: Column) -> Dat
 
 
 def outcome(runs: DataFrame) -> DataFrame:
-    """Per ledger: autonomy, error rate, blended unit cost and its yearly total. runs: ledger, handled, escalated, wrong, cost_per_unit, baseline, volume.
+    """Per ledger, of its latest run: seen, autonomy, error rate, blended unit cost, and what is saved by unit and year.
+    runs: ledger, ts, handled, escalated, wrong, cost_per_unit, baseline, volume.
 
-    Costs are null where no run states one.
+    Earlier runs don't count. Costs are null where the latest run states none: nothing is estimated, and no cost isn't a cost of nothing. Of two runs at
+    one time the one with more handled counts, and so on in the order of the columns.
     """
-    by = runs.groupBy("ledger").agg(F.sum("handled").alias("handled"), F.sum("escalated").alias("escalated"), F.sum("wrong").alias("wrong"), F.sum(F.col("handled") * F.col("cost_per_unit")).alias("spent"), F.max("baseline").alias("baseline"), F.max("volume").alias("volume"))
+    figures = ["handled", "escalated", "wrong", "cost_per_unit", "baseline", "volume"]
+    by = runs.groupBy("ledger").agg(F.max(F.struct("ts", *figures)).alias("x")).select("ledger", *[F.col(f"x.{c}").alias(c) for c in figures])
     seen = F.col("handled") + F.col("escalated")
     some = F.when(seen > 0, seen)
-    blended = (F.col("spent") + F.col("escalated") * F.col("baseline")) / some
+    blended = (F.col("handled") * F.col("cost_per_unit") + F.col("escalated") * F.col("baseline")) / some
     out = by.withColumn("seen", seen).withColumn("autonomy", F.round(F.col("handled") / some, 3)).withColumn("error_rate", F.round(F.col("wrong") / F.when(F.col("handled") > 0, F.col("handled")), 3)).withColumn("blended", F.round(blended, 2))
-    return out.withColumn("saved_per_unit", F.round(F.col("baseline") - blended, 2)).withColumn("saved_per_year", F.round((F.col("baseline") - blended) * F.col("volume"), 0)).drop("spent")
+    return out.withColumn("saved_per_unit", F.round(F.col("baseline") - blended, 2)).withColumn("saved_per_year", F.round((F.col("baseline") - blended) * F.col("volume"), 0))
 
 
 def keyword_triage(records: DataFrame, categories: dict[str, str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.markup import code_of
@@ -19,20 +19,26 @@ SECRET_SHAPES = {
     "private-key": r"-----BEGIN (RSA |EC |OPENSSH |PGP )?PRIVATE KEY-----",
     "jwt": r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b",
 }
+#: Words beside a secret that is none.
 PLACEHOLDER = r"(?i)example|sample|placeholder|dummy|fake|your[-_]?key|xxx|<[a-z]"
 TEST_PATH = r"(?i)(^|/)(tests?|__tests__|spec|e2e|fixtures?)/|[.](test|spec)[.]"
-#: Constructs, each with what must not stand on the line beside it (null: nothing mitigates).
+#: What makes a value safe to put into markup, and switches of renderers that escape by themselves.
+SANITISER = r"(?i)dompurify|sanitiz|sanitise|\bxss\(|escape-?html|html-?escape|encode-?html|\bpurify"
+RENDERER_GUARD = r"securityLevel\s*:\s*[\"'](strict|antiscript)[\"']|sanitize\s*:\s*true|allowDangerousHtml\s*:\s*false|\bskipHtml\b"
+#: Words on a line by which a random number stands for something that must not be guessed.
+CREDENTIAL = r"(?i)token|secret|nonce|salt|password|key|otp|session"
+#: Constructs: what has to stand in the code, what has to stand on the line as it is written (null: nothing more), and what beside it makes it harmless.
 DANGEROUS = {
-    "raw-html": (r"dangerouslySetInnerHTML|\.(inner|outer)HTML\s*=", r"(?i)dompurify|sanitiz|xss\(|escape-?html"),
-    "script-injection": (r"document\.write\s*\(|<script\b", None),
-    "dynamic-code": (r"\beval\s*\(|new\s+Function\s*\(", None),
-    "tabnabbing": (r"target=.?_blank", r"noopener|noreferrer"),
-    "cleartext": (r"\bhttp://", r"localhost|127\.0\.0\.1|w3\.org|schemas\."),
-    "postmessage-wildcard": (r"postMessage\s*\([^)]*,\s*['\"]\*['\"]", None),
-    "tls-off": (r"rejectUnauthorized\s*:\s*false|NODE_TLS_REJECT_UNAUTHORIZED", None),
-    "shell-injection": (r"\bexec(Sync)?\s*\(\s*`[^`]*\$\{", None),
-    "weak-random": (r"Math\.random\s*\(\)", r"(?i)colou?r|jitter|animation"),
+    "raw-html": (r"dangerouslySetInnerHTML|\.(inner|outer)HTML\s*=|\binsertAdjacentHTML\s*\(", None, SANITISER),
+    "dynamic-code": (r"\beval\s*\(|\bnew\s+Function\s*\(", None, None),
+    "tabnabbing": (r"\btarget\s*=", r"target\s*=\s*\{?[\"']_blank[\"']", r"rel\s*=\s*\{?[\"'][^\"']*noopener"),
+    "cleartext": (r"^\s*(const|let|var)\s|:", r"[\"'`]http://(?!localhost|127\.0\.0\.1|0\.0\.0\.0|\[::1\]|www\.w3\.org)", None),
+    "postmessage-wildcard": (r"\bpostMessage\s*\(", r"postMessage\s*\([^)]*,\s*[\"']\*[\"']", None),
+    "tls-off": (r"\brejectUnauthorized\s*:\s*false|NODE_TLS_REJECT_UNAUTHORIZED\b", r"rejectUnauthorized\s*:\s*false|NODE_TLS_REJECT_UNAUTHORIZED[\"'\]]*\s*=\s*[\"']?0", None),
+    "shell-injection": (r"\bexec(Sync)?\s*\(", r"exec(Sync)?\s*\(\s*`[^`]*\$\{", None),
+    "weak-random": (r"\bMath\.random\s*\(\)", CREDENTIAL, None),
 }
+NAME = r"[A-Za-z_$][\w$]*"
 
 
 def lines(files: DataFrame, any_of: str) -> DataFrame:
@@ -62,22 +68,53 @@ def live(findings: DataFrame) -> DataFrame:
 
 
 def dangerous_patterns(files: DataFrame, rules: dict | None = None, blank: bool = True) -> DataFrame:
-    """repo, path, line, kind, mitigated, in_test. Comment lines are skipped; with ``blank`` what is only named in a string, a template, a
-    regular expression or a comment over several lines isn't found either, while what mitigates may stand anywhere on the line."""
-    rules = rules or DANGEROUS
+    """repo, path, line, kind, mitigated, in_test, by rules of one's own: kind to (pattern, what mitigates on the line or null). Comment lines are skipped; with ``blank`` what is
+    only named in a string, a template, a regular expression or a comment over several lines isn't found either, while what mitigates may stand anywhere on
+    the line. Without rules: ``dangerous_constructs``."""
+    if rules is None:
+        return dangerous_constructs(files)
     any_of = "|".join(f"({p})" for p, _ in rules.values())
     if blank:
-        some = code_of(files.filter(F.col("content").rlike(any_of)).select("repo", "path", "content"))
-        each = F.transform(F.arrays_zip(F.split("code", "\n").alias("code"), F.split("content", "\n").alias("text")), lambda s, i: F.struct((i + 1).alias("line"), s["code"].alias("code"), s["text"].alias("text")))
-        found = some.select("repo", "path", F.explode(F.filter(each, lambda x: x["code"].rlike(any_of))).alias("l")).select("repo", "path", "l.*")
-        text = F.col("code")
+        found, text = _code_lines(files, any_of), F.col("code")
     else:
-        found = lines(files, any_of).filter(~F.col("text").rlike(r"^\s*(//|\*|/\*)"))
-        text = F.col("text")
+        found, text = lines(files, any_of).filter(~F.col("text").rlike(r"^\s*(//|\*|/\*)")), F.col("text")
     kinds = F.array_compact(F.array(*[F.when(text.rlike(p), F.struct(F.lit(k).alias("kind"), (F.col("text").rlike(m) if m else F.lit(False)).alias("mitigated"))) for k, (p, m) in sorted(rules.items())]))
     return found.select("repo", "path", "line", F.explode(kinds).alias("k")).select("repo", "path", "line", "k.*", F.coalesce(F.col("path").rlike(TEST_PATH), F.lit(False)).alias("in_test"))
 
 
+def _code_lines(files: DataFrame, any_of: str, **more: Column) -> DataFrame:
+    """Lines (line, code, text) whose code, blanked, matches; ``more`` columns are read from the whole content of the file."""
+    some = code_of(files.filter(F.col("content").rlike(f"(?m){any_of}")).select("repo", "path", "content"))
+    each = F.transform(F.arrays_zip(F.split("code", "\n").alias("code"), F.split("content", "\n").alias("text")), lambda s, i: F.struct((i + 1).alias("line"), s["code"].alias("code"), s["text"].alias("text")))
+    return some.select("repo", "path", *[c.alias(n) for n, c in more.items()], F.explode(F.filter(each, lambda x: x["code"].rlike(any_of))).alias("l")).select("repo", "path", *more, "l.*")
+
+
+def dangerous_constructs(files: DataFrame) -> DataFrame:
+    """repo, path, line, kind, mitigated, in_test of constructs that run or leak what they are given.
+
+    A construct counts where its code stands, not where it is named in a string, a template, a regular expression or a comment. raw-html is mitigated by a sanitiser
+    on the line or where the value is assigned, or by a renderer's guard in the file; filling an element that the file creates as a script is script-injection, which no
+    escaping mitigates; a new tab without noopener is mitigated in jsx and tsx, where the framework adds it; a random number counts beside words for credentials, a plain http address where
+    it is declared and isn't the machine's own. Null content: nothing.
+    """
+    cleaned = F.regexp_extract_all("content", F.lit(rf"\b(?:const|let|var)\s+({NAME})\s*=[^\n]*(?:{SANITISER})"), F.lit(1))
+    made = F.regexp_extract_all("content", F.lit(rf"({NAME})\s*=\s*document\.createElement\s*\(\s*[\"'`]script[\"'`]"), F.lit(1))
+    found = _code_lines(files, "|".join(f"({p})" for p, _, _ in DANGEROUS.values()), cleaned=cleaned, made=made, guard=F.col("content").rlike(RENDERER_GUARD))
+    value = F.regexp_extract("text", rf"(?:__html:|(?:inner|outer)HTML\s*=)\s*({NAME})", 1)
+    filled = F.array_contains("made", F.regexp_extract("text", rf"^\s*({NAME})\s*\.(?:inner|outer)HTML", 1))
+    cases = []
+    for kind, (code, text, mitigates) in sorted(DANGEROUS.items()):
+        here, safe = F.col("code").rlike(code), F.col("text").rlike(mitigates) if mitigates else F.lit(False)
+        here = here & F.col("text").rlike(text) if text else here
+        if kind == "raw-html":
+            cases.append(F.when(here & filled, F.struct(F.lit("script-injection").alias("kind"), F.lit(False).alias("mitigated"))))
+            here, safe = here & ~filled, safe | F.array_contains("cleaned", value) | (F.col("guard") & (value != ""))
+        if kind == "tabnabbing":
+            here, safe = here & ~safe, F.col("path").rlike(r"[.][jt]sx$")
+        cases.append(F.when(here, F.struct(F.lit(kind).alias("kind"), safe.alias("mitigated"))))
+    return found.select("repo", "path", "line", F.explode(F.array_compact(F.array(*cases))).alias("k")).select("repo", "path", "line", "k.*", F.coalesce(F.col("path").rlike(TEST_PATH), F.lit(False)).alias("in_test"))
+
+
 def pattern_counts(files: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """How often each pattern occurs in a repo, all in one pass over the text."""
     sums = [F.sum(F.regexp_count("content", F.lit(p))).cast("long").alias(k) for k, p in sorted(patterns.items())]
@@ -114,8 +151,9 @@ def advisory_counts(advisories: DataFrame, audited: DataFrame) -> DataFrame:
 
 
 def worst_advisories(advisories: DataFrame, k: int = 10) -> DataFrame:
-    """Direct ones first, then by severity."""
-    return advisories.orderBy(F.desc("direct"), severity_rank(F.col("severity")), "package").limit(k)
+    """Of each repo the ``k`` advisories of severity critical or high to act on first: direct ones, then critical ones, then by package; with their rank."""
+    w = Window.partitionBy("repo").orderBy(F.desc(F.coalesce("direct", F.lit(False))), severity_rank(F.col("severity")), "package")
+    return advisories.filter(F.col("severity").isin("critical", "high")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def apply_mutations(files: DataFrame, operators: dict[str, tuple[str, str, str]]) -> DataFrame:
