@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graphs, quality, registry, retrieval, screens, security
-from ..sources import markup, readers, shells
+from ..functions.lineage import cut
+from ..operators import graphs, quality, registry, retrieval, screens, security, styles
+from ..sources import images, markup, readers, shells
 from .census import table
 
 Q: dict = {}
@@ -224,3 +225,41 @@ RISKS = [
 (1, 2, 'script-injection', false), (1, 3, 'cleartext', false), (1, 6, 'tls-off', false), (1, 7, 'shell-injection', false), (1, 9, 'dynamic-code', false), (2, 2, 'tabnabbing', false), (2, 4, 'raw-html', true), (2, 5, 'raw-html', true)) v(m, line, kind, mitigated) ON m = k % 3""")
 def dangerous_constructs(spark, sf_dir):
     return security.dangerous_patterns(written(spark, sf_dir, "part", "p_partkey", "p_size", RISKS))
+
+
+def drawn_pages(spark, sf_dir):
+    """An image for each supplier, in four colour types and all filters: a ground, and two cards one below the other."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            made = []
+            for k in b.column("k").to_pylist():
+                px = np.full((40 + k % 5, 30 + k % 11, 4), 255, np.uint8)
+                px[:, :, :3] = (0xF7, 0xF7, 0xF7) if k % 4 == 0 else (0xF7, 0xF8, 0xFA)
+                for top, tall in ((5, 6 + k % 4), (5 + 6 + k % 4 + 3 + k % 3, 8)):
+                    px[top : top + tall, 4 : 14 + k % 9, :3] = 255
+                made.append(images.encode(px, (0, 2, 3, 6)[k % 4], (0, 1, 2, 3, 4)) if k % 10 else b"no image")
+            yield pa.RecordBatch.from_arrays([pa.array([str(k) for k in b.column("k").to_pylist()]), pa.array(made, pa.binary())], names=["path", "content"])
+
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k")).mapInArrow(run, "path string, content binary")
+
+
+@query("""WITH k AS (SELECT s_suppkey AS k, 40 + s_suppkey % 5 AS h, 30 + s_suppkey % 11 AS w, 10 + s_suppkey % 9 AS wide, 6 + s_suppkey % 4 AS tall, 3 + s_suppkey % 3 AS gap FROM supplier), f AS (SELECT *, h - 5 - tall - gap - 8 AS rest FROM k)
+SELECT CAST(k AS VARCHAR) AS image, CASE WHEN k % 10 = 0 THEN 'not a PNG' END AS why, CASE WHEN k % 10 > 0 THEN w END AS width, CASE WHEN k % 10 > 0 THEN h END AS height, CASE WHEN k % 10 > 0 THEN CASE WHEN k % 4 = 0 THEN '#f7f7f7' ELSE '#f7f8fa' END END AS ground, CASE WHEN k % 10 > 0 THEN 4 END AS "left", CASE WHEN k % 10 > 0 THEN 3 + wide END AS "right",
+CASE WHEN k % 10 > 0 THEN round(wide * (tall + 8) / (w * h), 4) END AS card_share, CASE WHEN k % 10 > 0 THEN CASE WHEN gap = rest THEN CAST(gap AS VARCHAR) ELSE greatest(gap, rest) || ',' || least(gap, rest) END END AS gaps FROM f""")
+def images_read(spark, sf_dir):
+    """Pixels from PNG files to palette, ground, reading column and vertical gaps."""
+    runs = cut(images.read_images(cut(drawn_pages(spark, sf_dir))))
+    ground = styles.page_ground(images.edge_pixels(runs))
+    seen = cut(images.against_ground(runs, ground))
+    column = seen.filter("drawn").groupBy("image").agg(F.min("x").alias("left"), F.max(F.col("x") + F.col("n") - 1).cast("int").alias("right"))
+    gaps = styles.rhythm_gaps(seen.groupBy("image", "y").agg((~F.bool_or("drawn")).alias("empty")))
+    gaps = gaps.groupBy("image").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("length").alias("l")))), lambda g: g["l"].cast("string")), ",").alias("gaps"))
+    card = styles.palette(runs.filter("opaque").select("image", "rgb", "n")).filter("rgb = '#ffffff'").select("image", F.col("share").alias("card_share"))
+    out = runs.groupBy("image").agg(F.max("why").alias("why"), F.max("width").alias("width"), F.max("height").alias("height"))
+    for more in (ground, column, card, gaps):
+        out = out.join(more, "image", "left")
+    return out

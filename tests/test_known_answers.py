@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from repocensus.functions import colours, shares
 from repocensus.operators import distributions as D
 from repocensus.operators import duplicates, graphs, ledger, quality, ratchet, registry, retrieval, rules, screens, security, styles
-from repocensus.sources import markup, readers, shells
+from repocensus.sources import images, markup, readers, shells
 
 
 def rows(df, *cols):
@@ -554,3 +554,58 @@ def test_artifacts_without_nodes(spark):
     got = rows(quality.artifact_findings(a), "file", "what", "detail")
     assert got == [("b", "unreadable artifact", "this file is on disk and does not parse"), ("e", "refusal with no reason", "(root)"), ("f", "share outside 0..1", ".".join("a" * 40) + " = -1")]
     assert quality.artifact_findings(a.limit(0)).isEmpty()
+
+
+@pytest.mark.parametrize("colour", [0, 2, 3, 6])
+def test_images_round_trip(colour):
+    import numpy as np
+
+    rng = np.random.default_rng(colour)
+    px = rng.choice(np.array([0, 3, 90, 255], np.uint8), (17, 23, 4))
+    if colour != 6 and colour != 3:
+        px[:, :, 3] = 255
+    if colour == 0:
+        px[:, :, 1] = px[:, :, 2] = px[:, :, 0]
+    for filters in ((0,), (1,), (2,), (3,), (4,), (4, 3, 2, 1, 0)):
+        assert (images.decode(images.encode(px, colour, filters)) == px).all()
+
+
+def test_images_with_few_bits_and_broken_ones():
+    import struct
+    import zlib
+
+    def png(header, body, *extra):
+        return images.SIGNATURE + images._chunk(b"IHDR", struct.pack(">IIBBBBB", *header)) + b"".join(images._chunk(k, b) for k, b in extra) + images._chunk(b"IDAT", zlib.compress(body))
+
+    assert images.decode(png((9, 1, 1, 0, 0, 0, 0), b"\0\xa5\x80"))[0, :, 0].tolist() == [255, 0, 255, 0, 0, 255, 0, 255, 255]
+    assert images.decode(png((2, 1, 4, 3, 0, 0, 0), b"\0\x10", (b"PLTE", b"abcdef"), (b"tRNS", b"\7")))[0].tolist() == [[100, 101, 102, 255], [97, 98, 99, 7]]
+    assert images.decode(png((1, 1, 16, 2, 0, 0, 0), b"\0\1\2\3\4\5\6"))[0, 0].tolist() == [1, 3, 5, 255]
+    assert images.decode(png((2, 1, 8, 4, 0, 0, 0), b"\0\x09\x80\x08\x00"))[0].tolist() == [[9, 9, 9, 128], [8, 8, 8, 0]]
+    assert images.decode(png((2, 1, 8, 0, 0, 0, 0), b"\0\x09\x08", (b"tRNS", b"\0\x08")))[0, :, 3].tolist() == [255, 0]
+    good = png((2, 2, 8, 0, 0, 0, 0), b"\0\1\1\0\1\1")
+    for bad in (b"", b"GIF", good[:40], png((2, 2, 8, 0, 0, 0, 1), b""), png((2, 2, 8, 5, 0, 0, 0), b""), png((2, 2, 8, 0, 0, 0, 0), b"\0"), png((0, 2, 8, 0, 0, 0, 0), b""), png((2, 2, 8, 0, 0, 0, 0), b"\x09\1\1\0\1\1"), png((1 << 20, 1 << 20, 8, 0, 0, 0, 0), b"")):
+        with pytest.raises(ValueError, match="."):
+            images.decode(bad)
+
+
+def test_image_files_to_measures(spark, tmp_path):
+    import numpy as np
+
+    px = np.full((400, 600, 4), 255, np.uint8)
+    px[:, :, :3] = (0xF7, 0xF8, 0xFA)
+    at = 24
+    for tall in (60, 80, 60):
+        px[at : at + tall, 100:500, :3] = 255
+        at += tall + 24
+    (tmp_path / "page.png").write_bytes(images.encode(px, 2, (1, 2)))
+    (tmp_path / "bad.png").write_bytes(b"x")
+    runs = images.read_images(spark.read.format("binaryFile").load(str(tmp_path))).cache()
+    assert rows(runs.filter("why is not null"), "why", "width") == [("not a PNG", None)]
+    ground = styles.page_ground(images.edge_pixels(runs.filter("why is null")))
+    assert ground.first()["ground"] == "#f7f8fa"
+    top = styles.palette(runs.filter("opaque").select("image", "rgb", "n")).orderBy("rank").collect()
+    assert top[1]["rgb"] == "#ffffff" and top[1]["share"] > 0.3
+    seen = images.against_ground(runs, ground)
+    assert seen.filter("drawn").agg(F.min("x"), F.max(F.col("x") + F.col("n") - 1)).first()[:] == (100, 499)
+    gaps = styles.rhythm_gaps(seen.groupBy("image", "y").agg((~F.bool_or("drawn")).alias("empty")))
+    assert rows(gaps.filter("rank = 1"), "length", "n") == [(24, 2)]
