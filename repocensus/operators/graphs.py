@@ -89,15 +89,40 @@ def cross_feature(edges: DataFrame, pattern: str = r"^(.*/features|features)/([^
     return edges.filter((own[0] != "") & (own[1] != "") & (root[0] == root[1]) & (own[0] != own[1]))
 
 
-def _trimmed(edges: DataFrame, rounds: int) -> DataFrame:
-    """Edges between modules that are imported and import; what lies on no cycle goes, layer by layer."""
-    for _ in range(rounds):
-        before = edges.count()
-        edges = edges.join(edges.select("repo", F.col("dst").alias("src")).distinct(), ["repo", "src"], "left_semi")
-        edges = cut(edges.join(edges.select("repo", F.col("src").alias("dst")).distinct(), ["repo", "dst"], "left_semi"))
-        if edges.count() == before:
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges between modules that are imported and import; one layer of those on no cycle goes."""
+    edges = edges.join(edges.select("repo", F.col("dst").alias("src")).distinct(), ["repo", "src"], "left_semi")
+    return cut(edges.join(edges.select("repo", F.col("src").alias("dst")).distinct(), ["repo", "dst"], "left_semi"))
+
+
+def _between(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(repo, node, prv, nxt) of nodes with a single edge in (from prv) and a single one out (to nxt); edges go from ``a`` to ``b``."""
+    ins = edges.groupBy("repo", F.col(b).alias("node")).agg(F.count("*").alias("i"), F.min(a).alias("prv")).filter("i = 1")
+    outs = edges.groupBy("repo", F.col(a).alias("node")).agg(F.count("*").alias("o"), F.min(b).alias("nxt")).filter("o = 1")
+    return ins.join(outs, ["repo", "node"]).select("repo", "node", "prv", "nxt")
+
+
+def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Edges (repo, src, dst) with chains of nodes between put together to one edge, the chains' nodes (repo, node, prv, nxt: where their chain comes from and
+    leads to), and rings of such nodes alone (repo, node, component). None if no node is between. Pointers double, so a chain takes as many rounds as its length has binary digits.
+    """
+    mid = cut(_between(edges, "src", "dst").withColumn("low", F.col("node")))
+    n = mid.count()
+    if not n:
+        return None
+    for _ in range(n.bit_length() + 1):
+        to = mid.select("repo", F.col("node").alias("nxt"), F.col("nxt").alias("nxt2"), F.col("low").alias("low2"))
+        fro = mid.select("repo", F.col("node").alias("prv"), F.col("prv").alias("prv2"))
+        both = mid.join(to, ["repo", "nxt"], "left").join(fro, ["repo", "prv"], "left")
+        mid = cut(both.select("repo", "node", F.coalesce("prv2", "prv").alias("prv"), F.coalesce("nxt2", "nxt").alias("nxt"), F.least("low", F.coalesce("low2", "low")).alias("low"), (F.col("nxt2").isNotNull() | F.col("prv2").isNotNull()).alias("open")))
+        if mid.filter("open").isEmpty():
             break
-    return edges
+    names = mid.select("repo", F.col("node").alias("nxt"))
+    ring = mid.join(names, ["repo", "nxt"], "left_semi").select("repo", "node", F.col("low").alias("component"))
+    chain = cut(mid.join(names, ["repo", "nxt"], "left_anti").select("repo", "node", "prv", "nxt"))
+    gone = mid.select("repo", "node")
+    rest = edges.join(gone.select("repo", F.col("node").alias("src")), ["repo", "src"], "left_anti").join(gone.select("repo", F.col("node").alias("dst")), ["repo", "dst"], "left_anti")
+    return cut(rest.unionByName(chain.select("repo", F.col("prv").alias("src"), F.col("nxt").alias("dst"))).distinct()), chain, cut(ring)
 
 
 def _spread(edges: DataFrame, labels: DataFrame, back: bool) -> DataFrame:
@@ -111,29 +136,45 @@ def _spread(edges: DataFrame, labels: DataFrame, back: bool) -> DataFrame:
         labels = now
 
 
-def cycles(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(repo, node, component) of every module on an import cycle; component is the smallest module of its strongly connected component.
+def cycles(edges: DataFrame) -> DataFrame:
+    """(repo, node, component, size) of every module on an import cycle; component is the smallest module of its strongly connected component.
 
-    Modules on no cycle are trimmed first. Then labels spread: a module whose smallest reaching label comes back to it
-    against the edges too is in that label's component; found components are taken out until nothing is left.
+    First the graph shrinks: chains of modules with one importer and one import become one edge, and modules on no cycle go from the ends, in turn, so
+    long chains and rings take as many rounds as their length has binary digits. In what is left labels spread: a module whose
+    smallest reaching label comes back to it against the edges too is in that label's component; found components are taken out until nothing is left. A chain's modules are
+    in the component of its two ends if that is one. Imports of itself don't count. Empty edges: empty result.
     """
-    left = _trimmed(cut(edges.filter("src <> dst").select("repo", "src", "dst").distinct()), rounds)
-    found = None
+    left = cut(edges.filter("src <> dst").select("repo", "src", "dst").distinct())
+    chains, found = [], edges.select("repo", F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    while not left.isEmpty():
+        n, shorter = left.count(), _contracted(left)
+        if shorter is not None:
+            left, chain, ring = shorter
+            chains.append(chain)
+            found = found.unionByName(ring)
+        left = _trimmed(left)
+        if shorter is None and left.count() == n:
+            break
     while not left.isEmpty():
         nodes = left.select("repo", F.col("src").alias("node")).unionByName(left.select("repo", F.col("dst").alias("node"))).distinct()
         fore = _spread(left, nodes.withColumn("label", F.col("node")), back=False)
         same = left.join(fore.select("repo", F.col("node").alias("src"), F.col("label").alias("la")), ["repo", "src"]).join(fore.select("repo", F.col("node").alias("dst"), F.col("label").alias("lb")), ["repo", "dst"]).filter("la = lb").select("repo", "src", "dst")
         roots = fore.filter("node = label")
         back = _spread(same, roots.select("repo", "node", "label"), back=True)
-        part = back.join(fore.select("repo", "node", F.col("label").alias("fl")), ["repo", "node"]).filter("label = fl").select("repo", "node", F.col("label").alias("component"))
-        found = part if found is None else found.unionByName(part)
+        part = cut(back.join(fore.select("repo", "node", F.col("label").alias("fl")), ["repo", "node"]).filter("label = fl").select("repo", "node", F.col("label").alias("component")))
+        found = found.unionByName(part)
         gone = part.select("repo", "node")
         left = cut(left.join(gone.select("repo", F.col("node").alias("src")), ["repo", "src"], "left_anti").join(gone.select("repo", F.col("node").alias("dst")), ["repo", "dst"], "left_anti"))
-        left = _trimmed(left, rounds)
-    if found is None:
-        return edges.select("repo", F.col("src").alias("node"), F.col("src").alias("component"), F.lit(0).cast("long").alias("size")).limit(0)
-    size = found.groupBy("repo", "component").agg(F.count("*").alias("size"))
-    return found.join(size.filter("size > 1"), ["repo", "component"]).select("repo", "node", "component", "size")
+        while not left.isEmpty():
+            n, left = left.count(), _trimmed(left)
+            if left.count() == n:
+                break
+    for chain in reversed(chains):
+        ends = [found.select("repo", F.col("node").alias(c), F.col("component").alias(f"{c}_component")) for c in ("prv", "nxt")]
+        on = chain.join(ends[0], ["repo", "prv"]).join(ends[1], ["repo", "nxt"]).filter("prv_component = nxt_component").select("repo", "node", F.col("prv_component").alias("component"))
+        found = cut(found.unionByName(on))
+    by = found.groupBy("repo", "component").agg(F.count("*").alias("size"), F.min("node").alias("first")).filter("size > 1")
+    return found.join(by, ["repo", "component"]).select("repo", "node", F.col("first").alias("component"), "size")
 
 
 def requires_closure(selected: DataFrame, requires: DataFrame, satisfied: DataFrame | None = None) -> DataFrame:
@@ -151,23 +192,58 @@ def requires_closure(selected: DataFrame, requires: DataFrame, satisfied: DataFr
         have = cut(have.unionByName(front))
 
 
+def levels(need: DataFrame) -> DataFrame:
+    """(item, needs) to (item, level): the longest chain of needs below, 0 for what needs nothing; null on a cycle or above one.
+
+    Items whose needs are all placed are placed, and chains of items with one need and one that needs them become one edge with their length, in turn; so a
+    long chain takes as many rounds as its length has binary digits. base is the least level that what was taken out before leaves an item.
+    """
+    e = cut(need.select("item", "needs").distinct().withColumn("w", F.lit(1).cast("long")))
+    items = e.select("item").unionByName(e.select(F.col("needs").alias("item"))).distinct()
+    base = cut(items.withColumn("base", F.lit(0).cast("long")))
+    placed, chains = None, []
+
+    def raised(base: DataFrame, more: DataFrame) -> DataFrame:
+        return cut(base.unionByName(more).groupBy("item").agg(F.max("base").alias("base")))
+
+    while not base.isEmpty():
+        ready = cut(base.join(e.select("item").distinct(), "item", "left_anti").withColumnRenamed("base", "level"))
+        some = not ready.isEmpty()
+        if some:
+            placed = ready if placed is None else placed.unionByName(ready)
+            over = e.join(ready.withColumnRenamed("item", "needs"), "needs").select("item", (F.col("level") + F.col("w")).alias("base"))
+            base = raised(base.join(ready.select("item"), "item", "left_anti"), over)
+            e = cut(e.join(ready.select(F.col("item").alias("needs")), "needs", "left_anti"))
+        mid = _between(e.select(F.lit(0).alias("repo"), "item", "needs"), "item", "needs").select(F.col("node").alias("item"), F.col("nxt").alias("to"))
+        mid = cut(mid.join(e.select("item", F.col("w").alias("far")), "item").join(base.withColumnRenamed("base", "best"), "item"))
+        n = mid.count()
+        for _ in range(n.bit_length() + 1 if n else 0):
+            nxt = mid.select(F.col("item").alias("to"), F.col("to").alias("to2"), F.col("far").alias("far2"), F.col("best").alias("best2"))
+            mid = cut(mid.join(nxt, "to", "left").select("item", F.coalesce("to2", "to").alias("to"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.greatest("best", F.coalesce(F.col("best2") + F.col("far"), F.col("best"))).alias("best"), F.col("to2").isNotNull().alias("open")))
+            if mid.filter("open").isEmpty():
+                break
+        chain = cut(mid.join(mid.select(F.col("item").alias("to")), "to", "left_anti").select("item", "to", "far", "best"))  # rings lead to themselves and stay
+        if not chain.isEmpty():
+            chains.append(chain)
+            heads = e.join(chain.select(F.col("item").alias("needs"), "to", "far", "best"), "needs").join(chain.select("item"), "item", "left_anti")
+            base = raised(base.join(chain.select("item"), "item", "left_anti"), heads.select("item", (F.col("best") + F.col("w")).alias("base")))
+            kept = e.join(chain.select("item"), "item", "left_anti").join(chain.select(F.col("item").alias("needs")), "needs", "left_anti")
+            e = cut(kept.unionByName(heads.select("item", F.col("to").alias("needs"), (F.col("w") + F.col("far")).alias("w"))).groupBy("item", "needs").agg(F.max("w").alias("w")))
+        elif not some:
+            break  # all that is left lies on a cycle or above one
+    out = placed if placed is not None else items.withColumn("level", F.lit(None).cast("long")).limit(0)
+    for chain in reversed(chains):
+        out = cut(out.unionByName(chain.join(out.select(F.col("item").alias("to"), F.col("level").alias("under")), "to").select("item", F.greatest("best", F.col("under") + F.col("far")).alias("level"))))
+    return items.join(out, "item", "left")
+
+
 def install_order(items: DataFrame, requires: DataFrame, rank: str) -> DataFrame:
-    """Items with their level (longest chain of requirements below) and position: dependencies first, then ``rank``, then name. Items on a cycle have no level."""
+    """Items with their level (longest chain of requirements below) and position: dependencies first, then ``rank``, then name. Items on a cycle, or above one, have no level."""
     need = requires.join(items.select("item"), "item", "left_semi").join(items.select(F.col("item").alias("needs")), "needs", "left_semi").select("item", "needs").distinct()
     need = cut(need)
-    level, n = None, 0
-    left = items.select("item").distinct()
-    while True:
-        ready = cut(left.join(need.select("item").distinct(), "item", "left_anti").withColumn("level", F.lit(n)))
-        if ready.isEmpty():
-            break
-        level = ready if level is None else level.unionByName(ready)
-        left = cut(left.join(ready, "item", "left_anti"))
-        need = cut(need.join(ready.select(F.col("item").alias("needs")), "needs", "left_anti"))
-        n += 1
-    if level is None:
-        level = items.select("item").limit(0).withColumn("level", F.lit(0))
-    out = cut(items.join(level, "item", "left"))
+    level = levels(need)
+    free = items.select("item").join(need.select("item").unionByName(need.select(F.col("needs").alias("item"))).distinct(), "item", "left_anti").distinct().withColumn("level", F.lit(0).cast("long"))
+    out = cut(items.join(level.unionByName(free).withColumn("level", F.col("level").cast("int")), "item", "left"))
     return numbered(out, [F.col("level").asc_nulls_last(), F.col(rank), F.col("item")], "position")
 
 

@@ -609,3 +609,75 @@ def test_image_files_to_measures(spark, tmp_path):
     assert seen.filter("drawn").agg(F.min("x"), F.max(F.col("x") + F.col("n") - 1)).first()[:] == (100, 499)
     gaps = styles.rhythm_gaps(seen.groupBy("image", "y").agg((~F.bool_or("drawn")).alias("empty")))
     assert rows(gaps.filter("rank = 1"), "length", "n") == [(24, 2)]
+
+
+def test_cycles_equal_a_walk(spark):
+    import random
+
+    def brute(edges):
+        out = {}
+        for a, _ in edges:
+            out.setdefault(a, set())
+        for a, b in edges:
+            if a != b:
+                out[a].add(b)
+        reach = {}
+        for a in out:
+            seen, todo = set(), [a]
+            while todo:
+                for b in out.get(todo.pop(), ()):
+                    if b not in seen:
+                        seen.add(b)
+                        todo.append(b)
+            reach[a] = seen
+        groups = {a: sorted(b for b in reach[a] if a in reach.get(b, ())) for a in out if a in reach[a]}
+        return sorted((a, g[0], len(g)) for a, g in groups.items() if len(g) > 1)
+
+    rng, graphs_ = random.Random(4), {}
+    for g in range(8):
+        names = [f"m{i:02}" for i in range(rng.choice([4, 12, 30]))]
+        graphs_[f"g{g}"] = sorted({(rng.choice(names), rng.choice(names)) for _ in range(int(len(names) * rng.choice([0.7, 1.1, 1.6])))})
+    graphs_["ring"] = [(f"r{i}", f"r{(i + 1) % 9}") for i in range(9)]
+    graphs_["eight"] = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "d"), ("d", "e"), ("e", "a"), ("e", "f"), ("f", "g"), ("s", "s")]
+    df = spark.createDataFrame([(r, a, b) for r, es in graphs_.items() for a, b in es], "repo string, src string, dst string")
+    assert rows(graphs.cycles(df)) == sorted(((r, *x) for r, es in graphs_.items() for x in brute(es)), key=str)
+
+
+def test_levels_equal_a_walk(spark):
+    import random
+
+    rng = random.Random(9)
+    needs = sorted({(f"i{a}", f"i{b}") for a, b in ((rng.randint(1, 40), rng.randint(0, 40)) for _ in range(60)) if b < a} | {(f"c{i}", f"c{i + 1}") for i in range(20)} | {("i40", "c0"), ("x", "y"), ("y", "x"), ("above", "x"), ("over", "above"), ("over", "c3")})
+    below, level = {}, {}
+    for a, b in needs:
+        below.setdefault(a, []).append(b)
+
+    def depth(a, path=()):
+        if a in path:
+            raise RecursionError
+        if a not in level:
+            level[a] = max((depth(b, (*path, a)) + 1 for b in below.get(a, ())), default=0)
+        return level[a]
+
+    want = {}
+    for item in {x for pair in needs for x in pair}:
+        try:
+            want[item] = depth(item)
+        except RecursionError:
+            want[item] = None
+    assert dict(rows(graphs.levels(spark.createDataFrame(needs, "item string, needs string")))) == want
+    assert graphs.levels(spark.createDataFrame([], "item string, needs string")).isEmpty()
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    rounds, real = [], graphs.cut
+    monkeypatch.setattr(graphs, "cut", lambda df: rounds.append(1) or real(df))
+    n = 10_000
+    chain = spark.range(n).select(F.lit("r").alias("repo"), F.format_string("m%05d", "id").alias("src"), F.format_string("m%05d", F.col("id") + 1).alias("dst"))
+    ring = chain.unionByName(spark.createDataFrame([("r", f"m{n:05}", "m05000")], "repo string, src string, dst string"))
+    assert graphs.cycles(ring).select("component", "size").distinct().collect()[0][:] == ("m05000", n - 5000 + 1)
+    assert len(rounds) <= 2 * n.bit_length() + 10
+    rounds.clear()
+    got = graphs.levels(chain.select(F.col("src").alias("item"), F.col("dst").alias("needs")))
+    assert got.agg(F.max("level"), F.min("level"), F.count("level")).first()[:] == (n, 0, n + 1)
+    assert len(rounds) <= 2 * n.bit_length() + 12
