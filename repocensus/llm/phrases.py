@@ -19,8 +19,8 @@ ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 UND = "und"
 #: What one pass holds at most: words of the vocabulary, candidates of a trie. More of either take further passes.
 WORDS_A_PASS, CANDIDATES_A_PASS = 2_000_000, 2_000_000
-#: Sequences are of 2 to LONGEST words; places of the bitmap of hashed pairs, a fixed size.
-LONGEST, BITS = 5, 1 << 26
+#: Sequences are of 2 to LONGEST words; places of the bitmap of hashed pairs, a fixed size; counts that are sent in one.
+LONGEST, BITS, SHARD = 5, 1 << 26, 1 << 14
 _CUT = -1  # stands before each piece in id streams; words that are too rare for any candidate are 0
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -383,7 +383,8 @@ def candidates(rows: DataFrame, least: int, top: int, kind: str = "<i8") -> Data
 
 
 def counted(ids: DataFrame, rows: DataFrame, size: int, width: int) -> DataFrame:
-    """(number, n): how often each sequence (number, words) stands in the streams, overlaps included; a pass for ``width`` sequences."""
+    """(number, n): how often each sequence (number, words) stands in the streams, overlaps included; a pass for ``width`` sequences.
+    Each task counts in one array, and sends it packed in parts of SHARD numbers, which are summed as arrays."""
     out = None
     for low in range(1, size + 1, width):
         trie = Trie(sequences(rows, low, width)[1])
@@ -394,10 +395,20 @@ def counted(ids: DataFrame, rows: DataFrame, size: int, width: int) -> DataFrame
                 for s in _ints(b, "ids"):
                     hit = trie.walk(s)
                     own += np.bincount(hit[hit >= 0], minlength=n)
-            at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_arrays([pa.array(at + low, pa.int64()), pa.array(own[at])], names=["number", "n"])
+            for at in range(0, n, SHARD):
+                if own[at : at + SHARD].any():
+                    yield pa.RecordBatch.from_arrays([pa.array([low + at], pa.int64()), packed(own[at : at + SHARD].astype("<i8"))], names=["first", "counts"])
 
-        got = ids.mapInArrow(tidy(run), "number long, n long").groupBy("number").agg(F.sum("n").alias("n"))
+        def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first, n = 0, np.zeros(0, np.int64)
+            for b in batches:
+                for f, x in zip(b.column("first").to_pylist(), b.column("counts"), strict=True):
+                    own = np.frombuffer(unpacked(x), "<i8")
+                    first, n = f, own + n if len(n) else own
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(first + at, pa.int64()), pa.array(n[at], pa.int64())], names=["number", "n"])
+
+        got = ids.mapInArrow(tidy(run), "first long, counts binary").groupBy("first").applyInArrow(total, "number long, n long")
         out = got if out is None else out.unionByName(got)
     return out
 
