@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..operators import graphs, quality, registry, retrieval, screens, security, styles
+from ..operators import constructs, graphs, quality, registry, retrieval, screens, security, styles
 from ..sources import images, markup, readers, shells
 from .census import table
 
@@ -263,3 +263,41 @@ def images_read(spark, sf_dir):
     for more in (ground, column, card, gaps):
         out = out.join(more, "image", "left")
     return out
+
+
+SOURCES = [
+    ("k % 4 = 0", "src/C{k}.tsx", "const [a] = useState<any>(null); useEffect(() => {\n fetch('/x') })\nconst b = a! as Thing; // @ts-ignore\n<form onSubmit={go}><img loading='lazy' /></form>\nconst f = async () => 1"),
+    ("k % 4 = 1", "src/hooks/useX{k}.tsx", "export const useX = async () => { try { await axios.get('/y') } catch (e) {} }\nuseQuery(); useMemo (() => 1); React.memo(X); memo(Y)\nclass B { componentDidCatch() {} }"),
+    ("k % 4 = 2", "src/form{k}.ts", "useForm(); <form>; p.then(x)\ntype S = { kind: 'a' } | { kind: 'b' }\nlazy(() => import('./z'))"),
+    ("k % 4 = 3", "src/c{k}.test.tsx", "screen.getByRole('b'); findByText('x'); getByTestId('z'); fireEvent.click(a); useState(1); fetch(1)"),
+    ("k % 5 = 0", "src/s{k}.css", "@media (min-width: 1px) {} @media print {} @container x {}"),
+]
+
+
+@query("""WITH k AS (SELECT p_partkey AS k, CAST(p_size AS VARCHAR) AS repo FROM part), n AS (SELECT repo, count(*) FILTER (k % 4 = 0) AS a, count(*) FILTER (k % 4 = 1) AS b, count(*) FILTER (k % 4 = 2) AS c, count(*) FILTER (k % 4 = 3) AS t, count(*) FILTER (k % 5 = 0) AS s FROM k GROUP BY repo)
+SELECT repo, a + b + c AS sources, t AS tests, s AS styles, a AS "any", a AS assertions, CAST(0 AS BIGINT) AS non_null, a AS suppressions, 2 * c AS discriminated_unions, a AS use_state, CAST(0 AS BIGINT) AS use_reducer, CAST(0 AS BIGINT) AS use_context, CAST(0 AS BIGINT) AS create_context, a AS use_effect, b AS server_state_hooks, 2 * b AS memo, b AS use_memo, CAST(0 AS BIGINT) AS use_callback, c AS lazy_routes, CAST(0 AS BIGINT) AS suspense, a AS lazy_images,
+2 * t AS accessible_queries, t AS implementation_queries, CAST(0 AS BIGINT) AS user_event, t AS fire_event, CAST(0 AS BIGINT) AS snapshots, CAST(0 AS BIGINT) AS axe, 2 * s AS media_queries, s AS container_queries, CASE WHEN t > 0 THEN 0.667 END AS query_discipline FROM n""")
+def constructs_of_sources(spark, sf_dir):
+    return constructs.construct_counts(written(spark, sf_dir, "part", "p_partkey", "p_size", SOURCES))
+
+
+@query("""WITH k AS (SELECT p_partkey AS k, CAST(p_size AS VARCHAR) AS repo FROM part) SELECT repo, list, CASE k % 4 WHEN 0 THEN 'src/C' || k || '.tsx' WHEN 1 THEN 'src/hooks/useX' || k || '.tsx' ELSE 'src/form' || k || '.ts' END AS path FROM k JOIN (VALUES (0, 'fetch in components'), (0, 'effect with fetch'), (0, 'hand-rolled forms'), (0, 'async with nowhere to fail'), (1, 'error boundaries'), (2, 'async with nowhere to fail')) v(m, list) ON m = k % 4""")
+def files_to_look_at(spark, sf_dir):
+    return constructs.file_lists(written(spark, sf_dir, "part", "p_partkey", "p_size", SOURCES))
+
+
+TOOLS = [
+    ("k % 3 = 0", "package.json", '{"dependencies": {"eslint": "1", "vitest": "2"}, "devDependencies": {"@playwright/test": "1"}, "scripts": {"check:all": "x", "e2e": "check y", "scan": "gitleaks z"}}'),
+    ("k % 3 = 0", "src/a.test.ts", ""), ("k % 3 = 0", "docs/AGENTS.md", ""), ("k % 3 = 0", "tsconfig.json", '{"compilerOptions": { "strict" : true }}'),
+    ("k % 3 = 1", "package.json", '{"devDependencies": {"jest": "1", "puppeteer": "1", "eslint-plugin-x": "1"}, "scripts": {"visual": "x", "evaluate": "1"}}'),
+    ("k % 3 = 1", ".github/workflows/a.yml", ""), ("k % 3 = 1", "CLAUDE.md", ""), ("k % 3 = 1", "tsconfig.json", '{"strict": false}'), ("k % 3 = 1", "lib/tsconfig.json", '{"strict": true}'),
+    ("k % 3 = 2", "package.json", "{broken"), ("k % 3 = 2", "tools/scripts/my-lint-x.mjs", ""), ("k % 3 = 2", "a.tokens.json", ""), ("k % 3 = 2", "mcp/server.ts", ""), ("k % 3 = 2", "lefthook.yml", ""),
+]
+
+
+@query(f"""WITH every AS (SELECT unnest({sorted(constructs.MECHANISMS)!r}) AS m), h AS (SELECT * FROM (VALUES (0, 'JS/TS linter'), (0, 'unit tests'), (0, 'strict TypeScript'), (0, 'secret scan'), (0, 'gate aggregate'), (1, 'visual baselines'), (1, 'agent evals'), (1, 'CI pipeline'), (1, 'agent contract'), (2, 'project-specific linter'), (2, 'token export (DTCG)'), (2, 'token tiers'), (2, 'MCP surface'), (2, 'pre-commit hook')) v(r, m)),
+l AS (SELECT r, string_agg(every.m, ',' ORDER BY every.m) FILTER (h.m IS NOT NULL) AS present, string_agg(every.m, ',' ORDER BY every.m) FILTER (h.m IS NULL) AS missing FROM (SELECT unnest([0, 1, 2]) AS r) CROSS JOIN every LEFT JOIN h USING (r, m) GROUP BY r)
+SELECT CAST(s_suppkey AS VARCHAR) AS repo, present, missing FROM supplier JOIN l ON r = s_suppkey % 3""")
+def toolchain_in_full(spark, sf_dir):
+    got = constructs.toolchain(constructs.tooling(written(spark, sf_dir, "supplier", "s_suppkey", "s_suppkey", TOOLS)))
+    return got.withColumns({c: F.array_join(c, ",") for c in ("present", "missing")})

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from repocensus.functions import colours, shares
 from repocensus.operators import distributions as D
-from repocensus.operators import duplicates, graphs, ledger, quality, ratchet, registry, retrieval, rules, screens, security, styles
+from repocensus.operators import constructs, duplicates, graphs, ledger, quality, ratchet, registry, retrieval, rules, screens, security, styles
 from repocensus.sources import images, markup, readers, shells
 
 
@@ -681,3 +681,16 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
     got = graphs.levels(chain.select(F.col("src").alias("item"), F.col("dst").alias("needs")))
     assert got.agg(F.max("level"), F.min("level"), F.count("level")).first()[:] == (n, 0, n + 1)
     assert len(rounds) <= 2 * n.bit_length() + 12
+
+
+def test_parts_of_mechanisms(spark):
+    ev = spark.createDataFrame([("a", "dependency", "jest"), ("a", "file", "x.spec.ts"), ("b", "dependency", "jest"), ("c", "file", "jest"), ("c", "command", "node contrast.js"), ("d", "command", "check")], "repo string, kind string, name string")
+    got = {r["repo"]: (r["present"], len(r["missing"])) for r in constructs.toolchain(ev).collect()}
+    assert got == {"a": (["unit tests"], 21), "b": ([], 22), "c": (["contrast check"], 21), "d": ([], 22)}
+    assert constructs.toolchain(ev.limit(0)).isEmpty()
+
+
+def test_construct_lists_of_odd_files(spark):
+    df = spark.createDataFrame([("r", "a.tsx", None), ("r", "b.ts", ""), ("r", "c.test.ts", "getByRole('x')"), ("s", "d.css", "@media a {}")], "repo string, path string, content string")
+    assert constructs.file_lists(df).isEmpty()
+    assert rows(constructs.construct_counts(df), "repo", "sources", "tests", "styles", "any", "accessible_queries", "query_discipline", "media_queries") == [("r", 2, 1, 0, 0, 1, 1.0, 0), ("s", 0, 0, 1, 0, 0, None, 1)]
