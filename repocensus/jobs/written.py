@@ -301,3 +301,20 @@ SELECT CAST(s_suppkey AS VARCHAR) AS repo, present, missing FROM supplier JOIN l
 def toolchain_in_full(spark, sf_dir):
     got = constructs.toolchain(constructs.tooling(written(spark, sf_dir, "supplier", "s_suppkey", "s_suppkey", TOOLS)))
     return got.withColumns({c: F.array_join(c, ",") for c in ("present", "missing")})
+
+
+BEHAVING = [
+    ("k % 3 = 0", "src/A{k}.tsx", "const [x] = useState(1); <i aria-expanded={x} aria-label='y' />"),
+    ("k % 3 = 1", "src/B{k}.tsx", "<b onChange={f} />; setTimeout(f); if (e.key) useEffect(f)"),
+    ("k % 3 = 2", "src/C{k}.tsx", "<p aria-label='nothing to test' />"),
+    ("k % 2 = 0", "tests/t{k}.test.tsx", "vi.mock('../src/B{k}',\n  () => 1);\nimport { A{k} as Other, x } from '../src/index'\nimport Z from '../src/A{k}/index'"),
+    ("k % 5 = 0", "src/B{k}.spec.ts", "jest.mock('./B{k}')"),
+]
+
+
+@query("""WITH k AS (SELECT p_partkey AS k, CAST(p_size AS VARCHAR) AS repo FROM part)
+SELECT repo, 'src/A' || k || '.tsx' AS path, 'A' || k AS name, 'carries an ARIA state,holds state' AS signals FROM k WHERE k % 3 = 0 AND k % 2 <> 0 UNION ALL SELECT repo, 'src/B' || k || '.tsx', 'B' || k, 'does something on a timer,has a keyboard contract,reports a change to its caller,runs an effect' FROM k WHERE k % 3 = 1 AND k % 5 <> 0""")
+def behaviour_gaps(spark, sf_dir):
+    files = written(spark, sf_dir, "part", "p_partkey", "p_size", BEHAVING)
+    test = F.col("path").rlike(r"[.](test|spec)[.]")
+    return screens.behaviour_gaps(files.filter(~test), files.filter(test)).withColumn("signals", F.array_join(F.array_sort("signals"), ","))

@@ -694,3 +694,9 @@ def test_construct_lists_of_odd_files(spark):
     df = spark.createDataFrame([("r", "a.tsx", None), ("r", "b.ts", ""), ("r", "c.test.ts", "getByRole('x')"), ("s", "d.css", "@media a {}")], "repo string, path string, content string")
     assert constructs.file_lists(df).isEmpty()
     assert rows(constructs.construct_counts(df), "repo", "sources", "tests", "styles", "any", "accessible_queries", "query_discipline", "media_queries") == [("r", 2, 1, 0, 0, 1, 1.0, 0), ("s", 0, 0, 1, 0, 0, None, 1)]
+
+
+def test_mocks_cover_nothing(spark):
+    tests = [("r", "t/a.test.tsx", "vi.mock('@/c/Foot', () => ({ x: 1 }))\nimport { Badge, type Box as Crate } from '../ui'\nimport Tab from './Tab.tsx'; await import('./deep/Menu/index')"), ("r", "Card.spec.js", None)]
+    got = rows(screens.covered_names(spark.createDataFrame(tests, "repo string, path string, content string")), "name")
+    assert got == [("Badge",), ("Card",), ("Crate",), ("Menu",), ("Tab",), ("a",), ("ui",)]
