@@ -325,11 +325,11 @@ def contrast_report(spark, sf_dir):
     return styles.contrast_pairs(markup.css_declarations(files))
 
 
-@query(f"""WITH {COLOURS}, t AS (SELECT DISTINCT 't' || p_size AS token, bg AS colour FROM col WHERE p_partkey <= 12), r AS (SELECT p_partkey, fg AS colour, token, CAST({dist('fg', 't.colour')} AS INTEGER) AS distance FROM col, t)
+@query(f"""WITH {COLOURS}, t AS (SELECT DISTINCT 't' || p_size AS token, bg AS colour FROM col), r AS (SELECT p_partkey, fg AS colour, token, CAST({dist('fg', 't.colour')} AS INTEGER) AS distance FROM col, t)
 SELECT p_partkey, colour, token, distance FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY distance, token) AS k FROM r) WHERE k = 1""")
 def nearest_token(spark, sf_dir):
     c = part_colours(spark, sf_dir)
-    tokens = c.filter("p_partkey <= 12").select(F.concat(F.lit("t"), F.col("p_size").cast("string")).alias("token"), F.col("bg").alias("colour")).distinct()
+    tokens = c.select(F.concat(F.lit("t"), F.col("p_size").cast("string")).alias("token"), F.col("bg").alias("colour")).distinct()
     return styles.nearest_token(c.select("p_partkey", F.col("fg").alias("colour")), tokens)
 
 

@@ -423,7 +423,8 @@ def retrieval_eval(spark, sf_dir):
     b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
     within = retrieval.containing(d.select(F.col("doc_id").alias("doc"), "text"), b.select(F.col("item_id").alias("query"), F.col("text").alias("passage")))
     wanted = within.groupBy("query").agg(F.min("doc").alias("doc"))
-    return retrieval.retrieval_eval(ranked(spark, sf_dir), wanted)
+    ranks = retrieval.ranks_of(b.select(F.col("item_id").alias("query"), "text"), d.select(F.col("doc_id").alias("doc"), "text"), wanted)
+    return retrieval.retrieval_eval(ranks, wanted)
 
 
 @query("""WITH n AS (SELECT DISTINCT p_name || ' ' || lower(p_type) AS need FROM part), g AS (SELECT DISTINCT p_type AS component, p_type || ' ' || p_name AS text FROM part), w AS (SELECT DISTINCT need, unnest(regexp_extract_all(lower(need), '[a-z]{4,}')) AS w FROM n),

@@ -14,19 +14,35 @@ def words(text: Column, stop: tuple[str, ...] = STOP) -> Column:
     return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(cut), F.lit("[a-z0-9]+"), F.lit(0))), F.array(*map(F.lit, stop)))
 
 
-def rank_docs(queries: DataFrame, docs: DataFrame, k: int | None = None) -> DataFrame:
-    """(query, doc, score, rank): number of distinct words in common, ties by doc; documents without one aren't found.
+def score_docs(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query, doc, score): number of distinct words in common; documents without one aren't found.
 
     Only the words of the queries go on from the documents, so an inverted index of the rest is never built.
     """
     q = queries.select("query", F.explode(words(F.col("text"))).alias("w"))
     asked = q.select("w").distinct()
     d = docs.select("doc", F.explode(words(F.col("text"))).alias("w")).join(asked, "w", "left_semi")
-    hits = q.join(d, "w").groupBy("query", "doc").agg(F.count("*").alias("score"))
-    ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc")))
+    return q.join(d, "w").groupBy("query", "doc").agg(F.count("*").alias("score"))
+
+
+def rank_docs(queries: DataFrame, docs: DataFrame, k: int | None = None) -> DataFrame:
+    """(query, doc, score, rank) by words in common, ties by doc; with ``k`` the first so many of each query."""
+    ranked = score_docs(queries, docs).withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc")))
     return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
+def ranks_of(queries: DataFrame, docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(query, doc, rank) of wanted (query, doc) pairs as ``rank_docs`` would rank them, those found at all: one more than the documents above it.
+
+    Documents above are counted, in the tasks first; no query's documents are ordered or held together.
+    """
+    own = wanted.join(queries.select("query", words(F.col("text")).alias("q")), "query").join(docs.select("doc", words(F.col("text")).alias("d")), "doc")
+    own = own.select("query", "doc", F.size(F.array_intersect("q", "d")).alias("own")).filter("own > 0")
+    above = score_docs(queries, docs).join(own.select("query", F.col("doc").alias("wanted"), "own"), "query").filter("score > own or (score = own and doc < wanted)")
+    n = above.groupBy("query", F.col("wanted").alias("doc")).agg(F.count("*").alias("n"))
+    return own.join(n, ["query", "doc"], "left").select("query", "doc", (F.coalesce("n", F.lit(0)) + 1).alias("rank"))
+
+
 def retrieval_eval(ranked: DataFrame, wanted: DataFrame, least: int = 5) -> DataFrame:
     """Over wanted (query, doc): how many are first, how many found, mean reciprocal rank; null with a reason below ``least`` queries."""
     rows = wanted.join(ranked.select("query", "doc", "rank"), ["query", "doc"], "left")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import colours as C
 from ..functions.lineage import cut
 from ..functions.shares import share
+from .graphs import numbered
 
 #: Kind to (pattern, least uses, most values).
 SCALES = {
@@ -159,14 +160,37 @@ def with_contrast(pairs: DataFrame, least: float = 4.5) -> DataFrame:
     return pairs.withColumn("ratio", ratio).withColumn("fails", F.col("ratio") < least)
 
 
-def nearest_token(used: DataFrame, tokens: DataFrame) -> DataFrame:
+#: Tokens that one pass over the colours holds.
+TOKENS_A_PASS = 16_384
+
+
+def nearest_token(used: DataFrame, tokens: DataFrame, width: int = TOKENS_A_PASS) -> DataFrame:
     """(colour, ...) with the token of the same colour, else of the nearest by channel distance (ties: by name).
 
-    Distinct colours meet the tokens, a profile's short list; each task keeps one token for a colour before rows are shuffled.
+    Each distinct colour is held against the tokens once, in arrays, ``width`` distinct token colours a pass; a longer list takes further passes. A
+    colour that is no #rrggbb is left out, as are such tokens. Without tokens: empty result.
     """
-    distinct = used.select("colour").distinct()
-    far = distinct.join(F.broadcast(tokens.select("token", F.col("colour").alias("tc"))), F.lit(True))
-    best = far.groupBy("colour").agg(F.min(F.struct(C.distance(F.col("colour"), F.col("tc")).alias("distance"), "token")).alias("x"))
+    plain = "^#[0-9a-fA-F]{6}$"
+    own, at = numbered(tokens.filter(F.col("colour").rlike(plain)).groupBy(F.lower("colour").alias("tc")).agg(F.min("token").alias("token")), [F.col("token"), F.col("tc")], "_n"), 0
+    distinct, best = used.filter(F.col("colour").rlike(plain)).select("colour").distinct(), None
+    n = own.count()
+    while at < n or best is None:
+        part = own.filter(F.col("_n").between(at + 1, at + width)).orderBy("_n").toArrow()
+        names = part.column("token").to_pylist()
+        rgb = np.array([[int(c[i : i + 2], 16) for i in (1, 3, 5)] for c in part.column("tc").to_pylist()], np.int32).reshape(-1, 3)
+
+        def run(batches, names=names, rgb=rgb):
+            for b in batches:
+                for low in range(0, b.num_rows if names else 0, 256):
+                    c = b.column("colour").slice(low, 256)
+                    x = np.array([[int(v[i : i + 2], 16) for i in (1, 3, 5)] for v in c.to_pylist()], np.int32)
+                    away = np.abs(x[:, None, :] - rgb[None, :, :]).sum(axis=2)
+                    first = away.argmin(axis=1)  # of equally near ones the first by name
+                    yield pa.RecordBatch.from_arrays([c, pa.array([names[i] for i in first], pa.string()), pa.array(away[np.arange(len(first)), first], pa.int32())], names=["colour", "token", "distance"])
+
+        got = distinct.mapInArrow(run, "colour string, token string, distance int")
+        best, at = got if best is None else best.unionByName(got), at + width
+    best = best.groupBy("colour").agg(F.min(F.struct("distance", "token")).alias("x"))
     return used.join(best.select("colour", "x.token", "x.distance"), "colour")
 
 

@@ -700,3 +700,17 @@ def test_mocks_cover_nothing(spark):
     tests = [("r", "t/a.test.tsx", "vi.mock('@/c/Foot', () => ({ x: 1 }))\nimport { Badge, type Box as Crate } from '../ui'\nimport Tab from './Tab.tsx'; await import('./deep/Menu/index')"), ("r", "Card.spec.js", None)]
     got = rows(screens.covered_names(spark.createDataFrame(tests, "repo string, path string, content string")), "name")
     assert got == [("Badge",), ("Card",), ("Crate",), ("Menu",), ("Tab",), ("a",), ("ui",)]
+
+
+def test_nearest_token_in_several_passes(spark):
+    import random
+
+    rng = random.Random(2)
+    hexes = lambda n: ["#%06x" % rng.randrange(1 << 24) for _ in range(n)]
+    tokens = [(f"t{i:02}", c) for i, c in enumerate(hexes(25))] + [("a", "#000000"), ("b", "#000000"), ("bad", "red")]
+    used = [*hexes(40), tokens[3][1], "#000001", "blue"]
+    far = lambda a, b: sum(abs(int(a[i : i + 2], 16) - int(b[i : i + 2], 16)) for i in (1, 3, 5))
+    want = sorted((c, *min((far(c, t), n) for n, t in tokens if n != "bad")[::-1]) for c in used if c != "blue")
+    got = styles.nearest_token(spark.createDataFrame([(c,) for c in used], "colour string"), spark.createDataFrame(tokens, "token string, colour string"), width=7)
+    assert sorted(tuple(r) for r in got.select("colour", "token", "distance").collect()) == want
+    assert styles.nearest_token(spark.createDataFrame([("#000000",)], "colour string"), spark.createDataFrame([], "token string, colour string")).isEmpty()
