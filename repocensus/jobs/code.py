@@ -92,12 +92,12 @@ def component_suggestions(spark, sf_dir):
     return conventions.component_suggestions(p.select(F.col("p_partkey").alias("clause"), F.concat("p_name", F.lit(" "), "p_type").alias("text")), described)
 
 
-@query("""WITH r AS (SELECT CAST(s_nationkey AS VARCHAR) AS repo, count(DISTINCT s_suppkey) AS components, count(l_orderkey) AS sites FROM supplier LEFT JOIN (SELECT * FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.09) ON l_suppkey = s_suppkey GROUP BY ALL)
+@query("""WITH r AS (SELECT 'o' || o_orderkey AS repo, count(l_orderkey) AS sites FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
 SELECT repo, 'a registry that nothing calls' AS finding FROM r WHERE sites = 0 UNION ALL SELECT DISTINCT CAST(c_nationkey AS VARCHAR), 'rules enforced too early' FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey % 3 = 0""")
 def premature_findings(spark, sf_dir):
-    s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
-    sites = table(spark, sf_dir, "lineitem").filter("l_quantity > 49 and l_discount > 0.09").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("sites"))
-    registries = s.join(sites, "s_suppkey", "left").groupBy(F.col("s_nationkey").cast("string").alias("repo")).agg(F.count("*").alias("components"), F.sum("sites").alias("sites"))
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    sites = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("sites"))
+    registries = o.join(sites, "o_orderkey", "left").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("repo"), F.lit(1).alias("components"), "sites")
     rules = c.select(F.col("c_nationkey").cast("string").alias("repo"), F.when(F.col("c_mktsegment") == "BUILDING", "enforce").otherwise("advise").alias("standing"))
     modes = c.select(F.col("c_nationkey").cast("string").alias("repo"), F.when(F.col("c_nationkey") % 3 == 0, "too early").otherwise("mixed").alias("mode")).distinct()
     return quality.premature(registries, rules, modes)

@@ -112,31 +112,34 @@ def contested_aliases(spark, sf_dir):
     return got.withColumn("components", F.array_join("components", ","))
 
 
-def jaccard_sql(rows: str, key: str, element: str, name: str) -> str:
-    return f"""{name}_i AS (SELECT DISTINCT {key} AS k, {element} AS e FROM {rows}), {name}_n AS (SELECT k, count(*) AS n FROM {name}_i GROUP BY k),
-{name} AS (SELECT x.k AS a, y.k AS b, count(*) AS shared, any_value(na.n) AS na, any_value(nb.n) AS nb FROM {name}_i x JOIN {name}_i y ON x.e = y.e AND x.k < y.k JOIN {name}_n na ON na.k = x.k JOIN {name}_n nb ON nb.k = y.k GROUP BY x.k, y.k)"""
+def jaccard_sql(rows: str, element: str, name: str) -> str:
+    """Pairs of components of a library with elements in common."""
+    return f"""{name}_i AS (SELECT DISTINCT library, component AS k, {element} AS e FROM {rows}), {name}_n AS (SELECT library, k, count(*) AS n FROM {name}_i GROUP BY ALL),
+{name} AS (SELECT x.library, x.k AS a, y.k AS b, count(*) AS shared, any_value(na.n) AS na, any_value(nb.n) AS nb FROM {name}_i x JOIN {name}_i y ON x.library = y.library AND x.e = y.e AND x.k < y.k JOIN {name}_n na ON na.library = x.library AND na.k = x.k JOIN {name}_n nb ON nb.library = x.library AND nb.k = y.k GROUP BY ALL)"""
 
 
 def component_tables(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_quantity <= 10")
-    s = li.select((F.col("l_suppkey") % 60).alias("component"), (F.col("l_partkey") % 40).alias("prop"), (F.col("l_orderkey") % 12).alias("element"))
-    return s.select("component", "prop").distinct(), s.select("component", F.col("element")).distinct()
+    """A supplier's library has a component for each month; it takes the month's discounts, and renders its line numbers or the month before."""
+    month = lambda d: F.date_format(d, "yyyy-MM")
+    element = F.when(F.col("l_linenumber") == 7, month(F.date_sub("l_shipdate", 31))).otherwise(F.concat(F.lit("L"), F.col("l_linenumber").cast("string")))
+    s = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("library"), month("l_shipdate").alias("component"), F.round(F.col("l_discount") * 100).cast("int").cast("string").alias("prop"), element.alias("element"))
+    return s.select("library", "component", "prop").distinct(), s.select("library", "component", "element").distinct()
 
 
-COMPONENTS = "cm AS (SELECT l_suppkey % 60 AS component, l_partkey % 40 AS prop, l_orderkey % 12 AS element FROM lineitem WHERE l_quantity <= 10)"
+COMPONENTS = "cm AS (SELECT l_suppkey AS library, strftime(l_shipdate, '%Y-%m') AS component, CAST(CAST(round(l_discount * 100) AS INTEGER) AS VARCHAR) AS prop, CASE WHEN l_linenumber = 7 THEN strftime(l_shipdate - INTERVAL 31 DAY, '%Y-%m') ELSE 'L' || l_linenumber END AS element FROM lineitem)"
 
 
-@query(f"""WITH {COMPONENTS}, {jaccard_sql('cm', 'component', 'prop', 'p')}, {jaccard_sql('cm', 'component', 'element', 'r')}
-SELECT p.a, p.b, round(p.shared / (p.na + p.nb - p.shared), 3) AS props, round(r.shared / (r.na + r.nb - r.shared), 3) AS renders FROM p JOIN r USING (a, b) WHERE least(p.na, p.nb) >= 3 AND least(r.na, r.nb) >= 2 AND p.shared / (p.na + p.nb - p.shared) >= 0.6 AND r.shared / (r.na + r.nb - r.shared) >= 0.5
-AND NOT EXISTS (SELECT 1 FROM cm WHERE (component = p.a AND element = p.b) OR (component = p.b AND element = p.a))""")
+@query(f"""WITH {COMPONENTS}, {jaccard_sql('cm', 'prop', 'p')}, {jaccard_sql('cm', 'element', 'r')}
+SELECT library, a, b, round(p.shared / (p.na + p.nb - p.shared), 3) AS props, round(r.shared / (r.na + r.nb - r.shared), 3) AS renders FROM p JOIN r USING (library, a, b) WHERE least(p.na, p.nb) >= 3 AND least(r.na, r.nb) >= 2 AND p.shared / (p.na + p.nb - p.shared) >= 0.6 AND r.shared / (r.na + r.nb - r.shared) >= 0.5
+AND (library, a, b) NOT IN (SELECT library, component, element FROM cm) AND (library, b, a) NOT IN (SELECT library, component, element FROM cm)""")
 def twins(spark, sf_dir):
-    return registry.twins(*component_tables(spark, sf_dir))
+    return registry.twins(*component_tables(spark, sf_dir), by=("library",))
 
 
-@query(f"""WITH {COMPONENTS}, {jaccard_sql('cm', 'component', 'prop', 'p')}, q AS (SELECT a, b, round(shared / (na + nb - shared), 3) AS j, shared FROM p WHERE shared >= 2 AND na >= 2 AND nb >= 2), o AS (SELECT * FROM q WHERE j > 0.3 UNION ALL SELECT b, a, j, shared FROM q WHERE j > 0.3)
-SELECT a AS component, b AS nearest, j AS jaccard, shared FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY j DESC, b) AS r FROM o) WHERE r = 1""")
+@query(f"""WITH {COMPONENTS}, {jaccard_sql('cm', 'prop', 'p')}, q AS (SELECT library, a, b, round(shared / (na + nb - shared), 3) AS j, shared FROM p WHERE shared >= 2 AND na >= 2 AND nb >= 2), o AS (SELECT * FROM q WHERE j > 0.3 UNION ALL SELECT library, b, a, j, shared FROM q WHERE j > 0.3)
+SELECT library, a AS component, b AS nearest, j AS jaccard, shared FROM (SELECT *, row_number() OVER (PARTITION BY library, a ORDER BY j DESC, b) AS r FROM o) WHERE r = 1""")
 def nearest_component(spark, sf_dir):
-    return registry.nearest_component(component_tables(spark, sf_dir)[0])
+    return registry.nearest_component(component_tables(spark, sf_dir)[0], by=("library",))
 
 
 @query("""WITH d AS (SELECT DISTINCT CAST(o_custkey % 5 AS VARCHAR) AS repo, 'N' || (o_orderkey % 200) AS name, o_custkey AS path FROM orders), i AS (SELECT DISTINCT CAST(o_custkey % 5 AS VARCHAR) AS repo, o_custkey AS src, o_custkey + 5 AS dst FROM orders),
