@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.lineage import shared_folder
+from ..functions.lineage import shared_folder, spread
 from ..operators import conventions, distributions, graphs, quality, security
 from ..sources import markup, readers
 from .census import PAGES, page_files, table
@@ -140,7 +140,8 @@ def resolved_imports(spark, sf_dir):
     path = F.concat(F.lit("src/m"), k.cast("string"), F.when(k % 4 == 0, ".tsx").otherwise(".ts"))
     base = F.when(k % 3 == 0, "./m").when(k % 3 == 1, "@/m").otherwise("~/m")
     text = F.concat(F.lit("import x from '"), base, (k * 7 % 2003).cast("string"), F.lit("'\n"))
-    files = table(spark, sf_dir, "part").select((F.col("p_size") % 7).cast("string").alias("repo"), path.alias("path"), text.alias("content"))
+    part = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
+    files = part.select((F.col("p_size") % 7).cast("string").alias("repo"), path.alias("path"), text.alias("content"))
     return graphs.resolve_imports(graphs.import_edges(files), files)
 
 
