@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, spread
 from ..operators import constructs, graphs, quality, registry, retrieval, screens, security, styles
 from ..sources import images, markup, readers, shells
 from .census import table
@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 
 def written(spark, sf_dir, name: str, key: str, repo: str, files: list[tuple[str, str, str]]):
     """Files (repo, path, content) of each row of a table where a condition on the key k holds; ``{k}`` in a path or text is the key."""
-    rows = table(spark, sf_dir, name).select(F.expr(repo).cast("string").alias("repo"), F.col(key).cast("long").alias("k"))
+    rows = spread(table(spark, sf_dir, name).select(F.expr(repo).cast("string").alias("repo"), F.col(key).cast("long").alias("k")), "k")
 
     def fill(text: str):
         return F.replace(F.lit(text), F.lit("{k}"), F.col("k").cast("string"))

@@ -51,7 +51,7 @@ def is_screen(files: DataFrame, routed: DataFrame) -> DataFrame:
     api) are screens only by a route.
     """
     path = F.col("path")
-    rows = files.join(routed.select("repo", "path").distinct().withColumn("r", F.lit(True)), ["repo", "path"], "left").filter(classify_file(path) != "test")
+    rows = files.join(routed.select("repo", "path").distinct().withColumn("r", F.lit(True)).hint("merge"), ["repo", "path"], "left").filter(classify_file(path) != "test")
     markup, flat = path.rlike(r"[.](tsx|jsx|vue|svelte)$"), path.rlike(r"(^|/)(pages|routes)/")
     app = path.rlike(r"(^|/)app/") & ~flat
     router = F.when(app, path.rlike(r"(^|/)(page|route)[.][jt]sx$")).otherwise(flat)

@@ -28,3 +28,13 @@ def test_short_rows_are_dealt_by_their_number(spark):
     got = lineage.spread(spark.range(1000).coalesce(1), "id", 50)
     assert got.rdd.getNumPartitions() == 20
     assert got.count() == 1000
+
+
+def test_screens_are_no_broadcast(spark, tmp_path):
+    from repocensus.sources import readers
+
+    spark.createDataFrame([("r", "src/pages/a.tsx"), ("r", "src/b.ts")], "repo string, path string").write.parquet(f"{tmp_path}/f")
+    files = spark.read.parquet(f"{tmp_path}/f")
+    got = readers.is_screen(files, files.filter("path = 'src/b.ts'"))
+    assert "BroadcastHashJoin" not in plan(got)
+    assert sorted((r["path"], r["found_by"]) for r in got.collect()) == [("src/b.ts", "route"), ("src/pages/a.tsx", "router")]
