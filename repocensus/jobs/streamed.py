@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.lineage import shared_folder
+from ..functions.lineage import cut, shared_folder
 from ..streaming import streams
 from .census import table
 
@@ -87,6 +87,7 @@ SELECT repo, CAST(scan AS BIGINT) AS scan, dimension, path, CASE WHEN missing IS
 def ratchet_scans(spark, sf_dir):
     """Three scans of many repos, the second delivered twice: one repo comes late, one isn't scanned in between, one pays everything and falls back."""
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 20).cast("string").alias("repo"), F.col("l_linenumber").cast("string").alias("dimension"), F.col("l_partkey").cast("string").alias("path"), "l_partkey").distinct()
+    rows = cut(rows)  # every batch reads them again
     each = rows.withColumn("scan", F.explode(F.array(*[F.lit(i).cast("long") for i in (1, 2, 3)]))).filter("not (repo = '5' and scan = 1) and not (repo = '9' and scan = 2)")
     found = each.filter("(l_partkey + scan) % 3 <> 0 and not (repo = '7' and scan = 2)").select("repo", "scan", "dimension", "path")
     marks = each.select("repo", "scan", F.lit(None).cast("string").alias("dimension"), F.lit(None).cast("string").alias("path")).distinct()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,9 +66,20 @@ def ratchet_stream(scans: DataFrame, shards: int = SHARDS) -> DataFrame:
     changes nothing, so one delivered twice counts once. The rows of one scan of a repo have to come in one batch. State is kept by repo and
     ``shards`` hashes of the path, so no repo is one group; every shard learns of each scan.
     """
+    names = ["repo", "scan", "dimension", "path", "shard"]
     own = F.when(F.col("path").isNotNull(), F.pmod(F.xxhash64("dimension", "path"), F.lit(shards)).cast("int"))
-    every = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.struct(s.alias("shard"), (s == own).alias("mine")))
-    rows = scans.select("repo", "scan", "dimension", "path", F.explode(every).alias("e")).select("repo", "scan", F.when(F.col("e.mine"), F.col("dimension")).alias("dimension"), F.when(F.col("e.mine"), F.col("path")).alias("path"), F.col("e.shard").alias("shard")).distinct()
+
+    def told(batches):
+        """A violation goes to its shard alone; that a repo was scanned goes to all, once for each Arrow batch. The state's sets take what comes twice."""
+        for b in batches:
+            yield from pa.Table.from_batches([b]).filter(pc.is_valid(b.column("shard"))).to_batches()
+            scanned = pa.Table.from_batches([b]).group_by(["repo", "scan"]).aggregate([])
+            take, shard = np.repeat(np.arange(scanned.num_rows), shards), np.tile(np.arange(shards, dtype=np.int32), scanned.num_rows)
+            repo, scan = (scanned.column(c).combine_chunks().take(pa.array(take)) for c in names[:2])
+            yield pa.RecordBatch.from_arrays([repo, scan, pa.nulls(len(take), pa.string()), pa.nulls(len(take), pa.string()), pa.array(shard)], names=names)
+
+    types = dict(scans.dtypes)
+    rows = scans.select("repo", "scan", "dimension", "path", own.alias("shard")).mapInArrow(told, f"repo {types['repo']}, scan {types['scan']}, dimension string, path string, shard int")
 
     def step(key, frames, state):
         import pandas as pd

@@ -38,3 +38,12 @@ def test_screens_are_no_broadcast(spark, tmp_path):
     got = readers.is_screen(files, files.filter("path = 'src/b.ts'"))
     assert "BroadcastHashJoin" not in plan(got)
     assert sorted((r["path"], r["found_by"]) for r in got.collect()) == [("src/b.ts", "route"), ("src/pages/a.tsx", "router")]
+
+
+def test_scans_keep_no_state_but_the_debt(spark, tmp_path):
+    from repocensus.streaming import streams
+
+    spark.createDataFrame([("r", 1, "d", "p")], "repo string, scan long, dimension string, path string").write.parquet(f"{tmp_path}/in")
+    stream = streams.ratchet_stream(spark.readStream.schema("repo string, scan long, dimension string, path string").parquet(f"{tmp_path}/in"))
+    shape = stream._jdf.queryExecution().analyzed().toString()
+    assert "Deduplicate" not in shape and "Distinct" not in shape and "explode" not in shape
