@@ -47,3 +47,20 @@ def test_scans_keep_no_state_but_the_debt(spark, tmp_path):
     stream = streams.ratchet_stream(spark.readStream.schema("repo string, scan long, dimension string, path string").parquet(f"{tmp_path}/in"))
     shape = stream._jdf.queryExecution().analyzed().toString()
     assert "Deduplicate" not in shape and "Distinct" not in shape and "explode" not in shape
+
+
+def test_similar_sets_equal_all_pairs(spark):
+    from repocensus.operators import registry
+
+    rng = random.Random(3)
+    sets = {(lib, f"c{i}"): set(rng.sample([None, *"abcdefghijk"], rng.randint(1, 8))) for lib in range(3) for i in range(25)}
+    df = spark.createDataFrame([(*k, e) for k, es in sets.items() for e in es], "library int, component string, prop string")
+    for least in (0.3, 0.6, 1.0):
+        want = set()
+        for (la, a), x in sets.items():
+            for (lb, b), y in sets.items():
+                shared = len((x & y) - {None})
+                if la == lb and a < b and shared and shared / (len(x) + len(y) - shared) >= least:
+                    want.add((la, a, b, shared))
+        got = registry.similar_sets(registry.element_sets(df, "component", "prop", ("library",)), least, ("library",))
+        assert sorted((r["library"], r["x"]["k"], r["y"]["k"], r["shared"]) for r in got.collect()) == sorted(want)
