@@ -146,7 +146,7 @@ SELECT repo, component, prop, "check", ok, count(*) AS n FROM c GROUP BY ALL""")
 def registry_truth(spark, sf_dir):
     """Checks of written markup: bare tags, attributes of elements, those that are never checked, parts."""
     props = spark.createDataFrame([("Field", "size", None), ("Panel", "tone", ["loud", "soft"]), ("Panel.Head", "title", None)], "component string, prop string, values array<string>")
-    return registry.check_registry(calls(spark, sf_dir), components(spark), props).groupBy("repo", "component", "prop", "check", "ok").agg(F.count("*").alias("n"))
+    return registry.check_registry(calls(spark, sf_dir), F.broadcast(components(spark)), F.broadcast(props)).groupBy("repo", "component", "prop", "check", "ok").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {CALL_ROWS} SELECT repo, component, prop, CASE kind WHEN 'boolean' THEN 'true' WHEN 'string' THEN CASE WHEN value = 'm' THEN 'm' || k ELSE value END END AS value, count(*) AS n, count(*) FILTER (kind = 'expression') AS expressions FROM u WHERE prop IS NOT NULL AND prop NOT IN ('className', 'key', 'onChange') GROUP BY ALL""")
@@ -244,7 +244,7 @@ def drawn_pages(spark, sf_dir):
                 made.append(images.encode(px, (0, 2, 3, 6)[k % 4], (0, 1, 2, 3, 4)) if k % 10 else b"no image")
             yield pa.RecordBatch.from_arrays([pa.array([str(k) for k in b.column("k").to_pylist()]), pa.array(made, pa.binary())], names=["path", "content"])
 
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k")).mapInArrow(run, "path string, content binary")
+    return spread(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k")), "k", 1_000).mapInArrow(run, "path string, content binary")
 
 
 @query("""WITH k AS (SELECT s_suppkey AS k, 40 + s_suppkey % 5 AS h, 30 + s_suppkey % 11 AS w, 10 + s_suppkey % 9 AS wide, 6 + s_suppkey % 4 AS tall, 3 + s_suppkey % 3 AS gap FROM supplier), f AS (SELECT *, h - 5 - tall - gap - 8 AS rest FROM k)

@@ -72,5 +72,29 @@ def test_clauses_of_the_same_words_are_asked_once(spark):
     clauses = spark.createDataFrame([(i, "Large button, small" if i % 2 else "small LARGE button") for i in range(6)], "clause int, text string")
     components = spark.createDataFrame([("B", "a large button"), ("A", "button large round")], "component string, description string")
     got = conventions.component_suggestions(clauses, components)
-    assert "sha2" in got._jdf.queryExecution().analyzed().toString()
+    assert "first(words" in got._jdf.queryExecution().analyzed().toString()
     assert sorted(map(tuple, got.collect())) == [(i, "A", 2) for i in range(6)]
+
+
+def test_blanked_keeps_the_code_alone():
+    from repocensus.sources import markup
+
+    text = "a('b') // c\nx = `t ${y('z')} u`\nq = /a[/]b/; p / 2 /* e\nf */ g"
+    assert markup.blanked(text) == "a(' ')     \nx = `  ${y(' ')}  `\nq = /     /; p / 2     \n     g"
+
+
+def test_lists_that_are_parameters_are_broadcast(spark):
+    from repocensus.jobs import relations, written
+
+    for df in (relations.registry_checks(spark, "/root/testdata/sf0.001"), written.registry_truth(spark, "/root/testdata/sf0.001")):
+        shape = plan(df)
+        assert "SortMergeJoin" not in shape and "BroadcastHashJoin" in shape
+
+
+def test_colours_are_read_once_for_all_roles(spark, tmp_path):
+    from repocensus.operators import styles
+
+    spark.createDataFrame([("i", "#000000", 0.5, "#ffffff"), ("i", "#ff0000", 0.2, "#ffffff")], "image string, rgb string, share double, ground string").write.parquet(f"{tmp_path}/c")
+    got = styles.name_tokens(spark.read.parquet(f"{tmp_path}/c"))
+    assert f"{tmp_path}/c" not in str(got.inputFiles())
+    assert sorted((r["role"], r["rgb"]) for r in got.collect()) == [("accent", "#ff0000"), ("background", "#ffffff"), ("text", "#000000")]
