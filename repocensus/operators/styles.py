@@ -245,6 +245,7 @@ def name_tokens(colours: DataFrame, surface_share: float = 0.1) -> DataFrame:
     above .15; surface: of the colours whose every channel is within 24 of the ground and whose share is ``surface_share`` or more, that of the largest share. value is what
     decided. Ties: the smaller colour. An image without a ground gets the role ``refused`` alone; a role without a colour no row.
     """
+    colours = cut(colours.select("image", "rgb", "share", "ground"))  # every role reads it again
     refused = colours.groupBy("image").agg(F.max("ground").alias("ground")).filter("ground is null").select("image", F.lit("refused").alias("role"), F.lit(None).cast("string").alias("rgb"), F.lit(None).cast("double").alias("value"))
     left = colours.filter("ground is not null").groupBy("image", "rgb").agg(F.max("share").alias("share"), F.max("ground").alias("ground"))
     ground = left.select("image", F.lit("background").alias("role"), F.col("ground").alias("rgb"), F.lit(1.0).alias("value")).distinct()
@@ -254,6 +255,7 @@ def name_tokens(colours: DataFrame, surface_share: float = 0.1) -> DataFrame:
     out = refused.unionByName(ground)
     for role, value, fits in (("text", "text", "true"), ("accent", "accent", "accent > 0.15"), ("surface", "share", f"near <= 24 and share >= {surface_share}")):
         best = left.filter(fits).groupBy("image").agg(F.min(F.struct((-F.col(value)).alias("m"), "rgb")).alias("x")).select("image", F.lit(role).alias("role"), F.col("x.rgb").alias("rgb"), (-F.col("x.m")).cast("double").alias("value"))
+        best = cut(best)
         out, left = out.unionByName(best), left.join(best.select("image", "rgb"), ["image", "rgb"], "left_anti")
     return out
 
