@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
@@ -20,17 +20,18 @@ def normalised(text):
 
 
 def shingles(files: DataFrame, token: str = TOKEN, clean: bool = True) -> DataFrame:
-    """(repo, path) with the sorted array ``s`` of its distinct shingle hashes, their number ``n`` and a hash of all, ``key``, for files of at least LEAST shingles.
+    """(repo, path, id) with the sorted array ``s`` of its distinct shingle hashes, their number ``n`` and a hash of all, ``key``, for files of at least LEAST shingles.
 
     Tokens never leave their row. They are hashed inside a transform over an array of one element, so that they are found
-    once, not for every use; the sets are written once for the steps that follow.
+    once, not for every use; the sets are written once for the steps that follow, which know a row by its ``id``.
     """
     text = normalised(F.col("content")) if clean else F.col("content")
     found = F.array(F.transform(F.regexp_extract_all(text, F.lit(token), F.lit(0)), lambda t: F.xxhash64(t)))
     starts = lambda t: F.when(F.size(t) >= WIDTH, F.sequence(F.lit(1), F.size(t) - WIDTH + 1)).otherwise(F.array().cast("array<int>"))
     sets = F.transform(found, lambda t: F.array_sort(F.array_distinct(F.transform(starts(t), lambda i: F.xxhash64(F.slice(t, i, WIDTH))))))
-    out = cut(files.filter("content is not null").select("repo", "path", F.explode(sets).alias("s")))
-    return out.withColumn("n", F.size("s")).filter(F.col("n") >= LEAST).withColumn("key", F.xxhash64("s"))
+    out = files.filter("content is not null").select("repo", "path", F.explode(sets).alias("s"))
+    out = out.withColumn("n", F.size("s")).filter(F.col("n") >= LEAST).withColumn("key", F.xxhash64("s"))
+    return cut(out.withColumn("id", F.monotonically_increasing_id()), merge=False)
 
 
 def near_duplicates(files: DataFrame, threshold: float = THRESHOLD, token: str = TOKEN, clean: bool = True) -> DataFrame:
@@ -39,26 +40,29 @@ def near_duplicates(files: DataFrame, threshold: float = THRESHOLD, token: str =
     Files with equal sets are one class; pairs are between class representatives (first path), with ``copies`` saying how
     many files each stands for. Shingles are ordered by how many classes have them, the rarest first; two sets can only
     reach the threshold if their prefixes meet, so only prefixes are joined, and only shingles that two classes have.
-    Until the last step classes go by their hash; sets meet again only for pairs whose sizes and prefixes fit.
+    All shingles are shuffled once, with the number of their class; those that one class alone has end there, and pairs are
+    judged by the others, as no other can be shared. Sets stay where they were read, unless copies are too many to be broadcast.
     """
     sets = shingles(files, token, clean)
-    classes = cut(sets.groupBy("repo", "key", "n").agg(F.min("path").alias("path"), F.count("*").alias("copies")))
-    reps = cut(sets.select("repo", "key", "path", "s").join(classes, ["repo", "key", "path"]).select("repo", "key", "path", "s", "n", "copies").dropDuplicates(["repo", "key"]))
-    each = reps.select("repo", "key", F.explode("s").alias("h"))
-    df = each.groupBy("repo", "h").agg(F.count("*").alias("df")).filter("df > 1")
-    common = each.join(df, ["repo", "h"]).groupBy("repo", "key").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o"))
-    common = common.join(classes.select("repo", "key", "n"), ["repo", "key"])
+    first = F.min(F.struct("path", "id")).alias("x")
+    classes = cut(sets.groupBy("repo", "key", "n").agg(first, F.count("*").alias("copies")).select("repo", "key", "n", "x.path", "x.id", "copies"))
+    many = classes.filter("copies > 1").select("repo", "key", "n", F.col("id").alias("stands"))
+    copies = cut(sets.select("repo", "key", "n", "id").join(many, ["repo", "key", "n"]).filter("id <> stands").select("id"), merge=False)
+    each = sets.join(copies, "id", "left_anti").select("id", "repo", F.explode("s").alias("h")).select("id", F.xxhash64("repo", "h").alias("h"))
+    common = each.withColumn("df", F.count("*").over(Window.partitionBy("h"))).filter("df > 1")
+    common = common.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o"))
+    common = cut(common.join(classes, "id").select("id", "repo", "path", "copies", "n", "o"))
     keep = F.col("n") - F.ceil(threshold * F.col("n")).cast("int") + 1
     # shingles of one class alone come first in the order and can't meet: they only use up the prefix
     alone = F.col("n") - F.size("o")
-    prefix = common.withColumn("k", F.least(keep - alone, F.size("o"))).filter("k > 0").select("repo", "key", "n", F.explode(F.slice("o", 1, F.col("k"))).alias("p"))
-    prefix = cut(prefix.select("repo", "key", "n", F.col("p.h").alias("h")))
-    other = prefix.select("repo", "h", F.col("key").alias("b"), F.col("n").alias("m"))
-    fits = (F.col("key") < F.col("b")) & (F.col("n") >= threshold * F.col("m")) & (F.col("m") >= threshold * F.col("n"))
-    pairs = cut(prefix.join(other, ["repo", "h"]).filter(fits).select("repo", F.col("key").alias("a"), "b").distinct())
-    x = reps.select("repo", F.col("key").alias("a"), F.struct("path", "copies", "s").alias("x"))
-    y = reps.select("repo", F.col("key").alias("b"), F.struct("path", "copies", "s").alias("y"))
-    both = pairs.join(x, ["repo", "a"]).join(y, ["repo", "b"]).withColumn("shared", F.size(F.array_intersect("x.s", "y.s")))
-    both = both.withColumn("jaccard", F.col("shared") / (F.size("x.s") + F.size("y.s") - F.col("shared"))).filter(F.col("jaccard") >= threshold)
+    prefix = common.withColumn("k", F.least(keep - alone, F.size("o"))).filter("k > 0").select("id", "n", F.explode(F.slice("o", 1, F.col("k"))).alias("p"))
+    prefix = cut(prefix.select("id", "n", F.col("p.h").alias("h")))
+    other = prefix.select("h", F.col("id").alias("b"), F.col("n").alias("m"))
+    fits = (F.col("id") < F.col("b")) & (F.col("n") >= threshold * F.col("m")) & (F.col("m") >= threshold * F.col("n"))
+    pairs = cut(prefix.join(other, "h").filter(fits).select(F.col("id").alias("a"), "b").distinct())
+    x = common.select("repo", F.col("id").alias("a"), F.struct("path", "copies", "n", F.col("o.h").alias("s")).alias("x"))
+    y = common.select(F.col("id").alias("b"), F.struct("path", "copies", "n", F.col("o.h").alias("s")).alias("y"))
+    both = pairs.join(x, "a").join(y, "b").withColumn("shared", F.size(F.array_intersect("x.s", "y.s")))
+    both = both.withColumn("jaccard", F.col("shared") / (F.col("x.n") + F.col("y.n") - F.col("shared"))).filter(F.col("jaccard") >= threshold)
     one, two = F.least(F.struct("x.path", "x.copies"), F.struct("y.path", "y.copies")), F.greatest(F.struct("x.path", "x.copies"), F.struct("y.path", "y.copies"))
     return both.select("repo", one["path"].alias("a"), two["path"].alias("b"), F.round("jaccard", 4).alias("jaccard"), "shared", one["copies"].alias("copies_a"), two["copies"].alias("copies_b"))

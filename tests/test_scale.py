@@ -98,3 +98,20 @@ def test_colours_are_read_once_for_all_roles(spark, tmp_path):
     got = styles.name_tokens(spark.read.parquet(f"{tmp_path}/c"))
     assert f"{tmp_path}/c" not in str(got.inputFiles())
     assert sorted((r["role"], r["rgb"]) for r in got.collect()) == [("accent", "#ff0000"), ("background", "#ffffff"), ("text", "#000000")]
+
+
+def test_shingles_are_shuffled_once(spark, monkeypatch):
+    from repocensus.operators import duplicates
+
+    plans = []
+
+    def cut(df, *more, whole=duplicates.cut, **named):
+        plans.append(plan(df))
+        return whole(df, *more, **named)
+
+    monkeypatch.setattr(duplicates, "cut", cut)
+    body, shared = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    files = [("r", "b", body), ("r", "a", body), ("r", "c", f"{body} z"), ("q", "a", body), ("r", "d", shared), ("r", "d", shared), ("r", "e", shared.replace("b0 ", ""))]
+    got = duplicates.near_duplicates(spark.createDataFrame(files, "repo string, path string, content string"))
+    assert sorted((r["repo"], r["a"], r["b"], r["shared"], r["copies_a"], r["copies_b"]) for r in got.collect()) == [("r", "a", "c", 56, 2, 1), ("r", "d", "e", 55, 2, 1)]
+    assert sum(p.count("Generate explode(s#") for p in plans) == 1
