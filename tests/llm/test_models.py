@@ -252,3 +252,16 @@ def test_words_are_cut_at_every_bound():
     assert words.to_pylist() == ["ab", "c", "d", "e", "f", "g", "é", "É", "h"]
     assert owner.tolist() == [0, 0, 0, 2, 3, 3, 4, 4, 6]
     assert begins.tolist() == [True, False, True, True, True, True, True, True, True]
+
+
+def test_more_of_the_same_text_keeps_the_same_ngrams(spark):
+    rng = random.Random(5)
+    texts = [(" ".join("".join(rng.choices(letters, range(9, 0, -1), k=5)) for _ in range(40)), lang) for letters, lang in (("abcdefghi", "aa"), ("ghijklmno", "bb")) for _ in range(20)]
+    counted = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 == 2]
+    models = []
+    for times in (1, 3, 7):
+        rows = [(i, *x) for i, x in zip(counted, texts * times)]
+        models.append(language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), cells=3000))
+    for k in range(1, language.ORDER + 1):
+        assert len({m.tables[k][0].tobytes() for m in models}) == 1
+    assert 0 < sum(m.tables[k][1].size for m in models[:1] for k in range(2, language.ORDER + 1)) <= 3000
