@@ -14,14 +14,20 @@ def words(text: Column, stop: tuple[str, ...] = STOP) -> Column:
     return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(cut), F.lit("[a-z0-9]+"), F.lit(0))), F.array(*map(F.lit, stop)))
 
 
+#: Pairs of a query and a document that a task may have to count.
+PAIRS_A_TASK = 2_000_000
+
+
 def score_docs(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(query, doc, score): number of distinct words in common; documents without one aren't found.
 
-    Only the words of the queries go on from the documents, so an inverted index of the rest is never built.
+    Only the words of the queries go on from the documents, so an inverted index of the rest is never built. They are dealt by document over as many
+    tasks as there may be pairs, and counted there: pairs aren't shuffled, and a task has no more of them on larger tables.
     """
     q = queries.select("query", F.explode(words(F.col("text"))).alias("w"))
     asked = q.select("w").distinct()
-    d = docs.select("doc", F.explode(words(F.col("text"))).alias("w")).join(asked, "w", "left_semi")
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() * queries.count() // PAIRS_A_TASK))
+    d = docs.select("doc", F.explode(words(F.col("text"))).alias("w")).join(asked, "w", "left_semi").repartition(tasks, "doc")
     return q.join(d, "w").groupBy("query", "doc").agg(F.count("*").alias("score"))
 
 

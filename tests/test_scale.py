@@ -115,3 +115,15 @@ def test_shingles_are_shuffled_once(spark, monkeypatch):
     got = duplicates.near_duplicates(spark.createDataFrame(files, "repo string, path string, content string"))
     assert sorted((r["repo"], r["a"], r["b"], r["shared"], r["copies_a"], r["copies_b"]) for r in got.collect()) == [("r", "a", "c", 56, 2, 1), ("r", "d", "e", 55, 2, 1)]
     assert sum(p.count("Generate explode(s#") for p in plans) == 1
+
+
+def test_pairs_of_queries_and_documents_are_not_shuffled(spark, monkeypatch):
+    from repocensus.jobs import relations
+    from repocensus.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "PAIRS_A_TASK", 1000)
+    shape = plan(relations.rank_documents(spark, "/root/testdata/sf0.001"))
+    pairs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count() * spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").count()
+    dealt = [line for line in shape.splitlines() if "Exchange hashpartitioning(doc#" in line]
+    assert len(dealt) == 1 and f", {-(-pairs // 1000)})" in dealt[0]
+    assert not any("hashpartitioning(query#" in line and "doc#" in line.split("),")[0] for line in shape.splitlines())
