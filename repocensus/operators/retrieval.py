@@ -42,8 +42,8 @@ def ranks_of(queries: DataFrame, docs: DataFrame, wanted: DataFrame) -> DataFram
 
     Documents above are counted, in the tasks first; no query's documents are ordered or held together.
     """
-    own = wanted.join(queries.select("query", words(F.col("text")).alias("q")), "query").join(docs.select("doc", words(F.col("text")).alias("d")), "doc")
-    own = own.select("query", "doc", F.size(F.array_intersect("q", "d")).alias("own")).filter("own > 0")
+    own = wanted.join(queries.select("query", F.col("text").alias("q")), "query").join(docs.select("doc", F.col("text").alias("d")), "doc")
+    own = own.select("query", "doc", F.size(F.array_intersect(words(F.col("q")), words(F.col("d")))).alias("own")).filter("own > 0")  # words of wanted documents alone
     above = score_docs(queries, docs).join(own.select("query", F.col("doc").alias("wanted"), "own"), "query").filter("score > own or (score = own and doc < wanted)")
     n = above.groupBy("query", F.col("wanted").alias("doc")).agg(F.count("*").alias("n"))
     return own.join(n, ["query", "doc"], "left").select("query", "doc", (F.coalesce("n", F.lit(0)) + 1).alias("rank"))

@@ -127,3 +127,13 @@ def test_pairs_of_queries_and_documents_are_not_shuffled(spark, monkeypatch):
     dealt = [line for line in shape.splitlines() if "Exchange hashpartitioning(doc#" in line]
     assert len(dealt) == 1 and f", {-(-pairs // 1000)})" in dealt[0]
     assert not any("hashpartitioning(query#" in line and "doc#" in line.split("),")[0] for line in shape.splitlines())
+
+
+def test_words_of_wanted_documents_alone(spark):
+    from repocensus.operators import retrieval
+
+    d = spark.createDataFrame([("a", "one two"), ("b", "one")], "doc string, text string")
+    q = spark.createDataFrame([(1, "two one"), (2, "three")], "query int, text string")
+    got = retrieval.ranks_of(q, d, spark.createDataFrame([(1, "b"), (2, "a")], "query int, doc string"))
+    assert "array_intersect(array_except(" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in got.collect()] == [(1, "b", 2)]
