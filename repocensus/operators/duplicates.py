@@ -9,6 +9,8 @@ from ..functions.lineage import cut
 
 #: Fixed values.
 WIDTH, LEAST, THRESHOLD = 5, 40, 0.5
+#: Sets of either side that meet in a cell of pairs; sets that a task holds at a time.
+BLOCK, SETS_A_TASK = 500, 2_000
 TOKEN = r"[A-Za-z_$][\w$]*|[0-9]+|[^\s\w]"
 
 
@@ -34,6 +36,35 @@ def shingles(files: DataFrame, token: str = TOKEN, clean: bool = True) -> DataFr
     return cut(out.withColumn("id", F.monotonically_increasing_id()), merge=False)
 
 
+def shared_counts(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, n, m) with ``shared``, the number of elements that the sets (id, s) of a and b share; a and b differ, no element stands twice in a set.
+
+    Sets don't go with each pair: pairs that lead to the same smallest partner meet in cells of at most about BLOCK sets of either side,
+    and a set goes to a cell once. A task takes cells of about SETS_A_TASK sets at a time, so a large family is many cells of many tasks.
+    """
+    led = pairs.join(pairs.groupBy("b").agg(F.min("a").alias("l")), "b")
+    sizes = led.groupBy("l").agg(F.count_distinct("a").alias("na"), F.count_distinct("b").alias("nb"))
+    part = lambda x, n: F.pmod(F.xxhash64(x), F.ceil(F.col(n) / BLOCK))
+    cells = cut(led.join(sizes, "l").select("a", "b", "n", "m", F.xxhash64("l", part("a", "na"), part("b", "nb")).alias("cell")))
+    needs = cut(cells.select("cell", F.col("a").alias("id")).unionByName(cells.select("cell", F.col("b").alias("id"))).distinct())
+    group = F.pmod("cell", F.lit(-(-needs.count() // SETS_A_TASK) or 1)).alias("group")
+    held = needs.select(group, "id").distinct().join(sets, "id").select("group", "id", "s")
+
+    def count(own, held):
+        import numpy as np
+        import pyarrow as pa
+
+        s = held.column("s").combine_chunks()
+        s = pa.concat_arrays(s.chunks) if isinstance(s, pa.ChunkedArray) else s
+        at, values = s.offsets.to_numpy(), s.values.to_numpy()
+        of = {x: values[at[i] : at[i + 1]] for i, x in enumerate(held.column("id").to_pylist())}
+        found = [np.intersect1d(of[a], of[b], assume_unique=True).size for a, b in zip(own.column("a").to_pylist(), own.column("b").to_pylist(), strict=True)]
+        return pa.table([*[own.column(c) for c in ("a", "b", "n", "m")], pa.array(found, pa.int32())], names=["a", "b", "n", "m", "shared"])
+
+    own = cells.select(group, "a", "b", "n", "m")
+    return own.groupBy("group").cogroup(held.groupBy("group")).applyInArrow(count, "a long, b long, n int, m int, shared int")
+
+
 def near_duplicates(files: DataFrame, threshold: float = THRESHOLD, token: str = TOKEN, clean: bool = True) -> DataFrame:
     """Pairs (a, b, jaccard, shared) of files whose shingle sets have at least ``threshold``; exact but for 64-bit hashes.
 
@@ -41,7 +72,7 @@ def near_duplicates(files: DataFrame, threshold: float = THRESHOLD, token: str =
     many files each stands for. Shingles are ordered by how many classes have them, the rarest first; two sets can only
     reach the threshold if their prefixes meet, so only prefixes are joined, and only shingles that two classes have.
     All shingles are shuffled once, with the number of their class; those that one class alone has end there, and pairs are
-    judged by the others, as no other can be shared. Sets stay where they were read, unless copies are too many to be broadcast.
+    judged by the others, as no other can be shared, in cells (``shared_counts``). Sets stay where they were read, unless copies are too many to be broadcast.
     """
     sets = shingles(files, token, clean)
     first = F.min(F.struct("path", "id")).alias("x")
@@ -59,10 +90,11 @@ def near_duplicates(files: DataFrame, threshold: float = THRESHOLD, token: str =
     prefix = cut(prefix.select("id", "n", F.col("p.h").alias("h")))
     other = prefix.select("h", F.col("id").alias("b"), F.col("n").alias("m"))
     fits = (F.col("id") < F.col("b")) & (F.col("n") >= threshold * F.col("m")) & (F.col("m") >= threshold * F.col("n"))
-    pairs = cut(prefix.join(other, "h").filter(fits).select(F.col("id").alias("a"), "b").distinct())
-    x = common.select("repo", F.col("id").alias("a"), F.struct("path", "copies", "n", F.col("o.h").alias("s")).alias("x"))
-    y = common.select(F.col("id").alias("b"), F.struct("path", "copies", "n", F.col("o.h").alias("s")).alias("y"))
-    both = pairs.join(x, "a").join(y, "b").withColumn("shared", F.size(F.array_intersect("x.s", "y.s")))
-    both = both.withColumn("jaccard", F.col("shared") / (F.col("x.n") + F.col("y.n") - F.col("shared"))).filter(F.col("jaccard") >= threshold)
+    pairs = cut(prefix.join(other, "h").filter(fits).select(F.col("id").alias("a"), "b", "n", "m").distinct())
+    both = shared_counts(pairs, common.select("id", F.col("o.h").alias("s")))
+    both = both.withColumn("jaccard", F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).filter(F.col("jaccard") >= threshold)
+    x = common.select("repo", F.col("id").alias("a"), F.struct("path", "copies").alias("x"))
+    y = common.select(F.col("id").alias("b"), F.struct("path", "copies").alias("y"))
+    both = both.join(x, "a").join(y, "b")
     one, two = F.least(F.struct("x.path", "x.copies"), F.struct("y.path", "y.copies")), F.greatest(F.struct("x.path", "x.copies"), F.struct("y.path", "y.copies"))
     return both.select("repo", one["path"].alias("a"), two["path"].alias("b"), F.round("jaccard", 4).alias("jaccard"), "shared", one["copies"].alias("copies_a"), two["copies"].alias("copies_b"))

@@ -137,3 +137,17 @@ def test_words_of_wanted_documents_alone(spark):
     got = retrieval.ranks_of(q, d, spark.createDataFrame([(1, "b"), (2, "a")], "query int, doc string"))
     assert "array_intersect(array_except(" in got._jdf.queryExecution().optimizedPlan().toString()
     assert [tuple(r) for r in got.collect()] == [(1, "b", 2)]
+
+
+def test_sets_meet_in_cells(spark, monkeypatch):
+    from repocensus.operators import duplicates
+
+    monkeypatch.setattr(duplicates, "BLOCK", 4)
+    monkeypatch.setattr(duplicates, "SETS_A_TASK", 10)
+    rng = random.Random(8)
+    sets = {i: sorted(rng.sample(range(-60, 60), rng.randint(1, 40))) for i in range(30)}
+    pairs = [(a, b, len(sets[a]), len(sets[b])) for a in sets for b in sets if a < b and (a < 20) == (b < 20) and rng.random() < 0.9] + [(3, 25, len(sets[3]), len(sets[25]))]
+    got = duplicates.shared_counts(spark.createDataFrame(pairs, "a long, b long, n int, m int"), spark.createDataFrame(list(sets.items()), "id long, s array<long>"))
+    assert sorted(map(tuple, got.collect())) == sorted((a, b, n, m, len(set(sets[a]) & set(sets[b]))) for a, b, n, m in pairs)
+    none = spark.createDataFrame([], "a long, b long, n int, m int")
+    assert duplicates.shared_counts(none, spark.createDataFrame(list(sets.items()), "id long, s array<long>")).collect() == []
