@@ -11,14 +11,17 @@ import re
 import unicodedata
 from array import array
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, new_folder, partitions, text_slices, tidy
+from .common import documents, materialize, new_folder, partitions, sized_slices, tidy
 
+#: WINDOW and MEAN are powers of two.
 WINDOW, MEAN, LEAST, MOST = 16, 512, 64, 4096
 DIGEST = 16
 NO_ID = -(2**63)
@@ -34,7 +37,9 @@ class Encoder:
     ids are the ids of its pieces between such spaces, one after the other. A text with a piece for which that isn't certain
     (other white space at its edges, a combining mark, a special token) is encoded as a whole. Within a piece, a run of
     letters, the signs behind it and a line's end are words of their own; such words go to the library's model directly,
-    without its search for words and its offsets. Pieces and words are remembered, in about ``room`` bytes.
+    without its search for words and its offsets. Arrow cuts many texts at once, finds their distinct pieces and words, and
+    puts the ids in every place, so Python meets a word once in a call. Words and other pieces are remembered, in about
+    ``room`` bytes.
     """
 
     LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -47,8 +52,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.entries = room // 4 // self.ENTRY
+        self.entries = room // 8 // self.ENTRY  # of these, three parts are for words
         self.forms = self._forms()
+        #: Whether a word's ids are those of the word in lower case, and those of the word without a space before it.
+        self.folds = bool(self.forms) and all(x == self.forms.get(ord(chr(c).lower())) and (x == chr(c) or not "a" <= chr(c) <= "z") for c, x in self.forms.items())
+        self.alike = bool(self.forms) and not self.forms[32]
         self.forget()
 
     def forget(self) -> None:
@@ -82,8 +90,28 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of a space and a run of letters, which are in lower case if case doesn't matter; each word once."""
+        out = list(map(self.words.get, words))
+        lacks = [i for i, x in enumerate(out) if x is None]
+        older = [self.older_words.get(words[i]) for i in lacks]
+        new = [words[i] for i, x in zip(lacks, older, strict=True) if x is None]
+        forms, lead, tokenize = self.forms, self.forms[32], self.tokenizer.model.tokenize
+        ids: list[int] = []
+        ends = [0]
+        for word in new:
+            ids += [x.id for x in tokenize(lead + (word if self.folds and word.isascii() else word.translate(forms)))]
+            ends.append(4 * len(ids))
+        raw = array("I", ids).tobytes()
+        learned = iter([raw[i:j] for i, j in pairwise(ends)])
+        for i, x in zip(lacks, older, strict=True):
+            out[i] = x = next(learned) if x is None else x
+            if len(words[i]) <= self.LONGEST:
+                self.words[words[i]] = x
+        return out
+
     def _word(self, word: str) -> bytes:
-        """Ids of a word that no space stands before, or of signs."""
+        """Ids of signs, or of a word that no space stands before."""
         out = self.bare.get(word)
         if out is None:
             out = self._modelled(word, self.forms)
@@ -91,70 +119,86 @@ class Encoder:
                 self.bare[word] = out
         return out
 
+    def _part(self, part: str, spaced: bool) -> bytes | None:
+        """Ids of a run of letters and the signs behind it, or None if ``part`` is something else."""
+        m = self.PLAIN.fullmatch(part) if self.forms else None
+        if m is None:
+            return None
+        key = m[1].lower() if self.folds else m[1]
+        word = (self.words.get(key) or self._spaced([key])[0]) if spaced or self.alike else self._word(m[1])
+        return word + self._word(m[2]) if m[2] else word
+
     def _parts(self, piece: str) -> bytes:
-        """Ids of " " + piece, where that isn't one word and the signs behind it."""
-        out, lead = [], " "
-        for part in piece.split("\n") if self.forms else [piece]:
-            m = self.PLAIN.fullmatch(part) if self.forms else None
-            if m is None:
-                return self.whole(" " + piece)
-            if not lead:
-                out.append(self._word("\n"))
-            out.append(self._modelled(lead + m[1], self.forms) if lead else self._word(m[1]))
-            if m[2]:
-                out.append(self._word(m[2]))
-            lead = ""
-        return b"".join(out)
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Remember the ids of pieces; UNSURE for those that can't be encoded alone."""
-        known, older, words, older_words, other = self.ids, self.older.get, self.words, self.older_words.get, self._word
-        forms, tokenize = self.forms or {}, self.tokenizer.model.tokenize
-        plain, lead = self.PLAIN.fullmatch if self.forms else lambda x: None, forms.get(32)
-        for piece in pieces:
-            got = older(piece)
+        """Ids of " " + piece."""
+        out = [self._part(x, not i) for i, x in enumerate(piece.split("\n"))] if self.forms else [None]
+        return self.whole(" " + piece) if None in out else self._word("\n").join(out) if len(out) > 1 else out[0]
+
+    def _other(self, piece: str) -> bytes:
+        """Ids of " " + piece, where that isn't one word and the signs behind it; UNSURE if it can't be encoded alone."""
+        got = self.ids.get(piece)
+        if got is None:
+            got = self.older.get(piece)
             if got is None:
-                m = plain(piece)
-                if m is None:
-                    got = self._parts(piece) if self.certain(piece) else UNSURE
-                else:
-                    word, signs = m.groups()
-                    got = words.get(word)
-                    if got is None:
-                        got = older_words(word)
-                        if got is None:
-                            got = array("I", [x.id for x in tokenize(lead + word.translate(forms))]).tobytes()
-                        words[word] = got
-                    if signs:
-                        got += other(signs)
-            known[piece] = got
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+                got = self._parts(piece) if self.certain(piece) else UNSURE
+            if len(piece) <= self.LONGEST and "\n" not in piece:  # few of these come again
+                self.ids[piece] = got
+        return got
+
+    def _look_up(self, pieces: pa.Array, names: list[str], used: np.ndarray) -> list[bytes]:
+        """Ids of " " + piece for distinct pieces; UNSURE for those that can't be encoded alone, nothing for those not used."""
+        out, plain = [b""] * len(names), np.zeros(len(names), bool)
+        if self.forms:
+            words = pc.ascii_rtrim(pieces, characters=self.SIGNS)
+            plain = pc.match_substring_regex(words, rf"\A[{self.LETTERS}]+\z").to_numpy(zero_copy_only=False)
+            which = np.flatnonzero(plain & used)
+            signs = pc.subtract(pc.binary_length(pieces), pc.binary_length(words)).to_numpy()[which]
+            words = words.take(pa.array(which))
+            words = (pc.utf8_lower(words) if self.folds else words).dictionary_encode()
+            ids = self._spaced(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+            which = which.tolist()
+            signs = [names[i][-n:] if n else "" for i, n in zip(which, signs.tolist(), strict=True)]
+            of_signs = {x: self._word(x) if x else b"" for x in set(signs)}
+            for i, word, x in zip(which, words.indices.to_numpy().tolist(), signs, strict=True):
+                out[i] = ids[word] + of_signs[x] if x else ids[word]
+        for i in np.flatnonzero(used & ~plain).tolist():
+            out[i] = self._other(names[i])
+        return out
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.ids) > self.entries:  # what wasn't seen for a while goes
             self.ids, self.older = {}, self.ids
-        if len(self.words) > self.entries:
+        if len(self.words) > 3 * self.entries:
             self.words, self.older_words = {}, self.words
-        if len(self.bare) > self.entries // 4:
+        if len(self.bare) > self.entries // 2:
             self.bare = {}
-        cut = [x.split(" ") for x in texts]
-        heads = [x[0] for x in cut]
-        for x in cut:
-            x[0] = "a"
-        new = set().union(*cut).difference(self.ids)
-        long = [x for x in new if len(x) > self.LONGEST]
-        self._learn(new)
-        out, ids = [], self.ids.__getitem__
-        for text, head, pieces in zip(texts, heads, cut, strict=True):
-            got = list(map(ids, pieces))
-            if UNSURE in got or not self.certain(head):
-                out.append(self.whole(text))
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        if not len(texts):
+            return []
+        cut = pc.split_pattern(texts, " ")
+        bounds = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        coded = cut.flatten().dictionary_encode()
+        names, places = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.array(coded.indices)
+        heads = [names[i] for i in places[bounds[:-1]].tolist()]
+        places[bounds[:-1]] = len(names)  # no space stands before a head: its ids come apart
+        used = np.zeros(len(names) + 1, bool)
+        used[places] = True
+        got = [*self._look_up(coded.dictionary, names, used[:-1]), b""]
+        unsure = {i for i, x in enumerate(heads) if not self.certain(x)}
+        if UNSURE in got:
+            at = np.flatnonzero(np.array([x == UNSURE for x in got])[places])
+            unsure.update((np.searchsorted(bounds, at, "right") - 1).tolist())
+        placed = pa.array(got, pa.binary()).take(pa.array(places))
+        _, ends, ids = placed.buffers()
+        ids, at = memoryview(ids or b""), np.frombuffer(ends, np.int32)[placed.offset :][bounds].tolist()
+        out = []
+        for i, head in enumerate(heads):
+            if i in unsure:
+                out.append(self.whole(texts[i].as_py()))
             else:
-                got[0] = self.whole(head)
-                out.append(b"".join(got))
-        for x in long:
-            del self.ids[x]
-            self.words.pop(x.rstrip(self.SIGNS), None)
+                first = self._part(head, False)
+                out.append(b"".join((self.whole(head) if first is None else first, ids[at[i] : at[i + 1]])))
         return out
 
 
@@ -175,32 +219,40 @@ def token_ids(docs: DataFrame, path: str, end_id: int, then=None, schema: str =
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        for b in text_slices(batches):
-            ids = [x + end for x in encoder(path).encode(b.column("text").to_pylist())]
+        for b in sized_slices(batches):
+            ids = [x + end for x in encoder(path).encode(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     whole = (lambda batches: then(run(batches))) if then else run
-    return documents(docs).mapInArrow(tidy(whole, lambda: encoder(path).forget()), schema)
+    return documents(docs).mapInArrow(tidy(whole, lambda: encoder(path).forget(), keep=path), schema)
 
 
-def chunk_lengths(ids: np.ndarray) -> list[int]:
-    """Lengths of content-defined chunks: a chunk ends where the rolling hash of the last WINDOW ids is 0 modulo MEAN."""
-    g = _GEAR[ids & 0xFFFF] ^ (ids.astype(np.uint64) >> np.uint64(16))
-    h, have = g, 1
+def chunk_lengths(docs: list[np.ndarray]) -> list[list[int]]:
+    """Lengths of each document's content-defined chunks: a chunk ends where the rolling hash of the last WINDOW ids is 0 modulo MEAN."""
+    starts = np.cumsum([0] + [len(x) + WINDOW for x in docs])  # nothing of the document before is in a window
+    h = np.zeros(starts[-1], np.uint64)
+    for at, ids in zip(starts.tolist(), docs, strict=False):
+        h[at : at + len(ids)] = _GEAR[ids & 0xFFFF] ^ (ids >> 16 if ids.itemsize > 2 else 0)
+    have = 1
     while have < WINDOW:  # of twice as many ids each time
         longer = h.copy()
         longer[have:] += h[: max(0, len(h) - have)] << np.uint64(have)
         h, have = longer, 2 * have
-    marks = (np.flatnonzero(((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % MEAN == 0) + 1).tolist()
-    out, at = [], 0
-    for m in [*marks, len(ids)]:
-        while m - at > MOST:
-            out.append(MOST)
-            at += MOST
-        if m - at >= LEAST or m == len(ids):
-            if m > at:
-                out.append(m - at)
-            at = m
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    marks = np.flatnonzero((h & np.uint64((MEAN - 1) << 40)) == 0) + 1
+    cuts = np.searchsorted(marks, starts, "right").tolist()
+    out, marks = [], marks.tolist()
+    for start, ids, i, j in zip(starts.tolist(), docs, cuts, cuts[1:], strict=False):
+        lens, at, end = [], 0, len(ids)
+        for m in [*(m for x in marks[i:j] if (m := x - start) <= end), end]:
+            while m - at > MOST:
+                lens.append(MOST)
+                at += MOST
+            if m - at >= LEAST or m == end:
+                if m > at:
+                    lens.append(m - at)
+                at = m
+        out.append(lens)
     return out
 
 
@@ -216,6 +268,13 @@ def _digest(payload: bytes) -> bytes:
     return hashlib.blake2b(payload, digest_size=DIGEST).digest()
 
 
+def _lists(column: pa.ListArray, field: str | None = None) -> list[list]:
+    """The lists of a column, or of one field of its structs, faster than its to_pylist; empty for null."""
+    values = column.values.field(field) if field else column.values
+    values, ends = values.to_numpy(zero_copy_only=False).tolist(), column.offsets.to_numpy().tolist()
+    return [values[i:j] for i, j in pairwise(ends)]
+
+
 def _split(raw: bytes) -> list[bytes]:
     return [raw[i : i + DIGEST] for i in range(0, len(raw), DIGEST)]
 
@@ -237,14 +296,12 @@ def write_store(docs: DataFrame, path: str, end_id: int, folder: str) -> None:
     spark = docs.sparkSession
 
     def cut(batches):
-        for b in batches:
+        for b in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
             rows: tuple[list, ...] = ([], [], [], [])
-            for raw in b.column("ids").to_pylist():
-                ids = np.frombuffer(raw, "<u4")
-                narrow = ids.max() < 2**16
-                raw, size = (ids.astype("<u2").tobytes(), 2) if narrow else (raw, 4)
-                lens = chunk_lengths(ids)
-                at, digests = 0, []
+            docs = [np.frombuffer(x, "<u4") for x in b.column("ids").to_pylist()]
+            docs = [x.astype("<u2") if x.max() < 2**16 else x for x in docs]
+            for ids, lens in zip(docs, chunk_lengths(docs), strict=True):
+                raw, size, at, digests = ids.tobytes(), ids.itemsize, 0, []
                 for n in lens:
                     digests.append(_digest(raw[at : at + n * size]))
                     at += n * size
@@ -269,7 +326,7 @@ def write_store(docs: DataFrame, path: str, end_id: int, folder: str) -> None:
         doc, apart = object(), {}  # the document's chunks that others have too: whether they are still to be written here
         for b in batches:
             out = []
-            for d, kind, lens, digests, size, payload in zip(*[b.column(c).to_pylist() for c in ("doc_id", "kind", "lens", "digests", "width", "payload")], strict=True):
+            for d, kind, lens, digests, size, payload in zip(*[_lists(b.column(c)) if c == "lens" else b.column(c).to_pylist() for c in ("doc_id", "kind", "lens", "digests", "width", "payload")], strict=True):
                 if d != doc:
                     doc, apart = d, {}
                 if kind == 0:
@@ -294,7 +351,7 @@ def write_store(docs: DataFrame, path: str, end_id: int, folder: str) -> None:
         if roots:
             yield _packed([("pack", me, None, None, start, None, None, None, None, None, merkle_root(roots))])
 
-    rows.mapInArrow(pack, _PACK).write.option("compression", "zstd").parquet(f"{folder}/packs")
+    rows.mapInArrow(tidy(pack), _PACK).write.option("compression", "zstd").parquet(f"{folder}/packs")
 
 
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
@@ -319,9 +376,10 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
 
     def rebuild(batches):
         for b in batches:
-            ids = []
-            for lens, digests, own, size, payload, root, more in zip(*[b.column(c).to_pylist() for c in ("lens", "digests", "own", "width", "payload", "root", "more")], strict=True):
-                parts, at, have = _split(digests), 0, {x["digest"]: x["chunk"] for x in more or []}
+            ids, cols = [], [b.column(c).to_pylist() for c in ("digests", "width", "payload", "root")]
+            lists = [_lists(b.column("lens")), _lists(b.column("own")), _lists(b.column("more"), "digest"), _lists(b.column("more"), "chunk")]
+            for digests, size, payload, root, lens, own, names, chunks in zip(*cols, *lists, strict=True):
+                parts, at, have = _split(digests), 0, dict(zip(names, chunks, strict=True))
                 for i in own:
                     have[parts[i]] = payload[at : at + lens[i] * size]
                     at += lens[i] * size
@@ -329,7 +387,7 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
                     raise CorruptStore(folder)
                 out = b"".join(have[x] for x in parts)
                 ids.append(out if size == 4 else np.frombuffer(out, "<u2").astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("doc_id", "pack", "local_start", "n_tokens")] + [pa.array(ids, pa.binary()), pa.array([len(x) for x in b.column("lens").to_pylist()], pa.int32()), b.column("root")], names=["doc_id", "pack", "local_start", "n_tokens", "ids", "n_chunks", "root"])
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("doc_id", "pack", "local_start", "n_tokens")] + [pa.array(ids, pa.binary()), pa.array([len(x) for x in lists[0]], pa.int32()), b.column("root")], names=["doc_id", "pack", "local_start", "n_tokens", "ids", "n_chunks", "root"])
 
     mine = F.expr(f"transform(own, i -> substring(digests, i * {DIGEST} + 1, {DIGEST}))")
     lacks = F.array_except(F.expr(PARTS), mine)
@@ -341,7 +399,7 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     partial = partial.join(more.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("root") == F.col("of"))).drop("_id", "of")
     cols = "doc_id long, pack int, local_start long, n_tokens long, ids binary, n_chunks int, root binary"
     keep = ["doc_id", "pack", "local_start", "n_tokens", "lens", "digests", "own", "width", "payload", "root", "more"]
-    out = whole.select(*keep).unionByName(partial.select(*keep)).mapInArrow(rebuild, cols)
+    out = whole.select(*keep).unionByName(partial.select(*keep)).mapInArrow(tidy(rebuild), cols)
     return out.join(base, "pack").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids", "n_chunks", "root")
 
 

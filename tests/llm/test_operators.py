@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from repocensus.llm import decontaminate, fingerprint, licences, minhash, packing, queries, suffix, tokens, toxicity, urls, warc
@@ -103,6 +104,74 @@ def test_encoder_equals_library():
                 assert np.frombuffer(raw, "<u4").tolist() == enc(t, 0)[:-1], t
 
 
+class Counted:
+    """A tokenizer that notes what its model is asked."""
+
+    def __init__(self, tokenizer):
+        self.inner, self.asked = tokenizer, []
+
+    def __getattr__(self, name):
+        return getattr(self.inner, name)
+
+    @property
+    def model(self):
+        return self
+
+    def tokenize(self, form):
+        self.asked.append(form)
+        return self.inner.model.tokenize(form)
+
+
+def test_encoder_asks_the_model_once_for_a_word():
+    path = queries.vocabulary("word_bpe_49k.json")
+    enc, own = encode(path), tokens.Encoder(path)
+    own.tokenizer = Counted(own.tokenizer)
+    for texts in (["Onerest zhéshly. eawhnd", "a onerest, ZHÉSHLY."], ["onerest.\nEawhnd zhéshly, A", "Zhéshly."]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [enc(t, 0)[:-1] for t in texts]
+    words = [x for x in own.tokenizer.asked if x.isalnum() or "Ã" in x]
+    assert len(words) == len(set(words)) == 4, own.tokenizer.asked
+
+
+def test_words_are_kept_for_tasks_of_one_kind_alone():
+    from repocensus.llm import common
+
+    dropped = []
+    task = lambda name, keep: list(common.tidy(iter, lambda: dropped.append(name), keep=keep)([1]))
+    assert task("a", "kind a") == task("a", "kind a") == [1] and dropped == []
+    task("b", "kind b")
+    assert dropped == ["a"]
+    task("c", None)
+    assert dropped == ["a", "b", "c"]
+
+
+def test_slices_hold_no_more_than_their_size():
+    from repocensus.llm import common
+
+    texts = ["x" * n for n in (3, 0, 8, 20, 1, 1, 9, 10)]
+    batch = pa.record_batch({"text": texts})
+    got = [b.column("text").to_pylist() for b in common.sized_slices([batch.slice(0, 3), batch.slice(3)], 10)]
+    assert [x for b in got for x in b] == texts and all(len(b) == 1 or sum(map(len, b)) <= 10 for b in got)
+
+
+def brute_chunks(ids):
+    lens, at, h = [], 0, 0
+    for i, x in enumerate(ids):
+        h = sum((int(tokens._GEAR[y & 0xFFFF]) ^ (y >> 16)) << j for j, y in enumerate(reversed(ids[max(0, i + 1 - tokens.WINDOW) : i + 1]))) % 2**64
+        mark = (h * 0x9E3779B97F4A7C15 % 2**64 >> 40) % tokens.MEAN == 0
+        n = i + 1 - at
+        if i + 1 == len(ids) or mark and n >= tokens.LEAST or n == tokens.MOST:
+            lens.append(n)
+            at = i + 1
+    return lens
+
+
+def test_chunks_of_many_documents_are_those_of_each():
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, hi, n).tolist() for hi, n in ((49_408, 1), (49_408, 16), (49_408, 6000), (200_000, 5000), (49_408, 64), (49_408, 0), (50, 3000))] + [[7] * 9000]
+    got = tokens.chunk_lengths([np.array(x, "<u2" if max(x, default=0) < 2**16 else "<u4") for x in docs])
+    assert got == [brute_chunks(x) for x in docs] and len(got[2]) > 5
+
+
 # suffix array
 
 
