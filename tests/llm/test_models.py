@@ -265,3 +265,35 @@ def test_more_of_the_same_text_keeps_the_same_ngrams(spark):
     for k in range(1, language.ORDER + 1):
         assert len({m.tables[k][0].tobytes() for m in models}) == 1
     assert 0 < sum(m.tables[k][1].size for m in models[:1] for k in range(2, language.ORDER + 1)) <= 3000
+
+
+def test_a_model_of_many_blocks_judges_as_one(spark):
+    rng = random.Random(8)
+    texts = [(" ".join("".join(rng.choices(letters, range(len(letters), 0, -1), k=5)) for _ in range(rng.randint(1, 30))), lang) for letters, lang in (("abcdefghi", "aa"), ("cdefghijß", "bb"), ("bcdefgh𝒜", "cc")) for _ in range(150)]
+    docs = spark.createDataFrame([*((i, *x) for i, x in enumerate(texts)), (None, "", None), (7, None, "aa"), (7, "qqq", None)], "doc_id long, text string, lang string")
+    one, many = language.fit(docs), language.fit(docs, cells=4000)
+    assert not one.further
+    assert len(many.further) > 2
+    for m in many.blocks(spark):
+        assert sum(m.tables[k][1].size for k in range(2, language.ORDER + 1)) <= 4000
+    assert (one.scale, one.limits) == (many.scale, many.limits)
+    got, want = (sorted(map(tuple, language.languages(docs, m).collect()), key=str) for m in (many, one))
+    assert [(d, p, a) for d, p, _, a in got] == [(d, p, a) for d, p, _, a in want]
+    assert [s for _, _, s, _ in got] == pytest.approx([s for _, _, s, _ in want], abs=1e-9)
+
+
+def test_no_ngram_is_left_out(spark):
+    counted = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 5 > 1]
+    docs = spark.createDataFrame([(i, "aaaa" * 200 if j else "zyxwv", "en") for j, i in enumerate(counted)], "doc_id long, text string, lang string")
+    model = language.fit(docs, cells=3000, calibration_rows=0)
+    chars = np.array([ord(c) for c in "zyxwv"], np.uint32)
+    assert model._find(model.tables[5], language.hashes_at(chars, np.array([4]), 5))[1].all()
+
+
+def test_calibration_takes_all_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language, "calibrate", lambda model, rows: seen.append(rows.count()))
+    docs = spark.range(27_000).selectExpr("id as doc_id", "'some words' as text", "'en' as lang")
+    language.fit(docs)
+    assert seen == [docs.filter("crc32(cast(doc_id as string)) % 5 = 1").count()]
+    assert seen[0] > 5000
