@@ -23,13 +23,13 @@ def query(sql: str | None = None):
 
 
 def arrivals(spark, rows, batches, key=None):
-    """A stream that reads ``rows`` in the order of the column batch: a folder for each, written one after the other; with a key
-    the rows of one key in one file. A file is a batch of the stream; without a key all of a batch are in one."""
-    folder = shared_folder(spark)
+    """A stream that reads ``rows`` in the order of the column batch: a folder for each, written one after the other. Without a key all of a batch are in one file, which
+    is a batch of the stream; with a key they are in a file a core at most, the rows of one key in one, and a batch of the stream is as many files."""
+    folder, files = shared_folder(spark), spark.sparkContext.defaultParallelism if key else 1
     for b in batches:
         own = rows.filter(F.col("batch") == b).drop("batch")
-        (own.repartition(2, key) if key else own.coalesce(1)).write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(rows.drop("batch").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        (own.repartition(files, key) if key else own.coalesce(1)).write.mode("append").option("parquet.block.size", 16 << 20).parquet(f"{folder}/in")  # so large files are read by many tasks
+    return spark.readStream.schema(rows.drop("batch").schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
 
 
 def finished(stream):
@@ -93,4 +93,7 @@ def ratchet_scans(spark, sf_dir):
     marks = each.select("repo", "scan", F.lit(None).cast("string").alias("dimension"), F.lit(None).cast("string").alias("path")).distinct()
     scans = found.unionByName(marks).withColumn("batch", F.col("scan"))
     again = scans.filter("scan = 2").withColumn("batch", F.lit(4).cast("long"))
-    return finished(streams.ratchet_stream(arrivals(spark, scans.unionByName(again), (1, 2, 4, 3), "repo")))
+    folder = shared_folder(spark)
+    arriving = arrivals(spark, scans.unionByName(again), (1, 2, 4, 3), "repo")
+    arriving.writeStream.foreachBatch(streams.ratchet_statuses(folder)).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("repo string, scan long, dimension string, path string, status string").parquet(f"{folder}/rows").drop("batch")

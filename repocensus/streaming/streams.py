@@ -7,6 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.shares import share, verdict
 
@@ -64,7 +65,8 @@ def ratchet_stream(scans: DataFrame, shards: int = SHARDS) -> DataFrame:
     The first scan of a repo accepts what it finds (``accepted``). Later ones find it still there (``carried``) or gone (``paid``, for good), and whatever else they
     find is a ``regression``, which never becomes accepted. A repo that pays everything stays known. A scan with a number that the repo has passed
     changes nothing, so one delivered twice counts once. The rows of one scan of a repo have to come in one batch. State is kept by repo and
-    ``shards`` hashes of the path, so no repo is one group; every shard learns of each scan.
+    ``shards`` hashes of the path, so no repo is one group; every shard learns of each scan. The debt of a shard is held whole in one task, and all debt in the state
+    store, which is memory unless the session says otherwise; ``ratchet_statuses`` says the same of debt of any size.
     """
     names = ["repo", "scan", "dimension", "path", "shard"]
     own = F.when(F.col("path").isNotNull(), F.pmod(F.xxhash64("dimension", "path"), F.lit(shards)).cast("int"))
@@ -105,6 +107,48 @@ def ratchet_stream(scans: DataFrame, shards: int = SHARDS) -> DataFrame:
     return rows.groupBy("repo", "shard").applyInPandasWithState(step, "repo string, scan long, dimension string, path string, status string", "last long, accepted array<string>", "append", "NoTimeout")
 
 
+def ratchet_statuses(folder: str):
+    """A foreachBatch function that says the same as ``ratchet_stream``, with the debt in tables: a shuffle and a sort that spill, so no task holds the debt of a repo or a shard.
+
+    Statuses of a batch are written to ``folder``/rows, named by the batch's id: (repo, scan, dimension, path, status). What a repo has accepted are its rows of the latest
+    scan that are accepted or carried, so there is no second copy, and debt that no batch touches isn't rewritten: ``folder``/known says for each repo its latest scan
+    and the batch that has it. A batch that is run again writes the same. A null repo or dimension is one like any other.
+    """
+    rows = "repo string, scan long, dimension string, path string, status string"
+
+    def step(found: DataFrame, batch_id: int) -> None:
+        spark, here = found.sparkSession, f"batch={batch_id}"
+        found = found.select("repo", F.col("scan").cast("long").alias("scan"), "dimension", "path")
+        schema = "repo string, last long, held long"
+        known = spark.read.schema(schema).parquet(f"{folder}/known/batch={batch_id - 1}") if batch_id else spark.createDataFrame([], schema)
+        told = found.groupBy("repo").agg(F.array_sort(F.collect_set("scan")).alias("scans")).alias("t")
+        told = told.join(known.alias("k"), F.expr("t.repo <=> k.repo"), "left").select("t.repo", F.expr("filter(scans, s -> last is null or s > last)").alias("scans"), "last", "held")
+        told.filter("size(scans) > 0").write.mode("overwrite").parquet(f"{folder}/repos/{here}")
+        repos = spark.read.schema("repo string, scans array<long>, last long, held long").parquet(f"{folder}/repos/{here}")  # a row a repo: the planner sees how large it is
+        places = ["array_position(scans, scan) AS o", "last IS NULL AS new"]  # of its scans in this batch; 0 is what was accepted before
+        seen = found.filter("path is not null").alias("f").join(repos.alias("r"), F.expr("f.repo <=> r.repo")).selectExpr("f.repo", "dimension", "path", "scans", *places).filter("o > 0")
+        held = [r["held"] for r in repos.filter("held is not null").select("held").distinct().collect()]
+        if held:
+            before = spark.read.schema(f"{rows}, batch long").parquet(f"{folder}/rows").filter(F.col("batch").isin(held) & F.col("status").isin("accepted", "carried"))
+            debt = before.alias("b").join(repos.alias("r"), F.expr("b.repo <=> r.repo and b.scan = r.last and b.batch = r.held"))
+            seen = seen.unionByName(debt.selectExpr("b.repo", "dimension", "path", "scans", "0L AS o", "false AS new"))
+        # get() of a place behind the last is null: no scan comes after; arrays of scans aren't shuffled
+        each = seen.selectExpr("repo", "dimension", "path", "o", "new", "if(o > 0, get(scans, int(o) - 1), null) AS scan", "get(scans, int(o)) AS after")
+        by = Window.partitionBy("repo", "dimension", "path").orderBy("o")
+        each = each.select("*", F.dense_rank().over(by).alias("nth"), F.lag("o").over(by).alias("left"), F.lead("o").over(by).alias("right"))
+        still = F.expr("o + if(new, 0, 1) = nth")  # accepted, and found in every scan so far
+        there = F.when(still, F.when(F.expr("new and o = 1"), "accepted").otherwise("carried")).otherwise("regression")
+        found_now = F.when(F.expr("o > 0 and not left <=> o"), F.struct("scan", there.alias("status")))
+        gone = F.when(still & F.expr("after is not null and (right is null or right > o + 1)"), F.struct(F.col("after").alias("scan"), F.lit("paid").alias("status")))
+        out = each.select("repo", "dimension", "path", F.explode(F.filter(F.array(found_now, gone), lambda x: x.isNotNull())).alias("x")).select("repo", "x.scan", "dimension", "path", "x.status")
+        out.write.mode("overwrite").parquet(f"{folder}/rows/{here}")
+        now = repos.select("repo", F.element_at("scans", -1).alias("last"), F.lit(batch_id).cast("long").alias("held"))
+        latest = known.unionByName(now).groupBy("repo").agg(F.max(F.struct("last", "held")).alias("x"))
+        latest.select("repo", "x.*").write.mode("overwrite").parquet(f"{folder}/known/{here}")
+
+    return step
+
+
 def ratchet_batch(folder: str):
     """A foreachBatch function that carries the accepted violations: those of repos in the batch shrink to what is still there, and a
     repo that none had before brings its own. A row without a path says that its repo was looked at and nothing found; its debt goes.

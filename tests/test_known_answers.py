@@ -509,6 +509,28 @@ def test_debt_as_keyed_state(spark):
     assert rows(got, "repo", "scan", "dimension", "path", "status") == sorted([("a", 1, "x", "1", "accepted"), ("a", 1, "x", "2", "accepted"), ("a", 2, "x", "1", "paid"), ("a", 2, "x", "2", "paid"), ("a", 3, "x", "1", "regression"), ("b", 7, "x", "9", "accepted"), ("b", 8, "x", "9", "carried"), ("b", 8, "y", "9", "regression")], key=str)
 
 
+def test_debt_in_tables_is_debt_as_keyed_state(spark, tmp_path):
+    import random
+
+    from repocensus.jobs import streamed
+    from repocensus.streaming import streams
+
+    schema, rng = "batch int, repo string, scan long, dimension string, path string", random.Random(4)
+    scans = [(1, "a", 1, "x", "1"), (1, "a", 1, "x", "2"), (1, "a", 1, None, None), (2, "a", 2, None, None), (2, None, 7, "x", "9"), (3, "a", 2, "x", "1"), (4, "a", 3, "x", "1"), (4, None, 8, "x", "9"), (4, None, 8, "y", "9"), (4, None, 9, "y", "9")]
+    for batch, numbers in ((1, (1, 2, 3)), (2, (3, 4)), (3, (6, 5)), (4, (2, 7))):
+        for repo in rng.sample(["p", "q", "r"], 2):
+            scans += [(batch, repo, s, d, q) for s in numbers for d in "uv" for q in "12345" if rng.random() < 0.8] + [(batch, repo, s, None, None) for s in numbers] * 2
+    df = spark.createDataFrame(scans + scans[:3], schema)
+    want = streamed.finished(streams.ratchet_stream(streamed.arrivals(spark, df, (1, 2, 3, 4)), shards=3)).collect()
+    step = streams.ratchet_statuses(str(tmp_path))
+    for i in range(4):
+        for _ in range(2):  # run twice, it changes nothing
+            step(df.filter(F.col("batch") == i + 1).drop("batch"), i)
+    got = spark.read.parquet(f"{tmp_path}/rows").drop("batch").collect()
+    assert {r["status"] for r in got} == {"accepted", "carried", "paid", "regression"}
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+
+
 def test_debt_paid_in_full_goes(spark, tmp_path):
     from repocensus.streaming import streams
 

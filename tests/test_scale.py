@@ -151,3 +151,16 @@ def test_sets_meet_in_cells(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted((a, b, n, m, len(set(sets[a]) & set(sets[b]))) for a, b, n, m in pairs)
     none = spark.createDataFrame([], "a long, b long, n int, m int")
     assert duplicates.shared_counts(none, spark.createDataFrame(list(sets.items()), "id long, s array<long>")).collect() == []
+
+
+def test_scans_of_a_repo_are_held_by_no_task(spark, monkeypatch):
+    from repocensus.jobs import streamed
+    from repocensus.streaming import streams
+
+    def refuse(*_, **__):
+        raise AssertionError("all debt of a shard in one task")
+
+    monkeypatch.setattr(streams, "ratchet_stream", refuse)
+    got = streamed.ratchet_scans(spark, "/root/testdata/sf0.001")
+    assert got.count() > 0
+    assert "Python" not in plan(got) and "Pandas" not in plan(got)
