@@ -3,7 +3,7 @@ double-array trie with all places of a block of text at once."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -170,7 +170,7 @@ class Trie:
             self.direct[self.words] = np.arange(1, len(self.words) + 1)
         letters = np.searchsorted(self.words, sequences) + 1
         self.base, self.check = np.zeros(len(self.words) + 2 * rows + 16, np.int64), np.full(len(self.words) + 2 * rows + 16, -1, np.int64)
-        self.taken, self.hint = np.zeros(len(self.base), bool), 1
+        self.taken = np.zeros(len(self.base), bool)
         self.taken[0] = True
         state, new = np.zeros(rows, np.int64), np.arange(rows) == 0
         for level in range(self.depth):
@@ -187,36 +187,34 @@ class Trie:
         del self.taken
 
     def _place(self, states: np.ndarray, kids: np.ndarray, edges: np.ndarray) -> None:
-        """Bases such that all children fall on free places: first states with several, widest first, by trial; the many with one
-        child then fill the free places one after the other. No base is negative."""
-        sizes = np.diff(edges)
+        """Bases, negative ones too, such that all children fall on free places: first states with several, widest first, by trial; the many
+        with one child then fill the free places one after the other. Among states of like width places that took one of them no more aren't tried
+        again, so trials grow with the states and the places, not with both multiplied."""
+        sizes, width, start = np.diff(edges), 0, 1
         for p in np.argsort(-sizes, kind="stable")[: int((sizes > 1).sum())]:
             own = kids[edges[p] : edges[p + 1]]
-            spread, start, tries = own - own[0], max(self.hint, int(own[0])), 0
+            spread = own - own[0]
+            if int(sizes[p]).bit_length() != width:
+                width = int(sizes[p]).bit_length()
+                start = start if width > 8 else 1  # places beside the widest are for narrow ones
             while True:
                 self._reach(start + 256 + int(spread[-1]))
-                spots = np.flatnonzero(~self.taken[start : start + 256]) + start
-                for column in spread[1:17]:
-                    spots = spots[~self.taken[spots + column]]
-                fit = next((int(s) for s in spots if not self.taken[s + spread].any()), None)
-                if fit is not None:
+                spots, done, step = np.flatnonzero(~self.taken[start : start + 256]) + start, 1, 16
+                while len(spots) and done < len(spread):
+                    spots = spots[~self.taken[spots[:, None] + spread[done : done + step]].any(axis=1)]
+                    done, step = done + step, 4 * step
+                if len(spots):
                     break
-                start, tries = start + 256, tries + 1
-            if tries > 2 and start > self.hint >= int(own[0]):
-                self.hint += 256  # what lies below is nearly full
+                start += 256
+            fit = int(spots[0])
             self.taken[fit + spread] = True
             self.base[states[p]] = fit - own[0]
         one = np.flatnonzero(sizes == 1)
         if len(one):
-            lead = kids[edges[one]]
-            order = np.argsort(lead, kind="stable")
-            top = int(lead.max()) + len(one) + int(self.taken.sum()) + 1
-            self._reach(top)
-            spots = np.flatnonzero(~self.taken[:top])
-            first = np.searchsorted(spots, lead[order])  # rising, and none below its letter
-            chosen = spots[np.maximum.accumulate(first - np.arange(len(first))) + np.arange(len(first))]
-            self.taken[chosen] = True
-            self.base[states[one[order]]] = chosen - lead[order]
+            self._reach(int(self.taken.sum()) + len(one))
+            spots = np.flatnonzero(~self.taken)[: len(one)]
+            self.taken[spots] = True
+            self.base[states[one]] = spots - kids[edges[one]]
 
     def _reach(self, need: int) -> None:
         if need >= len(self.taken):
@@ -235,7 +233,7 @@ class Trie:
         for level in range(self.depth):
             letter = letters[at + level]
             to = self.base[state] + letter
-            ok = (letter > 0) & (to < len(self.check))
+            ok = (letter > 0) & (to >= 0) & (to < len(self.check))
             ok[ok] = self.check[to[ok]] == state[ok]
             at, state = at[ok], to[ok]
         out[at] = self.number[state]
@@ -299,6 +297,25 @@ def _distinct(a: np.ndarray, b: np.ndarray, top: int) -> tuple[np.ndarray, np.nd
     return tuple(np.unique(np.stack([a, b]), axis=1))
 
 
+def summed(counts: Iterable[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of all (numbers, counts), and their counts added up. What came is held until it is as much as the sum so far, so work grows with what
+    comes, not with that times the sum."""
+    numbers, n, held, many = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def merge():
+        found, back = np.unique(np.concatenate([numbers, *(h[0] for h in held)]), return_inverse=True)
+        out = np.zeros(len(found), np.int64)
+        np.add.at(out, back, np.concatenate([n, *(h[1] for h in held)]))
+        return found, out
+
+    for own in counts:
+        held.append(own)
+        many += len(own[0])
+        if many > max(len(numbers), 1 << 18):
+            (numbers, n), held, many = merge(), [], 0
+    return merge() if held else (numbers, n)
+
+
 def candidates(rows: DataFrame, least: int, top: int, kind: str = "<i8") -> DataFrame:
     """(a, b), each once: numbers of frequent sequences of k words that stand a word apart somewhere, so that both parts of the
     sequence of k + 1 words are frequent, and whose hash of 32 bits is met ``least`` times or more. Both hold for every frequent
@@ -328,13 +345,7 @@ def candidates(rows: DataFrame, least: int, top: int, kind: str = "<i8") -> Data
             yield from sums(held)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for t in batches:
-            for x, y in zip(t.column("buckets"), t.column("counts"), strict=True):
-                both = np.append(bucket, np.frombuffer(x.as_py(), "<u4").astype(np.int64))
-                counts = np.append(n, np.frombuffer(y.as_py(), "<i8"))
-                bucket, back = np.unique(both, return_inverse=True)
-                n = np.bincount(back, weights=counts, minlength=len(bucket)).astype(np.int64)
+        bucket, n = summed((np.frombuffer(x.as_py(), "<u4").astype(np.int64), np.frombuffer(y.as_py(), "<i8")) for t in batches for x, y in zip(t.column("buckets"), t.column("counts"), strict=True))
         full = bucket[n >= least]
         yield pa.RecordBatch.from_arrays([pa.array(full >> shift, pa.int32()), pa.array(full)], names=["part", "bucket"])
 

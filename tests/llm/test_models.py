@@ -297,3 +297,39 @@ def test_calibration_takes_all_rows(spark, monkeypatch):
     language.fit(docs)
     assert seen == [docs.filter("crc32(cast(doc_id as string)) % 5 = 1").count()]
     assert seen[0] > 5000
+
+
+def made_pairs(n):
+    """Pairs of numbers, few of them with many followers, as words have."""
+    rng = np.random.default_rng(1)
+
+    def drawn():
+        return np.minimum((rng.pareto(0.6, 3 * n) * 3).astype(np.int64) + 1, rng.integers(1, n // 3, 3 * n))
+
+    pairs = np.unique(np.stack([drawn(), drawn()], axis=1), axis=0)
+    return pairs[np.sort(rng.permutation(len(pairs))[:n])]
+
+
+def test_trials_of_a_trie_grow_with_its_sequences(monkeypatch):
+    pairs, trials, real = made_pairs(40_000), [], phrases.Trie._reach
+    monkeypatch.setattr(phrases.Trie, "_reach", lambda self, need: (trials.append(need), real(self, need))[1])
+    trie = phrases.Trie(pairs)
+    several = int((np.unique(pairs[:, 0], return_counts=True)[1] > 1).sum())
+    assert len(trials) < 2 * several + len(trie.base) / 32
+    assert trie.walk(np.append(pairs.ravel(), -1))[: 2 * len(pairs) : 2].tolist() == list(range(len(pairs)))
+
+
+def test_counts_that_come_in_many_parts_are_sorted_few_times(monkeypatch):
+    rng, total, real = np.random.default_rng(2), [], np.unique
+    parts = [(real(rng.integers(0, 1 << 31, 20_000)), None) for _ in range(60)]
+    parts = [(x, rng.integers(1, 9, len(x))) for x, _ in parts] + [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    with monkeypatch.context() as m:
+        m.setattr(phrases.np, "unique", lambda x, **k: (total.append(len(x)), real(x, **k))[1])
+        numbers, n = phrases.summed(parts)
+    want = defaultdict(int)
+    for x, y in parts:
+        for k, c in zip(x.tolist(), y.tolist()):
+            want[k] += c
+    assert dict(zip(numbers.tolist(), n.tolist())) == want
+    assert sum(total) < 4 * sum(len(x) for x, _ in parts)
+    assert [len(a) for a in phrases.summed([])] == [0, 0]
